@@ -1,7 +1,7 @@
 """Hashed word and character n-grams, and linear models over their frequencies.
 
 A text's features are the relative frequencies, in fixed hash tables, of its
-lower-cased words, its word pairs and its byte trigrams; a model's score is an
+words, its word pairs (pairs of one word share an entry) and its byte trigrams; a model's score is an
 intercept plus the mean weight of the text's n-grams in each family.
 """
 
@@ -32,7 +32,9 @@ def families(raw: np.ndarray, at: np.ndarray, words=None) -> list[tuple[np.ndarr
         h, row = words
     out = [((h >> _SHIFT).astype(np.int64), row)]
     first, pair = windows(h, row, 2)
-    out.append(((pair >> _SHIFT).astype(np.int64) + SIZE, row[first]))
+    index = (pair >> _SHIFT).astype(np.int64)
+    index[h[first] == h[first + 1]] = 0  # a word said twice running, whatever the word
+    out.append((index + SIZE, row[first]))
     if len(raw) >= 3:
         code = raw[:-2].astype(np.uint32) | (raw[1:-1].astype(np.uint32) << 8) | (raw[2:].astype(np.uint32) << 16)
         code *= np.uint32(0x9E3779B1)

@@ -4,8 +4,8 @@ Trusted positives are training-fold rows labelled 1; the unlabelled set is a
 bounded sample of web text, whatever its labels; the class prior is the share
 of 1 among the training fold's labels. The logistic loss's risk is
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``; where the second part is
-negative its gradient is reversed. The score is calibrated on training-fold
-labels held back from the fit. Rows of the held-out fold (crc32 of the id as
+negative its gradient is reversed. The score is calibrated, with both classes
+at equal weight, on training-fold labels held back from the fit. Rows of the held-out fold (crc32 of the id as
 text divisible by five) are used neither as positives nor as unlabelled texts.
 
 A null text is an empty text and has the intercept's score. A null id is in no
@@ -67,8 +67,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     y = cal.cls == 1
     if not y.any() or y.all():
         return w, b
-    weight = np.where(y, total[1] / y.sum(), total[0] / (~y).sum())
-    slope, shift = ngrams.platt(cal.dot(w) + b, y, weight * len(y) / weight.sum())
+    weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
+    slope, shift = ngrams.platt(cal.dot(w) + b, y, weight * len(y))
     return w * slope, b * slope + shift
 
 
