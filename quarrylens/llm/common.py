@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many bytes.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _shipped: set[str] = set()
 _made: dict[str, str] = {}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_pu, quality_rules
+from . import bpe, packing, quality_pu, quality_rules, tokenfile
 from .common import documents
 
 
@@ -12,6 +12,14 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_rules.score(docs, quality_rules.train(docs, _labels(spark, sf_dir)))
@@ -22,7 +30,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.score(docs, quality_pu.train(docs, _labels(spark, sf_dir)))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.written_and_read(spark, documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_bpe": op2_bpe,
+    "op10_token_files": op10_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
 }

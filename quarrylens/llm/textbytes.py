@@ -23,7 +23,7 @@ LOWER[65:91] += 32
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         seq = np.full(size, np.uint64(_ODD))
         seq[0] = 1
         _pow = np.cumprod(seq)
@@ -62,7 +62,7 @@ def spans(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans. A very long row is summed in pieces."""
-    n, piece = len(raw), 1 << 21
+    n, piece = len(raw), 1 << 20
     if n <= piece or not len(start):
         up, down = _powers(n + 1)
         run = np.zeros(n + 1, np.uint64)
