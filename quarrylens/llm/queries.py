@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, packing, quality_pu, quality_rules, tokenfile
+from . import bpe, jaccard, licenses, packing, quality_pu, quality_rules, tokenfile, urls
 from .common import documents
 
 
@@ -34,6 +34,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.score(docs, quality_pu.train(docs, _labels(spark, sf_dir)))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("spans")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.written_and_read(spark, documents(spark, sf_dir))
 
@@ -42,6 +50,8 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op7_url_filters": op7_url_filters,
+    "op8_license_scans": op8_license_scans,
     "op10_token_files": op10_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
