@@ -1,9 +1,11 @@
 """URL filters: rules, then host word segmentation and naive Bayes.
 
 A host's labels are cut into words by a unigram Viterbi search over the
-``VOCABULARY`` most frequent words of all pages' visible text. A multinomial
-naive Bayes model, fitted on every url that a rule judges, scores the words of
-host and path for the urls that no rule fits; a tie is allowed.
+``VOCABULARY`` most frequent words of all pages' visible text and the seed
+words. A multinomial naive Bayes model, fitted on every url that a rule judges,
+scores the words of host and path for the urls that no rule fits; a tie is
+allowed. Seed words are host words known to mark unwanted sites: each counts as
+a thousandth of the block class's words.
 
 A null url, or one without ``://``, has empty host and path, fits no rule and
 is judged by the classes' priors alone. Repeated rows are judged row by row; an
@@ -25,6 +27,8 @@ from .textbytes import LOWER, span_hash, spans
 
 # The rules of the contract (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+# Host words of unwanted sites.
+SEEDS = ("adult", "ads", "bet", "bets", "casino", "malware", "phishing", "pills", "poker", "porn", "slots", "spam", "track", "tracker", "viagra", "xxx")
 #: Size of the unigram model, longest word in it, entries of the token table.
 VOCABULARY, LONGEST, BITS = 50_000, 20, 16
 _ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -81,7 +85,9 @@ def count_words(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
         yield out()
 
     words = pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(size).collect()}
+    out = {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(size).collect()}
+    usual = sorted(out.values())[len(out) // 2] if out else 1
+    return {w: usual for w in SEEDS} | out
 
 
 class Segmenter:
@@ -153,6 +159,7 @@ def fit(pages: DataFrame, segmenter, rules=RULES) -> tuple[np.ndarray, float]:
             urls[c] += n
         else:
             times[c, k] += n
+    times[1, _buckets(["h:" + w for w in SEEDS])] += 0.001 * times[1].sum()
     share = np.log(times / times.sum(1, keepdims=True))
     return share[1] - share[0], float(np.log(urls[1] / urls[0]))
 
