@@ -136,18 +136,21 @@ def _buckets(tokens: list[str]) -> np.ndarray:
 
 def fit(pages: DataFrame, segmenter, rules=RULES) -> tuple[np.ndarray, float]:
     """Log odds of block against allow of each token bucket, and of the classes,
-    from every url that a rule judges (Laplace smoothing)."""
+    from every url that a rule judges (Laplace smoothing). The words that made
+    the rule fit are left out: they say nothing about other urls."""
+    own_words = {h + p: {"h:" + w for w in h.split(".")} | {"p:" + w for w in p.strip("/").split("/")} for h, p, _ in rules}
 
     def run(batches):
         times, urls = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
         for b in batches:
             for url in b.column("url").to_pylist():
                 host, path = split_url(url)
-                verdict = rule_of(host, path, rules)[1]
+                rule, verdict = rule_of(host, path, rules)
                 if verdict:
                     c = int(verdict == "block")
                     urls[c] += 1
-                    if tokens := segmenter.value.tokens(host, path):
+                    own = own_words[rule]
+                    if tokens := [t for t in segmenter.value.tokens(host, path) if t not in own]:
                         np.add.at(times[c], _buckets(tokens), 1)
         c, k = np.nonzero(times)
         yield pa.RecordBatch.from_pydict({"c": pa.array(np.append(c, [0, 1]), pa.int32()), "k": pa.array(np.append(k, [-1, -1]), pa.int32()), "n": pa.array(np.append(times[c, k], urls))})
