@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard, licenses, packing, quality_pu, quality_rules, tokenfile, urls
+from . import bpe, jaccard, licenses, linededup, packing, quality_pu, quality_rules, tokenfile, urls
 from .common import documents
 
 
@@ -42,6 +43,11 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("spans")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_removed").alias("n_removed"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.written_and_read(spark, documents(spark, sf_dir))
 
@@ -52,9 +58,10 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_url_filters": op7_url_filters,
     "op8_license_scans": op8_license_scans,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": linededup.SQL}
