@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, licenses, linededup, packing, quality_pu, quality_rules, tokenfile, urls
+from . import bpe, fingerprint, jaccard, licenses, linededup, packing, quality_pu, quality_rules, tokenfile, urls
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(documents(spark, sf_dir))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -55,6 +59,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
+    "op3_fingerprints": op3_fingerprints,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_url_filters": op7_url_filters,
     "op8_license_scans": op8_license_scans,
