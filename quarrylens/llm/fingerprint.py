@@ -71,8 +71,8 @@ def _compared(docs: DataFrame) -> DataFrame:
     following, repeated = _next(keyed)
     if repeated:
         keyed = keyed.dropDuplicates(_KEY)
-    given = keyed.join(following, _KEY).select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.col("doc_id").alias("next_doc_id"), F.left("text", "take").alias("given"), digests(F.col("text")).alias("next"))
-    both = keyed.join(given, _KEY).withColumn("n_chars", F.char_length("text").cast("long"))
+    given = keyed.join(following.hint("merge"), _KEY).select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.col("doc_id").alias("next_doc_id"), F.left("text", "take").alias("given"), digests(F.col("text")).alias("next"))
+    both = keyed.join(given.hint("merge"), _KEY).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.concat(F.left("text", F.col("n_chars") - F.floor(F.col("n_chars") / 2)), "given")
     both = both.withColumn("edited_text", edited)
     return both.select(

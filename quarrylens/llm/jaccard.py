@@ -299,7 +299,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = join(docs)
     chosen = found.where("keep").groupBy(F.col("doc_id").alias("_chosen_id"), F.col("tie").alias("_chosen_tie")).agg(F.count("*").alias("_times"), F.max("n_shingles").alias("_n"))
     tie = F.xxhash64(common.text_of())
-    kept = docs.join(chosen.select("_chosen_id", "_chosen_tie"), docs["doc_id"].eqNullSafe(F.col("_chosen_id")) & (tie == F.col("_chosen_tie")), "left_semi")
+    kept = docs.join(chosen.select("_chosen_id", "_chosen_tie").hint("merge"), docs["doc_id"].eqNullSafe(F.col("_chosen_id")) & (tie == F.col("_chosen_tie")), "left_semi")
     if chosen.where("_times > 1 and _n > 0").isEmpty():
         return kept
     blank = kept.where(~common.text_of().rlike(r"[^ \t-\r]"))
