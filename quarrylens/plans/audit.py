@@ -121,8 +121,9 @@ def hotspots(found: DataFrame) -> DataFrame:
 def health(found: DataFrame, files: DataFrame) -> DataFrame:
     """Health of the project, 0 to 100."""
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv)), F.col("severity"))
-    penalty = found.agg(F.coalesce(F.sum(weight * F.col("confidence")), F.lit(0.0)).alias("penalty"))
-    return penalty.join(files.agg(F.count("*").alias("n_files")), how="full").withColumn("score", A.health_score(100 * F.col("penalty"), F.col("n_files")))
+    parts = found.select((weight * F.col("confidence")).alias("w"), F.lit(0).alias("f")).unionByName(files.select(F.lit(0.0).alias("w"), F.lit(1).alias("f")))
+    out = parts.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("penalty"), F.coalesce(F.sum("f"), F.lit(0)).alias("n_files"))
+    return out.withColumn("score", A.health_score(100 * F.col("penalty"), F.col("n_files")))
 
 
 def decisions(a: Audit, found: DataFrame) -> DataFrame:

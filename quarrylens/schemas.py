@@ -11,7 +11,8 @@ BLOCKS = "block_uid string, symbol_uid string, file_path string, block_type stri
 DEPENDENCIES = "source_uid string, file_path string, target_external string, dependency_kind string, resolution string, confidence double, line int"
 ATTRIBUTE_ACCESS = "symbol_uid string, file_path string, attribute_name string, access_type string, line_number int"
 ERRORS = "file_path string, message string"
-ALL = {"files": FILES, "symbols": SYMBOLS, "blocks": BLOCKS, "dependencies": DEPENDENCIES, "attribute_access": ATTRIBUTE_ACCESS, "errors": ERRORS}
+DETAILS = "symbol_uid string, file_path string, detail string, name string, value string, line int"
+ALL = {"files": FILES, "symbols": SYMBOLS, "blocks": BLOCKS, "dependencies": DEPENDENCIES, "attribute_access": ATTRIBUTE_ACCESS, "details": DETAILS, "errors": ERRORS}
 KINDS = ("module", "class", "method", "function", "variable")
 DEPENDENCY_KINDS = ("calls", "imports", "inherits", "uses_attr", "instantiates", "unknown")
 RESOLUTIONS = ("exact", "probable", "unknown")

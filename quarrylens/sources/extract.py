@@ -105,6 +105,70 @@ def imported(node: ast.Import | ast.ImportFrom, module: str, is_package: bool) -
     return [base if a.name == "*" else f"{base}.{a.name}".strip(".") for a in node.names]
 
 
+def _text(node: ast.AST | None) -> str | None:
+    return None if node is None else ast.unparse(node)
+
+
+def details(node: ast.AST) -> Iterator[tuple[str, str | None, str | None, int]]:
+    """Finer facts of one scope (X14): kind, name, value, line. Kinds: doc,
+    parameter (value: annotation or default), type_hint, raise, handler,
+    optional_import, flag, key (value: get, in or index), argument (name:
+    callee:parameter), assert, mock, literal, global, return."""
+    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Module)) and (doc := ast.get_docstring(node)):
+        yield "doc", None, doc, getattr(node, "lineno", 1)
+    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+        named = [*node.args.posonlyargs, *node.args.args]
+        defaults = dict(zip([a.arg for a in named[::-1]], node.args.defaults[::-1])) | {a.arg: d for a, d in zip(node.args.kwonlyargs, node.args.kw_defaults) if d is not None}
+        for a in [*named, *node.args.kwonlyargs]:
+            yield "parameter", a.arg, _text(defaults.get(a.arg)), a.lineno
+            if a.annotation is not None:
+                yield "type_hint", a.arg, _text(a.annotation), a.lineno
+    for x in own_nodes(node):
+        line = getattr(x, "lineno", 0)
+        if isinstance(x, ast.Raise):
+            yield "raise", dotted(x.exc.func if isinstance(x.exc, ast.Call) else x.exc) if x.exc else None, _text(x.exc), line
+        elif isinstance(x, ast.ExceptHandler):
+            yield "handler", _text(x.type), "pass" if all(isinstance(y, ast.Pass) for y in x.body) else "handled", line
+        elif isinstance(x, ast.Try):
+            guarded = any(h.type is not None and "Import" in ast.unparse(h.type) or h.type is not None and "ModuleNotFound" in ast.unparse(h.type) for h in x.handlers)
+            for y in x.body if guarded else []:
+                if isinstance(y, (ast.Import, ast.ImportFrom)):
+                    for name in imported(y, "", False):
+                        yield "optional_import", name, None, y.lineno
+        elif isinstance(x, ast.Assign) and isinstance(x.value, ast.Constant) and isinstance(x.value.value, bool):
+            for t in x.targets:
+                if isinstance(t, ast.Name) and t.id.isupper():
+                    yield "flag", t.id, str(x.value.value), line
+        elif isinstance(x, ast.AnnAssign) and (name := dotted(x.target)):
+            yield "type_hint", name, _text(x.annotation), line
+        elif isinstance(x, ast.Subscript) and isinstance(x.slice, ast.Constant) and isinstance(x.slice.value, str) and (name := dotted(x.value)):
+            yield "key", name, f"index:{x.slice.value}", line
+        elif isinstance(x, ast.Compare) and len(x.ops) == 1 and isinstance(x.ops[0], ast.In) and isinstance(x.left, ast.Constant) and isinstance(x.left.value, str) and (name := dotted(x.comparators[0])):
+            yield "key", name, f"in:{x.left.value}", line
+        elif isinstance(x, ast.Call):
+            name = dotted(x.func)
+            if name and name.endswith(".get") and x.args and isinstance(x.args[0], ast.Constant) and isinstance(x.args[0].value, str):
+                yield "key", name[:-4], f"get:{x.args[0].value}", line
+            if name:
+                for k, a in enumerate(x.args):
+                    yield "argument", f"{name}:{k}", _text(a), line
+                for a in x.keywords:
+                    yield "argument", f"{name}:{a.arg or '**'}", _text(a.value), line
+                if name.split(".")[-1].startswith("assert"):
+                    yield "assert", name, _text(x), line
+                elif name.split(".")[-1] in ("Mock", "MagicMock", "patch", "create_autospec"):
+                    yield "mock", name, _text(x), line
+        elif isinstance(x, ast.Assert):
+            yield "assert", None, _text(x.test), line
+        elif isinstance(x, ast.Constant) and isinstance(x.value, (str, int, float)) and not isinstance(x.value, bool):
+            yield "literal", type(x.value).__name__, str(x.value)[:200], line
+        elif isinstance(x, ast.Global):
+            for name in x.names:
+                yield "global", name, None, line
+        elif isinstance(x, ast.Return):
+            yield "return", None, _text(x.value), line
+
+
 class Extractor:
     """Rows of one file."""
 
@@ -133,6 +197,8 @@ class Extractor:
         self.rows.append(("dependencies", {"source_uid": source, "file_path": self.path, "target_external": target, "dependency_kind": kind, "resolution": "exact" if exact else "probable", "confidence": 1.0 if exact else 0.7, "line": line}))
 
     def body(self, node, own: str) -> None:
+        for kind, name, value, line in details(node):
+            self.rows.append(("details", {"symbol_uid": own, "file_path": self.path, "detail": kind, "name": name, "value": value, "line": line}))
         package = self.path.endswith("__init__.py")
         for x in own_nodes(node):
             if isinstance(x, (ast.Import, ast.ImportFrom)):
