@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many bytes.
 SLICE_BYTES = 1 << 19
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 _made: dict[str, str] = {}
 
@@ -59,11 +60,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage
-    ends there, so a lost executor costs no more than the stage at hand."""
+    ends there, so a lost executor costs no more than the stage at hand. The
+    write's own shuffle files are of no more use then, and go."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -133,7 +133,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines before, and deleted)."""
     keyed = docs.withColumns({"_ld_id": F.col("doc_id"), "_ld_text": common.text_of()}).withColumn("_ld_tie", F.xxhash64("_ld_text"))
     gone = later_copies(keyed.select("_ld_id", "_ld_tie", "_ld_text"), min_words).select(F.col("_ld_id").alias("_ld_i"), F.col("_ld_tie").alias("_ld_t"), "_ld_gone")
-    both = keyed.join(gone, F.col("_ld_id").eqNullSafe(F.col("_ld_i")) & (F.col("_ld_tie") == F.col("_ld_t")), "left")
+    # always by sort and merge: the plan, and what it needs, stay the same at any size
+    both = keyed.join(gone.hint("merge"), F.col("_ld_id").eqNullSafe(F.col("_ld_i")) & (F.col("_ld_tie") == F.col("_ld_t")), "left")
     lines, cut = F.split("_ld_text", "\n"), F.col("_ld_gone")
 
     def kept(i):
