@@ -22,7 +22,6 @@ An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,10 +62,8 @@ def _next(keyed: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _compared(docs: DataFrame) -> DataFrame:
-    """Each document with its edited text's hash and the digests of its text
-    (own), its edited text (edited) and the next document's (next), laid out by
-    key on the executors' disks, so that what follows needs no shuffle. A lost
-    part is computed again from the documents."""
+    """Written table: each document with its edited text's hash and the digests of
+    its text (own), its edited text (edited) and the next document's (next)."""
     keyed = _keyed(docs)
     following, repeated = _next(keyed)
     if repeated:
@@ -75,9 +72,8 @@ def _compared(docs: DataFrame) -> DataFrame:
     both = keyed.join(given.hint("merge"), _KEY).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.concat(F.left("text", F.col("n_chars") - F.floor(F.col("n_chars") / 2)), "given")
     both = both.withColumn("edited_text", edited)
-    return both.select(
-        *_KEY, "doc_id", "next_doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited_text")).alias("edited"), "next"
-    ).persist(StorageLevel.DISK_ONLY)
+    out = both.select(*_KEY, "doc_id", "next_doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited_text")).alias("edited"), "next")
+    return common.written(out, "compared")
 
 
 def _cell(t: int, cells: int, key: str = "d") -> str:
@@ -126,8 +122,7 @@ def _peeled(pairs: DataFrame, cells: int) -> DataFrame:
 def compare(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, next_doc_id."""
-    rows = _compared(docs)
-    rows.count()  # lays the rows out
+    rows = _compared(docs).repartition(*_KEY)  # one shuffle of digests a pass: all that follows is grouped by key
     sides = F.array(*(F.struct(F.lit(p).alias("pair"), F.col("own").alias("a"), F.col(c).alias("b")) for p, c in ((0, "edited"), (1, "next"))))
     pairs = rows.select(*_KEY, F.explode(sides).alias("p")).select(*_KEY, "p.*")
     cells, results, pending = CELLS, None, None
