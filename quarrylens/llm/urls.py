@@ -57,7 +57,8 @@ def rule_of(host: str, path: str, rules=RULES) -> tuple[str | None, str | None]:
 
 
 def count_words(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """The ``size`` most frequent words of visible text, counted over all pages."""
+    """The most frequent words of visible text, counted over all pages: all whose
+    count reaches the least eighth-power of two that at most ``size`` words reach."""
     common.small_batches(pages.sparkSession)
 
     def run(batches):
@@ -85,7 +86,15 @@ def count_words(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
         yield out()
 
     words = pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    out = {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(size).collect()}
+    words = common.written(words, "words").withColumn("step", F.floor(8 * F.log2("n")).cast("int"))
+    steps = {r["step"]: r["m"] for r in words.groupBy("step").agg(F.count("*").alias("m")).collect()}  # some hundred rows
+    least, total = max(steps, default=0) + 1, 0
+    for step in sorted(steps, reverse=True):
+        total += steps[step]
+        if total > size:
+            break
+        least = step
+    out = {r["word"]: r["n"] for r in words.where(F.col("step") >= least).collect()}
     usual = sorted(out.values())[len(out) // 2] if out else 1
     return {w: usual for w in SEEDS} | out
 
