@@ -24,6 +24,8 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
     for part in range(2 * parts if parts > 1 else 1):
         got = keyed.where(F.col("part") == part).select("q", "v").toArrow()
         ids = got.column("q").to_numpy()
+        if not len(ids):
+            continue
         q = np.array(got.column("v").to_pylist(), np.float64).reshape(len(ids), -1)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         held = spark.sparkContext.broadcast((ids, q))
@@ -34,7 +36,7 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
                 v = b.column(vector)
                 keys = b.column(key).to_numpy(zero_copy_only=False)
                 ok = np.asarray(v.is_valid())
-                if not ok.any() or not len(ids):
+                if not ok.any():
                     continue
                 keys = keys[ok]
                 x = np.array(v.filter(pa.array(ok)).to_pylist(), np.float64)
@@ -50,5 +52,7 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
 
         one = rows.select(key, vector).mapInArrow(run, f"q long, {key} long, similarity double")
         out = one if out is None else out.unionByName(one)
+    if out is None:
+        return rows.limit(0).select(F.lit(0).cast("long").alias("q"), key, F.lit(0.0).alias("similarity"))
     ranked = out.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("d"), F.col(key)))), 1, k).alias("x"))
     return ranked.select("q", F.explode("x").alias("x")).select("q", F.col(f"x.{key}").alias(key), (-F.col("x.d")).alias("similarity"))

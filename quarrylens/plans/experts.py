@@ -149,7 +149,7 @@ def compatibility(a: Audit, old: Audit) -> DataFrame:
     """Public names removed or with a new signature, and how many files import
     them (E10, U2, M23, P20)."""
     key = ["file_path", "qualified_name"]
-    was, now = (x.symbols.where("is_public").select(*key, "signature") for x in (old, a))
+    was, now = (x.symbols.where("is_public").groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set("signature")), " | ").alias("signature")) for x in (old, a))
     gone = was.join(now, key, "left_anti").withColumn("change", F.lit("removed"))
     moved = was.join(now.withColumnRenamed("signature", "new"), key).where("signature != new").drop("new").withColumn("change", F.lit("signature"))
     changed = gone.unionByName(moved).withColumn("module", F.regexp_extract("qualified_name", "^(.*)[.][^.]+$", 1))

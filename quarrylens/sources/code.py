@@ -1,9 +1,21 @@
-"""Source-code scans and change detection."""
+"""Source-code scans and change detection.
+
+Spark's own file sources leave out names that begin with an underscore, and so
+every ``__init__.py``; the scan is therefore a data source of its own, over any
+file system that pyarrow can open. It lists names on the driver and reads
+contents in tasks; as a stream it goes on after the last file it has seen.
+"""
 
 from __future__ import annotations
 
+import fnmatch
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from ..shipping import ship
 
 #: Folders that hold no sources of the project.
 SKIPPED = (".git", ".hg", ".svn", "__pycache__", ".venv", "venv", "env", "node_modules", "build", "dist", ".tox", ".mypy_cache", ".pytest_cache", "site-packages")
@@ -11,16 +23,117 @@ SKIPPED = (".git", ".hg", ".svn", "__pycache__", ".venv", "venv", "env", "node_m
 MOST_BYTES = 10 * 1024 * 1024
 
 
-def files(spark: SparkSession, root: str, include: str = "*.py", skipped: tuple[str, ...] = SKIPPED, exclude: tuple[str, ...] = ()) -> DataFrame:
+#: Files to a task.
+PER_TASK = 64
+
+
+def _store(root: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+
+
+def _listed(root: str, include: str, skipped: set[str]) -> list[tuple[int, str, int]]:
+    """(time of change, path below the root, size), in that order."""
+    from pyarrow import fs
+
+    store, base = _store(root)
+    out = []
+    for f in store.get_file_info(fs.FileSelector(base, recursive=True)):
+        path = f.path[len(base.rstrip("/")) + 1 :]
+        parts = path.split("/")
+        if f.is_file and fnmatch.fnmatch(parts[-1], include) and not skipped & set(parts[:-1]):
+            out.append((f.mtime_ns or 0, path, f.size))
+    return sorted(out)
+
+
+class _Files(InputPartition):
+    def __init__(self, found):
+        super().__init__(found)
+        self.found = found
+
+
+def _contents(root: str, partition: _Files):
+    store, base = _store(root)
+    for changed, path, size in partition.found:
+        content = None
+        if size <= MOST_BYTES:
+            with store.open_input_stream(f"{base.rstrip('/')}/{path}") as f:
+                content = f.read()
+        yield path, size, changed, content
+
+
+def _split(found) -> list[_Files]:
+    return [_Files(found[k : k + PER_TASK]) for k in range(0, len(found), PER_TASK)]
+
+
+class SourceFiles(DataSource):
+    """Options: path, include (a name pattern)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_files"
+
+    def schema(self) -> str:
+        return "file_path string, file_size long, changed long, content binary"
+
+    def _where(self):
+        return self.options["path"], self.options.get("include", "*.py"), set(SKIPPED)
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(*self._where())
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(*self._where())
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, root, include, skipped):
+        self.root, self.include, self.skipped = root, include, skipped
+
+    def partitions(self):
+        return _split(_listed(self.root, self.include, self.skipped))
+
+    def read(self, partition):
+        if partition is not None:
+            yield from _contents(self.root, partition)
+
+
+class _StreamReader(DataSourceStreamReader):
+    """Offsets are the time of change and the path of the last file seen."""
+
+    def __init__(self, root, include, skipped):
+        self.root, self.include, self.skipped = root, include, skipped
+
+    def initialOffset(self):
+        return {"changed": -1, "path": ""}
+
+    def latestOffset(self):
+        found = _listed(self.root, self.include, self.skipped)
+        return {"changed": found[-1][0], "path": found[-1][1]} if found else self.initialOffset()
+
+    def partitions(self, start, end):
+        lo, hi = ((x["changed"], x["path"]) for x in (start, end))
+        return _split([f for f in _listed(self.root, self.include, self.skipped) if lo < f[:2] <= hi])
+
+    def read(self, partition):
+        yield from _contents(self.root, partition)
+
+    def commit(self, end):
+        pass
+
+
+def files(spark: SparkSession, root: str, include: str = "*.py", skipped: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
     """Every source file below ``root`` (S1-S6): file_path relative to it,
-    content, content_hash, file_size, lines_of_code, is_test_file. ``exclude``
-    holds regular expressions on the relative path."""
-    scan = spark.read.format("binaryFile").option("pathGlobFilter", include).option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").removeprefix("file://")
-    full = F.regexp_replace("path", "^file:/*", "/")
-    relative = F.substring(full, F.lit(len(base) + 2), F.length(full))
-    out = scan.select(relative.alias("file_path"), F.col("length").alias("file_size"), F.sha2("content", 256).alias("content_hash"), F.when(F.col("length") <= MOST_BYTES, F.decode("content", "UTF-8")).alias("content"))
-    out = out.where(~F.arrays_overlap(F.split("file_path", "/"), F.array(*map(F.lit, skipped))))
+    content, content_hash, file_size, lines_of_code, is_test_file. ``skipped``
+    names further folders to leave out, ``exclude`` regular expressions on the
+    relative path. A file over ``MOST_BYTES`` has no content."""
+    ship(spark)
+    spark.dataSource.register(SourceFiles)
+    scan = spark.read.format("source_files").option("path", root).option("include", include).load()
+    out = scan.select("file_path", "file_size", F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("content"))
+    if skipped:
+        out = out.where(~F.arrays_overlap(F.split("file_path", "/"), F.array(*map(F.lit, skipped))))
     for pattern in exclude:
         out = out.where(~F.col("file_path").rlike(pattern))
     name = F.element_at(F.split("file_path", "/"), -1)

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
+from ..shipping import ship
 from ..sources import code, extract
 
 
-def source_stream(spark: SparkSession, root: str, files_per_batch: int = 100) -> DataFrame:
-    """New source files as they come (R1, R2): path and content."""
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(root)
-    ok = F.col("length") <= code.MOST_BYTES
-    return stream.select(F.regexp_replace("path", "^file:/*", "/").alias("file_path"), "modificationTime", F.sha2("content", 256).alias("content_hash"), F.when(ok, F.decode("content", "UTF-8")).alias("content"))
+def source_stream(spark: SparkSession, root: str) -> DataFrame:
+    """New and changed source files as they come (R1): path, hash and content."""
+    ship(spark)
+    spark.dataSource.register(code.SourceFiles)
+    stream = spark.readStream.format("source_files").option("path", root).load()
+    return stream.select("file_path", F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("content"))
 
 
 def index_batch(target: str) -> Callable[[DataFrame, int], None]:
@@ -32,10 +34,9 @@ def index_batch(target: str) -> Callable[[DataFrame, int], None]:
     return step
 
 
-def index(spark: SparkSession, root: str, target: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
+def index(spark: SparkSession, root: str, target: str, checkpoint: str) -> StreamingQuery:
     """Index what is new and stop; begun again, it goes on where it was."""
-    stream = source_stream(spark, root, files_per_batch)
-    return stream.writeStream.foreachBatch(index_batch(target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source_stream(spark, root).writeStream.foreachBatch(index_batch(target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, target: str, name: str) -> DataFrame:
