@@ -6,34 +6,21 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Texts are worked on in slices of about this many bytes.
 SLICE_BYTES = 1 << 19
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_shipped: set[str] = set()
 _made: dict[str, str] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor (once per application)."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quarrylens-")), "quarrylens_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
+_written: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,12 +45,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarrylens/{uuid.uuid4().hex}-{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside, but for those written to be kept, are deleted at
+    the end: what is returned must not read them."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage
     ends there, so a lost executor costs no more than the stage at hand. The
     write's own shuffle files are of no more use then, and go."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if len(_written) > keep:  # a table to be kept belongs to the caller's scratch, if there is one
+        _written[-1 - keep].append(path)
     schema = df.schema
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")

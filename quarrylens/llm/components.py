@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,6 +13,11 @@ def components(links: DataFrame) -> DataFrame:
     (columns a, b). Each round a node takes the least label among its own and
     its neighbours', then its label's label; the labels are written to the
     shared folder each round. An empty table of links has no nodes."""
+    with scratch(links.sparkSession):
+        return _passed(links)
+
+
+def _passed(links: DataFrame) -> DataFrame:
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
@@ -24,4 +29,4 @@ def components(links: DataFrame) -> DataFrame:
         jumped = written(jumped, "labels")
         labels = jumped.select("node", "label")
         if jumped.where("moved").isEmpty():
-            return labels
+            return written(labels, "components", keep=True)

@@ -97,6 +97,11 @@ def _runs(rows: DataFrame, k: int) -> DataFrame:
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Written table: document (_ld_id, _ld_tie) and its deleted stretches of
     lines, an array of (first, last) line numbers in ascending order."""
+    with common.scratch(docs.sparkSession):
+        return _later_copies(docs, min_words)
+
+
+def _later_copies(docs: DataFrame, min_words: int) -> DataFrame:
     rows = _repeated(docs, min_words)
     longest = rows.agg(F.max(F.greatest("lf", "lb"))).first()[0] or 0
     runs, k = None, 0
@@ -125,7 +130,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = gone.join(numbered, F.col("_ld_id").eqNullSafe(F.col("i")) & (F.col("_ld_tie") == F.col("t")) & (F.col("seq") == F.col("s"))).select(*_DOC, "seq", "line")
     island = F.col("seq") - F.row_number().over(Window.partitionBy(*_DOC).orderBy("seq"))
     stretches = gone.withColumn("island", island).groupBy(*_DOC, "island").agg(F.struct(F.min("line").alias("first"), F.max("line").alias("last")).alias("x"))
-    return common.written(stretches.groupBy(*_DOC).agg(F.sort_array(F.collect_list("x")).alias("_ld_gone")), "gone")
+    return common.written(stretches.groupBy(*_DOC).agg(F.sort_array(F.collect_list("x")).alias("_ld_gone")), "gone", keep=True)
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

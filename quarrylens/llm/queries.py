@@ -69,4 +69,4 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard": jaccard.SQL, "op9_line_dedup": linededup.SQL}

@@ -79,13 +79,28 @@ def test_borderline_and_order_of_prefixes(spark):
 def test_prefix_filters_lose_nothing():
     """Any two sets that link share a token in their prefixes under every order."""
     rng = np.random.default_rng(2)
-    classes = rng.integers(0, 4, 1 << jaccard.COUNT_BITS).astype(np.uint64)
+    orders = jaccard.Orders(rng.integers(0, 3, 1 << jaccard.COUNT_BITS).astype(np.uint64), rng.integers(0, 256, 1 << 14).astype(np.uint8))
     for n in (1, 2, 5, 50, 333):
         a = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
         keep = jaccard.needed(len(a))
         b = rng.permutation(a)[:keep]
         for j in range(3):
-            assert np.intersect1d(jaccard._prefix(a, classes, j), jaccard._prefix(b, classes, j)).size
+            assert np.intersect1d(orders.prefix(a, j), orders.prefix(b, j)).size
+
+
+def test_signatures_lose_no_link():
+    rng = np.random.default_rng(3)
+    passed = 0
+    for _ in range(2000):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
+        gone, new = rng.integers(0, len(a) // 4 + 1), rng.integers(0, len(a) // 4 + 1)
+        b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(1, 1 << 62, new).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        may = jaccard.may_link(jaccard.signature(a), len(a), jaccard.signature(b), len(b))
+        assert may or 5 * both < 4 * (len(a) + len(b) - both)
+        passed += may
+    assert passed < 1900
 
 
 def test_one_of_each_group_stays(spark, texts):
