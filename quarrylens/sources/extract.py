@@ -111,7 +111,8 @@ def _text(node: ast.AST | None) -> str | None:
 
 def details(node: ast.AST) -> Iterator[tuple[str, str | None, str | None, int]]:
     """Finer facts of one scope (X14): kind, name, value, line. Kinds: doc,
-    parameter (value: annotation or default), type_hint, raise, handler,
+    alias (a name bound by an import, value: what it is), parameter (value:
+    annotation or default), type_hint, raise, handler,
     optional_import, flag, key (value: get, in or index), argument (name:
     callee:parameter), assert, mock, literal, global, return."""
     if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Module)) and (doc := ast.get_docstring(node)):
@@ -125,7 +126,13 @@ def details(node: ast.AST) -> Iterator[tuple[str, str | None, str | None, int]]:
                 yield "type_hint", a.arg, _text(a.annotation), a.lineno
     for x in own_nodes(node):
         line = getattr(x, "lineno", 0)
-        if isinstance(x, ast.Raise):
+        if isinstance(x, (ast.Import, ast.ImportFrom)):
+            for a in x.names:
+                if isinstance(x, ast.Import):
+                    yield "alias", a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0], line
+                elif not x.level and a.name != "*":
+                    yield "alias", a.asname or a.name, f"{x.module}.{a.name}", line
+        elif isinstance(x, ast.Raise):
             yield "raise", dotted(x.exc.func if isinstance(x.exc, ast.Call) else x.exc) if x.exc else None, _text(x.exc), line
         elif isinstance(x, ast.ExceptHandler):
             yield "handler", _text(x.type), "pass" if all(isinstance(y, ast.Pass) for y in x.body) else "handled", line
