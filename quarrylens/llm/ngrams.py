@@ -87,46 +87,54 @@ def _featurise(batches):
             x, v = vector(raw[at[i] : at[i + 1]])
             idx.append(x.astype(np.int32).tobytes())
             val.append(v.astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [b.column("cls"), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["cls", "idx", "val"]
-        )
+        yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("part"), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["cls", "part", "idx", "val"])
 
 
 class Sample:
-    """Rows of features in compressed form, with their class."""
+    """Rows of features end to end, with their class and one of five parts; what
+    is worked out over them takes memory for ``CHUNK`` features only."""
 
-    def __init__(self, rows):
-        rows = sorted(rows, key=lambda r: (r["cls"], bytes(r["idx"]), bytes(r["val"])))
-        self.cls = np.array([r["cls"] for r in rows], np.int64)
-        idx = [np.frombuffer(r["idx"], np.int32) for r in rows]
-        self.sizes = np.array([len(x) for x in idx], np.int64)
-        self.idx = np.concatenate(idx) if idx else np.zeros(0, np.int32)
-        self.val = np.concatenate([np.frombuffer(r["val"], np.float32) for r in rows]) if rows else np.zeros(0, np.float32)
-        self.row = np.repeat(np.arange(len(rows)), self.sizes)
+    CHUNK = 1 << 19
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.cls, self.part = table.column("cls").to_numpy(), table.column("part").to_numpy()
+        idx, val = (table.column(c).chunk(0) if len(table) else pa.array([], pa.binary()) for c in ("idx", "val"))
+        offsets = np.frombuffer(idx.buffers()[1], np.int32)[: len(idx) + 1].astype(np.int64) if len(idx) else np.zeros(1, np.int64)
+        self.at = (offsets - offsets[0]) // 4
+        self.idx = np.frombuffer(idx.buffers()[2], np.int32, self.at[-1]) if self.at[-1] else np.zeros(0, np.int32)
+        self.val = np.frombuffer(val.buffers()[2], np.float32, self.at[-1]) if self.at[-1] else np.zeros(0, np.float32)
 
     def __len__(self) -> int:
         return len(self.cls)
 
-    def take(self, keep: np.ndarray) -> Sample:
-        out = Sample([])
-        at = keep[self.row]
-        out.cls, out.sizes, out.idx, out.val = self.cls[keep], self.sizes[keep], self.idx[at], self.val[at]
-        out.row = np.repeat(np.arange(len(out.cls)), out.sizes)
-        return out
+    def _chunks(self):
+        for lo, hi, _, _ in common.slices(self.idx, self.at, self.CHUNK):
+            a, z = self.at[lo], self.at[hi]
+            yield lo, hi, self.idx[a:z], self.val[a:z], np.repeat(np.arange(hi - lo), np.diff(self.at[lo : hi + 1]))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.idx] * self.val, len(self))
+        """Score of each row."""
+        out = np.zeros(len(self))
+        for lo, hi, idx, val, row in self._chunks():
+            out[lo:hi] = np.bincount(row, w[idx] * val, hi - lo)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.idx, g[self.row] * self.val, FAMILIES * SIZE)
+        """Gradient of the weights from one value a row."""
+        out = np.zeros(FAMILIES * SIZE)
+        for lo, hi, idx, val, row in self._chunks():
+            out += np.bincount(idx, g[lo:hi][row] * val, len(out))
+        return out
 
 
 def collect_sample(docs: DataFrame, chosen: DataFrame) -> Sample:
     """Features of the documents in ``chosen`` (doc_id, cls), which the caller
     has bounded to a documented number of rows; only such ids are broadcast."""
     common.small_batches(docs.sparkSession)
-    picked = docs.select("doc_id", common.text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("cls", "text")
-    return Sample(picked.mapInArrow(_featurise, "cls long, idx binary, val binary").collect())
+    part = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(5)).cast("long").alias("part")
+    picked = docs.select("doc_id", common.text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("cls", part, "text")
+    return Sample(picked.mapInArrow(_featurise, "cls long, part long, idx binary, val binary").toArrow())
 
 
 def descend(gradient, size: int, steps: int, rate: float) -> tuple[np.ndarray, float]:

@@ -47,28 +47,30 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     web = web.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(unlabelled).select("doc_id", F.lit(3).cast("long").alias("cls"))
     chosen = ones.select("doc_id", split.cast("long").alias("cls")).unionByName(ids(0, calibration, 0)).unionByName(web)
     s = ngrams.collect_sample(docs, chosen)
-    pos, unl = s.take(s.cls == 2), s.take(s.cls == 3)
-    cal = s.take(s.cls < 2)
-    if not len(pos) or not len(unl):
+    pos, unl, cal = s.cls == 2, s.cls == 3, s.cls < 2
+    if not pos.any() or not unl.any():
         return np.zeros(size), 0.0
 
     def gradient(w, b):
-        p, u = ngrams.sigmoid(pos.dot(w) + b), ngrams.sigmoid(unl.dot(w) + b)
+        score = ngrams.sigmoid(s.dot(w) + b)
+        p, u = score[pos], score[unl]
         negative = -np.log1p(-np.minimum(u, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(p, 1 - 1e-12)).mean()
-        gp, gu = prior * (p - 1) / len(pos), u / len(unl)
-        back = -prior * p / len(pos)
+        gp, gu = prior * (p - 1) / len(p), u / len(u)
+        back = -prior * p / len(p)
         if negative >= 0:
             gp = gp + back
         else:
             gp, gu = -back, -gu
-        return pos.back(gp) + unl.back(gu) + 1e-7 * w, gp.sum() + gu.sum()
+        g = np.zeros(len(s))
+        g[pos], g[unl] = gp, gu
+        return s.back(g) + 1e-7 * w, g.sum()
 
     w, b = ngrams.descend(gradient, size, 80, 0.5)
-    y = cal.cls == 1
+    y = s.cls[cal] == 1
     if not y.any() or y.all():
         return w, b
     weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
-    slope, shift = ngrams.platt(cal.dot(w) + b, y, weight * len(y))
+    slope, shift = ngrams.platt(s.dot(w)[cal] + b, y, weight * len(y))
     return w * slope, b * slope + shift
 
 

@@ -63,20 +63,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = ngrams.SAMPLE_PER
     size = ngrams.FAMILIES * ngrams.SIZE
     if len(set(sample.cls)) < 2:
         return np.zeros(size), 0.0
-    back = np.arange(len(sample)) % 5 == 4
-    fit, held = sample.take(~back), sample.take(back)
-    y = fit.cls == 1
-    weight = np.where(y, 0.5 / max(y.sum(), 1), 0.5 / max((~y).sum(), 1))
+    y, held = sample.cls == 1, sample.part == 4
+    weight = np.where(held, 0.0, np.where(y, 0.5 / max((y & ~held).sum(), 1), 0.5 / max((~y & ~held).sum(), 1)))
 
     def gradient(w, b):
-        r = weight * (ngrams.sigmoid(fit.dot(w) + b) - y)
-        return fit.back(r) + 1e-7 * w, r.sum()
+        r = weight * (ngrams.sigmoid(sample.dot(w) + b) - y)
+        return sample.back(r) + 1e-7 * w, r.sum()
 
     w, b = ngrams.descend(gradient, size, 60, 0.5)
-    yh = held.cls == 1
-    share = {k: total[k] / max((held.cls == k).sum(), 1) for k in (0, 1)}
+    yh = y[held]
+    if not yh.any() or yh.all():
+        return w, b
+    share = {k: total[k] / max((yh == k).sum(), 1) for k in (0, 1)}
     ph = np.where(yh, share[1], share[0])
-    slope, shift = ngrams.platt(held.dot(w) + b, yh, ph * len(yh) / ph.sum())
+    slope, shift = ngrams.platt(sample.dot(w)[held] + b, yh, ph * len(yh) / ph.sum())
     return w * slope, b * slope + shift
 
 
