@@ -4,28 +4,15 @@ round only."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    import tempfile
-
-    return "file://" + tempfile.gettempdir()
+from ..storage import written
 
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back."""
-    path = f"{_folder(df.sparkSession)}/quarrylens/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, "graph")
 
 
 def reachable(edges: DataFrame, start: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
