@@ -1,13 +1,9 @@
-"""What the training-data operators share: shipping the package to executors,
-the shared folder, written tables, and bounded slices of Arrow text columns."""
+"""What the training-data operators share: written tables, small Arrow batches,
+and bounded slices of Arrow text columns."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,65 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import fresh_path, scratch, shared_dir, written  # noqa: F401  (used through this module)
 
 #: Texts are worked on in slices of about this many bytes.
 SLICE_BYTES = 1 << 19
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_made: dict[str, str] = {}
-_written: list[list[str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset and Spark runs in one process (tests) a temporary
-    folder is made; on a cluster its absence is an error.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if sc.applicationId not in _made:
-        _made[sc.applicationId] = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="quarrylens-shared-"))
-    return _made[sc.applicationId]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/quarrylens/{uuid.uuid4().hex}-{name}"
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Tables written inside, but for those written to be kept, are deleted at
-    the end: what is returned must not read them."""
-    _written.append([])
-    try:
-        yield
-    finally:
-        for path in _written.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage
-    ends there, so a lost executor costs no more than the stage at hand. The
-    write's own shuffle files are of no more use then, and go."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    if len(_written) > keep:  # a table to be kept belongs to the caller's scratch, if there is one
-        _written[-1 - keep].append(path)
-    schema = df.schema
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
