@@ -34,9 +34,9 @@ _KEY = ["k1", "k2"]
 
 
 def digests(text):
-    """The distinct digests of a text's paragraphs."""
+    """The distinct digests of a text's paragraphs, sorted: equal sets are equal arrays."""
     parts = F.filter(F.split(text, "[\n.!?]+"), lambda x: F.length(F.trim(x)) > 0)
-    return F.array_distinct(F.transform(parts, lambda x: F.xxhash64(x)))
+    return F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.xxhash64(x))))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

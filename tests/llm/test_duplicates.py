@@ -257,6 +257,18 @@ def test_fingerprint_rows_that_repeat_and_single(spark, empty):
     assert fingerprint.compare(empty).count() == 0
 
 
+def test_fingerprints_of_permuted_paragraphs(spark):
+    lines = [f"line {k}" for k in range(4)]
+    texts = ["\n".join(lines), "\n".join(reversed(lines)), "\n".join(lines[2:] + lines[:2])]
+    for some in (texts[:2], texts):
+        got = fingerprint.compare(frame(spark, some)).collect()
+        assert len(got) == len(some) and all(r.near_next == 1 for r in got) and len({r.fingerprint for r in got}) == 1
+        for r in got:
+            text, following = some[r.doc_id], some[r.next_doc_id]
+            edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+            assert r.near_edited == pytest.approx(likeness(parts(text), parts(edited)))
+
+
 # the pipeline
 
 
