@@ -2,8 +2,8 @@
 
 Blocks are the lines of a text and its paragraphs (lines up to a blank line).
 A block meets a template if it holds at least four fifths of the template's
-distinct words; a paragraph of several lines counts for templates of ``LONG``
-words or more only, as a short one fits within a line. Template words are ordered by their frequency over all
+distinct words, so a notice wrapped over line ends is found as on one line.
+Template words are ordered by their frequency over all
 documents, rarest first; a block is looked at only if one of a template's
 prefix words is among the block's own prefix words (prefix filter), if it has
 words enough (length filter) and if the places of the first shared word leave
@@ -43,8 +43,8 @@ TEMPLATES = (
 )
 #: Least share, in fifths, of a template's words that a block must hold.
 FIFTHS = 4
-#: Distinct words from which a template may spread over lines.
-LONG = 12
+#: Distinct words from which a template may spread over lines: any template may.
+LONG = 1
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
@@ -80,14 +80,14 @@ class Templates:
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == h, self.place[at], -1)
 
-    def match(self, block: np.ndarray, least: int = 0) -> dict[int, float]:
-        """Templates of ``least`` words or more that a block (sorted distinct
-        places) meets, with the share held."""
+    def match(self, block: np.ndarray) -> dict[int, float]:
+        """Templates that a block (sorted distinct places) meets, with the share
+        held."""
         out, tried = {}, set()
         for j, x in enumerate(block.tolist()):
             for t, i in self.with_prefix.get(x, ()):
                 a = self.least[t]
-                if t in tried or len(self.sets[t]) < least or len(block) < a or j > len(block) - a:
+                if t in tried or len(block) < a or j > len(block) - a:
                     continue
                 tried.add(t)  # the first shared prefix word settles the positional bound
                 if 1 + min(len(self.sets[t]) - i - 1, len(block) - j - 1) < a:
@@ -177,10 +177,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
                 found: list[list[dict]] = [[] for _ in range(n)]
                 place = known.known(h)
                 rare = np.flatnonzero((place >= 0) & known.is_prefix[np.maximum(place, 0)])
-                for least, (w0, w1, of) in zip((0, LONG), _blocks(low, off, start, place) if len(rare) else []):
+                for w0, w1, of in _blocks(low, off, start, place) if len(rare) else []:
                     for k in np.flatnonzero(np.searchsorted(rare, w1) > np.searchsorted(rare, w0)).tolist():
                         own = place[w0[k] : w1[k]]
-                        for t, share in known.match(np.unique(own[own >= 0]), least).items():
+                        for t, share in known.match(np.unique(own[own >= 0])).items():
                             r = int(of[k])
                             labels[r].add(known.labels[t])
                             score[r] = max(score[r], share)

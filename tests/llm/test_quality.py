@@ -169,6 +169,17 @@ def test_license_scans(spark, texts):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(want)
 
 
+def test_short_license_over_line_ends(spark):
+    notices = {"apache-2": "Licensed under the Apache License 2.0", "mit": "Released under MIT License", "cc-by-nc": "Licensed under CC BY 4.0 NC"}
+    for label, notice in notices.items():
+        w = notice.split()
+        wrapped = [" ".join(w), *("\n".join([" ".join(w[:k]), " ".join(w[k:])]) for k in range(1, len(w))), "\n".join(w)]
+        got = licenses.scan(frame(spark, wrapped)).collect()
+        assert {(r.labels, r.score) for r in got} == {(label, got[0].score)} and got[0].score >= 0.8, label
+        parted = licenses.scan(frame(spark, ["\n\n".join(w)])).collect()
+        assert parted[0].labels == "" and parted[0].score == 0
+
+
 def test_license_empty(spark, empty):
     assert licenses.scan(empty).count() == 0
 
