@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def resolved_edges(edges: DataFrame, nodes: DataFrame, source: str, target: str, external: str, key: str, uid: str) -> DataFrame:
     """Edges with the source's uid and the target's uid or external name."""
@@ -149,6 +151,48 @@ def blocked_pairs(df: DataFrame, key: str, blocks: Column, most: int) -> DataFra
     return kept.join(other, "_b").where(F.col(key) < F.col("_other")).select(F.col(key).alias("a"), F.col("_other").alias("b")).distinct()
 
 
+def similar_sets(df: DataFrame, key: str, members: Column, tenths: int) -> DataFrame:
+    """All pairs of sets whose Jaccard similarity is at least ``tenths`` / 10: a,
+    b, similarity, with a before b (C12, C22, exactly). Equal sets are one, the
+    least key's; each of the others is given with that one. Empty sets and null
+    keys give no pair; keys do not repeat. Members are compared by 64-bit hashes.
+
+    Members stand in one order, rarest first, so two sets that are alike share
+    ``most`` members or all they must share within their prefixes. A set is
+    indexed under the level of its size with the prefix it needs for larger
+    partners, and sought on the levels of possible smaller partners. Pairs with
+    so many shared members are verified on the whole sets."""
+    given = df.select(F.col(key).alias("_key"), F.array_sort(F.array_distinct(members)).alias("_s")).where("_key IS NOT NULL AND size(_s) > 0")
+    given = given.select("_key", F.sha2(F.to_json("_s"), 256).alias("_g"), F.transform("_s", lambda x: F.xxhash64(x)).alias("_h"))
+    sets = written(given.groupBy("_g").agg(F.min("_key").alias("_k"), F.first("_h").alias("_h")), "sets")
+    same = given.select("_key", "_g").join(sets.select("_g", "_k"), "_g").where("_key > _k")
+    same = same.select(F.col("_k").alias("a"), F.col("_key").alias("b"), F.lit(1.0).alias("similarity"))
+
+    each = sets.select("_k", F.size("_h").alias("_n"), F.explode("_h").alias("_w"))
+    shared = each.groupBy("_w").agg(F.count("*").alias("_f")).where("_f > 1")  # no link can rest on the others, which come first
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_f", "_w"))), lambda x: x["_w"])
+    ranked = written(each.join(shared, "_w").groupBy("_k", "_n").agg(ordered.alias("_o")), "ranked")
+
+    level = lambda n: f"CAST(floor(ln({n}) / ln({10 / tenths!r}D)) AS INT)"
+    low = f"CAST(floor(pow({10 / tenths!r}D, _l)) AS INT)"
+    most = f"(3 + {low} DIV 50)"
+    need = lambda total: f"(({tenths} * ({total}) + {9 + tenths}) DIV {10 + tenths})"
+    least = f"(({tenths} * _n + 9) DIV 10)"
+    prefix = lambda total: F.expr(f"explode(slice(_o, 1, CAST(greatest(0, size(_o) - {need(total)} + {most}) AS INT)))")
+    indexed = ranked.withColumn("_l", F.expr(level("_n"))).select("_l", F.col("_k").alias("a"), F.col("_n").alias("_na"), prefix("2 * _n").alias("_w"))
+    sought = ranked.withColumn("_l", F.expr(f"explode(sequence({level(least)}, {level('_n')}))"))
+    sought = sought.select("_l", F.col("_k").alias("b"), F.col("_n").alias("_nb"), prefix(f"_n + greatest({least}, {low})").alias("_w"))
+    fits = f"(_na < _nb OR (_na = _nb AND a < b)) AND 10 * _na >= {tenths} * _nb"
+    met = indexed.join(sought, ["_w", "_l"]).where(fits).select("a", "b", F.expr(f"least({most}, {need('_na + _nb')})").alias("_least"))
+    # dealt out by pair before they are counted: hardly any repeats within a task
+    likely = written(met.repartition("a", "b").groupBy("a", "b", "_least").agg(F.count("*").alias("_c")).where("_c >= _least").select("a", "b"), "likely")
+    side = lambda k, n, o: ranked.select(F.col("_k").alias(k), F.col("_n").alias(n), F.col("_o").alias(o))
+    whole = likely.join(side("a", "_na", "_oa"), "a").join(side("b", "_nb", "_ob"), "b").withColumn("_both", F.size(F.array_intersect("_oa", "_ob")))
+    near = whole.where(f"{10 + tenths} * _both >= {tenths} * (_na + _nb)")
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))).alias("similarity"))
+    return near.unionByName(same)
+
+
 def name_evidence(symbols: DataFrame, outside: list[DataFrame]) -> DataFrame:
     """Symbols whose bare name stands in any of the given name sets (J27); a
     dotted name counts by its last part."""

@@ -1,5 +1,8 @@
 """Operators on small frames with known results: nulls, blanks, ties, empties."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +15,9 @@ from quarrylens.operators import lookups as L
 from quarrylens.operators import methods as M
 from quarrylens.operators import rules as R
 from quarrylens.operators import similarity as C
+from quarrylens.plans import star_shapes  # noqa: F401
 from quarrylens.plans.extensions import Registry, steps_of
+from quarrylens.plans.registry import QUERIES
 
 
 def frame(spark, rows, schema):
@@ -83,6 +88,32 @@ def test_blocked_pairs_leave_out_large_blocks(spark):
     assert rows(J.blocked_pairs(df, "k", F.col("b"), 2)) == [(1, 2)]
 
 
+def test_similar_sets_equal_brute_force(spark, tmp_path):
+    rng = random.Random(7)
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    texts = [None, "", "12 !", "one", "One.", "one two three", "one two three four"]
+    long = [word(rng.randrange(10**6)) for _ in range(400)]
+    texts += [" ".join(long)] * 25 + [" ".join(long[k : k + 300]) for k in range(0, 100, 4)]  # every word held by more than 20, texts of over 700 characters
+    for n in (4, 10, 17, 60):
+        core = [word(rng.randrange(300)) for _ in range(n)]
+        texts += [" ".join(w if rng.random() < 0.9 else word(rng.randrange(300)) for w in core) for _ in range(30)]
+    texts += [" ".join(word(k) for k in range(100, 100 + n)) for n in (70, 71, 84, 99, 100, 120, 121, 143, 144)]  # borderline
+    sets = [set(re.findall("[a-z]+", (t or "").lower())) for t in texts]
+    first, want = {}, {}
+    for k, s in enumerate(sets):
+        if s and first.setdefault(frozenset(s), k) != k:
+            want[first[frozenset(s)], k] = 1.0
+    for x, a in first.items():
+        for y, b in first.items():
+            if a < b and 10 * len(x & y) >= 7 * len(x | y):
+                want[a, b] = len(x & y) / len(x | y)
+    frame(spark, list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["near_dup_jaccard_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) > 500 and {(r.a, r.b): r.similarity for r in got} == want
+    none = frame(spark, [], "k int, b array<string>")
+    assert J.similar_sets(none, "k", F.col("b"), 7).count() == 0
+
+
 def test_suffix_join_takes_the_longest(spark):
     a = frame(spark, [("C:\\p\\src\\m.py",), ("/q/m.py",), ("/q/n.py",)], "path string")
     r = frame(spark, [("src/m.py",), ("m.py",)], "rel string")
