@@ -30,6 +30,11 @@ def fold(column="doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
+def split(positives: int, calibration: int):
+    """The class of a chosen positive: 1 for calibration, 2 trusted."""
+    return F.when(F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(100)) < 100 * calibration // (positives + calibration), 1).otherwise(2)
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, calibration: int = CALIBRATION) -> tuple[np.ndarray, float]:
     """Weights and intercept of calibrated log odds."""
     size = ngrams.FAMILIES * ngrams.SIZE
@@ -42,10 +47,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     ids = lambda q, n, cls: named.where(F.col("q") == q).orderBy(*order).limit(n).select("doc_id", F.lit(cls).cast("long").alias("cls"))
     # classes: 0 and 1 for calibration, 2 trusted positives, 3 unlabelled
     ones = ids(1, positives + calibration, 2)
-    split = F.when(F.xxhash64("doc_id", F.lit(12)) % 100 < 100 * calibration // (positives + calibration), 1).otherwise(2)
     web = docs.where(F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id")
     web = web.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(unlabelled).select("doc_id", F.lit(3).cast("long").alias("cls"))
-    chosen = ones.select("doc_id", split.cast("long").alias("cls")).unionByName(ids(0, calibration, 0)).unionByName(web)
+    chosen = ones.select("doc_id", split(positives, calibration).cast("long").alias("cls")).unionByName(ids(0, calibration, 0)).unionByName(web)
     s = ngrams.collect_sample(docs, chosen)
     pos, unl, cal = s.cls == 2, s.cls == 3, s.cls < 2
     if not pos.any() or not unl.any():

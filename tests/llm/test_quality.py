@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylens.llm import licenses, ngrams, quality_pu, quality_rules, urls
 from quarrylens.llm.common import raw_text
@@ -152,6 +153,11 @@ def brute_templates(text):
     return found
 
 
+def test_positives_are_split_as_stated(spark):
+    cls = spark.range(10000).select(F.col("id").alias("doc_id")).select(quality_pu.split(quality_pu.POSITIVES, quality_pu.CALIBRATION).alias("cls"))
+    assert 0.26 < cls.where("cls = 1").count() / 10000 < 0.31  # 600 of 2,100; with negative remainders some 0.64
+
+
 def test_license_scans(spark, texts):
     more = [
         "Under the MIT license and UNDER THE MIT LICENSE.", "apache license, version 2\nunder the mit\nlicense", "cc-by-nc", "Released under the MIT License.",
