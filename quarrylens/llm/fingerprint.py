@@ -8,11 +8,14 @@ of digests and of their check values. Two sketches of one size subtract cell by
 cell; what is left holds only the digests in which the sets differ. Peeling
 takes digests out of pure cells (count one, check value right), subtable by
 subtable, all documents at once, until no cell is left. If cells remain, both
-sketches are built anew four times as large and the pair is tried again.
+sketches are built anew four times as large and the pair is tried again. A
+pair's first size is the fingerprint's, or a larger one where the sets' sizes
+alone tell that the fingerprint's could not hold the difference.
 
 The fingerprint is the smallest sketch, cell by cell, as text. Likeness is the
-sets' Jaccard similarity, from their sizes and the number of digests peeled;
-two empty sets are alike (1).
+sets' Jaccard similarity, from their sizes (the counts of a subtable's cells add
+up to it) and the number of digests peeled; a difference without a cell left is
+empty, whatever the texts' order of paragraphs, and two empty sets are alike (1).
 
 Documents stand in descending order of doc_id (nulls last; equal ids by hash of
 the text); after the last comes the first. A null text is the empty text. Rows
@@ -76,47 +79,55 @@ def _compared(docs: DataFrame) -> DataFrame:
     return common.written(out, "compared")
 
 
-def _cell(t: int, cells: int, key: str = "d") -> str:
-    return f"CAST({t * cells} + (xxhash64({key}, {t + 1}) & {cells - 1}) AS INT)"
+def _cell(t: int, cells: str, key: str = "d") -> str:
+    return f"CAST({t} * {cells} + (xxhash64({key}, {t + 1}) & ({cells} - 1)) AS INT)"
 
 
-def _cells_of(name: str, cells: int, sign: int = 1, key: str = "d") -> str:
+def _cells_of(cells: str, key: str = "d") -> str:
     """SQL for the array of (cell, cnt, key, chk) entries of one digest."""
-    one = lambda t: f"named_struct('cell', {_cell(t, cells, key)}, 'cnt', {sign}L, 'key', {key}, 'chk', xxhash64({key}, 0))"
+    one = lambda t: f"named_struct('cell', {_cell(t, cells, key)}, 'cnt', 1L, 'key', {key}, 'chk', xxhash64({key}, 0))"
     return f"array({one(0)}, {one(1)}, {one(2)})"
 
 
 def _sketches(rows: DataFrame, by: list[str], column: str, cells: int) -> DataFrame:
     """Cells of the sketches of ``column``'s digests."""
-    each = rows.select(*by, F.explode(column).alias("d")).select(*by, F.expr(f"inline({_cells_of(column, cells)})"))
+    each = rows.select(*by, F.explode(column).alias("d")).select(*by, F.expr(f"inline({_cells_of(str(cells))})"))
     return each.groupBy(*by, "cell").agg(F.sum("cnt").alias("cnt"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
 
 
 def _as_text(sketches: DataFrame, name: str) -> DataFrame:
     cell = F.concat_ws(":", F.col("cell").cast("string"), F.col("cnt").cast("string"), F.lower(F.hex("key")), F.lower(F.hex("chk")))
-    entries = sketches.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("cell", cell.alias("s")))).alias("x"))
-    return entries.select(*_KEY, F.array_join(F.transform("x", lambda e: e["s"]), " ").alias(name))
+    size = F.sum(F.when(F.col("cell") < CELLS, F.col("cnt")))  # every digest is counted once a subtable
+    entries = sketches.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("cell", cell.alias("s")))).alias("x"), size.alias(f"{name}_size"))
+    return entries.select(*_KEY, F.array_join(F.transform("x", lambda e: e["s"]), " ").alias(name), f"{name}_size")
 
 
-def _peeled(pairs: DataFrame, cells: int) -> DataFrame:
-    """pairs: key, pair, a, b (digest arrays). The cells of a's sketch less b's,
-    peeled: key, pair, whether nothing is left, digests found."""
-    by = [*_KEY, "pair"]
-    a = _cells_of("a", cells)
+def _peeled(pairs: DataFrame) -> DataFrame:
+    """pairs: key, pair, cells (of a subtable), a, b (digest arrays). The cells of
+    a's sketch less b's, peeled: key, pair, cells, whether nothing is left,
+    digests found. A pair whose cells all cancel has no row."""
+    by = [*_KEY, "pair", "cells"]
     # the two sketches subtract within one aggregation: b enters with the sign reversed
     signed = pairs.select(*by, F.expr("explode(concat(transform(a, x -> named_struct('d', x, 's', 1L)), transform(b, x -> named_struct('d', x, 's', -1L)))) AS e")).select(*by, "e.d", "e.s")
-    rows = signed.select(*by, "s", F.expr(f"inline({a})")).select(*by, "cell", (F.col("s") * F.col("cnt")).alias("cnt"), "key", "chk")
-    found = 3 * cells
+    rows = signed.select(*by, "s", F.expr(f"inline({_cells_of('cells')})")).select(*by, "cell", (F.col("s") * F.col("cnt")).alias("cnt"), "key", "chk")
     summed = lambda x: x.groupBy(*by, "cell").agg(F.sum("cnt").alias("cnt"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk")).where("cnt != 0 OR key != 0 OR chk != 0")
     rows = summed(rows)
     for r in range(PASSES):
         t = r % 3
-        pure = f"cell >= {t * cells} AND cell < {(t + 1) * cells} AND abs(cnt) = 1 AND chk = xxhash64(key, 0) AND cell = {_cell(t, cells, 'key')}"
-        others = [f"named_struct('cell', {_cell(u, cells, 'key')}, 'cnt', -cnt, 'key', key, 'chk', chk)" for u in range(3) if u != t]
-        tally = f"named_struct('cell', {found}, 'cnt', 1L, 'key', 0L, 'chk', 0L)"
+        pure = f"cell >= {t} * cells AND cell < {t + 1} * cells AND abs(cnt) = 1 AND chk = xxhash64(key, 0) AND cell = {_cell(t, 'cells', 'key')}"
+        others = [f"named_struct('cell', {_cell(u, 'cells', 'key')}, 'cnt', -cnt, 'key', key, 'chk', chk)" for u in range(3) if u != t]
+        tally = "named_struct('cell', 3 * cells, 'cnt', 1L, 'key', 0L, 'chk', 0L)"
         stays = "named_struct('cell', cell, 'cnt', cnt, 'key', key, 'chk', chk)"
         rows = summed(rows.select(*by, F.expr(f"inline(CASE WHEN {pure} THEN array({', '.join(others)}, {tally}) ELSE array({stays}) END)")))
-    return rows.groupBy(*by).agg((F.count_if(F.col("cell") != found) == 0).alias("whole"), F.coalesce(F.sum(F.when(F.col("cell") == found, F.col("cnt"))), F.lit(0)).alias("differ"))
+    found = F.col("cell") == 3 * F.col("cells")
+    return rows.groupBy(*by).agg((F.count_if(~found) == 0).alias("whole"), F.coalesce(F.sum(F.when(found, F.col("cnt"))), F.lit(0)).alias("differ"))
+
+
+def _first_cells(a: str, b: str) -> str:
+    """SQL for a pair's first size of a subtable: CELLS, grown until three
+    subtables could hold as many digests as the sets' sizes differ by."""
+    short = f"abs(size({a}) - size({b})) / {3 * CELLS}"
+    return f"CAST({CELLS} * pow({GROWTH}, greatest(0, ceil(log({GROWTH}, greatest(1, {short}))))) AS INT)"
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -125,25 +136,44 @@ def compare(docs: DataFrame) -> DataFrame:
     rows = _compared(docs).repartition(*_KEY)  # one shuffle of digests a pass: all that follows is grouped by key
     sides = F.array(*(F.struct(F.lit(p).alias("pair"), F.col("own").alias("a"), F.col(c).alias("b")) for p, c in ((0, "edited"), (1, "next"))))
     pairs = rows.select(*_KEY, F.explode(sides).alias("p")).select(*_KEY, "p.*")
-    cells, results, pending = CELLS, None, None
+    results, pending = None, None
     while True:
-        now = pairs if pending is None else pairs.join(pending, [*_KEY, "pair"])
-        same = now.where("a = b").select(*_KEY, "pair", F.lit(True).alias("whole"), F.lit(0).cast("long").alias("differ"))
-        done = _peeled(now.where("a != b"), cells)
-        done = common.written(done.unionByName(same), f"peeled{cells}")
-        good = done.where("whole")
+        now = pairs.withColumn("cells", F.expr(_first_cells("a", "b"))) if pending is None else pairs.join(pending, [*_KEY, "pair"])
+        done = common.written(_peeled(now), "peeled")
+        good = done.where("whole").select(*_KEY, "pair", "differ")
         results = good if results is None else results.unionByName(good)
-        pending = done.where("NOT whole").select(*_KEY, "pair")
+        pending = done.where("NOT whole").select(*_KEY, "pair", (F.col("cells") * GROWTH).alias("cells"))
         if pending.isEmpty():
             break
-        cells *= GROWTH
-    near = results.groupBy(*_KEY).agg(F.max(F.when(F.col("pair") == 0, F.col("differ"))).alias("de"), F.max(F.when(F.col("pair") == 1, F.col("differ"))).alias("dn"))
+    differ = lambda p: F.coalesce(F.max(F.when(F.col("pair") == p, F.col("differ"))), F.lit(0)).alias(f"d{p}")
+    out = rows.drop("own", "edited", "next").join(results.groupBy(*_KEY).agg(differ(0), differ(1)), _KEY, "left").na.fill(0, ["d0", "d1"])
+    for column, name in (("own", "fingerprint"), ("edited", "edited_fingerprint")):
+        out = out.join(_as_text(_sketches(rows, _KEY, column, CELLS), name), _KEY, "left").withColumn(name, F.coalesce(name, F.lit("")))
+    sizes = rows.select(*_KEY, F.size("next").alias("n_next"))
+    out = out.join(sizes, _KEY)
 
-    def likeness(c, d):
-        total = F.size("own") + F.size(c)
+    def likeness(size, d):
+        total = F.coalesce("fingerprint_size", F.lit(0)) + F.coalesce(size, F.lit(0))
         return F.when(total == 0, 1.0).otherwise((total - F.col(d)) / (total + F.col(d)))
 
-    out = rows.join(near, _KEY).withColumns({"near_edited": likeness("edited", "de"), "near_next": likeness("next", "dn")}).drop("own", "edited", "next", "de", "dn")
-    for column, name in (("own", "fingerprint"), ("edited", "edited_fingerprint")):
-        out = out.join(_as_text(_sketches(rows, _KEY, column, CELLS), name), _KEY, "left").withColumn(name, F.coalesce(name, F.lit("")))
+    out = out.withColumns({"near_edited": likeness(F.col("edited_fingerprint_size"), "d0"), "near_next": likeness(F.col("n_next"), "d1")})
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_doc_id")
+
+
+#: What SQL can tell of it, in DuckDB: all but the sketches themselves, whose
+#: hashes it lacks; the likeness by comparing the sets of paragraphs.
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), o AS (
+  SELECT doc_id, t, len(t) AS n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS f, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_doc_id
+  FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), e AS (SELECT *, left(t, n - n // 2) || left(f, n // 2) AS x FROM o), s AS (
+  SELECT doc_id, next_doc_id, n, x, list_distinct(list_filter(string_split_regex(t, '[\n.!?]+'), lambda p: trim(p, ' ') <> '')) AS own,
+    list_distinct(list_filter(string_split_regex(x, '[\n.!?]+'), lambda p: trim(p, ' ') <> '')) AS edited,
+    list_distinct(list_filter(string_split_regex(f, '[\n.!?]+'), lambda p: trim(p, ' ') <> '')) AS next
+  FROM e
+), j AS (SELECT *, len(list_intersect(own, edited)) AS be, len(list_intersect(own, next)) AS bn FROM s)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(x) AS edited_sha256, next_doc_id,
+  CASE WHEN len(own) + len(edited) = 0 THEN 1.0 ELSE be::DOUBLE / (len(own) + len(edited) - be) END AS near_edited,
+  CASE WHEN len(own) + len(next) = 0 THEN 1.0 ELSE bn::DOUBLE / (len(own) + len(next) - bn) END AS near_next
+FROM j
+"""

@@ -25,6 +25,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(documents(spark, sf_dir))
 
 
+def fingerprint_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op3's columns that SQL can express."""
+    return op3_fingerprints(spark, sf_dir).drop("fingerprint", "edited_fingerprint")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -57,6 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "fingerprint_likeness": fingerprint_likeness,
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_fingerprints": op3_fingerprints,
@@ -69,4 +75,4 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard": jaccard.SQL, "op9_line_dedup": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"fingerprint_likeness": fingerprint.SQL, "op4_ngram_jaccard": jaccard.SQL, "op9_line_dedup": linededup.SQL}

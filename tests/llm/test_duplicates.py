@@ -269,6 +269,17 @@ def test_fingerprints_of_permuted_paragraphs(spark):
             assert r.near_edited == pytest.approx(likeness(parts(text), parts(edited)))
 
 
+def test_fingerprints_of_reordered_neighbours(spark):
+    """Both pairs of a document may cancel wholly; the document stays."""
+    for rows in ({1: "b b.a a.", 2: "a a.b b."}, {1: "d.c.b.a.", 2: "a.b.c.d."}, {0: "q.r.s.t.", 1: "d.c.b.a.", 2: "a.b.c.d."}):
+        got = {r.doc_id: r for r in fingerprint.compare(frame(spark, list(rows.values()), list(rows))).collect()}
+        assert set(got) == set(rows)
+        for i, r in got.items():
+            edited = rows[i][: len(rows[i]) - len(rows[i]) // 2] + rows[r.next_doc_id][: len(rows[i]) // 2]
+            assert r.near_next == pytest.approx(likeness(parts(rows[i]), parts(rows[r.next_doc_id])))
+            assert r.near_edited == pytest.approx(likeness(parts(rows[i]), parts(edited)))
+
+
 # the pipeline
 
 
