@@ -1,9 +1,12 @@
 """Quality rules, quality classifier, licence scans and URL filters."""
 
+import math
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +212,86 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def brute_split(counts, run):
+    """The likeliest split among all splits; of equal ones the one whose last words are longest."""
+    total = sum(counts.values()) + 1
+    best = None
+    for cuts in range(1 << max(len(run) - 1, 0)):
+        out, at = [], 0
+        for k in range(1, len(run) + 1):
+            if k == len(run) or cuts >> (k - 1) & 1:
+                out.append(run[at:k])
+                at = k
+        cost = sum(math.log(total / counts[w]) if w in counts else math.log(total) + math.log(10) * len(w) for w in out)
+        if best is None or cost < best[0] - 1e-9:
+            best = cost, out
+    return best
+
+
+def test_segmentation_equals_brute_force():
+    rng = random.Random(5)
+    for _ in range(60):
+        counts = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))): rng.randrange(1, 100) for _ in range(8)}
+        run = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 10)))
+        got = urls.Segmenter(counts).split(run)
+        total = sum(counts.values()) + 1
+        assert "".join(got) == run
+        assert sum(math.log(total / counts[w]) if w in counts else math.log(total) + math.log(10) * len(w) for w in got) == pytest.approx(brute_split(counts, run)[0])
+
+
+def test_tags():
+    html = ["<p>in <b>bold</b> out</p>", "a < b and c > d", "lone <tag never closed", "x<!-- y -->z", "1<2", ">a<"]
+    raw, at = raw_text(pa.array(html))
+    inside = urls.in_tags(raw, at)
+    got = ["".join(chr(c) for c, t in zip(raw[at[k] : at[k + 1]], inside[at[k] : at[k + 1]]) if not t) for k in range(len(html))]
+    assert got == ["in bold out", "a < b and c > d", "lone <tag never closed", "xz", "1<2", ">a<"]
+
+
+def test_vocabulary_with_ties(spark):
+    """More words of one frequency than there is room for: as many as fit, always the same."""
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(4))
+    pages = spark.createDataFrame([(k, " ".join(name(100 * k + j) for j in range(100)) + " often often often") for k in range(30)], "page_id long, html string").repartition(4)
+    got = urls.count_words(pages, 500, ())
+    assert len(got) == 500 and got["often"] == 90 and set(got.values()) == {1, 90}
+    assert got == urls.count_words(pages.repartition(2), 500, ())
+    assert len(urls.count_words(pages, 5000, ())) == 3001
+
+
+def test_url_verdicts_equal_brute_force_bayes(spark):
+    """Verdicts of real pages, by naive Bayes done again with plain counters."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = urls.judge(pages).collect()
+    own = urls.rule_words(urls.Segmenter({"example": 1}))
+    lists = {(r.verdict, tuple(w for w in r.words.split() if w not in own)) for r in got if r.rule}
+    times = {v: Counter(w for c, x in lists if c == v for w in x) for v in ("allow", "block")}
+    size = 1 << urls.BITS
+    total = {v: sum(t.values()) + size for v, t in times.items()}
+    seeds = {"h:" + w for w in urls.SEEDS}
+    extra = urls.SEED_SHARE * total["block"]
+    prior = math.log((1 + sum(c == "block" for c, _ in lists)) / (1 + sum(c == "allow" for c, _ in lists)))
+    verdicts = Counter()
+    for r in got:
+        score = prior
+        for w in r.words.split():
+            if w not in own:
+                score += math.log((1 + times["block"][w] + (extra if w in seeds else 0)) / (total["block"] + extra * len(seeds))) - math.log((1 + times["allow"][w]) / total["allow"])
+        assert r.score == pytest.approx(score, abs=1e-6)
+        assert r.rule or r.verdict == ("block" if score >= math.log(urls.BLOCK_AT / (1 - urls.BLOCK_AT)) else "allow")
+        verdicts[bool(r.rule), r.verdict] += 1
+    assert min(verdicts[False, "allow"], verdicts[False, "block"]) > 0
+
+
+def test_url_verdicts_on_sites_held_out(spark):
+    """Sites that no training url names: those with seed words are blocked, most others left alone."""
+    rows = [(k, f"https://{w}.site{k % 7}.net/de/{k}") for k, w in enumerate(["casino", "cheap-pills", "freebets", "xxx"] * 10)]
+    rows += [(100 + k, f"https://{w}.example.net/en/{k}") for k, w in enumerate(["garden", "news", "river", "stone"] * 10)]
+    held = [(200, "https://bigcasino.example.com/en/1"), (201, "https://spam-farm.example.org/es/2"), (202, "https://quietgarden.example.com/en/3"), (203, "https://riverstone.example.org/en/4")]
+    pages = spark.createDataFrame([(i, u, "<p>big casino spam farm quiet garden river stone cheap pills free bets news</p>") for i, u in rows + held], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert [got[i].verdict for i in (200, 201, 202, 203)] == ["block", "block", "allow", "allow"]
+    assert got[202].words.split()[:2] == ["h:quiet", "h:garden"] and all(got[i].rule is None for i in (200, 201, 202, 203))
+
+
 def test_segmentation_is_the_likeliest():
     s = urls.Segmenter({"free": 50, "bets": 30, "fre": 2, "ebets": 1})
     assert s.split("freebets") == ["free", "bets"] and s.split("qx") == ["qx"] and s.split("") == []
