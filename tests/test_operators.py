@@ -277,3 +277,18 @@ def test_registry_and_steps(spark):
 def test_schema_drift(spark):
     df = frame(spark, [("f", "x", 1)], "file_path string, message string, extra int")
     assert schemas.drift(df, "errors") == {"missing": [], "extra": ["extra"], "type": []}
+
+
+def test_join_unique_splits_hot_keys(spark):
+    from quarrylens.operators import skew
+
+    left = spark.createDataFrame([(k % 3 if k < 90 else k, k % 2, k) for k in range(100)] + [(None, 0, 200)] * 30, "k long, j long, v long")
+    right = spark.createDataFrame([(k, j, f"{k}-{j}") for k in range(95) for j in range(2)], "k long, j long, w string")
+    assert sorted(n for *_, n in skew.hot_keys(left, ["k"], hot_rows=20)) == [30, 30, 30, 30]
+    for how in ("inner", "left"):
+        want = left.join(right, ["k", "j"], how).collect()
+        for counts in (None, left.groupBy("k", "j").count().withColumnRenamed("count", "n")):
+            got = skew.join_unique(left, right, ["k", "j"], how, counts, hot_rows=10)
+            key = lambda r: tuple(map(repr, r))
+            assert got.columns == ["k", "j", "v", "w"] and sorted(map(key, got.collect())) == sorted(map(key, want))
+    assert skew.hot_keys(left, ["k"]) == []
