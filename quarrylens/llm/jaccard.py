@@ -16,9 +16,13 @@ passes all of them is verified on the whole sets.
 
 A posting list first gives only its members' pairs with its hub: the member
 most of whose tokens are common (of near copies, the text they were made from),
-so that lists of like members have one hub. Once components are known from those, the members outside the list's main component
-are compared with the members of other components, in blocks, so every link is
-either verified or implied, and no list is expanded into its pairs.
+so that lists of like members have one hub. Tokens are counted, and copies of one
+set dropped from the lists, within each task before they are sent; the list of a
+token that very many sets hold is split by a hash of the set, and the hubs of its
+parts are paired with the first of them. Once components are known from those, the
+members outside a list's main component are compared with the members of other
+components of like size, in blocks, so every link is either verified or implied,
+and no list is expanded into its pairs.
 
 Null and wordless texts have empty sets and stay alone. A null id is a document
 like others and never the component's id unless alone. Repeated rows are equal
@@ -32,15 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_unique
 from . import common
 from .components import components
 from .textbytes import IS_SPACE, LOWER, mix, span_hash, spans, windows
 from .tokens import ranges
 
 WORDS = 5
-#: Buckets of the frequency counts, entries of the index per group, and bits of
-#: the map of wanted documents.
-COUNT_BITS, GROUP_ENTRIES, WANTED_BITS = 18, 1_000_000, 20
+#: Buckets of the frequency counts, entries of the index per group, and sets in a
+#: part of a token's list (told by an upper bound on the sets that hold it).
+COUNT_BITS, GROUP_ENTRIES, LIST_PART = 18, 1_000_000, 20_000
+#: Least and greatest bits of the map of wanted documents; it has about eight for
+#: each of them up to the greatest (8 MB).
+WANTED_BITS, MOST_WANTED_BITS = 20, 26
 #: Documents that hold a token from its first, second and third level on, and
 #: the greatest number of entries of the map of levels, as a power of two.
 LEVELS, MOST_LEVEL_BITS = (2, 25, 200), 27
@@ -88,14 +96,20 @@ def sets(raw: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]
 class Orders:
     """Places of tokens in the global orders. ``levels``: two bits an entry."""
 
-    def __init__(self, classes: np.ndarray, levels: np.ndarray):
-        self.classes, self.levels = classes, levels
+    def __init__(self, classes: np.ndarray, levels: np.ndarray, mean: float = 1.0, list_part: int = LIST_PART):
+        self.classes, self.levels, self.mean, self.list_part = classes, levels, mean, list_part
         self.shift = np.uint64(64 - int(4 * len(levels) - 1).bit_length())
 
     def level(self, tokens: np.ndarray) -> np.ndarray:
         at = (mix(tokens ^ _SEEDS[0]) >> self.shift).astype(np.int64)
         return (self.levels[at >> 2] >> ((at & 3) * 2).astype(np.uint8)) & np.uint8(3)
 
+    def parts(self, tokens: np.ndarray) -> np.ndarray:
+        """Into how many parts the lists of tokens are split: by the greatest
+        count that a token's bucket may have, for tokens of the last level."""
+        times = self.mean * 2.0 ** ((self.classes[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(float) + 1) / 2)
+        return np.where(self.level(tokens) == len(LEVELS), np.ceil(times / self.list_part).clip(1, 65535), 1).astype(np.int64)
+
     def place(self, tokens: np.ndarray, j: int) -> np.ndarray:
         step = self.classes[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
         step = np.where(step > 0, step + np.uint64(3), self.level(tokens).astype(np.uint64))
@@ -191,21 +205,21 @@ def _counted(docs: DataFrame) -> DataFrame:
     return common.written(texts.mapInArrow(run, f"doc_id {kind}, tie long, node long, n long, signature binary, bucket int, times long"), "sets")
 
 
-def _classes(table: DataFrame) -> np.ndarray:
-    """Frequency class of each bucket: half-powers of two above the mean."""
+def _classes(table: DataFrame) -> tuple[np.ndarray, float]:
+    """Frequency class of each bucket, half-powers of two above the mean, and the mean."""
     rows = table.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("times")).toArrow()
     times = np.zeros(1 << COUNT_BITS)
     times[rows.column("bucket").to_numpy()] = rows.column("times").to_numpy()
     mean = max(times.mean(), 1.0)
-    return np.floor(2 * np.log2(np.maximum(times / mean, 1.0))).clip(0, 200).astype(np.uint64)
+    return np.floor(2 * np.log2(np.maximum(times / mean, 1.0))).clip(0, 200).astype(np.uint64), mean
 
 
 def _levels(docs: DataFrame, tokens_in_all: int) -> np.ndarray:
     """Map of the tokens' levels. Each group of the count owns a range of the map
     and gives its entries; together they are the map, of a bounded size."""
     bits = min(MOST_LEVEL_BITS, max(16, tokens_in_all.bit_length() - 2))
-    groups = 64
-    while groups * 2_000_000 < tokens_in_all and groups < 1 << (bits - 4):
+    groups = 8
+    while groups * 1_000_000 < tokens_in_all and groups < 1 << (bits - 4):
         groups *= 2
     width = (1 << bits) // groups
     shift = np.uint64(64 - bits)
@@ -214,11 +228,13 @@ def _levels(docs: DataFrame, tokens_in_all: int) -> np.ndarray:
         held, rows = [], 0
 
         def flush():
-            every = np.sort(mix(np.concatenate(held) ^ _SEEDS[0]))
+            every, times = np.unique(mix(np.concatenate(held) ^ _SEEDS[0]), return_counts=True)
+            times = np.minimum(times, LEVELS[-1]).astype(np.uint8)  # more tell no more
             part = (every >> shift).astype(np.int64) // width
             cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             ends = np.append(cut[1:], len(part))
-            return pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int64()), pa.array([packed(every[a:z]) for a, z in zip(cut, ends)], pa.binary())], ["part", "entries"])
+            cells = [[packed(every[a:z]) for a, z in zip(cut, ends)], [times[a:z].tobytes() for a, z in zip(cut, ends)]]
+            return pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int64()), *(pa.array(x, pa.binary()) for x in cells)], ["part", "entries", "times"])
 
         for b in batches:
             raw, at = common.raw_text(b.column("text"))
@@ -234,28 +250,38 @@ def _levels(docs: DataFrame, tokens_in_all: int) -> np.ndarray:
 
     def counted(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        every = np.sort(np.concatenate([unpacked(x.as_buffer()) for x in table.column("entries")]))
+        every = np.concatenate([unpacked(x.as_buffer()) for x in table.column("entries")])
+        times = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("times")])
+        order = np.argsort(every, kind="stable")
+        every = every[order]
         head = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-        level = np.searchsorted(LEVELS, np.diff(np.append(head, len(every))), "right").astype(np.uint8)
+        level = np.searchsorted(LEVELS, np.add.reduceat(times[order].astype(np.int64), head), "right").astype(np.uint8)
         some = level > 0
         own = np.zeros(width, np.uint8)
         np.maximum.at(own, (every[head[some]] >> shift).astype(np.int64) - part * width, level[some])
         own = own.reshape(-1, 4)
         return pa.table({"part": pa.array([part], pa.int64()), "levels": pa.array([(own[:, 0] | own[:, 1] << 2 | own[:, 2] << 4 | own[:, 3] << 6).tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(entries, "part long, entries binary").groupBy("part").applyInArrow(counted, "part long, levels binary")
+    parts = docs.select("text").mapInArrow(entries, "part long, entries binary, times binary").groupBy("part").applyInArrow(counted, "part long, levels binary")
     out = np.zeros((1 << bits) // 4, np.uint8)
     for r in common.written(parts, "levels").collect():  # at most the map: 2^27 entries of two bits, 32 MB
         out[r["part"] * width // 4 : (r["part"] + 1) * width // 4] = np.frombuffer(r["levels"], np.uint8)
     return out
 
 
-_ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("known", "<i4"), ("hub", "<u2")])
+_ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("known", "<i4"), ("hub", "<u2"), ("parts", "<u2")])
+_LISTS = "a long, b long, n long, known long, token long, hub long"
+
+
+def _may(n, m, known_n, known_m):
+    """Whether sets of such sizes, with so many tokens that others hold, may link."""
+    return (9 * np.minimum(known_n, known_m) >= 4 * (n + m)) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
 
 
 def _candidates(docs: DataFrame, orders, groups: int) -> DataFrame:
-    """Written table: pairs with hubs (a < b), and members of lists of three or
-    more (a, n, token)."""
+    """Written table: pairs with hubs (a < b), members of lists of three or more
+    and of all parts of split lists (a, n, known, token), and of the parts' hubs
+    again, with how well they serve as such (hub)."""
 
     def index(batches):
         held: list[np.ndarray] = []
@@ -263,7 +289,9 @@ def _candidates(docs: DataFrame, orders, groups: int) -> DataFrame:
 
         def flush():
             every = np.concatenate(held)
-            part = (mix(every["token"]) % np.uint64(groups)).astype(np.int64)
+            every = every[np.lexsort((every["node"], every["token"]))]
+            every = every[np.append(True, (every["token"][1:] != every["token"][:-1]) | (every["node"][1:] != every["node"][:-1]))]
+            part = (mix(every["token"] + _salt(every)) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             every, part = every[order], part[order]
             cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -285,9 +313,10 @@ def _candidates(docs: DataFrame, orders, groups: int) -> DataFrame:
                         p = p[orders.value.level(p) > 0]  # a token that no other document holds finds none
                         e = np.empty(len(p), _ENTRY)
                         e["token"], e["node"], e["n"], e["known"], e["hub"] = p, np.uint64(node).astype(np.int64), len(x), shared, 65535 * shared // len(x)
+                        e["parts"] = orders.value.parts(p)
                         held.append(e)
                         rows += len(e)
-                if rows > 400_000:
+                if rows > 1_000_000:
                     yield flush()
                     held, rows = [], 0
         if held:
@@ -295,34 +324,53 @@ def _candidates(docs: DataFrame, orders, groups: int) -> DataFrame:
 
     def lists(table: pa.Table) -> pa.Table:
         every = np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column("entries").to_pylist()])
-        token, node, n, known = every["token"].copy(), every["node"].copy(), every["n"].astype(np.int64), every["known"].astype(np.int64)
-        order = np.lexsort((mix(node.view(np.uint64)), ~every["hub"], token))
-        token, node, n, known = token[order], node[order], n[order], known[order]
+        salt = _salt(every)
+        order = np.lexsort((mix(every["node"].copy().view(np.uint64)), ~every["hub"], salt, every["token"]))
+        every, salt = every[order], salt[order]
+        token, node = every["token"], every["node"]
         fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-        token, node, n, known = token[fresh], node[fresh], n[fresh], known[fresh]
-        head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        every, salt = every[fresh], salt[fresh]
+        token, node, split = every["token"].copy(), every["node"].copy(), every["parts"] > 1
+        n, known = every["n"].astype(np.int64), every["known"].astype(np.int64)
+        head = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
         size = np.diff(np.append(head, len(token)))
         of = np.repeat(np.arange(len(head)), size)
-        hub = head[of]
-        a, b = hub, np.arange(len(token))
-        i = np.flatnonzero(size[of] > 2)
-        keep = (node[a] != node[b]) & (9 * np.minimum(known[a], known[b]) >= 4 * (n[a] + n[b])) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+        a, b = head[of], np.arange(len(token))
+        keep = (node[a] != node[b]) & _may(n[a], n[b], known[a], known[b])
         a, b = node[a[keep]], node[b[keep]]
         both = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
         both = np.unique(both, axis=0) if len(both) else both
-        m = len(both)
+        i = np.append(np.flatnonzero((size[of] > 2) | split), head[split[head]])
+        m, hubs = len(both), int(split[head].sum())
+        tail = np.arange(m + len(i))
+        none = np.zeros(m, np.int64)
         return pa.table(
             {
                 "a": np.concatenate([both[:, 0], node[i]]),
-                "b": pa.array(np.concatenate([both[:, 1], node[i]]), mask=np.arange(m + len(i)) >= m),
-                "n": np.concatenate([np.zeros(m, np.int64), n[i]]),
-                "known": np.concatenate([np.zeros(m, np.int64), known[i]]),
-                "token": pa.array(np.concatenate([np.zeros(m, np.int64), token[i].view(np.int64)]), mask=np.arange(m + len(i)) < m),
+                "b": pa.array(np.concatenate([both[:, 1], node[i]]), mask=tail >= m),
+                "n": np.concatenate([none, n[i]]),
+                "known": np.concatenate([none, known[i]]),
+                "token": pa.array(np.concatenate([none, token[i].view(np.int64)]), mask=tail < m),
+                "hub": pa.array(np.concatenate([none, every["hub"][i].astype(np.int64)]), mask=tail < m + len(i) - hubs),
             }
         )
 
     parts = docs.select("text").mapInArrow(index, "part long, entries binary")
-    return common.written(parts.groupBy("part").applyInArrow(lists, "a long, b long, n long, known long, token long"), "candidates")
+    return common.written(parts.groupBy("part").applyInArrow(lists, _LISTS), "candidates")
+
+
+def _salt(entries: np.ndarray) -> np.ndarray:
+    """The part of its token's list that each entry is in."""
+    return mix(entries["node"].copy().view(np.uint64) ^ _SEEDS[1]) % np.maximum(entries["parts"], 1).astype(np.uint64)
+
+
+def _hub_pairs(found: DataFrame) -> DataFrame:
+    """Pairs of the hubs of a split list's parts with the first hub of the list.
+    A list has no more hubs than parts."""
+    hubs = found.where("hub is not null").select("token", F.struct((-F.col("hub")).alias("h"), F.xxhash64("a").alias("t"), "a", "n", "known").alias("x"))
+    tops = hubs.groupBy("token").agg(F.min("x").alias("top"))
+    both = hubs.join(tops, "token").where("x.a != top.a AND 9 * least(x.known, top.known) >= 4 * (x.n + top.n) AND 5 * least(x.n, top.n) >= 4 * greatest(x.n, top.n)")
+    return both.select(F.least("x.a", "top.a").alias("a"), F.greatest("x.a", "top.a").alias("b"))
 
 
 def _filtered(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -349,15 +397,19 @@ def _tokens(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
     """Written table of the sets of the given nodes (and of a few others): node, tokens."""
     spark = docs.sparkSession
     wanted = common.written(reps.join(nodes, "node"), "wanted")
-    size = 1 << WANTED_BITS
-    bits = np.zeros(size, bool)  # at most so many rows come to the driver
+    many = wanted.count()
+    size = 1 << min(MOST_WANTED_BITS, max(WANTED_BITS, (8 * many).bit_length()))
     place = lambda: F.pmod(F.xxhash64("doc_id", "tie"), F.lit(size)).cast("int").alias("place")
-    bits[wanted.select(place()).distinct().toArrow().column("place").to_numpy()] = True
+    cells = wanted.select(place()).groupBy(F.shiftright("place", 6).alias("k")).agg(F.expr("bit_or(shiftleft(1L, CAST(place & 63 AS INT)))").alias("v"))
+    bits = np.zeros(size // 64, np.int64)
+    got = cells.toArrow()  # at most a 64th of the map's size in rows
+    bits[got.column("k").to_numpy()] = got.column("v").to_numpy()
     held = spark.sparkContext.broadcast(bits)
 
     def find(batches):
         for b in batches:
-            b = b.filter(pa.array(held.value[b.column("place").to_numpy()]))
+            p = b.column("place").to_numpy()
+            b = b.filter(pa.array((held.value[p >> 6] >> (p & 63)) & 1 == 1))
             if not b.num_rows:
                 continue
             raw, at = common.raw_text(b.column("text"))
@@ -389,14 +441,14 @@ def _verified(docs: DataFrame, members: DataFrame, reps: DataFrame, pairs: DataF
     return common.written(pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").mapInArrow(verify, "a long, b long"), "links")
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, list_part: int = LIST_PART) -> DataFrame:
     """Written table: doc_id, tie (hash of the text), n_shingles, component_id,
     keep (first row of its component by id, then tie; true for empty sets)."""
     with common.scratch(docs.sparkSession):
-        return _joined(docs)
+        return _joined(docs, list_part)
 
 
-def _joined(docs: DataFrame) -> DataFrame:
+def _joined(docs: DataFrame, list_part: int) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = docs.select("doc_id", common.text_of().alias("text"))
@@ -404,21 +456,22 @@ def _joined(docs: DataFrame) -> DataFrame:
     members = table.where("bucket is null").select("doc_id", "tie", "node", "n", "signature")
     whole, total = members.agg(F.sum("n"), F.sum(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)).first()
     whole, total = whole or 0, total or 0
-    held = spark.sparkContext.broadcast(Orders(_classes(table), _levels(docs, whole)))
+    classes, mean = _classes(table)
+    held = spark.sparkContext.broadcast(Orders(classes, _levels(docs, whole), mean, list_part))
     groups = max(2 * common.partitions(spark), -(-total // GROUP_ENTRIES))
     found = _candidates(docs, held, groups)
     reps = members.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("r")).select("node", "r.doc_id", "r.tie")
-    pairs = found.where("token is null").select("a", "b").distinct()
+    pairs = found.where("token is null").select("a", "b").unionByName(_hub_pairs(found)).distinct()
     links = _verified(docs, members, reps, pairs, held)
-    listed = found.where("token is not null").select(F.col("a").alias("node"), "n", "known", "token")
+    listed = found.where("token is not null and hub is null").select(F.col("a").alias("node"), "n", "known", "token")
     if not listed.isEmpty():
         links = links.unionByName(_across(docs, reps, listed, links))
     labels = components(links)
-    whole = members.join(labels, "node", "left").select("doc_id", "tie", "n", F.coalesce("label", "node").alias("label"))
+    whole = join_unique(members, labels, ["node"], "left").select("doc_id", "tie", "n", F.coalesce("label", "node").alias("label"))
     alone = whole.where("n = 0").select("doc_id", "tie", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("keep"))
     whole = whole.where("n > 0")
     first = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("f"))
-    grouped = whole.join(first, "label").select(
+    grouped = join_unique(whole, first, ["label"]).select(
         "doc_id", "tie", "n", "component_id", (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("tie") == F.col("f.tie"))).alias("keep")
     )
     return common.written(grouped.unionByName(alone).withColumnRenamed("n", "n_shingles"), "components", keep=True)
@@ -427,35 +480,39 @@ def _joined(docs: DataFrame) -> DataFrame:
 def _across(docs: DataFrame, reps: DataFrame, listed: DataFrame, links: DataFrame) -> DataFrame:
     """Links between members of one list that are in different components.
 
-    Lists with the same main component are one group: its outsiders against all
-    its members, in blocks of some outsiders by some members, so that a set
-    travels once a block and no pair is written. Within a block the overlaps of
+    Lists with the same main component are one group: its outsiders against those
+    members whose size lets them link (bands of sizes, each with its neighbours),
+    in blocks of some outsiders by some members, so that a set travels once a block
+    and no pair is written. Within a block the overlaps of
     an outsider with all members come from the members' tokens in order."""
     labels = components(links)
-    listed = common.written(listed.join(labels, "node", "left").select("token", "node", "n", "known", F.coalesce("label", "node").alias("label")), "listed")
+    listed = common.written(join_unique(listed, labels, ["node"], "left").select("token", "node", "n", "known", F.coalesce("label", "node").alias("label")), "listed")
     sizes = listed.groupBy("token", "label").agg(F.count("*").alias("m"))
     mains = sizes.groupBy("token").agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("x.label").alias("main"))
-    mixed = common.written(listed.join(mains, "token").select("main", "node", "n", "known", "label").distinct(), "mixed")
+    mixed = join_unique(listed, mains, ["token"]).select("main", "node", "n", "known", "label").distinct()
+    mixed = common.written(mixed.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("long")), "mixed")
     if mixed.isEmpty():
         return links.limit(0)
     tokens = _tokens(docs, reps, mixed.select("node").distinct())
     outside = F.col("label") != F.col("main")
-    counts = mixed.groupBy("main").agg(F.ceil(F.count_if(outside) / OUTSIDERS).alias("cols"), F.ceil(F.count("*") / MEMBERS).alias("rows"))
-    placed = mixed.join(counts, "main").withColumns({"col": F.pmod(F.xxhash64("node"), "cols"), "row": F.pmod(F.xxhash64("node", F.lit(1)), "rows")})
+    near = mixed.where(outside).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    counts = near.groupBy("main", "band").agg(F.ceil(F.count("*") / OUTSIDERS).alias("cols"))
+    counts = counts.join(mixed.groupBy("main", "band").agg(F.ceil(F.count("*") / MEMBERS).alias("rows")), ["main", "band"])
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    mine = placed.where(outside).select("main", "node", "n", "known", "label", "col", upto("rows").alias("row"), F.lit(True).alias("out"))
-    every = placed.select("main", "node", "n", "known", "label", upto("cols").alias("col"), "row", F.lit(False).alias("out"))
-    blocks = mine.unionByName(every)
+    col, row = F.pmod(F.xxhash64("node"), "cols").alias("col"), F.pmod(F.xxhash64("node", F.lit(1)), "rows").alias("row")
+    mine = join_unique(near, counts, ["main", "band"]).select("main", "band", "node", "n", "known", "label", col, upto("rows").alias("row"), F.lit(True).alias("out"))
+    every = join_unique(mixed, counts, ["main", "band"]).select("main", "band", "node", "n", "known", "label", upto("cols").alias("col"), row, F.lit(False).alias("out"))
+    blocks = common.written(mine.unionByName(every), "blocks")
     buckets = max(common.partitions(docs.sparkSession), blocks.count() // 4000)
-    blocks = blocks.join(tokens.hint("merge"), "node").withColumn("bucket", F.pmod(F.xxhash64("main", "col", "row"), F.lit(buckets)))
+    blocks = blocks.join(tokens.hint("merge"), "node").withColumn("bucket", F.pmod(F.xxhash64("main", "band", "col", "row"), F.lit(buckets)))
 
     def compare(table: pa.Table) -> pa.Table:
-        main, col, row = (table.column(c).to_numpy() for c in ("main", "col", "row"))
+        main, band, col, row = (table.column(c).to_numpy() for c in ("main", "band", "col", "row"))
         node, n, known, label = (table.column(c).to_numpy() for c in ("node", "n", "known", "label"))
         out = np.asarray(table.column("out"))
         data = table.column("tokens")
-        order = np.lexsort((row, col, main))
-        cut = np.flatnonzero(np.append(True, np.any([np.diff(x[order]) != 0 for x in (main, col, row)], axis=0)))
+        order = np.lexsort((row, col, band, main))
+        cut = np.flatnonzero(np.append(True, np.any([np.diff(x[order]) != 0 for x in (main, band, col, row)], axis=0)))
         a, b = [], []
         for lo, hi in zip(cut, np.append(cut[1:], len(order))):
             block = order[lo:hi]
@@ -468,7 +525,7 @@ def _across(docs: DataFrame, reps: DataFrame, listed: DataFrame, links: DataFram
             by = np.argsort(whole, kind="stable")
             whole, owner = whole[by], owner[by]
             for o in ours.tolist():
-                may = (label[theirs] != label[o]) & (9 * np.minimum(known[theirs], known[o]) >= 4 * (n[theirs] + n[o])) & (5 * np.minimum(n[theirs], n[o]) >= 4 * np.maximum(n[theirs], n[o]))
+                may = (label[theirs] != label[o]) & _may(n[theirs], n[o], known[theirs], known[o])
                 if not may.any():
                     continue
                 x = unpacked(data[o].as_buffer())

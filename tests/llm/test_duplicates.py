@@ -69,6 +69,23 @@ def test_components_equal_brute_force(spark, texts, seed):
     assert sorted(map(tuple, got)) == sorted(brute_components(every, ids))
 
 
+def test_split_lists_equal_brute_force(spark):
+    """Tokens of more than 200 sets, whose lists are split into parts of some twenty."""
+    rng = random.Random(9)
+    core = [f"g{k}" for k in range(100)]
+    every = []
+    for _ in range(260):
+        w = list(core[: rng.choice([100, 100, 92, 85, 70])])
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(1000)}"
+        every.append(" ".join(w))
+    got = jaccard.join(frame(spark, every), list_part=20).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(every, list(range(len(every)))))
+    classes = np.zeros(1 << jaccard.COUNT_BITS, np.uint64)
+    orders = jaccard.Orders(classes, np.full(1 << 14, 255, np.uint8), mean=90.0, list_part=20)  # every token of the last level
+    assert orders.parts(np.arange(5, dtype=np.uint64)).tolist() == [7] * 5  # 90 times the root of 2, in twenties
+
+
 def test_borderline_and_order_of_prefixes(spark):
     base = [f"t{k}" for k in range(104)]  # 100 shingles
     texts = [" ".join(base), " ".join(base[:-1]), " ".join(base[: 4 + 80]), " ".join(base[: 4 + 79]), " ".join(base) + " " + " ".join(f"u{k}" for k in range(25)), " ".join(base) + " " + " ".join(f"u{k}" for k in range(26))]
