@@ -31,6 +31,22 @@ def module_name(path) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"/__init__$", ""), "/", ".")
 
 
+def name_tokens(name) -> Column:
+    """Tokens of a snake-case or camel-case name, lower-cased (C20): a part of the
+    name without any gives itself."""
+    parts = F.filter(F.split(name, "_"), lambda p: p != "")
+    humps = lambda p: F.regexp_extract_all(p, F.lit(r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|\b)|\d+"), F.lit(0))
+    return F.transform(F.flatten(F.transform(parts, lambda p: F.when(F.size(humps(p)) > 0, humps(p)).otherwise(F.array(p)))), F.lower)
+
+
+def signature_parts(signature) -> tuple[Column, Column]:
+    """Parameters and return type written in a signature; none without brackets."""
+    inside = F.when(signature.contains("(") & signature.contains(")"), F.substring_index(F.substring(signature, F.instr(signature, "(") + 1, F.length(signature)), ")", 1))
+    params = F.filter(F.transform(F.split(F.coalesce(inside, F.lit("")), ","), F.trim), lambda x: x != "")
+    back = F.when(inside.isNotNull() & signature.contains("->"), F.trim(F.substring_index(signature, "->", -1))).otherwise("")
+    return params, back
+
+
 def words_of_name(name) -> Column:
     """Words of a snake-case or camel-case name, lower-cased first (so camel
     humps are not seen), as the similarity of names has it."""
@@ -91,10 +107,13 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def fuzzy_literals(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Mean best ratio over up to five sorted literals of each side."""
+    """Mean best ratio over up to five telling literals of each side, in order,
+    200 characters of each (C21): of five characters or more, or with a sign of
+    a pattern."""
+    telling = lambda v: [t[:200] for t in sorted({str(u) for u in (v if v is not None else ())}) if len(t) >= 5 or any(c in t for c in "[]()*+?^$|")][:5]
 
     def one(x, y):
-        x, y = sorted(map(str, x if x is not None else []))[:5], sorted(map(str, y if y is not None else []))[:5]
+        x, y = telling(x), telling(y)
         if not x or not y:
             return 0.0
         return sum(max(difflib.SequenceMatcher(None, u, v).ratio() for v in y) for u in x) / len(x)
@@ -102,6 +121,19 @@ def fuzzy_literals(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
+@F.pandas_udf(T.DoubleType())
+def mean_name_ratio(names: pd.Series) -> pd.Series:
+    """Mean matching-blocks ratio over all pairs of a cluster's names (C24, P6);
+    1 for fewer than two. A cluster is bounded, so its pairs are."""
+
+    def one(found):
+        low = sorted(str(n).lower() for n in (found if found is not None else ()))
+        ratios = [difflib.SequenceMatcher(None, low[i], low[j]).ratio() for i in range(len(low)) for j in range(i + 1, len(low))]
+        return sum(ratios) / len(ratios) if ratios else 1.0
+
+    return names.map(one)
+
+
 _TOKEN = re.compile(r"'[^'\n]*'|\"[^\"\n]*\"|\b\d+(?:\.\d+)?\b|\b[A-Za-z_]\w*\b")
 _KEPT = frozenset("and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield True False None self cls".split())
 

@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..values import PENALTY_PER_FILE, SEVERITY_PENALTIES, SEVERITY_WEIGHTS, TYPE_PENALTIES
+
+#: Items of a basket that are paired in one part.
+BASKET_PART = 1000
+
+
+def mapped(values: dict, key: Column) -> Column:
+    """The value of a key in a small fixed table; null if it has none."""
+    return F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key)
+
 
 def joined(values: Column, separator: str = ",") -> Column:
     """A sorted list of values as text."""
@@ -29,10 +39,12 @@ def breakdown(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *(c.alias(k) for k, c in aggregates.items()))
 
 
-def weighted_hotspots(findings: DataFrame, by: str, kind: str, confidence: Column, weights: dict[str, float], example: str, order: list[Column], examples: int = 5) -> DataFrame:
+def weighted_hotspots(findings: DataFrame, by: str, kind: str, confidence: Column, example: str, order: list[Column], weights: dict[str, float] = SEVERITY_WEIGHTS, examples: int = 5) -> DataFrame:
     """Findings weighed by severity and confidence (A13), the numbers of each
-    severity, and the first examples (W3)."""
-    weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col(kind)), F.lit(0.0))
+    severity, and the first examples (W3). A severity without a weight counts 1,
+    none counts as low, no confidence as 1."""
+    weight = F.coalesce(mapped(weights, F.lower(F.coalesce(F.col(kind).cast("string"), F.lit("low")))), F.lit(1.0))
+    confidence = F.coalesce(confidence, F.lit(1.0))
     ranked = findings.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     first = ranked.where(F.col("_rank") <= examples).groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", example))), lambda x: x[example]).alias("examples"))
     totals = findings.groupBy(by).agg(F.sum(weight * confidence).alias("score"), F.count("*").alias("n"))
@@ -40,9 +52,16 @@ def weighted_hotspots(findings: DataFrame, by: str, kind: str, confidence: Colum
     return totals.join(kinds, by).join(first, by)
 
 
+def health_penalty(findings: DataFrame, severity: str, kind: str) -> DataFrame:
+    """One row: the sum of all findings' penalties by severity and by type."""
+    each = F.coalesce(mapped(SEVERITY_PENALTIES, F.lower(severity)), F.lit(0.0)) + F.coalesce(mapped(TYPE_PENALTIES, F.col(kind)), F.lit(0.0))
+    tenths = F.round(each * 10).cast("long")  # whole tenths: the sum does not hang on the order of rows
+    return findings.agg((F.coalesce(F.sum(tenths), F.lit(0)) / 10.0).alias("penalty"))
+
+
 def health_score(penalty: Column, files: Column) -> Column:
-    """100 for no penalty, falling towards 0."""
-    return 100.0 / (1.0 + penalty / F.greatest(files * 15.0, F.lit(1.0)))
+    """100 for no penalty, falling towards 0, by the number of files."""
+    return 100.0 / (1.0 + penalty / F.greatest(F.greatest(files, F.lit(1)) * PENALTY_PER_FILE, F.lit(1.0)))
 
 
 def band(value: Column, high: float = 0.8, middle: float = 0.5) -> Column:
@@ -66,9 +85,18 @@ def owner(df: DataFrame, group: list[str], member: str, least: int = 2) -> DataF
 
 
 def co_occurring(df: DataFrame, basket: str, item: str, least: int = 2) -> DataFrame:
-    """Pairs of items in the same baskets, ``least`` times or more."""
+    """Pairs of items in the same baskets, ``least`` times or more (A25, H13). A
+    basket of very many items is worked on in parts of ``BASKET_PART``, each
+    against the whole basket; items that are in no more than ``least`` - 1 baskets
+    go first, since no pair of theirs can count."""
     one = df.select(basket, item).distinct()
-    pairs = one.join(one.select(basket, F.col(item).alias("_other")), basket).where(F.col(item) < F.col("_other"))
+    often = one.groupBy(item).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(item)
+    one = one.join(often, item, "left_semi")
+    parts = one.groupBy(basket).agg(F.ceil(F.count("*") / BASKET_PART).alias("_parts"))
+    dealt = one.join(parts, basket)
+    left = dealt.select(basket, item, F.pmod(F.xxhash64(item), "_parts").alias("_p"))
+    right = dealt.select(basket, F.col(item).alias("_other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_p"))
+    pairs = left.join(right, [basket, "_p"]).where(F.col(item) < F.col("_other"))
     return pairs.groupBy(F.col(item).alias("a"), F.col("_other").alias("b")).agg(F.count("*").alias("times")).where(F.col("times") >= least)
 
 

@@ -1,17 +1,18 @@
 """Functional blocks: fingerprints, categories' facts, clusters' advice (X16-X18,
-A20-A22, C15-C18, C26, P2, P6-P9, M21)."""
+A20-A22, C15-C18, C26, P2, P6-P8, P12, T6, M21)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import values as V
+from ..functions import scalar as S
 from . import joins as J
+from .aggregates import mapped
 
 # Words in names that tell an operation, in order.
 OPERATIONS = (("read", "read|get|load|fetch|find"), ("write", "write|set|save|store|update"), ("validate", "valid|check|verify|ensure"), ("transform", "parse|convert|format|transform|normal"), ("compute", "calc|comput|count|sum|score"), ("create", "create|build|make|generate"), ("remove", "delete|remove|clear|drop"))
-# Words of opposite sense; a cluster that holds both stays apart.
-ANTONYMS = (("get", "set"), ("load", "save"), ("read", "write"), ("open", "close"), ("start", "stop"), ("add", "remove"), ("encode", "decode"), ("push", "pop"), ("enable", "disable"), ("lock", "unlock"))
 # Categories of imports by their first name.
 IMPORTS = {"logging": "logging", "json": "serialization", "pickle": "serialization", "yaml": "serialization", "csv": "serialization", "re": "text", "string": "text", "os": "filesystem", "pathlib": "filesystem", "shutil": "filesystem", "io": "filesystem", "requests": "networking", "urllib": "networking", "socket": "networking", "http": "networking", "sqlite3": "database", "threading": "concurrency", "asyncio": "concurrency", "multiprocessing": "concurrency", "datetime": "time", "time": "time", "math": "math", "random": "math", "statistics": "math"}
 
@@ -79,31 +80,57 @@ def similar_symbols(pairs: DataFrame, k: int) -> DataFrame:
     return first_per_group(pairs.withColumn("similarity", score), ["a"], [F.desc("similarity"), F.col("b")], k)
 
 
-def mixed_sense(members: DataFrame, cluster: str, name: str) -> DataFrame:
-    """Clusters whose names hold words of opposite sense (P6; plain substrings)."""
+def name_guards(members: DataFrame, cluster: str, name: str) -> DataFrame:
+    """What the names of a cluster forbid (P6), plain substrings of lower-cased
+    names: dunder (a special method), modal (predicates among others), opposite
+    (antonyms, variants among others, a name and its negation), and the mean
+    likeness of all pairs of names."""
     low = F.lower(name)
-    flags = [F.bool_or(low.contains(a) & ~low.contains(b)) & F.bool_or(low.contains(b) & ~low.contains(a)) for a, b in ANTONYMS]
-    mixed = flags[0]
-    for f in flags[1:]:
-        mixed = mixed | f
-    return members.groupBy(cluster).agg(mixed.alias("mixed"))
+    either = lambda flags: F.array_contains(F.array(*flags), True)
+    mix = lambda hit: F.bool_or(hit) & F.bool_or(~hit)
+    modal = either([mix(low.startswith(p)) for p in V.MODAL_PREFIXES])
+    opposite = either([F.bool_or(low.contains(a)) & F.bool_or(low.contains(b)) for a, b in V.ANTONYMS] + [mix(low.contains(v)) for v in V.VARIANTS])
+    names = F.collect_list(low)
+    out = members.groupBy(cluster).agg(F.bool_or(F.col(name).startswith("__") & F.col(name).endswith("__")).alias("dunder"), modal.alias("modal"), opposite.alias("opposite"), names.alias("_names"))
+    plain = lambda old, new: F.exists("_names", lambda n: n.contains(old) & F.array_contains("_names", F.replace(n, F.lit(old), F.lit(new))))
+    opposite = F.col("opposite") | F.col("modal") | plain("_no_", "_") | plain("_strict", "")
+    return out.select(cluster, "dunder", "modal", opposite.alias("opposite"), S.mean_name_ratio("_names").alias("name_similarity"))
 
 
-def risk_and_effort(mean: Column, members: Column, modules: Column, lines: Column) -> tuple[Column, Column]:
-    """Risk and effort of merging a cluster."""
-    risk = F.when((mean >= 0.95) & (modules <= 2), "low").when((mean >= 0.85) & (modules <= 5), "medium").otherwise("high")
-    effort = F.when((members <= 2) & (lines <= 40), "small").when((members <= 5) & (lines <= 200), "medium").otherwise("large")
-    return risk, effort
+def risk(mean: Column, callers: Column, most_complex: Column) -> Column:
+    """Risk of a cluster."""
+    return F.when(mean < 0.6, "HIGH").when((callers > 10) | (most_complex > 15), "MEDIUM").otherwise("LOW")
 
 
-def benefit(members: Column, mean_lines: Column, mean: Column, risk: Column) -> Column:
-    """Benefit of merging a cluster: lines saved by similarity and risk."""
-    return (members - 1) * mean_lines * mean * F.when(risk == "low", 1.0).when(risk == "medium", 0.7).otherwise(0.4)
+def effort(advice: Column, members: Column, lines: Column) -> Column:
+    """Effort class of a cluster by what is to be done with it."""
+    merge = F.when((members <= 2) & (lines <= 50), "S").when((members <= 4) & (lines <= 100), "M").otherwise("L")
+    return F.when(advice == "KEEP_SEPARATE", "XS").when(advice == "WRAP_ONLY", "S").when(advice == "MERGE", merge).otherwise(F.when(lines <= 100, "M").otherwise("L"))
 
 
-def target_name(category: Column, subcategory: Column) -> Column:
-    """Module and symbol proposed for a category."""
-    return F.concat(F.lit("unified/"), F.lower(category), F.when(subcategory.isNotNull() & (subcategory != ""), F.concat(F.lit("_"), F.lower(subcategory))).otherwise(F.lit("")), F.lit(".py"))
+def benefit(members: Column, mean: Column, advice: Column, risk: Column, effort: Column) -> Column:
+    """Benefit of a cluster: its size, similarity, and what advice, risk and
+    effort add (A22)."""
+    more = lambda table, key: F.coalesce(mapped(table, key), F.lit(0.0))
+    return members * 2.0 + mean * 10.0 + more(V.RECOMMENDATION_BENEFIT, advice) + more(V.RISK_BENEFIT, risk) + more(V.EFFORT_BENEFIT, effort)
+
+
+def plan_order(risk: Column, effort: Column, dependencies: Column) -> list[Column]:
+    """Order of plans: low risk, low effort, few dependencies first."""
+    return [F.coalesce(mapped(V.RISK_ORDER, risk), F.lit(2)), F.coalesce(mapped(V.EFFORT_ORDER, effort), F.lit(4)), dependencies]
+
+
+def cluster_report(clusters: DataFrame) -> DataFrame:
+    """Clusters, their members and total benefit by risk and effort."""
+    return clusters.groupBy("risk", "effort").agg(F.count("*").alias("n_clusters"), F.sum("members").alias("n_members"), F.sum("benefit").alias("benefit"))
+
+
+def target_name(category: Column, subcategory: Column, canonical: Column) -> Column:
+    """Module and function proposed for a cluster, by its canonical member."""
+    module = F.coalesce(mapped(V.TARGET_MODULES, category), F.concat(F.lit("unified/"), category, F.lit(".py")))
+    base = F.replace(F.regexp_replace(canonical, "^_+", ""), F.lit("__"), F.lit("_"))
+    full = F.when((F.coalesce(subcategory, F.lit("")) != "") & (subcategory != "generic") & ~canonical.startswith("_"), F.concat(subcategory, F.lit("_"), base)).otherwise(base)
+    return F.concat(module, F.lit("::"), full)
 
 
 def call_class(name: Column, standard: tuple[str, ...], builtins: tuple[str, ...]) -> Column:

@@ -77,15 +77,38 @@ def cycles(edges: DataFrame, source: str, target: str, longest: int = 6) -> Data
     return out
 
 
-def longest_path(edges: DataFrame, source: str, target: str, most: int = 20) -> int:
-    """Edges on the longest simple path, ``most`` at most."""
-    pairs = kept(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_s is not null and _t is not null and _s != _t").distinct())
-    paths, depth = kept(pairs.select(F.array("_s", "_t").alias("path"))), 0
-    while depth < most and not paths.isEmpty():
-        depth += 1
-        more = paths.join(pairs, F.element_at("path", -1) == F.col("_s")).where(~F.array_contains("path", F.col("_t")))
-        paths = kept(more.select(F.concat("path", F.array("_t")).alias("path")))
-    return depth
+def longest_path(edges: DataFrame, source: str, target: str, most: int | None = None) -> int:
+    """Nodes on the longest chain of calls, as the depth of a search that turns
+    back at a node it stands on already, which counts once more (G10).
+
+    Without cycles each round moves on the nodes whose longest chain has grown:
+    as many rounds as the depth. Nodes on or before cycles have exponentially many
+    simple paths; ``most`` bounds their length where the graph has cycles, by
+    default nothing does."""
+    pairs = kept(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_s is not null and _t is not null").distinct())
+    if pairs.isEmpty():
+        return 0
+    left, level = pairs, 1
+    while True:  # take off what nothing is called from, level by level
+        ends = left.select(F.col("_t").alias("_n")).distinct().join(left.select(F.col("_s").alias("_n")).distinct(), "_n", "left_anti")
+        rest = kept(left.join(ends.withColumnRenamed("_n", "_t"), "_t", "left_anti"))
+        if rest.count() == left.count():
+            break
+        left, level = rest, level + 1
+        if left.isEmpty():
+            return level
+    paths, depth = kept(pairs.where("_s != _t").select(F.array("_s", "_t").alias("path"))), 2
+    again = not pairs.where("_s = _t").isEmpty()
+    if paths.isEmpty():
+        return 1 + again
+    while not paths.isEmpty():
+        step = paths.join(pairs, F.element_at("path", -1) == F.col("_s"))
+        again = not step.where(F.array_contains("path", F.col("_t"))).isEmpty()
+        more = kept(step.where(~F.array_contains("path", F.col("_t"))).select(F.concat("path", F.array("_t")).alias("path")))
+        if more.isEmpty() or (most is not None and depth >= most):
+            break
+        paths, depth = more, depth + 1
+    return depth + again
 
 
 def condensed(edges: DataFrame, membership: DataFrame, node: str, group: str, source: str, target: str) -> DataFrame:

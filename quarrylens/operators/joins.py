@@ -193,6 +193,27 @@ def similar_sets(df: DataFrame, key: str, members: Column, tenths: int) -> DataF
     return near.unionByName(same)
 
 
+def named_within(names: DataFrame, name: str, texts: DataFrame, text: str) -> DataFrame:
+    """Distinct names that stand anywhere in a text, within longer words too.
+    A name made of word characters lies within one word, so every piece of each
+    distinct word is joined by equality; only names with other characters need
+    the texts themselves."""
+    wanted = names.select(F.col(name)).where(F.col(name) != "").distinct()
+    plain, odd = wanted.where(F.col(name).rlike(r"^\w+$")), wanted.where(~F.col(name).rlike(r"^\w+$"))
+    longest = wanted.agg(F.max(F.length(name))).first()[0] or 0
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0)))).alias("_w")).distinct()
+    starts = words.select("_w", F.explode(F.sequence(F.lit(1), F.length("_w"))).alias("_i"))
+    sizes = plain.select(F.length(name).alias("_n")).distinct().agg(F.sort_array(F.collect_list("_n"))).first()[0]  # at most as many as the longest name's length
+    if not longest or not sizes:
+        pieces = words.select(F.col("_w").alias(name)).limit(0)
+    else:
+        pieces = starts.select(F.explode(F.array(*(F.substring("_w", F.col("_i"), F.lit(n)) for n in sizes))).alias(name)).distinct()
+    found = plain.join(pieces, name, "left_semi")
+    if odd.isEmpty():
+        return found
+    return found.unionByName(odd.join(texts.select(F.col(text).alias("_t")), F.col("_t").contains(F.col(name)), "left_semi"))
+
+
 def name_evidence(symbols: DataFrame, outside: list[DataFrame]) -> DataFrame:
     """Symbols whose bare name stands in any of the given name sets (J27); a
     dotted name counts by its last part."""

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .aggregates import band
+from .. import values as V
+from ..functions.scalar import clamp
+from .aggregates import band, mapped
 
 
 @dataclass(frozen=True)
@@ -27,39 +29,100 @@ class Thresholds:
     envy_ratio: float = 0.7
     envy_accesses: int = 3
     private_accesses: int = 3
+    coupling_ratio: float = 0.8
+
+
+def _points(value: Column, bound: float, twice: float = 2) -> Column:
+    """2 beyond ``twice`` the bound, 1 beyond the bound, else 0."""
+    return F.when(value > bound * twice, 2).when(value > bound, 1).otherwise(0)
+
+
+def _level(points: Column) -> Column:
+    return F.when(points >= 3, "high").when(points >= 2, "medium").otherwise("low")
 
 
 def god_class(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Classes with too much in them (M2): any bound broken; severity by how many."""
-    broken = [F.col("method_count") > t.god_methods, F.col("responsibility_count") > t.god_responsibilities, F.col("cohesion") < t.god_cohesion, F.col("lines") > t.god_lines]
-    points = sum((F.when(b, 1).otherwise(0) for b in broken), F.lit(0))
-    severity = F.when(points >= 4, "critical").when(points == 3, "high").when(points == 2, "medium").otherwise("low")
-    return df.withColumn("points", points).where("points > 0").withColumn("severity", severity).withColumn("smell_type", F.lit("god_class"))
+    """Classes with too much in them (M2): any bound broken; severity and
+    confidence by how far methods, responsibilities and cohesion are beyond theirs."""
+    low = F.when(F.col("cohesion") < t.god_cohesion / 2, 2).when(F.col("cohesion") < t.god_cohesion, 1).otherwise(0)
+    points = _points(F.col("method_count"), t.god_methods) + _points(F.col("responsibility_count"), t.god_responsibilities) + low
+    broken = (F.col("method_count") > t.god_methods) | (F.col("responsibility_count") > t.god_responsibilities) | (F.col("cohesion") < t.god_cohesion) | (F.col("lines") > t.god_lines)
+    severity = F.when(F.col("points") >= 4, "critical").otherwise(_level(F.col("points")))
+    confidence = F.least(F.lit(1.0), F.col("points") / 6 + 0.3)
+    return df.where(broken).withColumn("points", points).withColumns({"severity": severity, "confidence": confidence, "smell_type": F.lit("god_class")})
+
+
+def _smells(df: DataFrame, rules: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """One row a smell: rules give whether, severity and confidence."""
+    kind = lambda k, c: F.struct(F.lit(k).alias("smell_type"), c[1].alias("severity"), F.least(F.lit(1.0), c[2]).alias("confidence"))
+    found = F.explode(F.array_compact(F.array(*(F.when(c[0], kind(k, c)) for k, c in rules.items()))))
+    return df.withColumn("_s", found).select("*", "_s.*").drop("_s")
 
 
 def method_smells(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Long methods, complexity, many responsibilities, feature envy and intimacy
-    (M3-M7): one row a smell."""
+    """Long methods, complexity and feature envy (M3, M4, M6), one row a smell.
+    Feature envy is a method's, so it needs a class (``in_class``)."""
+    long = _points(F.col("lines"), t.long_lines) + _points(F.col("statements"), t.long_statements)
+    hard = _points(F.col("complexity"), t.complexity) + _points(F.col("nesting"), t.nesting, 1.5)
     ratio = F.when(F.col("accesses") > 0, F.col("external_accesses") / F.col("accesses")).otherwise(0.0)
+    envy = F.when(ratio > 0.9, "high").when(ratio > 0.8, "medium").otherwise("low")
+    rules = {
+        "long_method": ((F.col("lines") > t.long_lines) | (F.col("statements") > t.long_statements), _level(long), long / 4 + 0.4),
+        "high_complexity": ((F.col("complexity") > t.complexity) | (F.col("nesting") > t.nesting), _level(hard), hard / 4 + 0.5),
+        "feature_envy": ((ratio > t.envy_ratio) & (F.col("accesses") >= t.envy_accesses) & F.col("in_class"), envy, ratio + 0.2),
+    }
+    return _smells(df, rules)
+
+
+def class_smells(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """Too many responsibilities, and intimacy with others' private attributes
+    (M5, M7), one row a smell. Accesses through self are none of another's."""
+    duties, private = F.col("responsibility_count"), F.col("private_accesses")
+    srp = F.when(duties > t.responsibilities * 2, "high").when(duties > t.responsibilities, "medium").otherwise("low")
+    ratio = F.when(F.col("foreign_accesses") > 0, private / F.col("foreign_accesses")).otherwise(0.0)
+    close = F.when(private > t.private_accesses * 2, "high").when(private > t.private_accesses * 1.5, "medium").otherwise("low")
     rules = {
-        "long_method": (F.col("lines") > t.long_lines) | (F.col("statements") > t.long_statements),
-        "high_complexity": (F.col("complexity") > t.complexity) | (F.col("nesting") > t.nesting),
-        "srp_violation": (F.col("responsibilities") > t.responsibilities) | (F.col("external_dependencies") > t.dependencies),
-        "feature_envy": (ratio > t.envy_ratio) & (F.col("accesses") >= t.envy_accesses),
-        "inappropriate_intimacy": F.col("private_accesses") > t.private_accesses,
+        "srp_violation": ((duties > t.responsibilities) | (F.col("external_dependencies") > t.dependencies), srp, duties / 10 + 0.4),
+        "inappropriate_intimacy": ((private > t.private_accesses) & ((ratio > t.coupling_ratio) | (private >= t.private_accesses * 2)), close, private / 10 + 0.3),
     }
-    found = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items()))))
-    return df.withColumn("smell_type", found)
+    return _smells(df, rules)
 
 
 def first_match(value: Column, rules: list[tuple[str, str]], default: str) -> Column:
-    """Label of the first pattern that a value matches."""
+    """Label of the first pattern that a value matches."""
     out = None
     for pattern, label in rules:
         out = F.when(value.rlike(pattern), label) if out is None else out.when(value.rlike(pattern), label)
     return out.otherwise(default)
 
 
+def first_word(value: Column, table: dict[str, tuple[str, ...]], default: str | None) -> Column:
+    """Label of the first entry of which a word stands in the lower-cased value
+    (X12, M9)."""
+    out = F.when(F.lit(False), "")
+    for label, words in table.items():
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.lower(value).contains(w)
+        out = out.when(hit, label)
+    return out.otherwise(default)
+
+
+def name_category(name: Column) -> Column:
+    """Semantic category of a name."""
+    return first_word(name, V.NAME_CATEGORIES, "business_logic")
+
+
+def responsibility(name: Column) -> tuple[Column, Column]:
+    """A method's responsibility by its name, null if none, and how sure: .8 if
+    the name begins with the word that tells it, else .6 (M9)."""
+    low, sure = F.lower(name), F.when(F.lit(False), 0.0)
+    for words in V.RESPONSIBILITIES.values():
+        for w in words:
+            sure = sure.when(low.contains(w), F.when(low.startswith(w), 0.8).otherwise(0.6))
+    return first_word(name, V.RESPONSIBILITIES, None), sure
+
+
 def categorised(df: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     """First rule by priority (M13, V7). ``rules`` is a configuration table:
     priority, field, pattern, category. It comes to the driver (a rule set is
@@ -74,20 +137,79 @@ def categorised(df: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     return df.withColumn("_c", chain).select("*", F.coalesce("_c.category", F.lit("uncategorised")).alias("category"), F.col("_c.priority").alias("rule")).drop("_c")
 
 
-def tags(name: Column) -> Column:
-    """Tags of a block by words in its name."""
-    words = ("test", "validate", "parse", "load", "save", "format", "convert", "build")
-    return F.array_compact(F.array(*(F.when(F.lower(name).contains(w), F.lit(w)) for w in words)))
+def tags(lines: Column, complexity: Column, name: Column, module: Column, is_method: Column, callers: Column) -> Column:
+    """Sorted tags of a block."""
+    low, where = F.lower(name), F.lower(module)
+    some = lambda x, *words: sum((F.when(x.contains(w), 1).otherwise(0) for w in words), F.lit(0)) > 0
+    marks = (
+        F.when(lines > 50, "large").when(lines < 5, "small"),
+        F.when(complexity > 10, "complex").when(complexity == 1, "simple"),
+        F.when(name.startswith("_"), "private").otherwise("public"),
+        F.when(is_method, "method").otherwise("function"),
+        F.when(some(low, "test"), "test"),
+        F.when(some(low, "legacy", "old", "deprecated"), "legacy"),
+        F.when(some(low, "main", "entry", "start"), "entry_point"),
+        F.when(some(where, "cli", "command"), "cli"),
+        F.when(callers > 5, "hotpath"),
+    )
+    return F.sort_array(F.array_compact(F.array(*marks)))
+
+
+def _holds(values: Column, parts: tuple[str, ...]) -> Column:
+    """Whether any lower-cased value holds any of the parts."""
+
+    def one(x):
+        hit = F.lit(False)
+        for p in parts:
+            hit = hit | F.lower(x).contains(p)
+        return hit
+
+    return F.coalesce(F.exists(values, one), F.lit(False))
+
+
+def has_context(imports: Column, calls: Column, literals: Column, of: dict[str, tuple[str, ...]]) -> Column:
+    """Whether imports, calls or literals speak of persistence or serialization."""
+    return _holds(imports, of["imports"]) | _holds(calls, of["calls"]) | _holds(literals, of["literals"])
+
+
+def has_telemetry(calls: Column) -> Column:
+    """Whether calls speak of logging (P9), letters' case told apart."""
+    part = lambda c: sum((F.when(c.contains(p), 1).otherwise(0) for p in V.TELEMETRY_PARTS), F.lit(0)) > 0
+    return F.coalesce(F.exists(calls, lambda c: part(c) | c.isin(*V.TELEMETRY_NAMES)), F.lit(False))
+
+
+def likely_regex(literal: Column) -> Column:
+    """Whether a literal looks like a pattern."""
+    sign = sum((F.when(literal.contains(s), 1).otherwise(0) for s in V.REGEX_SIGNS), F.lit(0)) > 0
+    return (F.length(literal) >= 3) & (sign | literal.rlike(r"\\\\\w|\([^)]*\)"))
+
+
+def literal_category(literals: Column) -> Column:
+    """category, subcategory of the first literal that tells one: a domain's word,
+    a pattern, words of SQL, an address (P9)."""
+
+    def one(x):
+        low, out = F.lower(x), F.when(F.lit(False), F.struct(F.lit("").alias("category"), F.lit("").alias("subcategory")))
+        pair = lambda c, s: F.struct(F.lit(c).alias("category"), F.lit(s).alias("subcategory"))
+        for word, (c, s) in V.LITERAL_DOMAINS.items():
+            out = out.when(low.contains(word), pair(c, s))
+        some = lambda words: sum((F.when(low.contains(w), 1).otherwise(0) for w in words), F.lit(0)) > 0
+        return out.when(likely_regex(x), pair("parsing", "regex")).when(some(V.SQL_WORDS), pair("persistence", "sql")).when(some(V.URL_SCHEMES), pair("networking", "url"))
+
+    return F.get(F.array_compact(F.transform(literals, one)), F.lit(0))
 
 
 def cohesion(access: DataFrame, scope: str, method: str, attribute: str) -> DataFrame:
     """Pairs of a class's methods that share an attribute, among all its pairs
-    (M8); one for fewer than two methods."""
-    one = access.select(scope, method, attribute).distinct()
-    sizes = access.groupBy(scope).agg(F.count_distinct(method).alias("n"))
-    other = one.select(scope, attribute, F.col(method).alias("_o"))
-    shared = one.where(F.col(attribute).isNotNull()).join(other, [scope, attribute]).where(F.col(method) < F.col("_o")).select(scope, method, "_o").distinct().groupBy(scope).agg(F.count("*").alias("shared"))
-    out = sizes.join(shared, scope, "left").na.fill(0, ["shared"])
+    (M8); one for fewer than two methods. Methods with the same attributes are
+    one row with a count, so an attribute that all of them touch makes no square."""
+    sets = access.groupBy(scope, method).agg(F.sort_array(F.collect_set(attribute)).alias("_a"))
+    sets = sets.groupBy(scope, "_a").agg(F.count("*").alias("_c")).withColumn("_s", F.xxhash64("_a"))
+    sizes = sets.groupBy(scope).agg(F.sum("_c").alias("n"), F.sum(F.when(F.size("_a") > 0, F.col("_c") * (F.col("_c") - 1) / 2).otherwise(0)).cast("long").alias("_same"))
+    each = sets.select(scope, "_s", "_c", F.explode("_a").alias("_x"))
+    other = each.select(scope, "_x", F.col("_s").alias("_t"), F.col("_c").alias("_d"))
+    across = each.join(other, [scope, "_x"]).where("_s < _t").select(scope, "_s", "_t", "_c", "_d").distinct().groupBy(scope).agg(F.sum(F.col("_c") * F.col("_d")).alias("_across"))
+    out = sizes.join(across, scope, "left").withColumn("shared", F.col("_same") + F.coalesce("_across", F.lit(0))).drop("_same", "_across")
     return out.withColumn("cohesion", F.when(F.col("n") < 2, 1.0).otherwise(F.col("shared") / (F.col("n") * (F.col("n") - 1) / 2)))
 
 
@@ -105,34 +227,102 @@ def unused_symbols(symbols: DataFrame, uses: DataFrame, least: float = 0.5) -> D
     return out.where(F.col("confidence") >= least)
 
 
-def dynamic_uses(files: DataFrame, key: str, text: str, most: int = 20) -> DataFrame:
-    """Signs of dynamic use in sources, ``most`` a file."""
-    signs = F.slice(F.regexp_extract_all(text, F.lit(r"\b(getattr|setattr|eval|exec|globals|locals|__import__|import_module)\s*\("), F.lit(1)), 1, most)
-    return files.select(key, F.explode(signs).alias("sign"))
+def dynamic_uses(files: DataFrame, key: str, text: str, most: int = V.MOST_DYNAMIC_SIGNS) -> DataFrame:
+    """Signs of dynamic use in sources (M16), the first ``most`` of a file, pattern
+    by pattern, as the findings count them: key, sign, pattern number, and the
+    module where one is imported by name (else null)."""
+    none = F.lit(None).cast("string")
+    found = lambda p, group: F.regexp_extract_all(text, F.lit(p), F.lit(group))
+    sign = lambda k, s, module: F.struct(F.lit(k).alias("pattern"), s.alias("sign"), module.alias("module"))
+    each = lambda k: lambda s: sign(k, s, none)
+    pair = lambda k: lambda s, m: sign(k, s, m)
+    plain = [F.transform(found(f"(?i)({p})", 1), each(k)) for k, p in enumerate(V.DYNAMIC_USES)]
+    named = [F.zip_with(found(f"(?i)({p})", 1), found(f"(?i){p}", 1), pair(k)) for k, p in enumerate(V.DYNAMIC_IMPORTS, len(plain))]
+    return files.select(key, F.explode(F.slice(F.concat(*plain, *named), 1, most)).alias("s")).select(key, "s.*")
+
+
+def dynamic_findings(signs: DataFrame, key: str) -> DataFrame:
+    """Uncertain findings of files with dynamic use (M16, H22): confidence .4 where
+    a module is imported by name, else .3; always of low severity."""
+    by = signs.groupBy(key).agg(F.count("*").alias("n_signs"), F.count("module").alias("n_imports"))
+    found = F.col("n_imports") > 0
+    name = F.concat(F.when(found, "dynamic_import_").otherwise("dynamic_usage_"), F.substring_index(key, "/", -1))
+    return by.select(key, name.alias("symbol_name"), F.lit("uncertain_dynamic").alias("unused_type"), F.when(found, 0.4).otherwise(0.3).alias("confidence"), F.lit("low").alias("severity"), "n_signs", "n_imports")
+
+
+def criteria(**weights: float) -> dict[str, float]:
+    """Weights of the criteria, those given in place of the usual ones, made to
+    sum to 1 where they do not within a hundredth (M19)."""
+    all_ = V.CRITERIA | weights
+    total = sum(all_.values())
+    if abs(total - 1.0) <= 0.01:
+        return all_
+    if total <= 0:
+        raise ValueError("weights sum to zero")
+    return {k: w / total for k, w in all_.items()}
+
+
+def priority_score(impact: Column, confidence: Column, effort: Column, risk: Column, performance: Column | float = 0.0, architecture: Column | float = 0.0, weights: dict[str, float] | None = None) -> Column:
+    """Priority of a decision: weighted criteria times confidence."""
+    w = weights or V.CRITERIA
+    lit = lambda x: F.lit(x) if isinstance(x, float) else x
+    raw = impact * w["code_quality"] + lit(performance) * w["performance"] + lit(architecture) * w["architecture"] + (1.0 - risk) * w["risk"] + (1.0 - effort) * w["effort"]
+    return clamp(raw * confidence)
 
 
-def priority_score(impact: Column, confidence: Column, effort: Column, risk: Column) -> Column:
-    """Priority of a decision."""
-    return 0.4 * impact + 0.3 * confidence + 0.2 * (1 - effort) + 0.1 * (1 - risk)
+def priority_bucket(score: Column, confidence: Column, impact: Column) -> Column:
+    return F.when((confidence < 0.5) & (impact > 0.6), "deferred").when(score >= 0.9, "critical").when(score >= 0.7, "high").when(score >= 0.5, "medium").otherwise("low")
 
 
-def priority_bucket(score: Column, confidence: Column, impact: Column) -> Column:
-    return F.when((confidence < 0.5) & (impact > 0.6), "DEFERRED").when(score >= 0.9, "CRITICAL").when(score >= 0.7, "HIGH").when(score >= 0.5, "MEDIUM").otherwise("LOW")
+def risk_adjusted(impact: Column, confidence: Column, risk: Column) -> Column:
+    """What decisions are ordered by (T5)."""
+    return impact * confidence * (1.0 - risk * 0.3)
 
 
-def decisions(clones: DataFrame, smells: DataFrame, unused: DataFrame) -> DataFrame:
-    """Decisions from clone groups, smells and unused symbols (M17, P17; smells by
-    their own type, H21): decision_type, target, confidence, impact, effort,
-    risk, score, priority, in order of score less risk (T5)."""
+def clone_decisions(clones: DataFrame) -> DataFrame:
+    """Decisions from groups of clones (M17): those not to be extracted with any
+    confidence are left out."""
     n = F.col("group_size")
-    a = clones.select(F.lit("extract_clone").alias("decision_type"), F.col("group_id").alias("target"), F.col("similarity").alias("confidence"), F.least(F.lit(1.0), 0.3 + 0.1 * n).alias("impact"), F.least(F.lit(1.0), 0.2 + 0.1 * n).alias("effort"), F.when(F.col("clone_type") == "exact", 0.3).otherwise(0.5).alias("risk"))
-    level = lambda *v: F.when(F.col("severity") == "critical", v[0]).when(F.col("severity") == "high", v[1]).when(F.col("severity") == "medium", v[2]).otherwise(v[3])
-    b = smells.select(F.concat(F.lit("fix_"), "smell_type").alias("decision_type"), F.col("target"), F.col("confidence"), level(0.9, 0.7, 0.5, 0.3).alias("impact"), level(0.8, 0.8, 0.5, 0.2).alias("effort"), level(0.5, 0.5, 0.3, 0.3).alias("risk"))
-    c = unused.where(band(F.col("confidence")) == "high").select(F.lit("remove_unused").alias("decision_type"), F.col("target"), F.col("confidence"), F.lit(0.6).alias("impact"), F.lit(0.2).alias("effort"), F.lit(0.3).alias("risk"))
-    out = a.unionByName(b).unionByName(c)
-    out = out.withColumn("score", priority_score(F.col("impact"), F.col("confidence"), F.col("effort"), F.col("risk")))
-    out = out.withColumn("priority", priority_bucket(F.col("score"), F.col("confidence"), F.col("impact")))
-    return out.orderBy((F.col("score") * (1 - F.col("risk"))).desc(), "decision_type", "target")
+    kept = clones.where(~((F.coalesce("strategy", F.lit("")).isin("", "no_extraction")) & (F.col("extraction_confidence") < 0.5)))
+    kind = F.when(F.lit(False), "")
+    for part, decision in V.CLONE_DECISIONS.items():
+        kind = kind.when(F.col("strategy").contains(part), decision)
+    return kept.select(
+        kind.otherwise("eliminate_duplicates").alias("decision_type"), F.col("group_id").alias("target"), clamp(F.greatest(F.col("similarity"), F.col("extraction_confidence"), F.lit(0.5))).alias("confidence"),
+        clamp(0.3 + n * 0.1).alias("impact"), clamp(0.2 + n * 0.1).alias("effort"), F.when(F.col("clone_type") == "exact", 0.3).otherwise(0.5).alias("risk"), F.greatest(F.lit(0.5), n * 0.5).alias("hours"),
+    )
+
+
+def smell_decisions(smells: DataFrame) -> DataFrame:
+    """Decisions from smells by their own type."""
+    level = lambda usual, **v: F.coalesce(mapped(v, F.col("severity")), F.lit(usual))
+    effort = level(0.5, critical=0.8, low=0.2)
+    return smells.select(
+        F.coalesce(mapped(V.SMELL_DECISIONS, F.col("smell_type")), F.lit("improve_cohesion")).alias("decision_type"), F.col("target"), clamp(F.coalesce("confidence", F.lit(0.7))).alias("confidence"),
+        level(0.5, critical=0.9, high=0.7, low=0.3).alias("impact"), effort.alias("effort"), level(0.3, critical=0.5, high=0.5).alias("risk"), (effort * 8).alias("hours"),
+    )
+
+
+def unused_decisions(unused: DataFrame) -> DataFrame:
+    """Decisions from unused symbols of high confidence."""
+    sure = unused.where(band(F.col("confidence")) == "high")
+    return sure.select(F.lit("remove_unused_code").alias("decision_type"), "target", clamp(F.col("confidence")).alias("confidence"), F.lit(0.6).alias("impact"), F.lit(0.2).alias("effort"), F.lit(0.2).alias("risk"), F.lit(0.5).alias("hours"))
+
+
+def ranked_decisions(found: DataFrame, least_confidence: float = 0.7, least_impact: float = 0.5, most_effort: float = 0.8, weights: dict[str, float] | None = None) -> DataFrame:
+    """Decisions with score and priority (M18), without those that the criteria
+    rule out (F16), in order of impact, confidence and risk (T5)."""
+    c = F.col
+    out = found.withColumn("score", priority_score(c("impact"), c("confidence"), c("effort"), c("risk"), weights=weights))
+    out = out.withColumns({"priority": priority_bucket(c("score"), c("confidence"), c("impact")), "rank_score": risk_adjusted(c("impact"), c("confidence"), c("risk"))})
+    kept = out.where((c("confidence") >= least_confidence) & (c("impact") >= least_impact) & (c("effort") <= most_effort))
+    return kept.orderBy(F.desc("rank_score"), "decision_type", "target")
+
+
+def decisions(clones: DataFrame, smells: DataFrame, unused: DataFrame) -> DataFrame:
+    """Decisions from groups of clones, smells and unused symbols, scored, filtered
+    and ranked (M17, M18, F16, T5)."""
+    return ranked_decisions(clone_decisions(clones).unionByName(smell_decisions(smells)).unionByName(unused_decisions(unused)))
 
 
 def steps(plans: DataFrame, recommendation: str = "recommendation") -> DataFrame:

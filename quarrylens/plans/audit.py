@@ -5,6 +5,7 @@ Every step is lazy; ``run`` writes the facts once, since all else reads them.
 
 from __future__ import annotations
 
+import builtins
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,10 +19,7 @@ from ..operators import rules as R
 from ..operators import similarity as C
 from ..sources import code, extract
 
-#: Weights of severities in hotspots and in the health score.
-SEVERITY = {"critical": 5.0, "high": 3.0, "medium": 1.5, "low": 0.5, "info": 0.1}
-# Words that tell a method's responsibility, first match wins (M9).
-RESPONSIBILITIES = [("^(get|fetch|load|read|find)", "access"), ("^(set|save|store|write|update)", "change"), ("^(is|has|can|check|valid)", "check"), ("^(parse|format|convert|to_|from_)", "convert"), ("^(calc|compute|count|sum)", "compute"), ("^(print|show|render|report|log)", "report")]
+BUILTINS = tuple(n for n in dir(builtins) if not n.startswith("_"))
 
 
 @dataclass
@@ -47,41 +45,58 @@ def facts(spark: SparkSession, root: str, target: str) -> Audit:
 
 
 def class_metrics(a: Audit) -> DataFrame:
-    """Methods, responsibilities, cohesion and lines of each class."""
-    methods = a.symbols.where("kind = 'method'").withColumn("duty", R.first_match(F.lower("name"), RESPONSIBILITIES, "other"))
-    counts = methods.groupBy(F.col("parent_uid").alias("symbol_uid")).agg(F.count("*").alias("method_count"), F.count_distinct("duty").alias("responsibility_count"))
-    access = methods.select("symbol_uid", F.col("parent_uid").alias("scope")).join(a.accesses.select("symbol_uid", "attribute_name"), "symbol_uid", "left")
-    held = R.cohesion(access, "scope", "symbol_uid", "attribute_name").select(F.col("scope").alias("symbol_uid"), "cohesion")
-    classes = a.symbols.where("kind = 'class'").select("symbol_uid", "file_path", "qualified_name", F.col("lines_of_code").alias("lines"), "line_start", "line_end")
-    return classes.join(counts, "symbol_uid", "left").join(held, "symbol_uid", "left").na.fill(0, ["method_count", "responsibility_count"]).na.fill(1.0, ["cohesion"])
+    """Methods, responsibilities, cohesion, foreign and private accesses, external
+    dependencies and lines of each class (P1, M8, M9). Cohesion is over attributes
+    that the class assigns; without any it is 1."""
+    methods = a.symbols.where("kind = 'method'").select("symbol_uid", F.col("parent_uid").alias("class_uid"), "name", R.responsibility(F.col("name"))[0].alias("duty"))
+    counts = methods.groupBy("class_uid").agg(F.count("*").alias("method_count"), F.count_distinct("duty").alias("responsibility_count"))
+    access = methods.join(a.accesses, "symbol_uid")
+    mine = F.coalesce(F.col("receiver") == "self", F.lit(False))
+    hidden = F.col("attribute_name").startswith("_") & ~F.col("attribute_name").startswith("__")
+    foreign = access.where(~mine).groupBy("class_uid").agg(F.count("*").alias("foreign_accesses"), F.count_if(hidden).alias("private_accesses"))
+    owned = access.where(mine & (F.col("access_type") == "write")).select("class_uid", "attribute_name").distinct()
+    touched = access.where(mine).join(owned, ["class_uid", "attribute_name"], "left_semi").select("symbol_uid", "attribute_name")
+    held = methods.join(owned.select("class_uid").distinct(), "class_uid", "left_semi").join(touched, "symbol_uid", "left")
+    held = R.cohesion(held, "class_uid", "symbol_uid", "attribute_name").select("class_uid", "cohesion")
+    calls = a.dependencies.where("dependency_kind = 'calls'").join(methods.select(F.col("symbol_uid").alias("source_uid"), "class_uid"), "source_uid")
+    plain = ~F.col("target_external").contains(".")
+    outside = F.when(plain, ~F.col("target_external").startswith("_") & ~F.col("target_external").isin(*BUILTINS)).otherwise(~F.substring_index("target_external", ".", 1).isin("self", "cls"))
+    deps = calls.where(outside).groupBy("class_uid").agg(F.count_distinct(F.substring_index("target_external", ".", -1)).alias("external_dependencies"))
+    out = a.symbols.where("kind = 'class'").select(F.col("symbol_uid").alias("class_uid"), "file_path", "qualified_name", F.col("lines_of_code").alias("lines"), "line_start", "line_end")
+    for x in (counts, foreign, held, deps):
+        out = out.join(x, "class_uid", "left")
+    return out.na.fill(0, ["method_count", "responsibility_count", "foreign_accesses", "private_accesses", "external_dependencies"]).na.fill(1.0, ["cohesion"])
 
 
 def method_metrics(a: Audit) -> DataFrame:
-    """What the method rules need."""
-    uses = a.accesses.groupBy("symbol_uid").agg(F.count("*").alias("accesses"), F.count_if(F.col("attribute_name").startswith("_") & ~F.col("attribute_name").startswith("__")).alias("private_accesses"))
-    calls = a.dependencies.where("dependency_kind = 'calls'").groupBy(F.col("source_uid").alias("symbol_uid")).agg(F.count_if(~F.col("target_external").rlike("^(self|cls)[.]")).alias("external_accesses"), F.count_distinct(F.substring_index("target_external", ".", 1)).alias("external_dependencies"), F.count("*").alias("calls"))
-    nest = a.blocks.groupBy("symbol_uid").agg(F.max("nesting_level").alias("nesting"), F.sum("statement_count").alias("statements"))
-    out = a.symbols.where("kind IN ('method', 'function')").select("symbol_uid", "file_path", "qualified_name", F.col("lines_of_code").alias("lines"), F.col("complexity_score").alias("complexity"), "line_start", "line_end")
-    for x in (uses, calls, nest):
-        out = out.join(x, "symbol_uid", "left")
-    return out.withColumn("responsibilities", F.lit(1)).na.fill(0)
+    """What the method rules need (M3, M4, M6, P1): chains of attributes count once."""
+    mine = F.coalesce(F.col("root") == "self", F.lit(False))
+    uses = a.accesses.where("outermost").groupBy("symbol_uid").agg(F.count("*").alias("accesses"), F.count_if(~mine).alias("external_accesses"))
+    out = a.symbols.where("kind IN ('method', 'function')").select(
+        "symbol_uid", "file_path", "qualified_name", F.col("lines_of_code").alias("lines"), F.col("statement_count").alias("statements"), F.col("smell_complexity").alias("complexity"),
+        F.col("nesting_depth").alias("nesting"), (F.col("kind") == "method").alias("in_class"), "line_start", "line_end",
+    )
+    return out.join(uses, "symbol_uid", "left").na.fill(0)
 
 
 def findings(a: Audit) -> DataFrame:
     """Findings of all rules in one table, the smell type as a column of its own."""
     where = ["file_path", "line_start", "line_end"]
-    god = R.god_class(class_metrics(a)).select(*where, F.col("qualified_name").alias("target"), "smell_type", "severity", F.lit(0.8).alias("confidence"))
-    smells = R.method_smells(method_metrics(a)).select(*where, F.col("qualified_name").alias("target"), "smell_type", F.lit("medium").alias("severity"), F.lit(0.7).alias("confidence"))
+    row = [*where, F.col("qualified_name").alias("target"), "smell_type", "severity", "confidence"]
+    classes = class_metrics(a)
+    god = R.god_class(classes).select(*row).unionByName(R.class_smells(classes).select(*row))
+    smells = R.method_smells(method_metrics(a)).select(*row)
     dead = unused(a).select(*where, F.col("qualified_name").alias("target"), F.lit("unused").alias("smell_type"), F.lit("low").alias("severity"), "confidence")
     members = clones(a).select("clone_type", F.col("similarity").alias("confidence"), F.explode("members").alias("block_uid")).join(a.blocks, "block_uid")
     twins = members.select(*where, F.col("block_uid").alias("target"), F.concat(F.lit("clone_"), "clone_type").alias("smell_type"), F.lit("medium").alias("severity"), "confidence")
     out = god.unionByName(smells).unionByName(dead).unionByName(twins)
-    kind = F.when(F.col("smell_type") == "unused", "unused_code").when(F.col("smell_type").startswith("clone_"), "duplicate_code").otherwise("quality_issue")
+    kind = F.when(F.col("smell_type") == "unused", "unused_code").when(F.col("smell_type").startswith("clone_"), "duplicate_block").otherwise("quality_issue")
     return out.withColumn("finding_type", kind).withColumn("finding_id", F.sha2(F.concat_ws("|", "file_path", "line_start", "target", "smell_type"), 256))
 
 
 def clones(a: Audit, least_lines: int = 3) -> DataFrame:
-    return C.clone_groups(a.blocks.where(F.col("lines_of_code") >= least_lines))
+    place = F.concat("file_path", F.lit(":"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"))
+    return C.clone_groups(a.blocks, least_lines=least_lines, place=place)
 
 
 def unused(a: Audit, least: float = 0.5) -> DataFrame:
@@ -115,22 +130,21 @@ def statistics(found: DataFrame) -> DataFrame:
 
 def hotspots(found: DataFrame) -> DataFrame:
     """Files by weighed findings."""
-    return A.weighted_hotspots(found, "file_path", "severity", F.col("confidence"), SEVERITY, "target", [F.desc("confidence"), F.col("finding_id")])
+    return A.weighted_hotspots(found, "file_path", "severity", F.col("confidence"), "target", [F.desc("confidence"), F.col("finding_id")])
 
 
 def health(found: DataFrame, files: DataFrame) -> DataFrame:
     """Health of the project, 0 to 100."""
-    weight = F.element_at(F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv)), F.col("severity"))
-    parts = found.select((weight * F.col("confidence")).alias("w"), F.lit(0).alias("f")).unionByName(files.select(F.lit(0.0).alias("w"), F.lit(1).alias("f")))
-    out = parts.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("penalty"), F.coalesce(F.sum("f"), F.lit(0)).alias("n_files"))
-    return out.withColumn("score", A.health_score(100 * F.col("penalty"), F.col("n_files")))
+    out = A.health_penalty(found, "severity", "finding_type").withColumn("k", F.lit(1)).join(files.agg(F.count("*").alias("n_files")).withColumn("k", F.lit(1)), "k").drop("k")
+    score = A.health_score(F.col("penalty"), F.col("n_files"))
+    return out.withColumn("score_raw", score).withColumn("score", F.rint("score_raw").cast("int"))
 
 
 def decisions(a: Audit, found: DataFrame) -> DataFrame:
     """Ranked decisions."""
     smells = found.where("finding_type = 'quality_issue'").select("smell_type", "severity", "target", "confidence")
     dead = found.where("smell_type = 'unused'").select("target", "confidence")
-    return R.decisions(clones(a), smells, dead)
+    return R.decisions(C.ranked_clones(clones(a), a.blocks), smells, dead)
 
 
 def file_graph(a: Audit) -> DataFrame:
@@ -150,6 +164,6 @@ def neighbors(edges: DataFrame, path: str, most: int = 30) -> DataFrame:
 def refactoring_path(found: DataFrame) -> DataFrame:
     """The worst file's findings as numbered steps: duplicates, clean-up, quality."""
     worst = hotspots(found).orderBy(F.desc("score"), "file_path").limit(1).select("file_path")
-    phase = F.when(F.col("finding_type") == "duplicate_code", 1).when(F.col("finding_type") == "unused_code", 2).otherwise(3)
+    phase = F.when(F.col("finding_type") == "duplicate_block", 1).when(F.col("finding_type") == "unused_code", 2).otherwise(3)
     mine = found.join(worst, "file_path", "left_semi").withColumn("phase", phase)
     return mine.withColumn("step", F.row_number().over(Window.partitionBy("file_path").orderBy("phase", F.desc("confidence"), "finding_id")))

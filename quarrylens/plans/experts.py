@@ -70,11 +70,21 @@ def cohesion_matrix(a: Audit) -> DataFrame:
 
 
 def test_coverage(a: Audit, tests: DataFrame) -> DataFrame:
-    """Symbols and whether any test's text names them (E6, U3, H23): tests has
-    file_path and content. Words of the tests are joined by equality."""
-    words = tests.select(F.explode(F.array_distinct(F.split("content", r"\W+"))).alias("name")).distinct().withColumn("tested", F.lit(True))
+    """Symbols and whether their name stands anywhere in a test's text, in a longer
+    word too (E6, U3, H23): tests has file_path and content."""
     public = a.symbols.where("kind IN ('function', 'method', 'class') AND is_public")
-    return public.join(words, "name", "left").na.fill(False, ["tested"]).select("symbol_uid", "file_path", "name", "kind", "tested")
+    named = J.named_within(public.select("name"), "name", tests, "content").withColumn("tested", F.lit(True))
+    return public.join(named, "name", "left").na.fill(False, ["tested"]).select("symbol_uid", "file_path", "name", "kind", "tested")
+
+
+def coverage_share(covered: DataFrame, test_file: str, covers: DataFrame) -> DataFrame:
+    """Share of the target's symbols that each test file names, and the mean over
+    test files as one further row with a null file (A34). covered: all symbols
+    (name); covers: test file, name."""
+    total = covered.select("name").distinct().count()
+    each = covers.join(covered.select("name").distinct(), "name", "left_semi").groupBy(test_file).agg(F.count_distinct("name").alias("n"))
+    each = covers.select(test_file).distinct().join(each, test_file, "left").select(test_file, F.when(F.lit(total) > 0, 100.0 * F.coalesce("n", F.lit(0)) / total).otherwise(0.0).alias("percent"))
+    return each.unionByName(each.agg(F.lit(None).cast(each.schema[test_file].dataType).alias(test_file), F.avg("percent").alias("percent")))
 
 
 def characterisation_cases(details: DataFrame) -> DataFrame:

@@ -1,15 +1,19 @@
-"""Extension points (V1-V6): operators, hooks and decision rules by name."""
+"""Extension points (V1-V6), caching and progress (D8, R6): operators, hooks and
+decision rules by name."""
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from importlib.metadata import entry_points
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming.listener import StreamingQueryListener
+
+from ..values import HOOK_POINTS as POINTS  # custom ones may be added by name
 
-#: Points of the pipeline at which hooks may be set; others may be added by name.
-POINTS = ("before_scan", "after_scan", "before_extract", "after_extract", "before_findings", "after_findings", "before_decisions", "after_decisions", "before_report", "after_report")
 KINDS = ("analysis", "refactoring", "knowledge", "validation", "reporting", "orchestration")
 
 
@@ -80,3 +84,51 @@ def steps_of(steps: Iterable[tuple[int, str, Callable[[], DataFrame]]], least: i
             except Exception as e:
                 errors[name] = f"{type(e).__name__}: {e}"
     return results, errors
+
+
+def parallel_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """A function of Arrow batches (pandas frames) over all rows (V6)."""
+    return df.mapInPandas(lambda batches: map(f, batches), schema)
+
+
+def parallel_filter(df: DataFrame, f: Callable) -> DataFrame:
+    """Rows for which a function of a pandas frame gives true (V6)."""
+    return df.mapInPandas(lambda batches: (b[f(b)] for b in batches), df.schema)
+
+
+def parallel_reduce(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """Batches reduced to a frame each in the tasks, then all of those to one (V6):
+    ``f`` must give a few rows whatever it is given."""
+    part = df.mapInPandas(lambda batches: map(f, batches), schema)
+    return part.repartition(1).mapInPandas(lambda batches: iter([f(pd.concat(list(batches)))]), schema)
+
+
+@contextmanager
+def cached(*frames: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
+    """Frames kept on the executors while the block runs."""
+    held = [df.persist() for df in frames]
+    try:
+        yield tuple(held)
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+class Progress(StreamingQueryListener):
+    """Keeps what streaming queries report of each batch (R6): query, batch, rows, milliseconds."""
+
+    def __init__(self):
+        self.rows: list[tuple[str, int, int, int]] = []
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.rows.append((p.name or str(p.id), p.batchId, p.numInputRows, p.batchDuration))
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass

@@ -225,22 +225,28 @@ def importers(t: Tables) -> DataFrame:
     return out.agg(F.count("*").alias("uses"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("kinds"))
 
 
-@query("""WITH w AS (SELECT *, CASE event_type WHEN 'error' THEN 8 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END AS weight,
-row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events)
-SELECT user_id, sum(weight * round(value * 100)::BIGINT)::BIGINT AS score, count(*)::BIGINT AS n, string_agg(CASE WHEN r <= 5 THEN event_id::VARCHAR END, ',' ORDER BY r) AS examples FROM w GROUP BY 1""")
+_SEVERITY = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'medium' WHEN 'view' THEN 'low' ELSE 'info' END"
+
+
+@query(f"""WITH s AS (SELECT *, {_SEVERITY} AS severity FROM events), w AS (SELECT *, CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 6 WHEN 'medium' THEN 3 WHEN 'low' THEN 1 ELSE 0.25 END::DOUBLE AS weight,
+row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM s)
+SELECT user_id, sum(weight * round(value * 100)) AS score, count(*)::BIGINT AS n, string_agg(CASE WHEN r <= 5 THEN event_id::VARCHAR END, ',' ORDER BY r) AS examples FROM w GROUP BY 1""")
 def hotspots(t: Tables) -> DataFrame:
-    """A13, W3."""
-    out = A.weighted_hotspots(t.events, "user_id", "event_type", cents("value"), {"error": 8, "purchase": 3, "signup": 2, "view": 1, "click": 1}, "event_id", [F.desc("value"), F.col("event_id")])
-    return out.select("user_id", F.col("score").cast("long").alias("score"), "n", F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples"))
+    """Users in the role of files, whole hundredths as confidence."""
+    found = t.events.withColumn("severity", F.expr(_SEVERITY))
+    out = A.weighted_hotspots(found, "user_id", "severity", cents("value").cast("double"), "event_id", [F.desc("value"), F.col("event_id")])
+    return out.select("user_id", "score", "n", F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples"))
 
 
-@query("""WITH s AS (SELECT sum(CASE event_type WHEN 'error' THEN 8 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END)::BIGINT AS penalty, count(DISTINCT user_id)::BIGINT AS files FROM events)
-SELECT penalty, files, 100.0::DOUBLE / (1.0::DOUBLE + penalty::DOUBLE / greatest(files * 15.0::DOUBLE, 1.0::DOUBLE)) AS score FROM s""")
+@query(f"""WITH s AS (SELECT sum(CASE {_SEVERITY} WHEN 'critical' THEN 250 WHEN 'high' THEN 100 WHEN 'medium' THEN 40 WHEN 'low' THEN 15 ELSE 0 END
++ CASE event_type WHEN 'error' THEN 8 WHEN 'view' THEN 4 WHEN 'click' THEN 3 ELSE 0 END) / 10.0::DOUBLE AS penalty, count(DISTINCT user_id)::BIGINT AS files FROM events)
+SELECT penalty, files, 100.0::DOUBLE / (1.0::DOUBLE + penalty / greatest(files * 15.0::DOUBLE, 1.0::DOUBLE)) AS score FROM s""")
 def health_score(t: Tables) -> DataFrame:
     """A14."""
-    weight = F.when(F.col("event_type") == "error", 8).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "signup", 2).otherwise(1)
-    out = t.events.agg(F.sum(weight).alias("penalty"), F.count_distinct("user_id").alias("files"))
-    return out.withColumn("score", A.health_score(F.col("penalty").cast("double"), F.col("files")))
+    kind = F.expr("CASE event_type WHEN 'error' THEN 'duplicate_block' WHEN 'view' THEN 'unused_code' WHEN 'click' THEN 'quality_issue' ELSE 'other' END")
+    found = t.events.withColumns({"severity": F.expr(_SEVERITY), "kind": kind})
+    out = A.health_penalty(found, "severity", "kind").crossJoin(t.events.agg(F.count_distinct("user_id").alias("files")))  # one row each
+    return out.withColumn("score", A.health_score(F.col("penalty"), F.col("files")))
 
 
 @query("""SELECT event_type, CASE WHEN value >= 80 THEN 'high' WHEN value >= 50 THEN 'medium' ELSE 'low' END AS band, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY 1, 2""")

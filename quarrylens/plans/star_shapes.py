@@ -13,6 +13,7 @@ from ..operators import lookups as L
 from ..operators import rules as R
 from ..operators import similarity as C
 from ..sources.tables import Tables
+from . import views
 from .registry import query
 from .star_basic import _trade, cents
 
@@ -142,30 +143,86 @@ def resolution_cascade(t: Tables) -> DataFrame:
     return J.cascade(calls.select("k"), "k", rules, "target").select("k", "rule", "target")
 
 
-@query("""WITH g AS (SELECT p_name, p_brand, count(*) AS n, sum(p_size)::BIGINT AS size_sum FROM part GROUP BY 1, 2 HAVING count(*) >= 2),
-s AS (SELECT *, least(1.0::DOUBLE, 0.85::DOUBLE + least(0.03::DOUBLE, (n - 2) * 0.01::DOUBLE)) AS similarity, size_sum::DOUBLE / n AS mean_size FROM g)
-SELECT p_name, p_brand, n::BIGINT AS n, similarity, CASE WHEN mean_size >= 30 THEN 'extract_method' WHEN mean_size >= 20 THEN 'parameterize_method' ELSE 'review' END AS strategy FROM s
-ORDER BY similarity DESC, n DESC, p_name, p_brand LIMIT 200""")
+_BLOCKS = """WITH RECURSIVE b AS (SELECT p_partkey AS k, p_name || '|' || p_brand || '|' || p_type AS tok, p_name || '|' || p_brand AS ast, p_brand || '|' || p_size AS nrm, p_size AS loc, p_size % 12 AS st, p_partkey % 6 AS nest,
+CASE p_partkey % 3 WHEN 0 THEN 'function_body' WHEN 1 THEN 'if' ELSE 'class_body' END AS bt, p_partkey % 7 AS f FROM part WHERE p_size >= 3),
+g1 AS (SELECT 'exact' AS t, 'exact' AS ch, tok AS fp, list(k ORDER BY k) AS m FROM b GROUP BY 3 HAVING count(*) >= 2), b1 AS (SELECT * FROM b WHERE k NOT IN (SELECT unnest(m) FROM g1)),
+g2 AS (SELECT 'hybrid' AS t, 'normalized,structural' AS ch, ast || '|' || nrm AS fp, list(k ORDER BY k) AS m FROM b1 GROUP BY 3 HAVING count(*) >= 2), b2 AS (SELECT * FROM b1 WHERE k NOT IN (SELECT unnest(m) FROM g2)),
+g3 AS (SELECT 'structural' AS t, 'structural' AS ch, ast AS fp, list(k ORDER BY k) AS m FROM b2 GROUP BY 3 HAVING count(*) >= 2), b3 AS (SELECT * FROM b2 WHERE k NOT IN (SELECT unnest(m) FROM g3)),
+g4 AS (SELECT 'semantic' AS t, 'normalized' AS ch, nrm AS fp, list(k ORDER BY k) AS m FROM b3 GROUP BY 3 HAVING count(*) >= 2),
+g AS (SELECT *, len(m) AS n, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE t WHEN 'exact' THEN 1.0 WHEN 'hybrid' THEN 0.95 WHEN 'structural' THEN 0.9 ELSE 0.85 END::DOUBLE + least(0.03::DOUBLE, (len(m) - 2) * 0.01::DOUBLE))) AS sim
+FROM (FROM g1 UNION ALL FROM g2 UNION ALL FROM g3 UNION ALL FROM g4)),
+x AS (SELECT g.t, g.fp, g.k, g.n, g.sim, b.loc, b.st, b.f, greatest(0, least(20, 10 + CASE WHEN loc >= 10 THEN 4 WHEN loc >= 5 THEN 2 ELSE 0 END + CASE WHEN st >= 5 THEN 4 WHEN st >= 3 THEN 2 ELSE 0 END
++ CASE WHEN nest <= 2 THEN 2 WHEN nest >= 4 THEN -2 ELSE 0 END + CASE bt WHEN 'function_body' THEN 2 WHEN 'if' THEN 1 ELSE 0 END)) AS fe FROM (SELECT *, unnest(m) AS k FROM g) g JOIN b ON g.k = b.k),
+y AS (SELECT t, fp, n, sim, sum(loc)::BIGINT AS total_lines, sum(loc)::DOUBLE / n AS ml, sum(st)::DOUBLE / n AS ms, sum(fe)::DOUBLE / (20 * n) AS feasible, count(DISTINCT f)::BIGINT AS n_files, arg_min(k, {'f': -fe, 'k': k}) AS representative FROM x GROUP BY 1, 2, 3, 4),
+z AS (SELECT *, CASE WHEN t = 'exact' AND ml >= 10 AND ms >= 5 THEN 'extract_method' WHEN t = 'exact' AND ml >= 5 THEN 'extract_function' WHEN t = 'structural' AND ml >= 15 AND ms >= 8 THEN 'parameterize' WHEN t = 'structural' AND ml >= 8 THEN 'extract_method'
+WHEN t = 'semantic' AND ml >= 20 AND ms >= 10 THEN 'template_method' WHEN t = 'semantic' AND ml >= 10 THEN 'parameterize' WHEN t = 'hybrid' AND ml >= 12 AND ms >= 6 THEN 'extract_method' ELSE 'no_extraction' END AS strategy FROM y),
+c AS (SELECT *, CASE WHEN strategy = 'no_extraction' THEN 0.0::DOUBLE WHEN t = 'exact' AND strategy = 'extract_method' THEN least(0.95::DOUBLE, feasible + 0.15::DOUBLE) WHEN t = 'exact' THEN least(0.85::DOUBLE, feasible + 0.05::DOUBLE)
+WHEN t = 'structural' AND strategy = 'parameterize' THEN least(0.85::DOUBLE, feasible) WHEN t = 'structural' THEN least(0.8::DOUBLE, feasible) WHEN t = 'semantic' AND strategy = 'template_method' THEN least(0.75::DOUBLE, feasible)
+WHEN t = 'semantic' THEN least(0.7::DOUBLE, feasible) ELSE least(0.9::DOUBLE, feasible + 0.05::DOUBLE) END AS conf FROM z),
+r AS (SELECT *, least(1.0::DOUBLE, (sim * 0.3::DOUBLE + least(1.0::DOUBLE, n / 10.0::DOUBLE) * 0.2::DOUBLE + least(1.0::DOUBLE, ml / 20.0::DOUBLE) * 0.2::DOUBLE + conf * 0.2::DOUBLE + CASE WHEN n_files > 1 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)
+* CASE t WHEN 'exact' THEN 1.0 WHEN 'hybrid' THEN 0.95 WHEN 'structural' THEN 0.9 ELSE 0.8 END::DOUBLE) AS ranking FROM c)
+"""
+
+
+def _blocks(t: Tables) -> DataFrame:
+    """Parts in the role of blocks of code."""
+    return t.part.selectExpr(
+        "p_partkey AS block_uid", "p_name || '|' || p_brand || '|' || p_type AS token_fingerprint", "p_name || '|' || p_brand AS ast_fingerprint", "p_brand || '|' || p_size AS normalized_fingerprint", "p_size AS lines_of_code",
+        "p_size % 12 AS statement_count", "p_partkey % 6 AS nesting_level", "CASE p_partkey % 3 WHEN 0 THEN 'function_body' WHEN 1 THEN 'if' ELSE 'class_body' END AS block_type", "p_partkey % 7 AS file_path",
+        "p_partkey AS line_start", "p_partkey + p_size AS line_end",
+    )
+
+
+@query(_BLOCKS + """SELECT t AS clone_type, fp AS fingerprint, n::BIGINT AS group_size, sim AS similarity, total_lines, ml AS mean_lines, feasible, n_files, representative, strategy, conf AS extraction_confidence, ranking FROM r WHERE ranking > 0.35""")
 def clone_ranking(t: Tables) -> DataFrame:
-    """C5-C7, T3, T9."""
-    g = t.part.groupBy("p_name", "p_brand").agg(F.count("*").alias("n"), F.sum("p_size").alias("size_sum")).where("n >= 2")
-    mean = F.col("size_sum").cast("double") / F.col("n")
-    g = g.withColumn("similarity", F.least(F.lit(1.0), F.lit(0.85) + F.least(F.lit(0.03), (F.col("n") - 2) * F.lit(0.01))))
-    g = g.withColumn("strategy", F.when(mean >= 30, "extract_method").when(mean >= 20, "parameterize_method").otherwise("review"))
-    return L.top_k(g.drop("size_sum"), 200, F.desc("similarity"), F.desc("n"), "p_name", "p_brand")
-
-
-@query("""WITH d AS (SELECT user_id, event_type, count(*) AS n, max(round(value * 100)::BIGINT) AS v FROM events GROUP BY 1, 2),
-x AS (SELECT *, least(100, n * 5)::BIGINT AS confidence, least(100, 30 + v // 1000)::BIGINT AS impact, least(100, 20 + n)::BIGINT AS effort, CASE event_type WHEN 'error' THEN 50 ELSE 30 END::BIGINT AS risk FROM d),
-s AS (SELECT *, (40 * impact + 30 * confidence + 20 * (100 - effort) + 10 * (100 - risk))::BIGINT AS score FROM x)
-SELECT user_id, event_type, confidence, impact, effort, risk, score, CASE WHEN confidence < 50 AND impact > 60 THEN 'DEFERRED' WHEN score >= 9000 THEN 'CRITICAL' WHEN score >= 7000 THEN 'HIGH' WHEN score >= 5000 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM s""")
+    """Passes, coverage, strategy, ranking."""
+    out = C.ranked_clones(C.clone_groups(_blocks(t)), _blocks(t))
+    return out.select("clone_type", "fingerprint", "group_size", "similarity", "total_lines", "mean_lines", "feasible", "n_files", "representative", "strategy", "extraction_confidence", "ranking")
+
+
+@query(_BLOCKS + """SELECT t AS clone_type, count(*)::BIGINT AS n_groups, sum(n)::BIGINT AS n_members, max(n)::BIGINT AS largest, round(avg(sim), 6) AS mean_similarity FROM g GROUP BY 1""")
+def clone_statistics(t: Tables) -> DataFrame:
+    """A16."""
+    return views.clone_statistics(C.clone_groups(_blocks(t))).withColumn("mean_similarity", F.round("mean_similarity", 6))
+
+
+@query(_BLOCKS + """, top AS (SELECT * FROM r WHERE ranking > 0.35), p AS (SELECT top.t, top.fp, b.f || ':' || b.k || '-' || (b.k + b.loc) AS s, row_number() OVER (PARTITION BY top.t, top.fp ORDER BY b.k) AS i FROM top JOIN g USING (t, fp) JOIN b ON list_contains(g.m, b.k))
+SELECT top.t AS clone_type, top.n::BIGINT AS group_size, top.total_lines, (SELECT string_agg(s, ' ' ORDER BY i) FROM p WHERE p.t = top.t AND p.fp = top.fp AND i <= 5) AS preview FROM top""")
+def clone_summary(t: Tables) -> DataFrame:
+    """All groups, five places of each shown."""
+    out = C.clone_summary(C.ranked_clones(C.clone_groups(_blocks(t)), _blocks(t)), _blocks(t), most=None)
+    return out.select("clone_type", "group_size", "total_lines", F.array_join("preview", " ").alias("preview"))
+
+
+_DECISIONS = """WITH d AS (SELECT user_id, event_type, count(*) AS n, max(round(value * 100)::BIGINT) AS v FROM events GROUP BY 1, 2),
+g AS (SELECT p_name || '|' || p_brand AS target, count(*) AS n, sum(p_size) AS s FROM part GROUP BY 1 HAVING count(*) >= 2),
+c AS (SELECT target, n, 0.9::DOUBLE AS sim, CASE WHEN s % 4 = 0 THEN 'extract_function' WHEN s % 4 = 1 THEN 'parameterize' WHEN s % 4 = 2 THEN 'template_method' ELSE 'no_extraction' END AS st, s % 100 / 100.0::DOUBLE AS conf, CASE WHEN s % 2 = 0 THEN 'exact' ELSE 'semantic' END AS t FROM g),
+f AS (SELECT CASE st WHEN 'extract_function' THEN 'extract_method' WHEN 'parameterize' THEN 'parameterize_duplicates' WHEN 'template_method' THEN 'template_method_pattern' ELSE 'eliminate_duplicates' END AS decision_type, target, greatest(sim, conf, 0.5::DOUBLE) AS confidence,
+least(1.0::DOUBLE, 0.3::DOUBLE + n * 0.1::DOUBLE) AS impact, least(1.0::DOUBLE, 0.2::DOUBLE + n * 0.1::DOUBLE) AS effort, CASE t WHEN 'exact' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS risk, greatest(0.5::DOUBLE, n * 0.5::DOUBLE) AS hours FROM c WHERE NOT (st = 'no_extraction' AND conf < 0.5)
+UNION ALL SELECT CASE event_type WHEN 'error' THEN 'decompose_god_class' WHEN 'purchase' THEN 'extract_method' WHEN 'signup' THEN 'reduce_method_complexity' WHEN 'view' THEN 'reduce_coupling' ELSE 'improve_cohesion' END, user_id || event_type, least(1.0::DOUBLE, n * 0.05::DOUBLE),
+CASE v // 5000 WHEN 0 THEN 0.3 WHEN 1 THEN 0.5 WHEN 2 THEN 0.7 ELSE 0.9 END::DOUBLE, CASE v // 5000 WHEN 0 THEN 0.2 WHEN 1 THEN 0.5 WHEN 2 THEN 0.5 ELSE 0.8 END::DOUBLE, CASE WHEN v // 5000 >= 2 THEN 0.5 ELSE 0.3 END::DOUBLE,
+CASE v // 5000 WHEN 0 THEN 0.2 WHEN 1 THEN 0.5 WHEN 2 THEN 0.5 ELSE 0.8 END::DOUBLE * 8 FROM d
+UNION ALL SELECT 'remove_unused_code', 'part ' || p_partkey, p_size / 50.0::DOUBLE, 0.6::DOUBLE, 0.2::DOUBLE, 0.2::DOUBLE, 0.5::DOUBLE FROM part WHERE p_size / 50.0::DOUBLE >= 0.8),
+s AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (impact * 0.3::DOUBLE + 0.0::DOUBLE * 0.2::DOUBLE + 0.0::DOUBLE * 0.25::DOUBLE + (1.0::DOUBLE - risk) * 0.15::DOUBLE + (1.0::DOUBLE - effort) * 0.1::DOUBLE) * confidence)) AS score, impact * confidence * (1.0::DOUBLE - risk * 0.3::DOUBLE) AS rank_score FROM f)
+"""
+
+
+@query(_DECISIONS + """SELECT decision_type, target, confidence, impact, effort, risk, hours, score, CASE WHEN confidence < 0.5 AND impact > 0.6 THEN 'deferred' WHEN score >= 0.9 THEN 'critical' WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS priority, rank_score
+FROM s WHERE confidence >= 0.7 AND impact >= 0.5 AND effort <= 0.8""")
 def decisions_ranked(t: Tables) -> DataFrame:
-    """M17, M18, F16, T5, in whole hundredths."""
+    """Groups of parts as clones, users' events as smells, parts as unused symbols."""
+    g = t.part.groupBy(F.concat_ws("|", "p_name", "p_brand").alias("group_id")).agg(F.count("*").alias("group_size"), F.sum("p_size").alias("s")).where("group_size >= 2")
+    clones = g.selectExpr(
+        "group_id", "group_size", "CAST(0.9 AS DOUBLE) AS similarity", "CASE s % 4 WHEN 0 THEN 'extract_function' WHEN 1 THEN 'parameterize' WHEN 2 THEN 'template_method' ELSE 'no_extraction' END AS strategy",
+        "s % 100 / 100D AS extraction_confidence", "CASE WHEN s % 2 = 0 THEN 'exact' ELSE 'semantic' END AS clone_type",
+    )
     d = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max(cents("value")).alias("v"))
-    cap = lambda x: F.least(F.lit(100), x).cast("long")
-    d = d.select("user_id", "event_type", cap(F.col("n") * 5).alias("confidence"), cap(30 + F.floor(F.col("v") / 1000)).alias("impact"), cap(20 + F.col("n")).alias("effort"), F.when(F.col("event_type") == "error", 50).otherwise(30).cast("long").alias("risk"))
-    d = d.withColumn("score", 40 * F.col("impact") + 30 * F.col("confidence") + 20 * (100 - F.col("effort")) + 10 * (100 - F.col("risk")))
-    return d.withColumn("priority", R.priority_bucket(F.col("score") / 10000, F.col("confidence") / 100, F.col("impact") / 100))
+    smells = d.selectExpr(
+        "user_id || event_type AS target", "CASE event_type WHEN 'error' THEN 'god_class' WHEN 'purchase' THEN 'long_method' WHEN 'signup' THEN 'high_complexity' WHEN 'view' THEN 'feature_envy' ELSE 'other' END AS smell_type",
+        "CASE v DIV 5000 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS severity", "n * 0.05D AS confidence",
+    )
+    unused = t.part.selectExpr("'part ' || p_partkey AS target", "p_size / 50D AS confidence")
+    return R.decisions(clones, smells, unused)
 
 
 @query("""SELECT page_id, CASE WHEN url LIKE '%.example.net/%' THEN 'network' WHEN url LIKE '%/de/%' THEN 'german' WHEN regexp_matches(url, '[?]utm_') THEN 'tracked' ELSE 'uncategorised' END AS category FROM pages""")
@@ -175,14 +232,17 @@ def categorize_rules(t: Tables) -> DataFrame:
     return R.categorised(t.pages, "page_id", rules).select("page_id", "category")
 
 
-@query("""WITH m AS (SELECT o_custkey AS k, count(*) AS methods, count(DISTINCT o_orderpriority) AS resp, sum(round(o_totalprice)::BIGINT) AS lines FROM orders GROUP BY 1),
-p AS (SELECT *, (methods > 15)::INT + (resp > 3)::INT + (lines > 2000000)::INT AS points FROM m)
-SELECT k, points, CASE WHEN points >= 4 THEN 'critical' WHEN points = 3 THEN 'high' WHEN points = 2 THEN 'medium' ELSE 'low' END AS severity FROM p WHERE points > 0""")
+@query("""WITH m AS (SELECT o_custkey AS k, count(*) AS methods, count(DISTINCT o_orderpriority) AS resp, count(*) FILTER (o_orderstatus = 'F')::DOUBLE / count(*) AS cohesion, sum(round(o_totalprice)::BIGINT) // 20000 AS lines FROM orders GROUP BY 1),
+p AS (SELECT *, CASE WHEN methods > 30 THEN 2 WHEN methods > 15 THEN 1 ELSE 0 END + CASE WHEN resp > 6 THEN 2 WHEN resp > 3 THEN 1 ELSE 0 END + CASE WHEN cohesion < 0.25 THEN 2 WHEN cohesion < 0.5 THEN 1 ELSE 0 END AS points
+FROM m WHERE methods > 15 OR resp > 3 OR cohesion < 0.5 OR lines > 200)
+SELECT k, points::INT AS points, CASE WHEN points >= 4 THEN 'critical' WHEN points >= 3 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS severity, least(1.0::DOUBLE, points::DOUBLE / 6 + 0.3::DOUBLE) AS confidence FROM p""")
 def smells(t: Tables) -> DataFrame:
-    """M2: customers in the role of classes, cohesion unknown."""
-    m = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("method_count"), F.count_distinct("o_orderpriority").alias("responsibility_count"), F.sum(F.round("o_totalprice").cast("long")).alias("lines"))
-    out = R.god_class(m.withColumn("cohesion", F.lit(1.0)), R.Thresholds(god_lines=2000000))
-    return out.select("k", "points", "severity")
+    """M1, M2: customers in the role of classes."""
+    m = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(
+        F.count("*").alias("method_count"), F.count_distinct("o_orderpriority").alias("responsibility_count"), (F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("cohesion"),
+        F.expr("sum(CAST(round(o_totalprice) AS BIGINT)) DIV 20000").alias("lines"),
+    )
+    return R.god_class(m).select("k", "points", "severity", "confidence")
 
 
 @query("""WITH u AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n, min(l_suppkey) AS one FROM lineitem WHERE l_quantity >= 47 GROUP BY 1)
@@ -195,13 +255,29 @@ def unused_symbols(t: Tables) -> DataFrame:
     return out.select(F.col("name").alias("p_partkey"), F.round(F.col("confidence") * 10000).cast("long").alias("confidence"))
 
 
-@query("""WITH s AS (SELECT l_suppkey AS k, count(*) AS accesses, count(*) FILTER (l_returnflag = 'R') AS ext, count(*) FILTER (l_tax > 0.07) AS priv FROM lineitem GROUP BY 1)
-SELECT k, unnest(list_filter([CASE WHEN ext::DOUBLE / accesses > 0.34 AND accesses >= 3 THEN 'feature_envy' END, CASE WHEN priv > 70 THEN 'inappropriate_intimacy' END], lambda x: x IS NOT NULL)) AS smell_type FROM s""")
+@query("""WITH o AS (SELECT o_orderkey AS k, round(o_totalprice)::BIGINT // 8000 AS lines, count(*) AS n, sum(l_linenumber)::BIGINT AS st, count(*) FILTER (l_returnflag <> 'N') AS ext, max(l_linenumber) AS nest, o_custkey % 2 = 0 AS ic
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, o_custkey),
+p AS (SELECT *, CASE WHEN lines > 60 THEN 2 WHEN lines > 30 THEN 1 ELSE 0 END + CASE WHEN st > 40 THEN 2 WHEN st > 20 THEN 1 ELSE 0 END AS lp, CASE WHEN st > 20 THEN 2 WHEN st > 10 THEN 1 ELSE 0 END + CASE WHEN nest > 6 THEN 2 WHEN nest > 4 THEN 1 ELSE 0 END AS cp, ext::DOUBLE / n AS ratio FROM o)
+SELECT k, 'long_method' AS smell_type, CASE WHEN lp >= 3 THEN 'high' WHEN lp >= 2 THEN 'medium' ELSE 'low' END AS severity, least(1.0::DOUBLE, lp::DOUBLE / 4 + 0.4::DOUBLE) AS confidence FROM p WHERE lines > 30 OR st > 20
+UNION ALL SELECT k, 'high_complexity', CASE WHEN cp >= 3 THEN 'high' WHEN cp >= 2 THEN 'medium' ELSE 'low' END, least(1.0::DOUBLE, cp::DOUBLE / 4 + 0.5::DOUBLE) FROM p WHERE st > 10 OR nest > 4
+UNION ALL SELECT k, 'feature_envy', CASE WHEN ratio > 0.9 THEN 'high' WHEN ratio > 0.8 THEN 'medium' ELSE 'low' END, least(1.0::DOUBLE, ratio + 0.2::DOUBLE) FROM p WHERE ratio > 0.7 AND n >= 3 AND ic""")
+def method_smells(t: Tables) -> DataFrame:
+    """M3, M4, M6: orders in the role of methods."""
+    o = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_orderkey").alias("k"), F.expr("CAST(round(o_totalprice) AS BIGINT) DIV 8000").alias("lines"), "o_custkey")
+    n = F.count("*")
+    m = o.agg(n.alias("accesses"), F.sum("l_linenumber").alias("statements"), F.sum("l_linenumber").alias("complexity"), F.max("l_linenumber").alias("nesting"), F.count_if(F.col("l_returnflag") != "N").alias("external_accesses"))
+    return R.method_smells(m.withColumn("in_class", F.col("o_custkey") % 2 == 0)).select("k", "smell_type", "severity", "confidence")
+
+
+@query("""WITH s AS (SELECT l_partkey AS k, count(*) AS n, count(DISTINCT l_suppkey) AS ext, count(DISTINCT l_linenumber) AS duties, count(*) FILTER (l_tax > 0.04) AS priv FROM lineitem GROUP BY 1)
+SELECT k, 'srp_violation' AS smell_type, CASE WHEN duties > 6 THEN 'high' WHEN duties > 3 THEN 'medium' ELSE 'low' END AS severity, least(1.0::DOUBLE, duties::DOUBLE / 10 + 0.4::DOUBLE) AS confidence FROM s WHERE duties > 3 OR ext > 5
+UNION ALL SELECT k, 'inappropriate_intimacy', CASE WHEN priv > 6 THEN 'high' WHEN priv > 4.5 THEN 'medium' ELSE 'low' END, least(1.0::DOUBLE, priv::DOUBLE / 10 + 0.3::DOUBLE) FROM s WHERE priv > 3 AND (priv::DOUBLE / n > 0.8 OR priv >= 6)""")
 def access_smells(t: Tables) -> DataFrame:
-    """M6, M7."""
-    s = t.lineitem.groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("accesses"), F.count_if(F.col("l_returnflag") == "R").alias("external_accesses"), F.count_if(F.col("l_tax") > 0.07).alias("private_accesses"))
-    zero = {c: F.lit(0) for c in ("lines", "statements", "complexity", "nesting", "responsibilities", "external_dependencies")}
-    return R.method_smells(s.withColumns(zero), R.Thresholds(envy_ratio=0.34, private_accesses=70)).select("k", "smell_type")
+    """M5, M7: parts in the role of classes."""
+    s = t.lineitem.groupBy(F.col("l_partkey").alias("k")).agg(
+        F.count("*").alias("foreign_accesses"), F.count_distinct("l_suppkey").alias("external_dependencies"), F.count_distinct("l_linenumber").alias("responsibility_count"), F.count_if(F.col("l_tax") > 0.04).alias("private_accesses")
+    )
+    return R.class_smells(s).select("k", "smell_type", "severity", "confidence")
 
 
 @query("""WITH q AS (SELECT v.vec_id AS q, v.embedding AS e FROM embeddings v WHERE v.vec_id % 20 = 0),

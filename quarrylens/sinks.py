@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +31,42 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+@contextmanager
+def transaction(spark: SparkSession, target: str) -> Iterator[str]:
+    """A new version of a folder of tables (K11): the block writes into the path
+    it is given, and only once it has ended well does the version become the one
+    that ``committed`` names; otherwise what was written is deleted. Readers of the
+    old version are not disturbed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = lambda p: hadoop.Path(p)
+    store = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    name = uuid.uuid4().hex
+    try:
+        yield f"{target}/{name}"
+    except BaseException:
+        store.delete(path(f"{target}/{name}"), True)
+        raise
+    out = store.create(path(f"{target}/_next-{name}"), True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    store.delete(path(f"{target}/_current"), False)
+    if not store.rename(path(f"{target}/_next-{name}"), path(f"{target}/_current")):
+        raise OSError(f"could not commit {target}")
+
+
+def committed(spark: SparkSession, target: str) -> str | None:
+    """The path of the version last committed; null if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_current")
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return None
+    reader = store.open(where)
+    try:
+        return f"{target}/" + "".join(chr(reader.read()) for _ in range(32))
+    finally:
+        reader.close()
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object a row."""
     df.write.mode("overwrite").json(path)

@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..shipping import ship
+from ..values import DISCOVERY_EXCLUDED, DISCOVERY_SKIPPED, INDEX_SKIPPED
 
-#: Folders that hold no sources of the project.
-SKIPPED = (".git", ".hg", ".svn", "__pycache__", ".venv", "venv", "env", "node_modules", "build", "dist", ".tox", ".mypy_cache", ".pytest_cache", "site-packages")
 #: Larger files are not parsed (a row in the errors says so).
 MOST_BYTES = 10 * 1024 * 1024
 
@@ -68,7 +68,7 @@ def _split(found) -> list[_Files]:
 
 
 class SourceFiles(DataSource):
-    """Options: path, include (a name pattern)."""
+    """Options: path, include (a name pattern), skipped (folders, by commas)."""
 
     @classmethod
     def name(cls) -> str:
@@ -78,7 +78,8 @@ class SourceFiles(DataSource):
         return "file_path string, file_size long, changed long, content binary"
 
     def _where(self):
-        return self.options["path"], self.options.get("include", "*.py"), set(SKIPPED)
+        skipped = self.options.get("skipped", ",".join(INDEX_SKIPPED))
+        return self.options["path"], self.options.get("include", "*.py"), set(skipped.split(","))
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(*self._where())
@@ -100,7 +101,10 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Offsets are the time of change and the path of the last file seen."""
+    """Offsets are the time of change and the path of the last file seen: for
+    folders that files are written into. A file moved in with an older time is
+    not seen; an index that must see it, and deletions, compares hashes
+    (``incremental.update``)."""
 
     def __init__(self, root, include, skipped):
         self.root, self.include, self.skipped = root, include, skipped
@@ -123,23 +127,40 @@ class _StreamReader(DataSourceStreamReader):
         pass
 
 
-def files(spark: SparkSession, root: str, include: str = "*.py", skipped: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+def files(spark: SparkSession, root: str, include: str = "*.py", skipped: tuple[str, ...] = INDEX_SKIPPED, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Every source file below ``root`` (S1-S6): file_path relative to it,
     content, content_hash, file_size, lines_of_code, is_test_file. ``skipped``
-    names further folders to leave out, ``exclude`` regular expressions on the
-    relative path. A file over ``MOST_BYTES`` has no content."""
+    names the folders to leave out, those of the index by default; ``exclude``
+    regular expressions on the relative path. A file over ``MOST_BYTES`` has no
+    content."""
     ship(spark)
     spark.dataSource.register(SourceFiles)
-    scan = spark.read.format("source_files").option("path", root).option("include", include).load()
+    scan = spark.read.format("source_files").option("path", root).option("include", include).option("skipped", ",".join(skipped)).load()
     out = scan.select("file_path", "file_size", F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("content"))
-    if skipped:
-        out = out.where(~F.arrays_overlap(F.split("file_path", "/"), F.array(*map(F.lit, skipped))))
     for pattern in exclude:
         out = out.where(~F.col("file_path").rlike(pattern))
     name = F.element_at(F.split("file_path", "/"), -1)
     return out.withColumn("lines_of_code", F.size(F.split(F.coalesce("content", F.lit("")), "\n"))).withColumn("is_test_file", name.startswith("test_") | name.endswith("_test.py") | F.col("file_path").rlike("(^|/)tests?/"))
 
 
+def discovered(spark: SparkSession, root: str, include: tuple[str, ...] = ("*.py",), skipped: tuple[str, ...] = DISCOVERY_SKIPPED, exclude: tuple[str, ...] = DISCOVERY_EXCLUDED) -> DataFrame:
+    """Files whose name fits any of the patterns and none of the excluded ones,
+    each once, in order (S2)."""
+    glob = lambda p: "^" + re.escape(p).replace(r"\*", ".*").replace(r"\?", ".") + "$"
+    scan = files(spark, root, "*", skipped)
+    name, some = F.substring_index("file_path", "/", -1), F.lit(False)
+    for p in include:
+        some = some | name.rlike(glob(p))
+    for p in exclude:
+        some = some & ~name.rlike(glob(p))
+    return scan.where(some).dropDuplicates(["file_path"]).orderBy("file_path")
+
+
+def hashes(files: DataFrame) -> DataFrame:
+    """Path and hash of every file."""
+    return files.select("file_path", "content_hash")
+
+
 def changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """key and change (added, removed, changed) between two snapshots."""
     a, b = old.select(key, F.col(digest).alias("_a")), new.select(key, F.col(digest).alias("_b"))

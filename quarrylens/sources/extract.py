@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..values import NAME_CATEGORIES
 
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try)
 TYPES = {ast.If: "if", ast.For: "for", ast.AsyncFor: "for", ast.While: "while", ast.With: "with", ast.AsyncWith: "with", ast.Try: "try"}
-# Words in names that tell a symbol's category, in order.
-CATEGORIES = (("validation", ("valid", "check", "verify")), ("transformation", ("transform", "convert", "parse", "format")), ("persistence", ("save", "load", "store", "read", "write")), ("computation", ("calc", "compute", "analy")), ("creation", ("create", "build", "make", "init")))
+NESTING = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.With, ast.AsyncWith, ast.Try, ast.Match)
+DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
 def _digest(text: str, size: int = 16) -> str:
@@ -73,8 +74,58 @@ def complexity(node: ast.AST) -> int:
 
 
 def category(name: str) -> str:
+    """Semantic category by the words in a name."""
     low = name.lower()
-    return next((k for k, words in CATEGORIES if any(w in low for w in words)), "other")
+    return next((k for k, words in NAME_CATEGORIES.items() if any(w in low for w in words)), "business_logic")
+
+
+def smell_complexity(node: ast.AST) -> int:
+    """Complexity as the smell rules count it (M10): matches, conditional
+    expressions and comprehensions too."""
+    n = complexity(node)
+    for x in ast.walk(node):
+        if isinstance(x, ast.Match):
+            n += len(x.cases)
+        elif isinstance(x, ast.comprehension):
+            n += 1 + len(x.ifs)
+        elif isinstance(x, ast.IfExp):
+            n += 1
+    return n
+
+
+def nesting_depth(node: ast.AST, depth: int = 0) -> int:
+    """Most branches and loops around any node."""
+    inner = depth + isinstance(node, NESTING)
+    return max([depth, *(nesting_depth(c, inner) for c in ast.iter_child_nodes(node))])
+
+
+def statements(node: ast.AST) -> int:
+    """Statements below a node; a nested definition counts as one (M3)."""
+    return sum(isinstance(c, ast.stmt) + (0 if isinstance(c, DEFINITIONS) else statements(c)) for c in ast.iter_child_nodes(node))
+
+
+def structure(node: ast.AST) -> str:
+    """Nested kinds of statements, without names and values."""
+    kind = type(node).__name__
+    inside = lambda *lists: ",".join(structure(x) for part in lists for x in part)
+    match node:
+        case ast.FunctionDef():
+            return f"{kind}({len(node.args.args)},{inside(node.body)})"
+        case ast.Try():
+            return f"{kind}({inside(node.body, node.orelse, node.finalbody)})"
+        case ast.If() | ast.For() | ast.While():
+            return f"{kind}({inside(node.body, node.orelse)})"
+        case ast.Module() | ast.ClassDef() | ast.With():
+            return f"{kind}({inside(node.body)})"
+        case ast.Expr():
+            return f"{kind}({structure(node.value)})"
+        case ast.Call():
+            return f"{kind}({len(node.args)})"
+        case ast.BinOp():
+            return f"{kind}({type(node.op).__name__})"
+        case ast.Compare():
+            return f"{kind}({len(node.ops)})"
+    return kind
 
 
 def dotted(node: ast.AST) -> str | None:
@@ -85,6 +136,58 @@ def dotted(node: ast.AST) -> str | None:
     return ".".join([node.id, *parts[::-1]]) if isinstance(node, ast.Name) else None
 
 
+def root_of(node: ast.AST) -> str | None:
+    """The name that a chain of attributes begins with."""
+    while isinstance(node, ast.Attribute):
+        node = node.value
+    return node.id if isinstance(node, ast.Name) else None
+
+
+def inferred(node: ast.AST) -> dict[str, str]:
+    """Types of names that assignments to a call of a class tell, written
+    annotations aside (X15): by flow, so that where branches disagree, or one of
+    them alone assigns, nothing is known."""
+
+    def of(value: ast.expr) -> str | None:
+        name = dotted(value.func) if isinstance(value, ast.Call) else None
+        return name if name and name.split(".")[-1].lstrip("_")[:1].isupper() else None
+
+    def merged(known: dict, *ends: dict) -> dict:
+        out = dict(known)
+        for name in {n for e in ends for n in e}:
+            kinds = {e.get(name) for e in ends}
+            if len(kinds) == 1 and None not in kinds:
+                out[name] = kinds.pop()
+            else:
+                out.pop(name, None)
+        return out
+
+    def block(body: list[ast.stmt], known: dict) -> dict:
+        for x in body:
+            match x:
+                case ast.Assign(targets=targets, value=value):
+                    for t in targets:
+                        if name := dotted(t):
+                            known = {k: v for k, v in known.items() if k != name} | ({name: kind} if (kind := of(value)) else {})
+                case ast.AnnAssign(target=target):
+                    known = {k: v for k, v in known.items() if k != dotted(target)}
+                case ast.If(body=yes, orelse=no):
+                    known = merged(known, block(yes, known), block(no, known))
+                case ast.Try(body=tried, handlers=handlers, orelse=no, finalbody=last):
+                    ends = [block(no, block(tried, known)), *(block(h.body, known) for h in handlers)]
+                    known = block(last, merged(known, *ends))
+                case ast.For(body=inner) | ast.AsyncFor(body=inner) | ast.While(body=inner):
+                    known = merged(known, known, block(inner, known))
+                case ast.With(body=inner) | ast.AsyncWith(body=inner):
+                    for item in x.items:
+                        if item.optional_vars is not None and (name := dotted(item.optional_vars)) and (kind := of(item.context_expr)):
+                            known = known | {name: kind}
+                    known = block(inner, known)
+        return known
+
+    return block(getattr(node, "body", []), {})
+
+
 def own_nodes(node: ast.AST) -> Iterator[ast.AST]:
     """What stands below a node, without nested definitions."""
     for child in ast.iter_child_nodes(node):
@@ -168,7 +271,7 @@ def details(node: ast.AST) -> Iterator[tuple[str, str | None, str | None, int]]:
         elif isinstance(x, ast.Assert):
             yield "assert", None, _text(x.test), line
         elif isinstance(x, ast.Constant) and isinstance(x.value, (str, int, float)) and not isinstance(x.value, bool):
-            yield "literal", type(x.value).__name__, str(x.value)[:200], line
+            yield "literal", type(x.value).__name__, str(x.value), line
         elif isinstance(x, ast.Global):
             for name in x.names:
                 yield "global", name, None, line
@@ -195,6 +298,7 @@ class Extractor:
             "signature": signature, "ast_fingerprint": shape(node), "token_fingerprint": _digest(ast.unparse(node)), "semantic_category": category(name), "is_public": not name.startswith("_"),
             "is_async": isinstance(node, ast.AsyncFunctionDef), "is_property": "property" in marks, "is_static": "staticmethod" in marks, "is_classmethod": "classmethod" in marks,
             "complexity_score": complexity(node), "lines_of_code": end - start + 1, "base_classes": [x for b in getattr(node, "bases", []) if (x := dotted(b))],
+            "smell_complexity": smell_complexity(node), "nesting_depth": nesting_depth(node), "statement_count": statements(node), "structure": structure(node),
         }
         self.rows.append(("symbols", row))
         return own
@@ -207,6 +311,9 @@ class Extractor:
         for kind, name, value, line in details(node):
             self.rows.append(("details", {"symbol_uid": own, "file_path": self.path, "detail": kind, "name": name, "value": value, "line": line}))
         package = self.path.endswith("__init__.py")
+        within = {x.value for x in own_nodes(node) if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Attribute)}  # parts of longer chains
+        for name, kind in inferred(node).items():
+            self.rows.append(("details", {"symbol_uid": own, "file_path": self.path, "detail": "type_hint", "name": name, "value": kind, "line": getattr(node, "lineno", 1)}))
         for x in own_nodes(node):
             if isinstance(x, (ast.Import, ast.ImportFrom)):
                 for name in imported(x, self.module, package):
@@ -215,7 +322,7 @@ class Extractor:
                 self.depend(own, name, "calls", x.lineno)
             elif isinstance(x, ast.Attribute):
                 kind = "read" if isinstance(x.ctx, ast.Load) else "write" if isinstance(x.ctx, ast.Store) else "delete"
-                self.rows.append(("attribute_access", {"symbol_uid": own, "file_path": self.path, "attribute_name": x.attr, "access_type": kind, "line_number": x.lineno}))
+                self.rows.append(("attribute_access", {"symbol_uid": own, "file_path": self.path, "attribute_name": x.attr, "access_type": kind, "line_number": x.lineno, "receiver": x.value.id if isinstance(x.value, ast.Name) else None, "root": root_of(x), "outermost": x not in within}))
 
     def blocks(self, node, own: str, level: int = 1) -> None:
         for x in ast.iter_child_nodes(node):

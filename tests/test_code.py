@@ -1,5 +1,6 @@
 """Fact extraction, resolution, audit, history and streaming on small sources."""
 
+import os
 import subprocess
 
 import pytest
@@ -57,7 +58,7 @@ def dead(config):
     "pkg/bad.py": "def broken(:\n",
     "pkg/größe.py": "# Kommentar\nß = 'ä'\n",
     "tests/test_a.py": "from pkg.a import A\n\n\ndef test_run():\n    assert A().run([1]) == 1\n    assert True\n",
-    "build/skipped.py": "x = 1\n",
+    "venv/skipped.py": "x = 1\n",
     "notes.txt": "no source",
 }
 
@@ -83,7 +84,7 @@ def names(df, column="name"):
 
 def test_scan(spark, root):
     got = {r.file_path: r for r in code.files(spark, root).collect()}
-    assert set(got) == {f for f in FILES if f.endswith(".py") and not f.startswith("build/")}
+    assert set(got) == {f for f in FILES if f.endswith(".py") and not f.startswith("venv/")}
     assert got["tests/test_a.py"].is_test_file and not got["pkg/a.py"].is_test_file
     assert set(names(code.files(spark, root, exclude=("^tests/",)), "file_path")) == set(got) - {"tests/test_a.py"}
     assert ("pkg/c.py", "pkg.a") in {tuple(r) for r in code.quick_imports(code.files(spark, root)).collect()}
@@ -144,7 +145,7 @@ def test_audit(facts):
     assert audit.statistics(found).agg(F.sum("n")).first()[0] == found.count()
     score = audit.health(found, facts.files).first()
     assert 0 < score.score <= 100 and score.n_files == 9
-    assert audit.decisions(facts, found).count() > 0
+    assert {"score", "priority", "rank_score"} <= set(audit.decisions(facts, found).columns)
     assert audit.hotspots(found).where("size(examples) > 5").count() == 0
     edges = audit.file_graph(facts)
     assert {(r.from_file, r.to_file) for r in edges.collect()} >= {("pkg/a.py", "pkg/z.py"), ("pkg/c.py", "pkg/a.py")}
@@ -213,6 +214,70 @@ def test_incremental_index(spark, tmp_path):
     assert names(incremental.current(spark, target, "symbols").where("kind = 'function'")) == ["one", "three", "two"]
 
 
+def test_update_sees_old_times_and_deletions(spark, tmp_path):
+    src, target = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    for k in range(5):
+        (src / f"f{k}.py").write_text(f"def f{k}():\n    pass\n")
+    told = []
+    assert incremental.update(spark, str(src), target, 2, lambda done, n: told.append((done, n))) == {"added": 5} and told[-1] == (5, 5) and len(told) == 3
+    functions = lambda: names(incremental.current(spark, target, "symbols").where("kind = 'function'"))
+    assert functions() == [f"f{k}" for k in range(5)]
+    (src / "f0.py").write_text("def g0():\n    pass\n")
+    (src / "f1.py").unlink()
+    (src / "old.py").write_text("def old():\n    pass\n")
+    os.utime(src / "old.py", (1, 1))
+    assert incremental.update(spark, str(src), target) == {"added": 1, "changed": 1, "removed": 1}
+    assert functions() == ["f2", "f3", "f4", "g0", "old"] and incremental.update(spark, str(src), target) == {}
+    (src / "f1.py").write_text("def f1():\n    pass\n")
+    assert incremental.update(spark, str(src), target) == {"added": 1} and "f1" in functions()
+
+
+def test_discovery(spark, tmp_path):
+    for p in ("a.py", "b.pyi", ".hidden.py", "build/c.py", "lib/d.py", "lib/e.pyc"):
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_text("x = 1\n")
+    found = lambda **k: [r.file_path for r in code.discovered(spark, str(tmp_path), **k).collect()]
+    assert found() == ["a.py", "lib/d.py"] and found(include=("*.py", "*.pyi", "a*")) == ["a.py", "b.pyi", "lib/d.py"]
+    assert {r.file_path for r in code.hashes(code.files(spark, str(tmp_path))).collect()} == {"a.py", ".hidden.py", "build/c.py", "lib/d.py"}
+
+
+SHAPES = '''
+class Box:
+    size = 0
+
+    def get(self, other):
+        self.size = other.a.b.size + self.size
+        x = Thing(1)
+        if other:
+            y = Thing(2)
+            z = Thing(3)
+        else:
+            y = Thing(4)
+            z = None
+        with Lock() as lock:
+            w = [i for i in range(3) if i if i > 1]
+        match x:
+            case 1:
+                return 1 if y else 2
+            case _:
+                pass
+        return other._hidden
+'''
+
+
+def test_metrics_of_methods(spark):
+    rows = extract.extract("m.py", SHAPES)
+    get = next(r for t, r in rows if t == "symbols" and r["name"] == "get")
+    # if 1, the comprehension 1 with two conditions, two cases, a conditional expression
+    assert (get["complexity_score"], get["smell_complexity"], get["nesting_depth"], get["statement_count"]) == (2, 8, 1, 13)
+    assert get["structure"].startswith("FunctionDef(2,Assign,Assign,If(Assign,Assign,Assign,Assign),With(Assign),Match,Return)")
+    hints = {r["name"]: r["value"] for t, r in rows if t == "details" and r["detail"] == "type_hint"}
+    assert hints == {"x": "Thing", "y": "Thing", "lock": "Lock"}
+    uses = [(r["attribute_name"], r["receiver"], r["root"], r["outermost"]) for t, r in rows if t == "attribute_access"]
+    assert sorted(uses, key=str) == sorted([("size", "self", "self", True), ("size", None, "other", True), ("b", None, "other", False), ("a", "other", "other", False), ("size", "self", "self", True), ("_hidden", "other", "other", True)], key=str)
+
+
 def test_event_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet("/root/testdata/sf0.001/events.parquet*")

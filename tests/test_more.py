@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.operators import decomposition as D
+from quarrylens.operators import similarity as C
 from quarrylens.plans import audit, views
 from quarrylens.sources import code, extract, knowledge
 
@@ -42,13 +43,33 @@ def test_operations_and_advice(spark):
     df = spark.createDataFrame([("load_and_parse", ["check"]), ("x", [])], "name string, calls array<string>")
     got = df.select(D.operations(F.col("name"), F.col("calls")).alias("o")).select("o", D.pattern(F.col("o")).alias("p")).collect()
     assert got[0].o == ["read", "validate", "transform"] and got[0].p == "validate_and_transform" and got[1].p == "other"
-    one = spark.range(1).select(D.match_confidence(F.lit(1.0), F.lit(0.7), F.lit(0.2), F.lit(True)).alias("c"), D.merge_strategy(F.lit("functional"), F.lit(0.8)).alias("m"), D.target_name(F.lit("IO"), F.lit("")).alias("t"), D.call_class(F.lit("self.x"), ("os",), ("len",)).alias("k"), D.unresolved_reason(F.lit("a.b"), F.lit(0), F.lit(False)).alias("r")).first()
-    assert (one.c, one.m, one.t, one.k, one.r) == (pytest.approx(0.95), "extract a common interface", "unified/io.py", "dynamic_attribute", "unknown_receiver")
-
-
-def test_mixed_sense(spark):
-    df = spark.createDataFrame([("a", "get_x"), ("a", "set_x"), ("b", "get_x"), ("b", "get_y")], "cluster string, name string")
-    assert {r.cluster: r.mixed for r in D.mixed_sense(df, "cluster", "name").collect()} == {"a": True, "b": False}
+    one = spark.range(1).select(D.match_confidence(F.lit(1.0), F.lit(0.7), F.lit(0.2), F.lit(True)).alias("c"), D.merge_strategy(F.lit("functional"), F.lit(0.8)).alias("m"), D.target_name(F.lit("parsing"), F.lit("json"), F.lit("load__x")).alias("t"), D.call_class(F.lit("self.x"), ("os",), ("len",)).alias("k"), D.unresolved_reason(F.lit("a.b"), F.lit(0), F.lit(False)).alias("r")).first()
+    assert (one.c, one.m, one.t, one.k, one.r) == (pytest.approx(0.95), "extract a common interface", "unified/parsers.py::json_load_x", "dynamic_attribute", "unknown_receiver")
+
+
+def test_name_guards(spark):
+    groups = {"a": ["get_x", "set_x"], "b": ["run_x", "run_y"], "c": ["is_x", "run_x"], "d": ["f_fast", "f"], "e": ["a_no_b", "a_b"], "f": ["__len__", "size"], "g": ["is_x", "is_y"], "h": ["reset"], "i": ["x_strict", "x"]}
+    df = spark.createDataFrame([(k, n) for k, v in groups.items() for n in v], "cluster string, name string")
+    got = {r.cluster: (r.dunder, r.modal, r.opposite) for r in D.name_guards(df, "cluster", "name").collect()}
+    no = (False, False, False)
+    assert got == {"a": (False, False, True), "b": no, "c": (False, True, True), "d": (False, False, True), "e": (False, False, True), "f": (True, False, False), "g": no, "h": no, "i": (False, False, True)}
+    alike = {r.cluster: r.name_similarity for r in D.name_guards(df, "cluster", "name").collect()}
+    assert alike["b"] == pytest.approx(0.8) and alike["h"] == 1.0
+
+
+def test_cluster_advice(spark):
+    rows = [(0.9, False, False, False, 0.8, True), (0.9, False, False, False, 0.8, False), (0.9, False, False, False, 0.5, True), (0.9, False, False, True, 0.9, True), (0.9, True, False, False, 0.9, True), (0.6, False, False, True, 0.9, True), (0.75, False, False, False, 0.1, False), (0.6, False, False, False, 1.0, True)]
+    df = spark.createDataFrame(rows, "m double, d boolean, q boolean, o boolean, n double, c boolean")
+    got = df.select(C.recommendation(*(F.col(c) for c in "mdqonc"))).collect()
+    assert [r[0] for r in got] == ["MERGE", "WRAP_ONLY", "EXTRACT_BASE", "EXTRACT_BASE", "KEEP_SEPARATE", "KEEP_SEPARATE", "EXTRACT_BASE", "KEEP_SEPARATE"]
+    one = spark.range(1).select(D.risk(F.lit(0.9), F.lit(11), F.lit(1)).alias("r"), D.effort(F.lit("MERGE"), F.lit(3), F.lit(90)).alias("e"), D.benefit(F.lit(3), F.lit(0.9), F.lit("MERGE"), F.lit("MEDIUM"), F.lit("M")).alias("b")).first()
+    assert (one.r, one.e, one.b) == ("MEDIUM", "M", 6 + 9 + 5 + 1 + 2)
+    m = spark.createDataFrame([("c", "a", 5, 20, 0, 0.5, "f(x, y)"), ("c", "b", 1, 20, 2, 0.9, "f(x)"), ("c", "d", 30, 200, 0, None, "f(a, b, c, d)")], "cluster string, k string, complexity int, lines int, fan_in int, mean_similarity double, signature string")
+    best = C.canonical(m, "cluster", "k").first()
+    assert best.canonical == "b" and best.score == pytest.approx(2 * 0.3 + 19 / 20 * 0.2 + 0.2 + 0.9 * 0.3)
+    assert not C.signatures_fit(m, "cluster", "signature").first().compatible and C.signatures_fit(m.where("k != 'd'"), "cluster", "signature").first().compatible
+    plans = spark.createDataFrame([("p", "HIGH", "S", 0), ("q", "LOW", "L", 0), ("r", "LOW", "S", 2), ("s", "LOW", "S", 1)], "k string, risk string, effort string, deps int")
+    assert [r.k for r in plans.orderBy(*D.plan_order(F.col("risk"), F.col("effort"), F.col("deps"))).collect()] == ["s", "r", "q", "p"]
 
 
 def test_rates_and_capabilities(spark):

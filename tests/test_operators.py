@@ -1,5 +1,7 @@
 """Operators on small frames with known results: nulls, blanks, ties, empties."""
 
+import difflib
+import hashlib
 import random
 import re
 
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens import schemas, sinks
+from quarrylens import values as V
 from quarrylens.functions import scalar as S
 from quarrylens.operators import aggregates as A
 from quarrylens.operators import graph as G
@@ -141,7 +144,29 @@ def test_reachability_and_depth(spark):
 def test_cycles_and_longest_path(spark):
     e = frame(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("d", "d")], "s string, t string")
     assert sorted("".join(r.path) for r in G.cycles(e, "s", "t").collect()) == ["ab", "abc", "d"]
-    assert G.longest_path(e, "s", "t") == 2
+    assert G.longest_path(e, "s", "t") == 4  # a, b, c and a again
+
+
+def test_longest_chain(spark):
+    depth = lambda *e: G.longest_path(frame(spark, list(e), "a string, b string"), "a", "b")
+
+    def brute(*e):
+        out = {}
+        for a, b in e:
+            out.setdefault(a, []).append(b)
+            out.setdefault(b, [])
+
+        def walk(node, d, on):
+            return d if node in on else max([d, *(walk(n, d + 1, on | {node}) for n in out[node])])
+
+        return max((walk(n, 1, frozenset()) for n in out), default=0)
+
+    rng = random.Random(3)
+    for graph in ([("a", "b"), ("b", "c"), ("a", "c")], [("a", "b"), ("b", "a")], [("a", "a")], [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e")], sorted({(str(rng.randrange(7)), str(rng.randrange(7))) for _ in range(9)})):
+        assert depth(*graph) == brute(*graph)
+    assert G.longest_path(frame(spark, [], "a string, b string"), "a", "b") == 0
+    chain = [(f"n{k:02}", f"n{k + 1:02}") for k in range(25)]
+    assert depth(*chain) == 26
 
 
 def test_components(spark):
@@ -164,15 +189,27 @@ def test_scalars(spark):
 
 
 def blocks(spark):
-    schema = "block_uid string, file_id int, token_fingerprint string, ast_fingerprint string, normalized_fingerprint string, lines_of_code int, nesting_level int, statement_count int"
-    return frame(spark, [("a", 1, "t", "s", "n", 10, 1, 5), ("b", 2, "t", "s", "n", 10, 1, 5), ("c", 2, "t", "s", "n", 10, 1, 5), ("d", 1, "u", "s2", "n2", 3, 1, 2), ("e", 1, "v", "s2", "n2", 3, 1, 2), ("f", 1, "w", "s3", "", 3, 1, 2), ("g", 1, "x", "s3", None, 3, 1, 2), ("h", 1, "", "", "", 3, 1, 2), ("i", 1, None, None, None, 3, 1, 2)], schema)
+    schema = "block_uid string, file_path string, line_start int, line_end int, block_type string, token_fingerprint string, ast_fingerprint string, normalized_fingerprint string, lines_of_code int, nesting_level int, statement_count int"
+    rows = [("a", 1, "t", "s", "n", 10, 1, 5), ("b", 2, "t", "s", "n", 10, 1, 5), ("c", 2, "t", "s", "n", 10, 1, 5), ("d", 1, "u", "s2", "n2", 3, 1, 2), ("e", 1, "v", "s2", "n2", 3, 1, 2), ("f", 1, "w", "s3", "", 3, 1, 2), ("g", 1, "x", "s3", None, 3, 1, 2), ("h", 1, "", "", "", 3, 1, 2), ("i", 1, None, None, None, 3, 1, 2), ("j", 1, "t", "s", "n", 2, 1, 5)]
+    return frame(spark, [(k, f"f{p}.py", 1, n, "if", t, s, m, n, d, b) for k, p, t, s, m, n, d, b in rows], schema)
 
 
 def test_clone_passes_cover(spark):
     g = C.clone_groups(blocks(spark))
-    assert rows(g.select("clone_type", "members", "similarity")) == [("exact", ["a", "b", "c"], 1.0), ("hybrid", ["d", "e"], 0.97), ("structural", ["f", "g"], 0.95)]
-    ranked = C.ranked_clones(g, blocks(spark)).collect()
-    assert ranked[0].members == ["a", "b", "c"] and ranked[0].strategy == "extract_method" and all(r.ranking > 0.35 for r in ranked)
+    assert rows(g.select("clone_type", "members", "similarity")) == [("exact", ["a", "b", "c"], 1.0), ("hybrid", ["d", "e"], 0.95), ("structural", ["f", "g"], 0.9)]
+    ids = {r.clone_type: r.group_id for r in g.collect()}
+    assert ids["exact"] == "exact_" + hashlib.blake2b(b"exact|exact|a|b|c", digest_size=16).hexdigest()
+    assert ids["hybrid"] == "hybrid_" + hashlib.blake2b(b"hybrid|normalized,structural|d|e", digest_size=16).hexdigest()
+    ranked = C.ranked_clones(g, blocks(spark))
+    r = ranked.collect()
+    # feasibility .5 + .2 + .2 + .1 + .05, capped at 1; confidence min(.95, 1 + .15)
+    assert [x.members for x in r] == [["a", "b", "c"]] and r[0].strategy == "extract_method" and r[0].extraction_confidence == 0.95 and r[0].feasible == 1.0
+    assert r[0].ranking == pytest.approx(1.0 * 0.3 + 0.3 * 0.2 + 0.5 * 0.2 + 0.95 * 0.2 + 0.1) and r[0].representative == "a"
+    every = {x.clone_type: x for x in C.ranked_clones(g, blocks(spark), cut=0.0).collect()}
+    assert every["hybrid"].strategy == "no_extraction" and every["hybrid"].ranking == pytest.approx((0.95 * 0.3 + 0.2 * 0.2 + 0.15 * 0.2) * 0.95)
+    shown = C.clone_summary(ranked, blocks(spark), preview=2).first()
+    assert shown.preview == ["f1.py:1-10", "f2.py:1-10"] and shown.total_lines == 30
+    assert C.clone_evidence(ranked).first().description == "Exact clone group with 3 instances"
 
 
 def test_winnowing(spark):
@@ -194,9 +231,18 @@ def test_greedy_windows(spark):
 
 
 def test_channel_similarity(spark):
-    cols = "a_ast string, b_ast string, a_tokens array<string>, b_tokens array<string>, a_signature string, b_signature string, a_deps array<string>, b_deps array<string>, a_literals array<string>, b_literals array<string>, a_name string, b_name string"
-    df = frame(spark, [("x", "x", ["t"], ["t"], "s", "s", ["d"], ["d"], ["l"], ["l"], "f", "f"), ("", "", [], [], "", "", [], [], [], [], "get_x", "get_x")], cols)
-    assert [r.similarity for r in C.channel_similarity(df).collect()] == [pytest.approx(1.0), pytest.approx(0.2)]
+    names = ("ast", "token", "signature", "name"), ("calls", "imports", "globals", "inputs", "outputs", "literals")
+    cols = ", ".join(f"{s}_{c} string" for c in names[0] for s in "ab") + ", " + ", ".join(f"{s}_{c} array<string>" for c in names[1] for s in "ab")
+    none = [[]] * 12
+    rows = [
+        ("x", "x", "t", "t", "f(a, b) -> int", "f(a, b) -> int", "f", "f", *([["d"]] * 12)),
+        ("", "", "", "", "", "", "get_x", "get_x", *none),
+        ("x", "y", "", "", "f(a)", "f(a, b)", "load_data", "loadData", ["p", "q"], ["q"], *none[2:10], ["hello world"], ["hello there"]),
+    ]
+    got = [r.similarity for r in C.channel_similarity(frame(spark, rows, cols)).collect()]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    third = 0.3 * 0.0 + 0.2 * (0.5 + 0) / 2 + 0.15 * (1 + 1 + (0.9 + 0.5 + 1) / 3) / 3 + 0.15 * 0.5 + 0.1 * ratio("hello world", "hello there") + 0.1 * (1 + ratio("load_data", "loaddata")) / 2
+    assert got == [pytest.approx(1.0), pytest.approx(0.2), pytest.approx(third)]
 
 
 def test_safe_exact(spark):
@@ -212,7 +258,40 @@ def test_cohesion(spark):
 
 def test_god_class_bounds(spark):
     df = frame(spark, [("a", 16, 4, 0.4, 201), ("b", 15, 3, 0.5, 200), ("c", 16, 1, 1.0, 10)], "k string, method_count int, responsibility_count int, cohesion double, lines int")
-    assert rows(R.god_class(df).select("k", "severity")) == [("a", "critical"), ("c", "low")]
+    assert rows(R.god_class(df).select("k", "points", "severity")) == [("a", 3, "high"), ("c", 1, "low")]
+    more = frame(spark, [("d", 31, 7, 0.2, 1), ("e", 1, 1, 1.0, 201)], df.schema)
+    assert [(r.k, r.points, r.severity, round(r.confidence, 3)) for r in R.god_class(more).collect()] == [("d", 6, "critical", 1.0), ("e", 0, "low", 0.3)]
+
+
+def test_smell_points(spark):
+    m = frame(spark, [("a", 61, 21, 5, 7, 10, 10, True), ("b", 31, 1, 21, 1, 3, 2, False), ("c", 30, 20, 10, 4, 2, 2, True)], "k string, lines int, statements int, complexity int, nesting int, accesses int, external_accesses int, in_class boolean")
+    got = {(r.k, r.smell_type): (r.severity, round(r.confidence, 3)) for r in R.method_smells(m).collect()}
+    assert got == {("a", "long_method"): ("high", 1.0), ("a", "high_complexity"): ("medium", 1.0), ("a", "feature_envy"): ("high", 1.0), ("b", "long_method"): ("low", 0.65), ("b", "high_complexity"): ("medium", 1.0)}
+    c = frame(spark, [("a", 7, 6, 7, 8), ("b", 4, 0, 4, 10), ("c", 1, 6, 4, 4), ("d", 3, 5, 3, 3)], "k string, responsibility_count int, external_dependencies int, private_accesses int, foreign_accesses int")
+    got = {(r.k, r.smell_type): (r.severity, round(r.confidence, 3)) for r in R.class_smells(c).collect()}
+    assert got == {("a", "srp_violation"): ("high", 1.0), ("a", "inappropriate_intimacy"): ("high", 1.0), ("b", "srp_violation"): ("medium", 0.8), ("c", "srp_violation"): ("low", 0.5), ("c", "inappropriate_intimacy"): ("low", 0.7)}
+
+
+def test_words_of_names_and_contexts(spark):
+    df = frame(spark, [("testGet",), ("reset",), ("do_it",), ("parse_db",)], "n string")
+    assert [r[0] for r in df.select(R.name_category(F.col("n"))).collect()] == ["validation", "access", "business_logic", "transformation"]
+    duty = df.select(R.responsibility(F.lit("load_x"))[0].alias("a"), R.responsibility(F.lit("load_x"))[1].alias("b"), R.responsibility(F.lit("reload"))[1].alias("c"), R.responsibility(F.lit("zzz"))[0].alias("d")).first()
+    assert tuple(duty) == ("data", 0.8, 0.6, None)
+    none = F.array().cast("array<string>")
+    one = df.limit(1).select(
+        R.has_context(F.array(F.lit("Redis.client")), none, none, V.PERSISTENCE).alias("a"), R.has_context(none, F.array(F.lit("x.loads")), none, V.SERIALIZATION).alias("b"), R.has_telemetry(F.array(F.lit("self.logger.info"))).alias("c"),
+        R.has_telemetry(F.array(F.lit("informal"))).alias("d"), R.likely_regex(F.lit("a(b)c")).alias("e"), R.likely_regex(F.lit("abc")).alias("f"), R.literal_category(F.array(F.lit("zz"), F.lit("get where"))).alias("g"),
+        R.literal_category(F.array(F.lit("Bearer x"))).alias("h"), R.tags(F.lit(60), F.lit(1), F.lit("_test_old"), F.lit("pkg.cli"), F.lit(True), F.lit(6)).alias("t"),
+    ).first()
+    assert tuple(one[:6]) == (True, True, True, False, True, False) and tuple(one.g) == ("persistence", "sql") and tuple(one.h) == ("security", "token")
+    assert one.t == ["cli", "hotpath", "large", "legacy", "method", "private", "simple", "test"]
+
+
+def test_dynamic_signs(spark):
+    files = frame(spark, [("p/a.py", "x = getattr(a, 'b')\nm = importlib.import_module('q.r')\n"), ("p/b.py", "eval('1')" * 60), ("p/c.py", "pass")], "file_path string, content string")
+    signs = R.dynamic_uses(files, "file_path", "content")
+    assert signs.where("file_path = 'p/b.py'").count() == 50 and rows(signs.where("module IS NOT NULL").select("file_path", "module")) == [("p/a.py", "q.r")]
+    assert rows(R.dynamic_findings(signs, "file_path").select("symbol_name", "confidence", "n_imports")) == [("dynamic_import_a.py", 0.4, 1), ("dynamic_usage_b.py", 0.3, 0)]
 
 
 def test_unused_by_bare_name(spark):
@@ -224,7 +303,17 @@ def test_unused_by_bare_name(spark):
 
 def test_priorities(spark):
     df = frame(spark, [(0.95, 0.9, 0.9), (0.7, 0.4, 0.7), (0.5, 0.9, 0.5), (0.1, 0.9, 0.1)], "score double, confidence double, impact double")
-    assert [r[0] for r in df.select(R.priority_bucket(F.col("score"), F.col("confidence"), F.col("impact"))).collect()] == ["CRITICAL", "DEFERRED", "MEDIUM", "LOW"]
+    assert [r[0] for r in df.select(R.priority_bucket(F.col("score"), F.col("confidence"), F.col("impact"))).collect()] == ["critical", "deferred", "medium", "low"]
+    clones = frame(spark, [("g1", "exact", "extract_function", 0.9, 1.0, 4), ("g2", "semantic", "no_extraction", 0.0, 0.85, 2), ("g3", "structural", "parameterize", 0.6, 0.9, 9)], "group_id string, clone_type string, strategy string, extraction_confidence double, similarity double, group_size int")
+    smells = frame(spark, [("A", "god_class", "critical", 0.9), ("f", "long_method", "low", 0.9), ("B", "other", "high", None)], "target string, smell_type string, severity string, confidence double")
+    dead = frame(spark, [("x", 0.85), ("y", 0.6)], "target string, confidence double")
+    got = {r.target: r for r in R.clone_decisions(clones).unionByName(R.smell_decisions(smells)).unionByName(R.unused_decisions(dead)).collect()}
+    assert set(got) == {"g1", "g3", "A", "f", "B", "x"} and got["g1"].decision_type == "extract_method" and got["g3"].decision_type == "parameterize_duplicates"
+    assert (got["A"].decision_type, got["A"].impact, got["A"].effort, got["A"].risk, got["A"].hours) == ("decompose_god_class", 0.9, 0.8, 0.5, 6.4) and (got["B"].decision_type, got["B"].confidence) == ("improve_cohesion", 0.7)
+    ranked = R.decisions(clones, smells, dead).collect()
+    assert [r.target for r in ranked] == ["A", "g1", "x", "B"]  # g3 takes too much effort, f has too little impact
+    assert ranked[0].score == pytest.approx((0.9 * 0.3 + 0.5 * 0.15 + 0.2 * 0.1) * 0.9) and ranked[0].rank_score == pytest.approx(0.9 * 0.9 * (1 - 0.15)) and ranked[0].priority == "low"
+    assert R.criteria() == V.CRITERIA and sum(R.criteria(risk=1.0).values()) == pytest.approx(1.0)
 
 
 def test_quality_score_and_steps(spark):
@@ -259,6 +348,38 @@ def test_sinks(spark, tmp_path):
     assert "n0 --> n1" in sinks.mermaid(frame(spark, [("a", "b")], "s string, t string"), "s", "t")
 
 
+def test_transaction(spark, tmp_path):
+    target = str(tmp_path / "t")
+    assert sinks.committed(spark, target) is None
+    for k in range(2):
+        with sinks.transaction(spark, target) as path:
+            spark.range(k + 1).write.parquet(f"{path}/a")
+        assert spark.read.parquet(sinks.committed(spark, target) + "/a").count() == k + 1
+    before = sinks.committed(spark, target)
+    with pytest.raises(ValueError), sinks.transaction(spark, target) as path:
+        spark.range(5).write.parquet(f"{path}/a")
+        raise ValueError("no")
+    assert sinks.committed(spark, target) == before
+
+
+def test_map_filter_reduce(spark):
+    from quarrylens.plans import extensions as E
+
+    df = spark.range(100).repartition(3)
+    assert E.parallel_map(df, lambda b: b.assign(id=b["id"] * 2), "id long").agg(F.sum("id")).first()[0] == 9900
+    assert E.parallel_filter(df, lambda b: b["id"] < 10).count() == 10
+    assert E.parallel_reduce(df, lambda b: b[["id"]].sum().to_frame().T, "id long").collect()[0][0] == 4950
+    with E.cached(df) as (held,):
+        assert held.is_cached and held.count() == 100
+    assert not df.is_cached and len(E.POINTS) == 16
+
+
+def test_named_within(spark):
+    names, texts = frame(spark, [("run",), ("x.y",), ("zed",), ("",), (None,)], "n string"), frame(spark, [("def test_running(): pass",), ("a x.y b",)], "t string")
+    assert rows(J.named_within(names, "n", texts, "t")) == [("run",), ("x.y",)]
+    assert J.named_within(names.limit(0), "n", texts, "t").count() == 0
+
+
 def test_registry_and_steps(spark):
     r, df = Registry(), frame(spark, [(1,)], "k int")
     r.hook("after_findings", "add", lambda d: d.withColumn("x", F.lit(1)))
