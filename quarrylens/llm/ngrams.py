@@ -87,7 +87,7 @@ def _featurise(batches):
             x, v = vector(raw[at[i] : at[i + 1]])
             idx.append(x.astype(np.int32).tobytes())
             val.append(v.astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("part"), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["cls", "part", "idx", "val"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("cls"), b.column("part"), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["doc_id", "cls", "part", "idx", "val"])
 
 
 class Sample:
@@ -130,11 +130,14 @@ class Sample:
 
 def collect_sample(docs: DataFrame, chosen: DataFrame) -> Sample:
     """Features of the documents in ``chosen`` (doc_id, cls), which the caller
-    has bounded to a documented number of rows; only such ids are broadcast."""
+    has bounded to a documented number of rows; only such ids are broadcast. Of
+    rows that repeat an id one counts, so the sample is bounded too."""
     common.small_batches(docs.sparkSession)
     part = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(5)).cast("long").alias("part")
-    picked = docs.select("doc_id", common.text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("cls", part, "text")
-    return Sample(picked.mapInArrow(_featurise, "cls long, part long, idx binary, val binary").toArrow())
+    picked = docs.select("doc_id", common.text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "cls", part, "text")
+    found = picked.mapInArrow(_featurise, "doc_id long, cls long, part long, idx binary, val binary")
+    one = found.groupBy("doc_id", "cls").agg(F.min(F.struct("part", "idx", "val")).alias("x"))
+    return Sample(one.select("cls", "x.*").orderBy("cls", "doc_id").toArrow())
 
 
 def descend(gradient, size: int, steps: int, rate: float) -> tuple[np.ndarray, float]:
@@ -165,13 +168,20 @@ def platt(score: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> tuple[
     target = np.where(positive, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     mean, spread = score.mean(), score.std() or 1.0
     x = (score - mean) / spread
+
+    def loss(a, c):
+        z = a * x + c
+        return (weight * (np.logaddexp(0, z) - target * z)).sum() + 5e-4 * a * a
+
     a, c = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(100):
         p = sigmoid(a * x + c)
         r, h = weight * (p - target), weight * np.maximum(p * (1 - p), 1e-9)
         g = np.array([(r * x).sum() + 1e-3 * a, r.sum()])
         hess = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(hess, g)
+        step, now = np.linalg.solve(hess, g), loss(a, c)
+        while np.abs(step).max() >= 1e-7 and loss(a - step[0], c - step[1]) > now:
+            step = step / 2  # a whole step may overshoot where the classes lie far apart
         a, c = a - step[0], c - step[1]
         if np.abs(step).max() < 1e-7:
             break

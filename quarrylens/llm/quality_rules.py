@@ -19,7 +19,7 @@ from .textbytes import IS_SPACE, mix, row_sums, span_hash, spans, windows
 
 MIN_WORDS = 10
 #: A text is kept if its calibrated probability of label 1 is this at least.
-KEEP_AT = 0.3
+KEEP_AT = 0.5
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -122,3 +122,15 @@ def keep(docs: DataFrame, model, keep_at: float = KEEP_AT) -> DataFrame:
             yield b.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+#: What of it SQL expresses, in DuckDB: the base counts and their verdict.
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+a AS (SELECT doc_id, g FROM v GROUP BY 1, 2 HAVING count(*) > 1), p AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS i FROM v SEMI JOIN a USING (doc_id, g)),
+q AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines,
+  coalesce(q.n, 0)::BIGINT AS n_repeat_words, len(w) < 10 OR 100 * coalesce(q.n, 0) > 20 * len(w) AS base_failed FROM d LEFT JOIN l USING (doc_id) LEFT JOIN q USING (doc_id)
+"""

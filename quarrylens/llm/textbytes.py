@@ -1,13 +1,18 @@
 """Vectorised work on UTF-8 bytes: words, lines, hashes of spans, sums by row.
 
 Hashes are 64-bit: a sum of byte codes times powers of an odd constant, so that
-the hash of any span comes from one running sum, then a finalising mix.
+the hash of any span comes from one running sum, then a finalising mix. Such sums
+of certain spans of 512 bytes and more are equal whatever the constant; spans from
+``LONG`` bytes on are therefore hashed by BLAKE2b, one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+LONG = 256
 _ODD = 0x9E3779B97F4A7C15
 _INV = pow(_ODD, -1, 1 << 64)
 _CODES = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,7 +66,15 @@ def spans(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans. A very long row is summed in pieces."""
+    """64-bit hashes of byte spans."""
+    out = _sum_hash(raw, start, end)
+    for k in np.flatnonzero(end - start >= LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def _sum_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Running-sum hashes of spans. A very long row is summed in pieces."""
     n, piece = len(raw), 1 << 20
     if n <= piece or not len(start):
         up, down = _powers(n + 1)
