@@ -1,13 +1,15 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
-Blocks are the lines of a text and its paragraphs (lines up to a blank line).
-A block meets a template if it holds at least four fifths of the template's
-distinct words, so a notice wrapped over line ends is found as on one line.
-Template words are ordered by their frequency over all
-documents, rarest first; a block is looked at only if one of a template's
-prefix words is among the block's own prefix words (prefix filter), if it has
-words enough (length filter) and if the places of the first shared word leave
-room for the overlap (positional filter); then the overlap is counted.
+A text's blocks are its runs of consecutive words, up to half as many again as
+the template has, wherever lines end: a notice wrapped over lines is found as on
+one line, and words scattered over a long line are none. A block meets a template
+if it holds at least four fifths of the template's distinct words. Template words
+are ordered by their frequency over all documents, rarest first. Every block that
+meets a template holds one of its prefix words, so only blocks around those are
+looked at (prefix filter); the place of the rarest word held bounds the overlap
+(positional filter); a stretch with too few words of the template is left out
+(length filter); then blocks move over what is left, and those that meet the
+template and touch make one span.
 
 Null texts are empty: no words, no labels, score 0. Repeated rows are scanned
 row by row; an empty table gives an empty result; other columns are not read.
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textbytes import IS_SPACE, LOWER, span_hash, spans
+from .textbytes import LOWER, span_hash, spans
 
 # Phrases of the contract with their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -43,8 +45,6 @@ TEMPLATES = (
 )
 #: Least share, in fifths, of a template's words that a block must hold.
 FIFTHS = 4
-#: Distinct words from which a template may spread over lines: any template may.
-LONG = 1
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
@@ -68,11 +68,15 @@ class Templates:
         self.labels = [x for x, _ in templates]
         self.sets = [np.sort(self.place[np.searchsorted(self.vocabulary, s)]) for s in sets]
         self.least = [-(-FIFTHS * len(s) // 5) for s in self.sets]
-        self.with_prefix: dict[int, list[tuple[int, int]]] = {}
+        self.reach = [-(-3 * len(word_hashes(t)) // 2) for _, t in templates]  # words in a block
+        self.holds = np.zeros((len(templates), len(order)), bool)
+        for t, x in enumerate(self.sets):
+            self.holds[t, x] = True
+        self.with_prefix: dict[int, list[int]] = {}
         self.is_prefix = np.zeros(len(order), bool)
         for t, (s, a) in enumerate(zip(self.sets, self.least)):
-            for i, x in enumerate(s[: len(s) - a + 1].tolist()):
-                self.with_prefix.setdefault(x, []).append((t, i))
+            for x in s[: len(s) - a + 1].tolist():
+                self.with_prefix.setdefault(x, []).append(t)
                 self.is_prefix[x] = True
 
     def known(self, h: np.ndarray) -> np.ndarray:
@@ -80,21 +84,41 @@ class Templates:
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == h, self.place[at], -1)
 
-    def match(self, block: np.ndarray) -> dict[int, float]:
-        """Templates that a block (sorted distinct places) meets, with the share
-        held."""
-        out, tried = {}, set()
-        for j, x in enumerate(block.tolist()):
-            for t, i in self.with_prefix.get(x, ()):
-                a = self.least[t]
-                if t in tried or len(block) < a or j > len(block) - a:
-                    continue
-                tried.add(t)  # the first shared prefix word settles the positional bound
-                if 1 + min(len(self.sets[t]) - i - 1, len(block) - j - 1) < a:
-                    continue
-                both = len(np.intersect1d(self.sets[t], block, assume_unique=True))
-                if both >= a:
-                    out[t] = both / len(self.sets[t])
+    def spans(self, place: np.ndarray, t: int, around: list[int]) -> list[tuple[int, int, float]]:
+        """Spans of blocks that meet a template, in a text's words: first, end, and
+        the largest share held. ``around``: where its prefix words stand."""
+        least, reach, out = self.least[t], self.reach[t], []
+        hi = -1
+        stretches = []
+        for q in around:
+            if not stretches or q - reach + 1 > hi:
+                stretches.append([max(0, q - reach + 1), q + reach])
+            else:
+                stretches[-1][1] = q + reach
+            hi = q + reach
+        for lo, hi in stretches:
+            part = place[lo:hi]
+            at = np.flatnonzero(part >= 0)
+            at = at[self.holds[t, part[at]]]
+            if len(at) < least:
+                continue
+            words, where = part[at].tolist(), (at + lo).tolist()
+            held: dict[int, int] = {}
+            j = 0
+            for i, begin in enumerate(where):
+                while j < len(where) and where[j] < begin + reach:
+                    held[words[j]] = held.get(words[j], 0) + 1
+                    j += 1
+                # the rarest word held bounds what can be held: those after it in the order
+                if len(held) >= least and len(self.sets[t]) - np.searchsorted(self.sets[t], min(held)) >= least:
+                    share, end = len(held) / len(self.sets[t]), where[j - 1] + 1
+                    if out and begin < out[-1][1]:
+                        out[-1] = (out[-1][0], end, max(out[-1][2], share))
+                    else:
+                        out.append((begin, end, share))
+                held[words[i]] -= 1
+                if not held[words[i]]:
+                    del held[words[i]]
         return out
 
 
@@ -123,22 +147,6 @@ def count_words(docs: DataFrame, templates=TEMPLATES) -> np.ndarray:
     return out
 
 
-def _blocks(low, at, start, place):
-    """Lines and paragraphs as ranges of words: first, last + 1, row."""
-    l0, l1, lrow = spans(low != 10, at)
-    w0, w1 = np.searchsorted(start, l0), np.searchsorted(start, l1)
-    lines = [(w0, w1, lrow)]
-    solid = spans(~IS_SPACE[low], at)[0]
-    bare = np.searchsorted(solid, l1) == np.searchsorted(solid, l0)
-    follows = np.append(False, (l0[1:] == l1[:-1] + 1) & (lrow[1:] == lrow[:-1]) & ~bare[1:] & ~bare[:-1]) if len(l0) else np.zeros(0, bool)
-    head = np.flatnonzero(~follows)
-    if len(head) and len(head) < len(l0):
-        last = np.append(head[1:], len(l0)) - 1
-        more = last > head
-        lines.append((w0[head[more]], w1[last[more]], lrow[head[more]]))
-    return lines
-
-
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
     score, and spans: the blocks found (label, first word, end, share held)."""
@@ -177,14 +185,17 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
                 found: list[list[dict]] = [[] for _ in range(n)]
                 place = known.known(h)
                 rare = np.flatnonzero((place >= 0) & known.is_prefix[np.maximum(place, 0)])
-                for w0, w1, of in _blocks(low, off, start, place) if len(rare) else []:
-                    for k in np.flatnonzero(np.searchsorted(rare, w1) > np.searchsorted(rare, w0)).tolist():
-                        own = place[w0[k] : w1[k]]
-                        for t, share in known.match(np.unique(own[own >= 0])).items():
-                            r = int(of[k])
-                            labels[r].add(known.labels[t])
-                            score[r] = max(score[r], share)
-                            found[r].append({"label": known.labels[t], "first": int(w0[k] - word0[r]), "end": int(w1[k] - word0[r]), "share": share})
+                ends = np.append(word0[1:], len(h))
+                around: dict[tuple[int, int], list[int]] = {}
+                for q in rare.tolist():
+                    r = int(row[q])
+                    for t in known.with_prefix[int(place[q])]:
+                        around.setdefault((r, t), []).append(q - int(word0[r]))
+                for (r, t), at_words in around.items():
+                    for first_word, end_word, share in known.spans(place[word0[r] : ends[r]], t, at_words):
+                        labels[r].add(known.labels[t])
+                        score[r] = max(score[r], share)
+                        found[r].append({"label": known.labels[t], "first": first_word, "end": end_word, "share": share})
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").slice(lo, n), pa.array(np.bincount(row, minlength=n), pa.int64()), pa.array(n_base), pa.array(first, mask=first < 0), pa.array(last, mask=last < 0),
@@ -200,3 +211,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
         f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
         "spans array<struct<label: string, first: long, end: long, share: double>>",
     )
+
+
+#: What of it SQL expresses, in DuckDB: all but the method's own labels and score.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT unnest([{'p': ['under', 'the', 'mit', 'license'], 'l': 'mit'}, {'p': ['apache', 'license', 'version', '2'], 'l': 'apache-2'}, {'p': ['cc', 'by', 'nc'], 'l': 'cc-by-nc'}]) AS p),
+h AS (SELECT doc_id, i - 1 AS i, p.p.l AS label FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d) x JOIN p ON x.w[i] = p.p.p[1] AND x.w[i:i + len(p.p.p) - 1] = p.p.p),
+g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN g USING (doc_id)
+"""
