@@ -3,7 +3,7 @@ and bounded slices of Arrow text columns."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def plain(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns, but those an operator uses, under names that
+    clash with none of its own, and what gives them their names again, in order."""
+    names = docs.columns
+    safe = [c if c in used else f"column{k}" for k, c in enumerate(names)]
+    return docs.toDF(*safe), lambda df: df.select(*(F.col(s).alias(c) for s, c in zip(safe, names)))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

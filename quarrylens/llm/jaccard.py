@@ -543,13 +543,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component: the first by id (nulls last), then by
     hash of the text; of rows that repeat both, one. Empty sets all stay."""
     found = join(docs)
+    docs, back = common.plain(docs, "doc_id", "text")
     chosen = found.where("keep").groupBy(F.col("doc_id").alias("_chosen_id"), F.col("tie").alias("_chosen_tie")).agg(F.count("*").alias("_times"), F.max("n_shingles").alias("_n"))
     tie = F.xxhash64(common.text_of())
     kept = docs.join(chosen.select("_chosen_id", "_chosen_tie").hint("merge"), docs["doc_id"].eqNullSafe(F.col("_chosen_id")) & (tie == F.col("_chosen_tie")), "left_semi")
     if chosen.where("_times > 1 and _n > 0").isEmpty():
-        return kept
+        return back(kept)
     blank = kept.where(~common.text_of().rlike(r"[^ \t-\r]"))
-    return kept.where(common.text_of().rlike(r"[^ \t-\r]")).dropDuplicates(["doc_id", "text"]).unionByName(blank)
+    return back(kept.where(common.text_of().rlike(r"[^ \t-\r]")).dropDuplicates(["doc_id", "text"]).unionByName(blank))
 
 
 #: The same components in DuckDB, by counting the shingles of every pair that

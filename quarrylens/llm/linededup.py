@@ -20,7 +20,8 @@ Null texts are empty texts. A null id comes before all others. Rows that repeat
 both id and text are one document: they do not delete each other's lines, and
 each keeps the same remaining text. Blank lines go with a deleted run if they
 stand inside it. An empty table gives an empty result. Other columns pass
-through untouched; columns the operator makes begin with ``_ld_``.
+through untouched whatever their names (``stage``); ``dedup`` adds columns that
+begin with ``_ld_`` and takes none of such names.
 """
 
 from __future__ import annotations
@@ -156,9 +157,11 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def stage(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with their remaining texts; those that lost all their words go."""
-    out = dedup(docs, min_words)
-    return out.where((F.col("_ld_removed") == 0) | F.col("text").rlike(_WORD)).select(*docs.columns)
+    """The documents with their remaining texts, and all their columns whatever
+    their names; those that lost all their words go."""
+    given, back = common.plain(docs, "doc_id", "text")
+    out = dedup(given, min_words)
+    return back(out.where((F.col("_ld_removed") == 0) | F.col("text").rlike(_WORD)))
 
 
 #: The same result in DuckDB: runs are compared as whole strings.

@@ -30,6 +30,22 @@ def fingerprint_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_fingerprints(spark, sf_dir).drop("fingerprint", "edited_fingerprint")
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op5's columns that SQL can express: its base counts."""
+    return op5_quality_rules(spark, sf_dir).drop("kept", "quality_p")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op7's columns that SQL can express: what the rules say."""
+    out = op7_url_filters(spark, sf_dir)
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op8's columns that SQL can express: the phrases' places."""
+    return op8_license_scans(spark, sf_dir).drop("labels", "score")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -63,6 +79,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "fingerprint_likeness": fingerprint_likeness,
+    "quality_counts": quality_counts,
+    "url_rules": url_rules,
+    "license_phrases": license_phrases,
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_fingerprints": op3_fingerprints,
@@ -75,4 +94,11 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {"fingerprint_likeness": fingerprint.SQL, "op4_ngram_jaccard": jaccard.SQL, "op9_line_dedup": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "fingerprint_likeness": fingerprint.SQL,
+    "quality_counts": quality_rules.SQL,
+    "url_rules": urls.SQL,
+    "license_phrases": licenses.SQL,
+    "op4_ngram_jaccard": jaccard.SQL,
+    "op9_line_dedup": linededup.SQL,
+}

@@ -259,3 +259,14 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, seed_share: float = SEED_S
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "url").mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double, words string")
+
+
+#: What of it SQL expresses, in DuckDB: host, path, rule, and the rule's verdict.
+SQL = r"""
+WITH u AS (SELECT page_id, strpos(url, '://') AS k, url FROM pages), r AS (SELECT page_id, CASE WHEN k > 0 THEN substr(url, k + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+l AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM h),
+rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) v(rh, rp, verdict)),
+m AS (SELECT page_id, arg_max({'r': rh || rp, 'v': verdict}, len(rh || rp)) AS x FROM l JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
+SELECT l.page_id, host, path, x.r AS rule, x.v AS rule_verdict FROM l LEFT JOIN m USING (page_id)
+"""

@@ -300,6 +300,27 @@ def test_fingerprints_of_reordered_neighbours(spark):
 # the pipeline
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, blanks, repeated rows, columns whose names clash, and empty tables."""
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    names = "doc_id long, text string, _ld_id string, _ld_removed long, _chosen_id long, node string, kept boolean, component_id long, n_chars int"
+    text = ["\n".join(words(rng, 30, 3000) for _ in range(3)) for _ in range(12)]
+    rows = [(k, t) for k, t in enumerate(text)] + [(None, None), (20, None), (21, ""), (22, " \n"), (3, text[3]), (3, text[3]), (30, text[4]), (None, text[5]), (31, "\n".join(text[6:9]))]
+    for folder, data in (("some", rows), ("none", [])):
+        where = str(tmp_path / folder)
+        spark.createDataFrame([(i, t, f"v{i}", 7, i, "x", False, 5, len(t or "")) for i, t in data], names).write.parquet(f"{where}/documents.parquet")
+        spark.createDataFrame([(k, k % 2, 0) for k in range(6)] if data else [], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+        docs = spark.read.parquet(f"{where}/documents.parquet")
+        for name, stage in p.STAGES[:-1]:
+            got = stage(spark, docs, where)
+            assert got.columns == docs.columns, name
+            for r in got.collect():
+                assert r._ld_removed == 7 and r._ld_id == f"v{r.doc_id}" and r._chosen_id == r.doc_id and r.component_id == 5
+        assert p.STAGES[-1][1](spark, docs, where).count() >= len(data) and p.run(spark, where).count() >= 0
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     """The models' verdicts are taken from the operators (tested by themselves);
     what later stages do with them is done again by brute force."""

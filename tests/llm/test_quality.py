@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,8 +11,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.llm import licenses, ngrams, quality_pu, quality_rules, urls
+from quarrylens.llm import licenses, ngrams, quality_pu, quality_rules, textbytes, urls
 from quarrylens.llm.common import raw_text
+from quarrylens.llm.textbytes import span_hash, windows
 
 from .conftest import frame
 
@@ -83,6 +85,79 @@ def test_classifier_on_the_held_out_fold(spark):
     assert p.score.between(0, 1).all() and (p.predicted == (p.score >= 0.3)).all()
 
 
+def brute_score(text, weights, intercept):
+    """A linear score by plain loops: mean weight of words, word pairs and byte trigrams."""
+    raw = (text or "").encode()
+    h = [int(span_hash(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+    one = [x >> 48 for x in h]
+    two = [ngrams.SIZE + (0 if a == b else int(windows(np.array([a, b], np.uint64), np.zeros(2, int), 2)[1][0]) >> 48) for a, b in zip(h, h[1:])]
+    three = [2 * ngrams.SIZE + ((int.from_bytes(raw[k : k + 3], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 16) for k in range(len(raw) - 2)]
+    return intercept + sum(sum(weights[i] for i in x) / len(x) for x in (one, two, three) if x)
+
+
+def test_scores_equal_brute_force(spark, docs, texts):
+    w = np.random.default_rng(3).normal(size=ngrams.FAMILIES * ngrams.SIZE).astype(np.float32)
+    want = {k: 1 / (1 + math.exp(-brute_score(t, w, 0.25))) for k, t in enumerate(texts)}
+    for r in quality_pu.score(docs, (w, 0.25)).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-4) and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    for r in quality_rules.score(docs, (w, 0.25)).collect():
+        assert r.quality_p == pytest.approx(want[r.doc_id], rel=1e-4) and r.kept == (not r.base_failed and r.quality_p >= quality_rules.KEEP_AT)
+
+
+def test_risk_gradient_is_the_risks():
+    rng = np.random.default_rng(1)
+
+    def risk(a, b, prior):
+        p, u = ngrams.sigmoid(a), ngrams.sigmoid(b)
+        return prior * -np.log(p).mean() + max(0.0, -np.log(1 - u).mean() + prior * np.log(1 - p).mean())
+
+    for prior, shift in ((0.3, 1.0), (0.9, 1.0), (0.9, -3.0)):
+        a, b = rng.normal(size=5), rng.normal(size=7) + shift
+        gp, gu, second = quality_pu.risk_gradient(ngrams.sigmoid(a), ngrams.sigmoid(b), prior)
+        if second >= 0:
+            for k in range(5):
+                assert gp[k] == pytest.approx((risk(a + 1e-6 * (np.arange(5) == k), b, prior) - risk(a, b, prior)) / 1e-6, abs=1e-4)
+            for k in range(7):
+                assert gu[k] == pytest.approx((risk(a, b + 1e-6 * (np.arange(7) == k), prior) - risk(a, b, prior)) / 1e-6, abs=1e-4)
+        else:  # a step against the gradient raises the second part
+            p, u = ngrams.sigmoid(a - 1e-3 * gp), ngrams.sigmoid(b - 1e-3 * gu)
+            assert -np.log(1 - u).mean() + prior * np.log(1 - p).mean() > second
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(2)
+    score = lambda n, good: 1 / (1 + np.exp(-rng.normal(2 if good else -2, 1, n)))
+    bins = lambda x: np.bincount(quality_pu._bins(x), minlength=quality_pu.BINS)
+    for share in (0.2, 0.5, 0.9):
+        web = np.concatenate([score(int(20000 * share), True), score(int(20000 * (1 - share)), False)])
+        assert quality_pu.prior_of(bins(web), bins(score(600, True))) == pytest.approx(share, abs=0.06)
+    assert quality_pu.prior_of(np.zeros(quality_pu.BINS), bins(score(5, True))) == 0.5
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    chosen = spark.createDataFrame([(7, 1)], "doc_id long, cls long")
+    assert len(ngrams.collect_sample(docs, chosen)) == 1
+
+
+def test_long_spans_with_equal_sums():
+    """Two spans of 1,024 bytes whose running sums are equal have different hashes."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    a, b = bytes(97 + x for x in bits), bytes(98 - x for x in bits)
+    one = lambda f, s: int(f(np.frombuffer(s, np.uint8), np.array([0]), np.array([len(s)]))[0])
+    assert a != b and one(textbytes._sum_hash, a) == one(textbytes._sum_hash, b) and one(span_hash, a) != one(span_hash, b)
+
+
+def test_rules_on_rows_outside_the_sample(spark):
+    """The regression's verdict on labelled rows that it was not fitted on."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    some, rest = labels.where("doc_id % 3 != 0"), labels.where("doc_id % 3 = 0").dropDuplicates(["doc_id"])
+    got = quality_rules.score(docs, quality_rules.train(docs, some)).join(rest, "doc_id").where("not base_failed").collect()
+    good, bad = ([r.kept for r in got if r.quality == q] for q in (1, 0))
+    assert sum(good) / len(good) > 0.95 and sum(bad) < 0.5 * len(bad)
+
+
 def test_held_out_labels_do_not_matter(spark):
     from pyspark.sql import functions as F
 
@@ -136,23 +211,15 @@ def license_base(text):
 
 
 def brute_templates(text):
-    """Labels of templates by comparing every block with every template."""
-    tok = lambda s: set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", s.translate(ASCII)))
-    lines = (text or "").split("\n")
-    found = set()
-    groups, held = [], []
-    for line in lines:
-        if line.strip(" \t\r\x0b\x0c"):
-            held.append(line)
-        else:
-            groups.append(held)
-            held = []
-    groups.append(held)
+    """Labels of templates, with the largest share held, by trying every run of
+    words against every template."""
+    tok = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", s.translate(ASCII))
+    w, found = tok(text or ""), {}
     for label, template in licenses.TEMPLATES:
-        want = tok(template)
-        blocks = [tok(x) for x in lines] + ([tok("\n".join(g)) for g in groups if len(g) > 1] if len(want) >= licenses.LONG else [])
-        if any(5 * len(want & b) >= 4 * len(want) for b in blocks):
-            found.add(label)
+        want, reach = set(tok(template)), -(-3 * len(tok(template)) // 2)
+        most = max((len(want & set(w[i : i + reach])) for i in range(len(w))), default=0)
+        if 5 * most >= 4 * len(want):
+            found[label] = max(found.get(label, 0), most / len(want))
     return found
 
 
@@ -173,9 +240,10 @@ def test_license_scans(spark, texts):
         r = got[k]
         base = license_base(t)
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base, t
-        want = brute_templates(t) | set(filter(None, base[4].split(",")))
-        assert r.labels == ",".join(sorted(want)), t
-        assert 0 <= r.score <= 1 and (r.score > 0) == bool(want)
+        shares = brute_templates(t)
+        assert r.labels == ",".join(sorted(shares.keys() | set(filter(None, base[4].split(","))))), t
+        assert r.score == pytest.approx(1.0 if base[1] else max(shares.values(), default=0.0))
+        assert {x.label for x in r.spans} == set(shares) and all(0 <= x.first < x.end <= r.n_words for x in r.spans)
 
 
 def test_short_license_over_line_ends(spark):
@@ -185,8 +253,18 @@ def test_short_license_over_line_ends(spark):
         wrapped = [" ".join(w), *("\n".join([" ".join(w[:k]), " ".join(w[k:])]) for k in range(1, len(w))), "\n".join(w)]
         got = licenses.scan(frame(spark, wrapped)).collect()
         assert {(r.labels, r.score) for r in got} == {(label, got[0].score)} and got[0].score >= 0.8, label
-        parted = licenses.scan(frame(spark, ["\n\n".join(w)])).collect()
-        assert parted[0].labels == "" and parted[0].score == 0
+        scattered = licenses.scan(frame(spark, [" lorem ipsum dolor sit amet consetetur ".join(w)])).collect()
+        assert scattered[0].labels == "" and scattered[0].score == 0
+    rng = random.Random(4)
+    pool = sorted({x for _, t in licenses.TEMPLATES for x in t.split()}) + ["lorem", "ipsum"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(200))) for _ in range(20)]
+    for k in range(20):
+        t = rng.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(rng.randrange(4)):
+            t.insert(rng.randrange(len(t)), rng.choice(pool))
+        texts.append(" ".join(rng.choice(pool) for _ in range(30)) + " " + "\n".join(t) + " " + texts[k])
+    for r in licenses.scan(frame(spark, texts)).collect():
+        assert {x.label for x in r.spans} == set(brute_templates(texts[r.doc_id]))
 
 
 def test_license_empty(spark, empty):
