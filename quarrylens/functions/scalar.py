@@ -42,7 +42,7 @@ def name_tokens(name) -> Column:
 def signature_parts(signature) -> tuple[Column, Column]:
     """Parameters and return type written in a signature; none without brackets."""
     inside = F.when(signature.contains("(") & signature.contains(")"), F.substring_index(F.substring(signature, F.instr(signature, "(") + 1, F.length(signature)), ")", 1))
-    params = F.filter(F.transform(F.split(F.coalesce(inside, F.lit("")), ","), F.trim), lambda x: x != "")
+    params = F.filter(F.transform(F.split(F.coalesce(inside, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     back = F.when(inside.isNotNull() & signature.contains("->"), F.trim(F.substring_index(signature, "->", -1))).otherwise("")
     return params, back
 

@@ -203,3 +203,115 @@ def imports_by_candidates(files: DataFrame, imports: DataFrame) -> DataFrame:
     found = tries.join(by, "name").where("importer != file_path").groupBy("file_path", "p").agg(F.sort_array(F.collect_set("importer")).alias("importers"))
     best = found.groupBy("file_path").agg(F.min_by("importers", "p").alias("importers"))
     return J.occurrence(files.join(best, "file_path", "left"), ["file_path"], ["module"]).where("occurrence = 0").drop("occurrence")
+
+
+def resolved_calls(calls: DataFrame, blocks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Targets of calls by the first rule that decides, which may decide that there
+    is none (J22). All rules are joins on keys of the blocks; each key has one row.
+
+    calls: call, module, file_path, class_name (null outside classes), raw (as
+    written), full (with imports resolved), receiver (class that the receiver is
+    known to be, as imports resolve it; null if not known), receiver_external,
+    external, dynamic, star_import (booleans), local_defs, inputs, assigned (arrays
+    of names). blocks: block, module, file_path, class_name, name, qualified_name.
+    classes: module, class_name, of all classes defined anywhere.
+
+    Adds target (null if none) and how: the rule, or the reason for none."""
+    c = F.col
+    method = blocks.where("class_name IS NOT NULL").groupBy("module", "class_name", "name").agg(F.max("block").alias("t"))
+    init = method.where("name = '__init__'").select("module", "class_name", c("t").alias("init"))
+    known = method.select("module", "class_name").distinct().join(init, ["module", "class_name"], "left").withColumn("has", F.lit(True))
+    defined = classes.select("module", "class_name").distinct().withColumn("defined", F.lit(True))
+    anywhere = defined.select("class_name").distinct().withColumn("defined_anywhere", F.lit(True))
+
+    def one(keys: dict[str, Column], name: str) -> DataFrame:
+        """The only block of a key, by the key's names: <name>; and how many there are: <name>_n."""
+        return blocks.groupBy(*(v.alias(k) for k, v in keys.items())).agg(F.min("block").alias(name), F.count("*").alias(f"{name}_n"))
+
+    tail, head = F.substring_index("full", ".", -1), F.substring_index("raw", ".", 1)
+    dotted_full, dotted = c("full").contains("."), c("raw").contains(".")
+    upper = lambda x: F.regexp_replace(x, "^_+", "").rlike("^\\p{Lu}")
+    before = lambda x: F.regexp_extract(x, r"^(.*)\.[^.]+$", 1)
+    of_class = F.substring_index("receiver", ".", -1)
+    out = calls.withColumns({
+        "_tail": tail, "_owner": before(c("full")), "_own": F.when(c("raw").startswith("self."), F.substring("raw", 6, 10**6)).when(c("raw").startswith("cls."), F.substring("raw", 5, 10**6)),
+        "_head": head, "_rest": F.substring(c("raw"), F.length(head) + 2, F.length("raw")), "_last": F.substring_index("raw", ".", -1),
+        "_rmod": F.when(c("receiver").contains("."), before(c("receiver"))).otherwise(c("module")), "_rcls": of_class,
+    })
+
+    def joined(df, right, keys):
+        return df.join(right, list(keys), "left")
+
+    cls = lambda df, m, k, p: df.select(c("module").alias(m), c("class_name").alias(k), *(c(x).alias(f"{p}_{x}") for x in df.columns if x not in ("module", "class_name")))
+    out = joined(out, cls(known, "module", "raw", "same"), ("module", "raw"))
+    out = joined(out, cls(defined, "module", "raw", "same"), ("module", "raw"))
+    out = joined(out, cls(known, "_owner", "_tail", "far"), ("_owner", "_tail"))
+    out = joined(out, cls(defined, "_owner", "_tail", "far"), ("_owner", "_tail"))
+    out = joined(out, anywhere.withColumnRenamed("class_name", "raw"), ("raw",))
+    out = joined(out, cls(known, "module", "class_name", "own"), ("module", "class_name"))
+    out = joined(out, cls(known, "_rmod", "_rcls", "type"), ("_rmod", "_rcls"))
+    qualified = {"full": c("qualified_name")}
+    for name, more in (("q", {}), ("qm", {"module": c("module")}), ("qf", {"file_path": c("file_path")})):
+        out = joined(out, one(qualified | more, name), (qualified | more).keys())
+    out = joined(out, one({"_owner": c("module"), "_tail": c("name")}, "f"), ("_owner", "_tail"))
+    for name, more in (("n", {}), ("nm", {"module": c("module")}), ("nf", {"module": c("module"), "file_path": c("file_path")})):
+        out = joined(out, one({"_tail": c("name")} | more, name), ("_tail", *more))
+    met = lambda m, k, n, name: method.select(c("module").alias(m), c("class_name").alias(k), c("name").alias(n), c("t").alias(name))
+    out = joined(out, met("module", "class_name", "_own", "own_method"), ("module", "class_name", "_own"))
+    out = joined(out, met("module", "_head", "_rest", "class_method"), ("module", "_head", "_rest"))
+    out = joined(out, met("_rmod", "_rcls", "_last", "typed"), ("_rmod", "_rcls", "_last"))
+    elsewhere = method.groupBy("class_name").agg(F.min("module").alias("_first")).withColumnRenamed("class_name", "_rcls")
+    out = joined(out, elsewhere, ("_rcls",)).join(met("_first", "_rcls", "_last", "typed_else"), ["_first", "_rcls", "_last"], "left")
+    # module.Class.method at the shortest module that has it
+    parts = F.split("full", r"\.")
+    cuts = out.where(F.size(parts) > 2).select("call", F.slice(parts, F.size(parts) - 1, 2).alias("_e"), parts.alias("_p"), F.explode(F.sequence(F.lit(1), F.size(parts) - 2)).alias("_i"))
+    cuts = cuts.select("call", "_i", F.array_join(F.slice("_p", 1, c("_i")), ".").alias("module"), c("_e")[0].alias("class_name"), c("_e")[1].alias("name"))
+    deep = cuts.join(method, ["module", "class_name", "name"]).groupBy("call").agg(F.min_by("t", "_i").alias("deep"))
+    out = joined(out, deep, ("call",))
+
+    true = lambda x: F.coalesce(x, F.lit(False))
+    in_class, plain = c("class_name").isNotNull(), ~dotted
+    none = F.lit(None).cast(blocks.schema["block"].dataType)
+    maker = plain & upper(c("raw"))
+    unique = lambda name: F.when(c(f"{name}_n") == 1, c(name))
+    here = lambda base: F.coalesce(unique(base), unique(f"{base}m"), unique(f"{base}f"))
+    typed = c("receiver").isNotNull() & dotted
+    callback = c("raw").isin("func", "processor_func", "progress_callback") | c("raw").rlike("(_callback|_cb|_func)$") | true(F.array_contains("inputs", c("raw")))
+    late = (true(F.array_contains("assigned", c("raw"))) & c("n_n").isNull()) | (c("raw") == "callback") | c("raw").rlike("(_callback|_cb|_func|_factory|_builder|_class)$")
+    rules = (
+        (maker & dotted_full & c("external"), none, "external"),
+        (maker & true(c("same_has")), c("same_init"), F.when(c("same_init").isNull(), "class_instantiation").otherwise("constructor_same_module")),
+        (maker & true(c("same_defined")), none, "class_instantiation"),
+        (maker & dotted_full & true(c("far_has")), c("far_init"), F.when(c("far_init").isNull(), "class_instantiation").otherwise("constructor_imported")),
+        (maker & dotted_full & true(c("far_defined")), none, "class_instantiation"),
+        (maker & (true(c("defined_anywhere")) | dotted_full), none, "class_instantiation"),
+        (here("q").isNotNull(), here("q"), "exact_qualname"),
+        (dotted_full & c("deep").isNotNull(), c("deep"), "symbol_table"),
+        (dotted_full & unique("f").isNotNull(), unique("f"), "symbol_table"),
+        (c("_own").isNotNull() & in_class & c("own_method").isNotNull(), c("own_method"), "same_module"),
+        (c("_own").isNotNull() & in_class & ~c("_own").contains("."), none, "baseclass_method"),
+        (c("raw").startswith("super.") | c("raw").startswith("super()"), none, "baseclass_method"),
+        ((c("raw") == "cls") & in_class, c("own_init"), F.when(c("own_init").isNull(), "class_instantiation").otherwise("constructor_same_module")),
+        (dotted & c("_head").rlike("^\\p{Lu}") & ~c("_rest").contains(".") & c("class_method").isNotNull(), c("class_method"), "class_method_same_module"),
+        (typed & c("receiver_external"), none, "external"),
+        (typed & c("typed").isNotNull(), c("typed"), "local_type_hint"),
+        (typed & true(c("type_has")), none, "baseclass_method"),
+        (typed & c("typed_else").isNotNull(), c("typed_else"), "local_type_hint"),
+        (typed, none, "baseclass_method"),
+        (c("nm_n") == 1, c("nm"), "same_module"),
+        ((c("nm_n") > 1) & (c("nf_n") == 1), c("nf"), "same_module"),
+        ((c("n_n") == 1) & ~c("external"), c("n"), "method_name"),
+        (c("star_import") & plain, none, "star_import"),
+        (c("external"), none, "external"),
+        (c("dynamic"), none, "dynamic_attribute"),
+        (c("n_n") > 1, none, "ambiguous"),
+        (plain & true(F.array_contains("local_defs", c("raw"))), none, "nested_local"),
+        (plain & callback, none, "dynamic_callback"),
+        (plain & upper(c("raw")), none, "class_instantiation"),
+        (plain & late, none, "dynamic_callback"),
+    )
+    chosen = F.when(F.lit(False), F.struct(none.alias("t"), F.lit("").alias("h")))
+    for when, target, how in rules:
+        chosen = chosen.when(F.coalesce(when, F.lit(False)), F.struct(target.alias("t"), (F.lit(how) if isinstance(how, str) else how).alias("h")))
+    chosen = chosen.otherwise(F.struct(none.alias("t"), F.lit("not_found").alias("h")))
+    return out.withColumn("_c", chosen).select(*calls.columns, c("_c.t").alias("target"), c("_c.h").alias("how"))

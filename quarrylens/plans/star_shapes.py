@@ -17,28 +17,33 @@ from . import views
 from .registry import query
 from .star_basic import _trade, cents
 
-_NATIONS = """WITH RECURSIVE t AS (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND c_nationkey <> s_nationkey GROUP BY 1, 2), top AS (SELECT a, b FROM t QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) <= 2)"""
+_NATIONS = """WITH RECURSIVE top AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
+_RESALE = """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_linenumber = 1 UNION SELECT DISTINCT 1000000 + l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 2)"""
 
 
 def _top_trade(t: Tables) -> DataFrame:
-    """The two heaviest edges from each nation."""
-    counts = _trade(t).where("l_returnflag = 'R' AND c_nationkey != s_nationkey").groupBy(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).agg(F.count("*").alias("n"))
-    return A.first_per_group(counts, ["a"], [F.desc("n"), F.col("b")], 2).select("a", "b")
+    """Nations that buy from nations, over all line items."""
+    return _trade(t).select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).distinct()
 
 
-@query(_NATIONS + """, r AS (SELECT 1 AS node, 0 AS depth UNION SELECT top.b, r.depth + 1 FROM r JOIN top ON r.node = top.a WHERE r.depth < 3)
+def _resale(t: Tables) -> DataFrame:
+    """First items as edges from supplier to part, second items back, all of them."""
+    part = F.col("l_partkey") + 1000000
+    forth = t.lineitem.where("l_linenumber = 1").select(F.col("l_suppkey").alias("a"), part.alias("b"))
+    return forth.union(t.lineitem.where("l_linenumber = 2").select(part, "l_suppkey")).distinct()
+
+
+@query(_RESALE + """, r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON r.node = e.a WHERE r.depth < 4)
 SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1""")
 def dependency_graph_depth(t: Tables) -> DataFrame:
     """G1, G2."""
-    start = t.nation.where("n_nationkey = 1").select("n_nationkey")
-    return G.reachable(_top_trade(t), start, "a", "b", 3)
+    return G.reachable(_resale(t), t.supplier.where("s_suppkey = 1").select("s_suppkey"), "a", "b", 4)
 
 
-@query(_NATIONS + ", r AS (SELECT 1 AS node UNION SELECT top.b FROM r JOIN top ON r.node = top.a) SELECT node FROM r")
+@query(_RESALE + ", r AS (SELECT 1::BIGINT AS node UNION SELECT e.b FROM r JOIN e ON r.node = e.a) SELECT node FROM r")
 def reachability(t: Tables) -> DataFrame:
     """G3."""
-    return G.reachable(_top_trade(t), t.nation.where("n_nationkey = 1").select("n_nationkey"), "a", "b").select("node")
+    return G.reachable(_resale(t), t.supplier.where("s_suppkey = 1").select("s_suppkey"), "a", "b").select("node")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS x, 1000000000 + p_size * 100000 + CAST(substr(p_brand, 7) AS BIGINT) * 1000 + len(p_name) AS y FROM part),
@@ -51,11 +56,46 @@ def components(t: Tables) -> DataFrame:
 
 
 @query(_NATIONS + """, p AS (SELECT a AS head, b AS last, [a, b] AS path FROM top WHERE b > a UNION ALL SELECT head, top.b, list_append(path, top.b) FROM p JOIN top ON p.last = top.a
-WHERE top.b > head AND NOT list_contains(path, top.b) AND len(path) < 5)
-SELECT array_to_string(path, ',') AS path FROM p JOIN top ON p.last = top.a AND top.b = p.head""")
+WHERE top.b > head AND NOT list_contains(path, top.b) AND len(path) < 3)
+SELECT array_to_string(path, ',') AS path FROM p JOIN top ON p.last = top.a AND top.b = p.head UNION ALL SELECT a::VARCHAR FROM top WHERE a = b""")
 def cycles(t: Tables) -> DataFrame:
-    """G8, G9."""
-    return G.cycles(_top_trade(t), "a", "b", 5).select(F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+    """All cycles of at most three nations."""
+    return G.cycles(_top_trade(t), "a", "b", 3).select(F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT p_size AS a, p_size + 1 + p_partkey % 3 AS b FROM part), r AS (SELECT a AS node, 1 AS d FROM e UNION SELECT e.b, r.d + 1 FROM r JOIN e ON r.node = e.a) SELECT max(d)::BIGINT AS depth FROM r""")
+def call_depth(t: Tables) -> DataFrame:
+    """G10."""
+    edges = t.part.select(F.col("p_size").alias("a"), (F.col("p_size") + 1 + F.col("p_partkey") % 3).alias("b"))
+    return t.spark.createDataFrame([(G.longest_path(edges, "a", "b"),)], "depth long")
+
+
+@query("""WITH m AS (SELECT p_partkey AS k, p_brand AS g FROM part) SELECT DISTINCT a.g AS from_group, b.g AS to_group FROM lineitem JOIN m a ON a.k = l_partkey JOIN m b ON b.k = l_suppkey WHERE a.g <> b.g""")
+def condensed_groups(t: Tables) -> DataFrame:
+    """G12."""
+    return G.condensed(t.lineitem, t.part, "p_partkey", "p_brand", "l_partkey", "l_suppkey")
+
+
+@query("""WITH o AS (SELECT l_suppkey AS node, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS calls FROM lineitem GROUP BY 1), i AS (SELECT l_linenumber::BIGINT AS node, string_agg(DISTINCT l_suppkey::VARCHAR, ',') AS c, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)
+SELECT coalesce(o.node, i.node) AS node, coalesce(calls, '') AS calls, coalesce(n, 0)::BIGINT AS n_callers FROM o FULL JOIN i ON o.node = i.node""")
+def callers_and_callees(t: Tables) -> DataFrame:
+    """G13, P29."""
+    out = G.calls_of(t.lineitem.select("l_suppkey", F.col("l_linenumber").cast("long").alias("n")), "l_suppkey", "n")
+    return out.select("node", F.array_join("calls", ",").alias("calls"), F.size("called_by").cast("long").alias("n_callers"))
+
+
+@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS k, p_brand AS m, p_name AS n, p_brand || '.' || p_name AS qn FROM lineitem JOIN part ON l_partkey = p_partkey), d AS (SELECT DISTINCT k, m, n, qn FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY m, n) = 1),
+q AS (SELECT p_brand || '.' || p_name AS qn, min(p_partkey) AS t FROM part GROUP BY 1 HAVING count(*) = 1), l AS (SELECT p_type, p_name, min(p_partkey) AS t FROM part WHERE p_size > 40 GROUP BY 1, 2 HAVING count(*) = 1), a AS (SELECT p_name, min(p_partkey) AS t FROM part WHERE p_size > 48 GROUP BY 1 HAVING count(*) = 1)
+SELECT k, CASE WHEN q.t IS NOT NULL THEN 'qualified_name' WHEN l.t IS NOT NULL THEN 'same_file' WHEN a.t IS NOT NULL THEN 'unique_name' END AS rule, coalesce(q.t, l.t, a.t) AS target FROM d LEFT JOIN q USING (qn) LEFT JOIN l ON l.p_type = 'PROMO' AND l.p_name = n LEFT JOIN a ON a.p_name = n""")
+def resolution_cascade(t: Tables) -> DataFrame:
+    """Names of parts, by qualified name, by name in one file, by name anywhere."""
+    named = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.struct("p_brand", "p_name").alias("x"))
+    calls = named.groupBy("k").agg(F.min("x").alias("x")).select("k", F.concat_ws(".", "x.p_brand", "x.p_name").alias("qn"), F.col("x.p_name").alias("n"))
+    full = J.unique_names(t.part.select(F.concat_ws(".", "p_brand", "p_name").alias("qn"), "p_partkey"), ["qn"], "p_partkey").select("qn", F.col("p_partkey").alias("target"))
+    local = J.unique_names(t.part.where("p_size > 40"), ["p_type", "p_name"], "p_partkey").where("p_type = 'PROMO'").select(F.col("p_name").alias("n"), F.col("p_partkey").alias("target"))
+    anywhere = J.unique_names(t.part.where("p_size > 48"), ["p_name"], "p_partkey").select(F.col("p_name").alias("n"), F.col("p_partkey").alias("target"))
+    rules = [("qualified_name", calls.join(full, "qn")), ("same_file", calls.join(local, "n")), ("unique_name", calls.join(anywhere, "n"))]
+    return J.cascade(calls.select("k"), "k", rules, "target").select("k", "rule", "target")
 
 
 @query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity >= 48), o AS (SELECT a, count(*) AS n FROM e GROUP BY 1), i AS (SELECT b, count(*) AS n FROM e GROUP BY 1)
@@ -130,19 +170,6 @@ def longest_prefix(t: Tables) -> DataFrame:
     return J.longest_prefix(names, "name", known, "prefix", "owner", "/", 12).select("page_id", "owner")
 
 
-@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS k, min(l_partkey) AS p, min(l_suppkey) AS s, max(l_quantity) AS q FROM lineitem GROUP BY 1)
-SELECT k, CASE WHEN q >= 45 THEN 'size' WHEN p % 5 = 0 THEN 'part' WHEN s % 3 = 0 THEN 'supplier' END AS rule, CASE WHEN q >= 45 THEN p WHEN p % 5 = 0 THEN p * 2 WHEN s % 3 = 0 THEN s END::BIGINT AS target FROM c""")
-def resolution_cascade(t: Tables) -> DataFrame:
-    """J22, J23."""
-    calls = t.lineitem.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.max("l_quantity").alias("q"))
-    rules = [
-        ("size", calls.where("q >= 45").select("k", F.col("p").alias("target"))),
-        ("part", calls.where("p % 5 = 0").select("k", (F.col("p") * 2).alias("target"))),
-        ("supplier", calls.where("s % 3 = 0").select("k", F.col("s").alias("target"))),
-    ]
-    return J.cascade(calls.select("k"), "k", rules, "target").select("k", "rule", "target")
-
-
 _BLOCKS = """WITH RECURSIVE b AS (SELECT p_partkey AS k, p_name || '|' || p_brand || '|' || p_type AS tok, p_name || '|' || p_brand AS ast, p_brand || '|' || p_size AS nrm, p_size AS loc, p_size % 12 AS st, p_partkey % 6 AS nest,
 CASE p_partkey % 3 WHEN 0 THEN 'function_body' WHEN 1 THEN 'if' ELSE 'class_body' END AS bt, p_partkey % 7 AS f FROM part WHERE p_size >= 3),
 g1 AS (SELECT 'exact' AS t, 'exact' AS ch, tok AS fp, list(k ORDER BY k) AS m FROM b GROUP BY 3 HAVING count(*) >= 2), b1 AS (SELECT * FROM b WHERE k NOT IN (SELECT unnest(m) FROM g1)),
@@ -289,14 +316,3 @@ def embedding_neighbors(t: Tables) -> DataFrame:
     from ..operators.vectors import nearest
 
     return nearest(t.embeddings.where("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", 1).select("q", "vec_id")
-
-
-@query(None)
-def py_facts(t: Tables) -> DataFrame:
-    """X1-X11 on this package's own sources: symbols by kind and category."""
-    from pathlib import Path
-
-    from ..sources import code, extract
-
-    scan = code.files(t.spark, str(Path(__file__).resolve().parents[1]))
-    return extract.table_of(extract.facts(scan), "symbols").groupBy("kind", "semantic_category").agg(F.count("*").alias("n"), F.max("complexity_score").alias("most_complex"))

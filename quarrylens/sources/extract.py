@@ -318,6 +318,10 @@ class Extractor:
             if isinstance(x, (ast.Import, ast.ImportFrom)):
                 for name in imported(x, self.module, package):
                     self.depend(own, name, "imports", x.lineno)
+                if isinstance(x, ast.ImportFrom) and x.level:  # what a relative import binds is known only with the module
+                    for a, name in zip(x.names, imported(x, self.module, package)):
+                        if a.name != "*":
+                            self.rows.append(("details", {"symbol_uid": own, "file_path": self.path, "detail": "alias", "name": a.asname or a.name, "value": name, "line": x.lineno}))
             elif isinstance(x, ast.Call) and (name := dotted(x.func)):
                 self.depend(own, name, "calls", x.lineno)
             elif isinstance(x, ast.Attribute):

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quarrylens.plans import star_basic, star_shapes  # noqa: F401
+from quarrylens.plans import code_fixture, star_basic, star_code, star_shapes  # noqa: F401
 from quarrylens.plans.registry import ORACLE_SQL, QUERIES
 from quarrylens.sources.tables import NAMES
 
@@ -47,5 +47,5 @@ def test_every_query_is_named_in_the_entry():
 def test_empty_tables(spark, tmp_path):
     for t in NAMES:
         spark.read.parquet(f"{FOLDER}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
-    for name in ("exact_duplicates", "co_change", "overlap_findings", "hotspots", "components", "cycles", "embedding_neighbors", "resolution_cascade", "reachability"):
+    for name in ("exact_duplicates", "co_change", "overlap_findings", "hotspots", "components", "cycles", "embedding_neighbors", "resolution_cascade", "reachability", "clone_ranking", "decisions_ranked", "file_stats", "cluster_advice"):
         assert QUERIES[name](spark, str(tmp_path)).count() <= 1, name
