@@ -46,35 +46,60 @@ def normalised_calls(calls: DataFrame, aliases: DataFrame) -> DataFrame:
     return out.withColumn("full_name", F.when(F.col("target").isNotNull(), F.concat("target", rest)).otherwise(F.col("target_external"))).drop("alias", "target")
 
 
-def operations(name: Column, calls: Column) -> Column:
-    """Operations that a method's name and calls speak of."""
-    text = F.lower(F.concat_ws(" ", name, F.array_join(calls, " ")))
-    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(k)) for k, p in OPERATIONS)))
+def operations(name: Column, category: Column, markers: Column, effects: Column, signature: Column | None = None) -> Column:
+    """Operations of a method in order, each once (C15, P5): as its signature
+    writes them between arrows; without one, those that its category, markers, side
+    effects and name tell; none told: unknown."""
+    low = F.lower(name)
+    some = lambda words: sum((F.when(low.contains(w), 1).otherwise(0) for w in words), F.lit(0)) > 0
+    none = F.array().cast("array<string>")
+    word = lambda hit, *o: F.when(hit, F.array(*map(F.lit, o))).otherwise(none)
+    told = [word(F.coalesce(category == k, F.lit(False)), *v) for k, v in V.CATEGORY_OPERATIONS.items()]
+    told.append(F.array_compact(F.transform(F.coalesce(markers, none), lambda m: mapped(V.MARKER_OPERATIONS, m))))
+    told += [word(F.array_contains(F.coalesce(effects, none), k), *v) for k, v in V.EFFECT_OPERATIONS.items()]
+    told.append(F.when(low.contains("check"), F.array(F.lit("check"))).when(low.contains("validate"), F.array(F.lit("validate"))).otherwise(none))
+    told += [word(some(words), o) for words, o in V.NAME_OPERATIONS]
+    inferred = F.array_distinct(F.concat(*told))
+    inferred = F.when(F.size(inferred) > 0, inferred).otherwise(F.array(F.lit("unknown")))
+    if signature is None:
+        return inferred
+    written = F.filter(F.transform(F.split(signature, "->"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    return F.when(F.coalesce(signature, F.lit("")) != "", written).otherwise(inferred)
 
 
 def pattern(ops: Column) -> Column:
-    """Pattern of a method by its operations, the first that fits."""
-    has = lambda o: F.array_contains(ops, o)
-    return F.when(has("validate") & has("transform"), "validate_and_transform").when(has("read") & has("write"), "read_modify_write").when(has("read") & has("transform"), "load_and_convert").when(has("compute"), "computation").when(has("create"), "factory").otherwise("other")
-
-
-def match_confidence(structural: Column, functional: Column, behavioural: Column, same_signature: Column) -> Column:
-    """Confidence of a match: its strongest side, raised where sides agree."""
-    strong = F.greatest(structural, functional, behavioural)
-    agree = sum((F.when(x >= 0.6, 1).otherwise(0) for x in (structural, functional, behavioural)), F.lit(0))
-    return F.least(F.lit(1.0), strong * (0.7 + 0.1 * agree) + F.when(same_signature, 0.05).otherwise(0.0))
+    """Pattern of a sequence of operations, the first that fits."""
+    has = lambda *o: sum((F.when(F.array_contains(ops, x), 1).otherwise(0) for x in o), F.lit(0)) == len(o)
+    text = F.array_join(ops, "->")
+    return (
+        F.when(has("load", "validate", "save"), "load_validate_save")
+        .when(has("fetch", "process", "store"), "fetch_process_store")
+        .when(has("check", "execute") & (text.contains("notify") | text.contains("send")), "check_execute_notify")
+        .when(has("parse", "transform", "format"), "parse_transform_format")
+        .when(has("authenticate", "authorize", "execute"), "authenticate_authorize_execute")
+        .when(F.size(F.filter(ops, lambda o: o.isin("acquire", "lock", "release", "unlock"))) >= 2, "acquire_process_release")
+        .when((has("validate") | has("check")) & (has("transform") | has("process")), "validate_transform_return")
+        .otherwise("unknown")
+    )
 
 
-def merge_strategy(match: Column, similarity: Column) -> Column:
-    """Advice for a match (C17)."""
-    return F.when((match == "structural") & (similarity >= 0.95), "replace one by the other").when(match == "structural", "extract the common part, pass the rest as parameters").when(match == "functional", "extract a common interface").otherwise("review by hand")
+def merge_strategy(match: Column, score: Column) -> Column:
+    """Advice for a match by its type and score (C17)."""
+    by = lambda k: mapped({t: v[k] for t, v in V.MERGE_ADVICE.items()}, match)
+    return F.when(score >= 0.9, by(0)).when(score >= 0.8, by(1)).when(score >= 0.7, V.MERGE_REST[0]).otherwise(V.MERGE_REST[1])
 
 
 def similar_symbols(pairs: DataFrame, k: int) -> DataFrame:
-    """Symbols most like each other: 1.0 for the same text, 0.9 for the same
-    shape, up to 0.7 by category and size (C18). Scored, then ranked, then cut (H7)."""
-    soft = 0.4 * F.when(F.col("a_category") == F.col("b_category"), 1.0).otherwise(0.0) + 0.3 * F.least("a_lines", "b_lines") / F.greatest("a_lines", "b_lines", F.lit(1))
-    score = F.when((F.col("a_token") != "") & (F.col("a_token") == F.col("b_token")), 1.0).when((F.col("a_ast") != "") & (F.col("a_ast") == F.col("b_ast")), 0.9).otherwise(soft)
+    """Symbols most like each other (C18): 1.0 for the same text, 0.9 for the same
+    shape, else .3 for the same category, .2 for like complexity, .2 where a word of
+    the one's name stands in the other's. Scored, then ranked, then cut (H7).
+    a_/b_: token, ast, category, complexity, name."""
+    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    same = lambda c: F.coalesce((a(c) != "") & (a(c) == b(c)), F.lit(False))
+    alike = (a("complexity") > 0) & (b("complexity") > 0) & (F.least(a("complexity"), b("complexity")) / F.greatest(a("complexity"), b("complexity")) > 0.8)
+    names = (a("name") != "") & (b("name") != "") & F.exists(F.split(F.lower(a("name")), "_"), lambda w: F.lower(b("name")).contains(w))
+    soft = F.when(same("category"), 0.3).otherwise(0.0) + F.when(alike, 0.2).otherwise(0.0) + F.when(names, 0.2).otherwise(0.0)
+    score = F.when(same("token"), 1.0).when(same("ast"), 0.9).otherwise(soft)
     from .aggregates import first_per_group
 
     return first_per_group(pairs.withColumn("similarity", score), ["a"], [F.desc("similarity"), F.col("b")], k)
@@ -163,13 +188,23 @@ def strategy_text(duties: DataFrame, cls: str) -> DataFrame:
     return duties.groupBy(cls).agg(F.concat(F.lit("split by "), F.array_join(F.sort_array(F.collect_set("duty")), ", ")).alias("strategy"))
 
 
-def file_issues(df: DataFrame) -> DataFrame:
-    """Issues of a file, its priority from 1 to 10, and how far a machine can help."""
-    rules = {"too_long": F.col("lines") > 500, "too_complex": F.col("complexity") > 50, "too_many_classes": F.col("classes") > 5, "too_many_functions": F.col("functions") > 20, "few_docs": F.col("doc_share") < 0.3, "too_many_dependencies": F.col("dependencies") > 15}
-    out = df.withColumn("issues", F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items()))))
-    out = out.withColumn("priority", F.least(F.lit(10), F.lit(1) + 2 * F.size("issues") + F.when(F.col("lines") > 1000, 2).otherwise(0)))
-    by_machine = F.size(F.array_intersect("issues", F.array(*map(F.lit, ("few_docs", "too_long", "too_many_functions")))))
-    return out.withColumn("automation", F.when(F.size("issues") == 0, 0.0).otherwise(by_machine / F.size("issues")))
+def file_issues(df: DataFrame, large: int = 500, complexity: int = 15, deep: int = 3, many: int = 10) -> DataFrame:
+    """Issues of a file, its priority from 1 to 10, and how far a machine can help
+    (M21): lines, complexity, god_objects (how many), complex_items, most_duties,
+    nested_depth, nested_definitions."""
+    c = F.col
+    rules = (
+        F.when(c("lines") > large * 2, "very large file").when(c("lines") > large, "large file"),
+        F.when(c("complexity") > complexity * 20, "critical complexity").when(c("complexity") > complexity * 10, "high complexity"),
+        F.when(c("complex_items") > 0, "complex methods"), F.when(c("nested_depth") >= deep, "deep nesting"), F.when(c("nested_definitions") > many, "many nested definitions"),
+    )
+    gods = F.expr("array_repeat('god object', CAST(god_objects AS INT))")
+    out = df.withColumn("issues", F.concat(F.array_compact(F.array(*rules[:2])), gods, F.array_compact(F.array(*rules[2:]))))
+    size = F.when(c("lines") > large * 4, 4).when(c("lines") > large * 2, 3).when(c("lines") > large, 2).otherwise(0)
+    score = 1 + size + F.least(c("god_objects") * 2, F.lit(4)) + F.least(F.size("issues"), F.lit(3)) + F.when(c("nested_depth") >= deep, 1).otherwise(0)
+    text = F.array_join("issues", " ")
+    help_ = F.when(c("god_objects") > 0, 4).otherwise(0) + F.when(text.contains("large file"), 3).otherwise(0) + F.when(text.contains("complex"), 2).otherwise(0) + F.when(c("most_duties") > 3, 2).otherwise(0)
+    return out.withColumns({"priority": F.least(score, F.lit(10)), "automation": F.least(help_, F.lit(10)) / 10})
 
 
 def unresolved_reason(name: Column, candidates: Column, has_receiver_type: Column) -> Column:

@@ -336,22 +336,48 @@ def steps(plans: DataFrame, recommendation: str = "recommendation") -> DataFrame
     return plans.select("*", F.posexplode(F.element_at(table, F.col(recommendation))).alias("_p", "step")).withColumn("step_no", F.col("_p") + 1).drop("_p")
 
 
-def quality_score(present: dict[str, float]) -> Column:
-    """Share of the weighted components that an analysis holds."""
-    return 100.0 * sum((F.when(F.col(c), w).otherwise(0.0) for c, w in present.items()), F.lit(0.0)) / sum(present.values())
+def quality_score(present: dict[str, float] = V.COMPONENT_WEIGHTS, most: float = 100.0) -> Column:
+    """Sum of the weights of the components that an analysis holds."""
+    return F.least(F.lit(most), sum((F.when(F.col(c), w).otherwise(0.0) for c, w in present.items()), F.lit(0.0)))
 
 
-def opportunities(df: DataFrame) -> DataFrame:
-    """Refactoring opportunities (M22); a god class here needs both bounds."""
+def analysis_risk(call_graph: Column, callers: Column, tests: Column, contracts: Column, n_callers: Column, duplicates: Column, critical: int = 6, high: int = 4, medium: int = 2) -> Column:
+    """Risk of a refactoring by what its analysis lacks."""
+    points = F.when(~call_graph, 3).otherwise(0) + F.when(~callers, 3).otherwise(0) + F.when(~tests, 2).otherwise(0) + F.when(~contracts, 2).otherwise(0) + F.when(n_callers > 10, 1).otherwise(0) + F.when(duplicates > 5, 1).otherwise(0)
+    return F.when(points >= critical, "critical").when(points >= high, "high").when(points >= medium, "medium").otherwise("low")
+
+
+def opportunities(df: DataFrame, lines: int = 1000, duties: int = 3, config_lines: int = 200, config_duties: int = 4) -> DataFrame:
+    """Refactoring opportunities of files (M22); a god class here needs all three
+    bounds: file_path, lines, responsibility_count, cohesion, coupling."""
+    c = F.col
+    named = F.lower("file_path").contains("config") | F.lower("file_path").contains("settings")
     found = {
-        "decompose_class": (F.col("method_count") > 15) & (F.col("responsibility_count") > 3),
-        "split_configuration": F.col("config_keys") > 20,
-        "reduce_coupling": F.col("coupling") > 0.7,
-        "raise_cohesion": F.col("cohesion") < 0.4,
+        "god_class": (c("lines") > lines) & (c("responsibility_count") > duties) & (c("cohesion") < 0.5),
+        "large_configuration": named & (c("lines") > config_lines) & (c("responsibility_count") > config_duties),
+        "tight_coupling": c("coupling") > 0.7,
+        "low_cohesion": c("cohesion") < 0.4,
     }
-    return df.withColumn("opportunity", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in found.items())))))
+    return df.withColumn("opportunity", F.explode(F.array_compact(F.array(*(F.when(x, F.lit(k)) for k, x in found.items())))))
 
 
 def change_risk(files: Column) -> Column:
     """Risk of a breaking change by the files it reaches."""
     return F.when(files > 10, "critical").when(files > 5, "high").when(files > 2, "medium").otherwise("low")
+
+
+def migration_effort(files: Column) -> Column:
+    """Effort of moving callers to a breaking change."""
+    return F.when(files > 10, "high").when(files > 3, "medium").otherwise("low")
+
+
+def test_signal(tests: DataFrame) -> DataFrame:
+    """Quality and signal of each test, 0 to 100, and the band of its signal (A33,
+    E15): documented, asserts, mocks, trivial, swallows, suspicious, too_complex,
+    edge_case (booleans but for asserts, a count)."""
+    bonus = F.when(F.col("asserts") > 0, F.least(F.col("asserts") * 6, F.lit(25))).otherwise(-35)
+    effects = {"documented": (8, 6), "mocks": (8, 8), "trivial": (-20, -30), "swallows": (-30, -30), "suspicious": (-12, -15), "too_complex": (-10, -10), "edge_case": (6, 4)}
+    total = lambda k: F.greatest(F.lit(0), F.least(F.lit(100), 50 + bonus + sum((F.when(F.col(c), v[k]).otherwise(0) for c, v in effects.items()), F.lit(0))))
+    out = tests.withColumns({"quality": total(0), "signal": total(1)})
+    band = F.when(F.col("signal") >= 70, "high").when(F.col("signal") >= 40, "medium").otherwise("low")
+    return out.withColumns({"band": band, "noise": F.col("signal") < 30})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import values as V
 from ..operators import aggregates as A
 from ..operators import graph as G
 from ..operators import joins as J
@@ -146,13 +147,21 @@ def optional_dependencies(details: DataFrame) -> DataFrame:
 
 
 def test_quality(a: Audit, details: DataFrame) -> DataFrame:
-    """Score of each test by assertions, mocks and triviality, and a band."""
-    tests = a.symbols.where("kind IN ('function', 'method') AND name LIKE 'test%'").select("symbol_uid", "file_path", "qualified_name")
-    trivial = F.col("value").isin("True", "1", "assert True")
-    facts = details.groupBy("symbol_uid").agg(F.count_if(F.col("detail") == "assert").alias("asserts"), F.count_if(F.col("detail") == "mock").alias("mocks"), F.count_if((F.col("detail") == "assert") & trivial).alias("trivial"))
+    """Quality and signal of each test function (E15, A33, P26): what it asserts,
+    mocks, swallows, and names as an edge case."""
+    tests = a.symbols.where("kind IN ('function', 'method') AND name LIKE 'test\\\\_%'").select("symbol_uid", "file_path", "qualified_name", "name", (F.col("complexity_score") > 6).alias("too_complex"))
+    value, kind = F.col("value"), F.col("detail")
+    trivial = (kind == "assert") & (value.isin("True", "1") | value.rlike(r"assertTrue\(True"))
+    odd = (kind == "argument") & F.substring_index("name", ":", -1).isin("node", "project_path", "progress_callback") & value.isin("None", "0", "''", "[]", "{}")
+    words = lambda x: sum((F.when(F.lower(x).contains(w), 1).otherwise(0) for w in V.EDGE_WORDS), F.lit(0)) > 0
+    facts = details.groupBy("symbol_uid").agg(
+        F.count_if(kind == "assert").alias("asserts"), F.count_if(kind == "doc").alias("docs"), F.count_if(kind == "mock").alias("n_mocks"), F.count_if(trivial).alias("n_trivial"),
+        F.count_if((kind == "handler") & (value == "pass")).alias("n_swallows"), F.count_if(odd).alias("n_odd"), F.count_if((kind == "doc") & words("value")).alias("n_edge"),
+    )
     out = tests.join(facts, "symbol_uid", "left").na.fill(0)
-    score = F.greatest(F.lit(0), F.least(F.lit(100), 40 * F.least(F.col("asserts") - F.col("trivial"), F.lit(2)) + 20 - 10 * F.greatest(F.col("mocks") - 2, F.lit(0)) - 30 * F.col("trivial")))
-    return out.withColumn("score", score).withColumn("band", F.when(score >= 70, "good").when(score >= 40, "fair").when(score < 30, "noise").otherwise("weak"))
+    some = {"documented": "docs", "mocks": "n_mocks", "trivial": "n_trivial", "swallows": "n_swallows", "suspicious": "n_odd"}
+    out = out.withColumns({k: F.col(c) > 0 for k, c in some.items()}).withColumn("edge_case", (F.col("n_edge") > 0) | words("name"))
+    return R.test_signal(out).drop("docs", "n_mocks", "n_trivial", "n_swallows", "n_odd", "n_edge")
 
 
 def compatibility(a: Audit, old: Audit) -> DataFrame:

@@ -498,44 +498,110 @@ def safe_exact(t: Tables) -> DataFrame:
     return C.safe_exact(members, "cluster")
 
 
-@query("""WITH f AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1), p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_type = b.p_type AS st, CASE WHEN a.p_brand = b.p_brand THEN 1.0 ELSE 1.0::DOUBLE / 3 END::DOUBLE AS fu, a.p_size % 5 = b.p_size % 5 AS ca, a.p_size % 2 = b.p_size % 2 AS ma
-FROM f JOIN part a ON a.p_partkey = f.k JOIN part b ON b.p_name = f.p_name AND b.p_partkey > f.k), q AS (SELECT *, st::INT::DOUBLE AS s, 0.6::DOUBLE * ca::INT + 0.2::DOUBLE * ma::INT + 0.2::DOUBLE AS be FROM p)
-SELECT a, b, round(0.4 * s + 0.4 * fu + 0.2 * be, 9)::DOUBLE AS hybrid, CASE WHEN s >= 0.8 THEN 'structural' WHEN fu >= 0.7 THEN 'functional' WHEN be >= 0.6 THEN 'behavioural' END AS match_type,
-CASE WHEN s >= 0.8 AND s >= 0.95 THEN 'replace one by the other' WHEN s >= 0.8 THEN 'extract the common part, pass the rest as parameters' WHEN fu >= 0.7 THEN 'extract a common interface' ELSE 'review by hand' END AS advice FROM q WHERE s >= 0.8 OR fu >= 0.7 OR be >= 0.6""")
+_MATCHES = """WITH f AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1), p AS (SELECT a.*, b.p_partkey AS bk, b.p_type AS bt, b.p_brand AS bb, b.p_size AS bs FROM f JOIN part a ON a.p_partkey = f.k JOIN part b ON b.p_name = f.p_name AND b.p_partkey > f.k),
+q AS (SELECT p_partkey AS a, bk AS b, p_size AS az, bs AS bz, CASE WHEN p_size % 4 = 0 AND bs % 4 = 0 THEN 0.5 WHEN p_size % 4 = 0 OR bs % 4 = 0 THEN 0.0 WHEN p_type = bt AND p_brand = bb THEN 1.0 WHEN p_type = bt OR p_brand = bb THEN 1.0::DOUBLE / 3 ELSE 0.0 END::DOUBLE AS s,
+CASE WHEN p_brand = bb THEN 1.0 ELSE 1.0::DOUBLE / 3 END::DOUBLE AS j, p_size % 3 = bs % 3 AND p_size % 3 > 0 AS pat,
+(CASE WHEN p_size % 5 = bs % 5 THEN CASE WHEN p_size % 5 = 0 THEN 0.5 ELSE 1.0 END ELSE 0.0 END::DOUBLE * 0.6::DOUBLE + CASE WHEN p_size % 2 = 0 AND bs % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE * 0.2::DOUBLE + 1.0::DOUBLE * 0.2::DOUBLE) / (0.6::DOUBLE + 0.2::DOUBLE + 0.2::DOUBLE) AS be,
+CASE WHEN p_partkey % 10 >= 8 AND bk % 10 >= 8 THEN 0.15 WHEN p_partkey % 10 >= 6 AND bk % 10 >= 6 THEN 0.1 ELSE 0.0 END::DOUBLE AS sure FROM p),
+r AS (SELECT *, CASE WHEN pat THEN 0.8::DOUBLE + 0.2::DOUBLE * j ELSE j END AS fu FROM q), m AS (SELECT *, (s >= 0.8)::INT AS ms, (fu >= 0.7)::INT AS mf, (be >= 0.6)::INT AS mb FROM r),
+n AS (SELECT *, ms + mf + mb AS n FROM m WHERE ms + mf + mb > 0),
+o AS (SELECT a, b, CASE WHEN n > 1 THEN 'hybrid' WHEN ms = 1 THEN 'structural' WHEN mf = 1 THEN 'functional' ELSE 'behavioral' END AS match_type,
+CASE WHEN n > 1 THEN (s * 0.4::DOUBLE * ms + fu * 0.4::DOUBLE * mf + be * 0.2::DOUBLE * mb) / (0.4::DOUBLE * ms + 0.4::DOUBLE * mf + 0.2::DOUBLE * mb) ELSE s * ms + fu * mf + be * mb END::DOUBLE AS score,
+least(1.0, (s * ms + fu * mf + be * mb) / n * 0.6 + sure + least(az, bz)::DOUBLE / greatest(az, bz) * 0.1 + least(az, bz)::DOUBLE / greatest(az, bz) * 0.1 + CASE WHEN n > 1 THEN 0.05 ELSE 0.0 END)::DOUBLE AS confidence FROM n)
+"""
+
+
+@query(_MATCHES + """SELECT a, b, match_type, round(score, 9) AS score, round(confidence, 9) AS confidence, CASE WHEN score >= 0.9 THEN CASE match_type WHEN 'structural' THEN 'Extract common method - methods are nearly identical' WHEN 'functional' THEN 'Create template method - same functionality with parameter differences'
+WHEN 'behavioral' THEN 'Unify behavior - methods have same responsibilities' ELSE 'Full merge candidate - methods are highly similar across multiple dimensions' END
+WHEN score >= 0.8 THEN CASE match_type WHEN 'functional' THEN 'Parameterize differences - extract common logic with parameters' WHEN 'behavioral' THEN 'Create shared interface - methods have similar behavior patterns' ELSE 'Partial merge - extract common parts into shared utility' END
+WHEN score >= 0.7 THEN 'Consider refactoring - methods share significant similarities' ELSE 'Monitor for patterns - methods have some similarities worth tracking' END AS advice FROM o WHERE confidence >= 0.5""")
 def method_matches(t: Tables) -> DataFrame:
-    """The first part of each name with its others."""
-    m = t.part.select("p_partkey", "p_name", F.col("p_type").alias("ast"), F.array(F.lit("read"), "p_brand").alias("ops"), (F.col("p_size") % 5).alias("category"), F.array((F.col("p_size") % 2).cast("string")).alias("markers"), F.array().cast("array<string>").alias("effects"))
+    """The first part of each name with its others."""
+    m = t.part.selectExpr(
+        "p_partkey", "p_name", "CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type || '_' || p_brand END AS ast", "array('read', p_brand, 'unknown') AS ops", "CASE p_size % 3 WHEN 0 THEN 'unknown' ELSE 'p' || p_size % 3 END AS pattern",
+        "CASE p_size % 5 WHEN 0 THEN 'unknown' ELSE 'c' || p_size % 5 END AS category", "CASE WHEN p_size % 2 = 0 THEN array('m') ELSE CAST(array() AS ARRAY<STRING>) END AS markers", "CAST(array() AS ARRAY<STRING>) AS effects", "p_partkey % 10 / 10 AS sure", "p_size AS complexity", "p_size AS lines",
+    )
     pairs = J.representative_pairs(m.select("p_partkey", "p_name"), "p_name", "p_partkey").select(F.col("first_member").alias("a"), F.col("p_partkey").alias("b"))
-    side = lambda s: m.select(F.col("p_partkey").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("ast", "ops", "category", "markers", "effects")))
+    side = lambda s: m.select(F.col("p_partkey").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in m.columns[2:]))
     out = C.method_similarity(pairs.join(side("a"), "a").join(side("b"), "b"))
-    return out.select("a", "b", F.round("hybrid", 9).alias("hybrid"), "match_type", D.merge_strategy(F.col("match_type"), F.greatest("structural", "functional", "behavioural")).alias("advice"))
+    return out.select("a", "b", "match_type", F.round("score", 9).alias("score"), F.round("confidence", 9).alias("confidence"), D.merge_strategy(F.col("match_type"), F.col("score")).alias("advice"))
+
+
+@query(f"""WITH b AS (SELECT p_partkey, p_size, lower({_NAME}) AS n FROM part),
+o AS (SELECT p_partkey, list_concat(CASE p_size % 5 WHEN 0 THEN ['validate'] WHEN 1 THEN ['transform'] WHEN 2 THEN ['load', 'save'] WHEN 3 THEN ['compute'] ELSE [] END, CASE p_size % 4 WHEN 0 THEN ['fetch'] WHEN 1 THEN ['process'] ELSE [] END, CASE p_size % 7 WHEN 0 THEN ['fetch', 'send'] WHEN 1 THEN ['read', 'write'] ELSE [] END,
+CASE WHEN contains(n, 'check') THEN ['check'] WHEN contains(n, 'validate') THEN ['validate'] ELSE [] END, CASE WHEN regexp_matches(n, 'save|store') THEN ['store'] ELSE [] END, CASE WHEN regexp_matches(n, 'load|get|fetch') THEN ['fetch'] ELSE [] END) AS l FROM b),
+d AS (SELECT p_partkey, coalesce((SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS i) GROUP BY x)), ['unknown']) AS l FROM o)
+SELECT p_partkey, array_to_string(l, '->') AS operations, CASE WHEN list_has_all(l, ['load', 'validate', 'save']) THEN 'load_validate_save' WHEN list_has_all(l, ['fetch', 'process', 'store']) THEN 'fetch_process_store'
+WHEN len(list_intersect(l, ['validate', 'check'])) > 0 AND len(list_intersect(l, ['transform', 'process'])) > 0 THEN 'validate_transform_return' ELSE 'unknown' END AS pattern FROM d""")
+def method_operations(t: Tables) -> DataFrame:
+    """C15, P5."""
+    category = F.expr("CASE p_size % 5 WHEN 0 THEN 'validation' WHEN 1 THEN 'transformation' WHEN 2 THEN 'persistence' WHEN 3 THEN 'computation' ELSE 'utility' END")
+    markers = F.expr("CASE p_size % 4 WHEN 0 THEN array('data_access') WHEN 1 THEN array('business_logic') ELSE array('logging') END")
+    effects = F.expr("CASE p_size % 7 WHEN 0 THEN array('network') WHEN 1 THEN array('file_io') ELSE CAST(array() AS ARRAY<STRING>) END")
+    ops = _named(t).select("p_partkey", D.operations(F.col("name"), category, markers, effects).alias("o"))
+    return ops.select("p_partkey", F.array_join("o", "->").alias("operations"), D.pattern(F.col("o")).alias("pattern"))
+
+
+@query(f"""WITH n AS (SELECT p_partkey AS k, p_name AS g, p_brand AS tok, p_type AS ast, 'c' || p_size % 3 AS cat, p_size AS cx, lower({_NAME}) AS name FROM part), f AS (SELECT g, min(k) AS k FROM n GROUP BY 1),
+p AS (SELECT a.k AS a, b.k AS b, CASE WHEN a.tok = b.tok THEN 1.0 WHEN a.ast = b.ast THEN 0.9 ELSE CASE WHEN a.cat = b.cat THEN 0.3 ELSE 0.0 END + CASE WHEN least(a.cx, b.cx)::DOUBLE / greatest(a.cx, b.cx) > 0.8 THEN 0.2 ELSE 0.0 END
++ CASE WHEN len(list_filter(string_split(a.name, '_'), lambda w: contains(b.name, w))) > 0 THEN 0.2 ELSE 0.0 END END::DOUBLE AS similarity FROM f JOIN n a ON a.k = f.k JOIN n b ON b.g = f.g AND b.k > f.k)
+SELECT a, b, round(similarity, 6) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(similarity, 6) DESC, b) <= 5""")
+def symbol_likeness(t: Tables) -> DataFrame:
+    """The five most like the first of each name."""
+    n = _named(t).select(F.col("p_partkey").alias("k"), F.col("p_name").alias("g"), F.col("p_brand").alias("token"), F.col("p_type").alias("ast"), F.concat(F.lit("c"), (F.col("p_size") % 3).cast("string")).alias("category"), F.col("p_size").alias("complexity"), "name")
+    pairs = J.representative_pairs(n.select("k", "g"), "g", "k").select(F.col("first_member").alias("a"), F.col("k").alias("b"))
+    side = lambda s: n.select(F.col("k").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in n.columns[2:]))
+    return D.similar_symbols(pairs.join(side("a"), "a").join(side("b"), "b"), 5).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 # scores and advice
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size > 10 THEN 'critical' WHEN p_size > 5 THEN 'high' WHEN p_size > 2 THEN 'medium' ELSE 'low' END AS risk, round(100.0::DOUBLE * ((p_size % 2 = 0)::INT * 3.0 + (p_size % 3 = 0)::INT * 1.0) / 4.0, 9)::DOUBLE AS quality FROM part""")
+_HELD = " + ".join(f"CASE WHEN p_partkey % {k + 2} > 0 THEN {w} ELSE 0 END" for k, w in enumerate(R.V.COMPONENT_WEIGHTS.values()))
+
+
+@query(f"""WITH s AS (SELECT p_partkey, p_size, {_HELD} AS quality, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 0 END + CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 0 END
++ CASE WHEN p_size > 10 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 9 > 5 THEN 1 ELSE 0 END AS points FROM part)
+SELECT p_partkey, CASE WHEN p_size > 10 THEN 'critical' WHEN p_size > 5 THEN 'high' WHEN p_size > 2 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN p_size > 10 THEN 'high' WHEN p_size > 3 THEN 'medium' ELSE 'low' END AS effort, quality::DOUBLE AS quality,
+CASE WHEN points >= 6 THEN 'critical' WHEN points >= 4 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS overall FROM s""")
 def change_scores(t: Tables) -> DataFrame:
-    """M20, M23."""
-    df = t.part.withColumns({"two": F.col("p_size") % 2 == 0, "three": F.col("p_size") % 3 == 0})
-    return df.select("p_partkey", R.change_risk(F.col("p_size")).alias("risk"), F.round(R.quality_score({"two": 3.0, "three": 1.0}), 9).alias("quality"))
+    """M20, M23, P20."""
+    held = {c: F.col("p_partkey") % (k + 2) > 0 for k, c in enumerate(R.V.COMPONENT_WEIGHTS)}
+    df = t.part.withColumns(held)
+    overall = R.analysis_risk(F.col("call_graph"), F.col("external_callers"), F.col("test_discovery"), F.col("behavioral_contracts"), F.col("p_size"), F.col("p_partkey") % 9)
+    return df.select("p_partkey", R.change_risk(F.col("p_size")).alias("risk"), R.migration_effort(F.col("p_size")).alias("effort"), R.quality_score().alias("quality"), overall.alias("overall"))
 
 
-@query("""SELECT p_partkey, unnest(list_filter([CASE WHEN p_size > 15 AND p_partkey % 9 > 3 THEN 'decompose_class' END, CASE WHEN p_partkey % 30 > 20 THEN 'split_configuration' END, CASE WHEN p_size / 50.0 > 0.7 THEN 'reduce_coupling' END, CASE WHEN p_size / 50.0 < 0.4 THEN 'raise_cohesion' END], lambda x: x IS NOT NULL)) AS opportunity FROM part""")
+@query("""SELECT p_partkey, unnest(list_filter([CASE WHEN p_size * 40 > 1000 AND p_partkey % 9 > 3 AND p_partkey % 10 < 5 THEN 'god_class' END, CASE WHEN p_partkey % 3 = 0 AND p_size * 40 > 200 AND p_partkey % 9 > 4 THEN 'large_configuration' END, CASE WHEN p_size / 50.0 > 0.7 THEN 'tight_coupling' END,
+CASE WHEN p_partkey % 10 < 4 THEN 'low_cohesion' END], lambda x: x IS NOT NULL)) AS opportunity FROM part""")
 def opportunity_rules(t: Tables) -> DataFrame:
-    """M22, T7."""
-    df = t.part.select("p_partkey", F.col("p_size").alias("method_count"), (F.col("p_partkey") % 9).alias("responsibility_count"), (F.col("p_partkey") % 30).alias("config_keys"), (F.col("p_size") / 50).alias("coupling"), (F.col("p_size") / 50).alias("cohesion"))
+    """M22."""
+    df = t.part.selectExpr("p_partkey", "CASE WHEN p_partkey % 3 = 0 THEN 'a/My_Settings.py' ELSE 'a/b.py' END AS file_path", "p_size * 40 AS lines", "p_partkey % 9 AS responsibility_count", "p_size / 50 AS coupling", "p_partkey % 10 / 10 AS cohesion")
     return R.opportunities(df).select("p_partkey", "opportunity")
 
 
-@query("""WITH f AS (SELECT p_partkey AS k, list_filter([CASE WHEN p_size * 30 > 500 THEN 'too_long' END, CASE WHEN p_size * 2 > 50 THEN 'too_complex' END, CASE WHEN p_partkey % 8 > 5 THEN 'too_many_classes' END, CASE WHEN p_partkey % 25 > 20 THEN 'too_many_functions' END, CASE WHEN p_size / 100.0 < 0.3 THEN 'few_docs' END,
-CASE WHEN p_partkey % 20 > 15 THEN 'too_many_dependencies' END], lambda x: x IS NOT NULL) AS i, p_size * 30 > 1000 AS big FROM part)
-SELECT k, array_to_string(i, ',') AS issues, least(10, 1 + 2 * len(i) + CASE WHEN big THEN 2 ELSE 0 END)::INT AS priority, CASE WHEN len(i) = 0 THEN 0.0 ELSE len(list_intersect(i, ['few_docs', 'too_long', 'too_many_functions']))::DOUBLE / len(i) END::DOUBLE AS automation FROM f""")
+@query("""WITH f AS (SELECT p_partkey AS k, p_size * 50 AS lines, p_size * 8 AS cx, p_partkey % 3 AS gods, p_partkey % 2 AS items, p_partkey % 6 AS duties, p_partkey % 5 AS depth, p_partkey % 14 AS nested FROM part),
+i AS (SELECT *, list_concat(list_filter([CASE WHEN lines > 1000 THEN 'very large file' WHEN lines > 500 THEN 'large file' END, CASE WHEN cx > 300 THEN 'critical complexity' WHEN cx > 150 THEN 'high complexity' END], lambda x: x IS NOT NULL), list_resize(CAST([] AS VARCHAR[]), gods, 'god object'),
+list_filter([CASE WHEN items > 0 THEN 'complex methods' END, CASE WHEN depth >= 3 THEN 'deep nesting' END, CASE WHEN nested > 10 THEN 'many nested definitions' END], lambda x: x IS NOT NULL)) AS l FROM f)
+SELECT k, array_to_string(l, ',') AS issues, least(10, 1 + CASE WHEN lines > 2000 THEN 4 WHEN lines > 1000 THEN 3 WHEN lines > 500 THEN 2 ELSE 0 END + least(gods * 2, 4) + least(len(l), 3) + CASE WHEN depth >= 3 THEN 1 ELSE 0 END)::BIGINT AS priority,
+least(10, CASE WHEN gods > 0 THEN 4 ELSE 0 END + CASE WHEN lines > 500 THEN 3 ELSE 0 END + CASE WHEN cx > 150 OR items > 0 THEN 2 ELSE 0 END + CASE WHEN duties > 3 THEN 2 ELSE 0 END)::DOUBLE / 10 AS automation FROM i""")
 def file_issues(t: Tables) -> DataFrame:
     """M21."""
     s, k = F.col("p_size"), F.col("p_partkey")
-    df = t.part.select(k.alias("k"), (s * 30).alias("lines"), (s * 2).alias("complexity"), (k % 8).alias("classes"), (k % 25).alias("functions"), (s / 100).alias("doc_share"), (k % 20).alias("dependencies"))
-    return D.file_issues(df).select("k", F.array_join("issues", ",").alias("issues"), "priority", "automation")
+    df = t.part.select(k.alias("k"), (s * 50).alias("lines"), (s * 8).alias("complexity"), (k % 3).alias("god_objects"), (k % 2).alias("complex_items"), (k % 6).alias("most_duties"), (k % 5).alias("nested_depth"), (k % 14).alias("nested_definitions"))
+    return D.file_issues(df).select("k", F.array_join("issues", ",").alias("issues"), F.col("priority").cast("long").alias("priority"), "automation")
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, p_size % 8 AS n, p_partkey % 2 = 0 AS d, p_partkey % 3 = 0 AS m, p_partkey % 5 = 0 AS tr, p_partkey % 7 = 0 AS sw, p_partkey % 11 = 0 AS su, p_partkey % 13 = 0 AS cx, p_partkey % 4 = 0 AS e FROM part),
+s AS (SELECT k, 50 + CASE WHEN n > 0 THEN least(n * 6, 25) ELSE -35 END + d::INT * 8 + m::INT * 8 - tr::INT * 20 - sw::INT * 30 - su::INT * 12 - cx::INT * 10 + e::INT * 6 AS q, 50 + CASE WHEN n > 0 THEN least(n * 6, 25) ELSE -35 END + d::INT * 6 + m::INT * 8 - tr::INT * 30 - sw::INT * 30 - su::INT * 15 - cx::INT * 10 + e::INT * 4 AS g FROM t),
+c AS (SELECT k, greatest(0, least(100, q))::INT AS quality, greatest(0, least(100, g))::INT AS signal FROM s)
+SELECT k, quality, signal, CASE WHEN signal >= 70 THEN 'high' WHEN signal >= 40 THEN 'medium' ELSE 'low' END AS band, signal < 30 AS noise FROM c""")
+def test_signals(t: Tables) -> DataFrame:
+    """A33, E15."""
+    k = F.col("p_partkey")
+    flags = {"documented": 2, "mocks": 3, "trivial": 5, "swallows": 7, "suspicious": 11, "too_complex": 13, "edge_case": 4}
+    tests = t.part.select(k.alias("k"), (F.col("p_size") % 8).alias("asserts"), *((k % n == 0).alias(c) for c, n in flags.items()))
+    return R.test_signal(tests).select("k", "quality", "signal", "band", "noise")
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'MERGE' WHEN 1 THEN 'EXTRACT_BASE' WHEN 2 THEN 'WRAP_ONLY' ELSE 'KEEP_SEPARATE' END AS r FROM part)

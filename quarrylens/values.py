@@ -89,3 +89,23 @@ HOOK_POINTS = (
 INDEX_SKIPPED = (".git", ".hg", ".svn", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache")
 DISCOVERY_SKIPPED = (".git", ".hg", ".svn", ".venv", "venv", "env", "__pycache__", "build", "dist", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox", "node_modules")
 DISCOVERY_EXCLUDED = ("*.pyc", "*.pyo", "*.pyd", "*.so", "*.dll", "*.egg", ".*")
+
+# Operations that categories, markers, side effects and names tell.
+CATEGORY_OPERATIONS = {"validation": ("validate",), "transformation": ("transform",), "persistence": ("load", "save"), "computation": ("compute",)}
+MARKER_OPERATIONS = {"validation": "validate", "data_access": "fetch", "business_logic": "process", "formatting": "format", "persistence": "store"}
+EFFECT_OPERATIONS = {"file_io": ("read", "write"), "network": ("fetch", "send"), "state_modification": ("modify",)}
+NAME_OPERATIONS = ((("transform", "convert"), "transform"), (("process",), "process"), (("save", "store"), "store"), (("load", "get", "fetch"), "fetch"), (("format",), "format"))
+# Advice for matches by type and score (C17).
+MERGE_ADVICE = {
+    "structural": ("Extract common method - methods are nearly identical", "Partial merge - extract common parts into shared utility"),
+    "functional": ("Create template method - same functionality with parameter differences", "Parameterize differences - extract common logic with parameters"),
+    "behavioral": ("Unify behavior - methods have same responsibilities", "Create shared interface - methods have similar behavior patterns"),
+    "hybrid": ("Full merge candidate - methods are highly similar across multiple dimensions", "Partial merge - extract common parts into shared utility"),
+}
+MERGE_REST = ("Consider refactoring - methods share significant similarities", "Monitor for patterns - methods have some similarities worth tracking")
+# Weights of an analysis's components (M20); words of edge cases in tests.
+COMPONENT_WEIGHTS = {
+    "call_graph": 15.0, "external_callers": 15.0, "behavioral_contracts": 15.0, "dependency_interfaces": 15.0, "cohesion_matrix": 10.0, "test_discovery": 10.0, "characterization_tests": 10.0,
+    "duplicate_fragments": 5.0, "git_patterns": 3.0, "impact_assessment": 2.0,
+}
+EDGE_WORDS = ("edge", "none", "null", "empty", "zero", "negative", "min", "max", "invalid")

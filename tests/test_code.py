@@ -170,7 +170,8 @@ def test_experts(spark, facts, root):
     tests = {r.name: r.tested for r in experts.test_coverage(facts, scan.where("is_test_file")).collect()}
     assert tests["run"] and not tests["dead"]
     quality = experts.test_quality(facts, details).first()
-    assert (quality.asserts, quality.trivial, quality.score, quality.band) == (2, 1, 30, "weak")
+    # two assertions, one of them trivial: 50 + 12 - 20 and 50 + 12 - 30
+    assert (quality.asserts, quality.trivial, quality.quality, quality.signal, quality.band) == (2, True, 42, 32, "low")
     assert {r.name for r in experts.optional_dependencies(details).collect()} == {"ujson", "DEBUG"}
     graph = {r.node: r for r in experts.call_graph(facts).collect()}
     assert graph[uid["pkg.c.main"]].fan_in == 1

@@ -40,11 +40,13 @@ def test_aliases(spark, facts):
 
 
 def test_operations_and_advice(spark):
-    df = spark.createDataFrame([("load_and_parse", ["check"]), ("x", [])], "name string, calls array<string>")
-    got = df.select(D.operations(F.col("name"), F.col("calls")).alias("o")).select("o", D.pattern(F.col("o")).alias("p")).collect()
-    assert got[0].o == ["read", "validate", "transform"] and got[0].p == "validate_and_transform" and got[1].p == "other"
-    one = spark.range(1).select(D.match_confidence(F.lit(1.0), F.lit(0.7), F.lit(0.2), F.lit(True)).alias("c"), D.merge_strategy(F.lit("functional"), F.lit(0.8)).alias("m"), D.target_name(F.lit("parsing"), F.lit("json"), F.lit("load__x")).alias("t"), D.call_class(F.lit("self.x"), ("os",), ("len",)).alias("k"), D.unresolved_reason(F.lit("a.b"), F.lit(0), F.lit(False)).alias("r")).first()
-    assert (one.c, one.m, one.t, one.k, one.r) == (pytest.approx(0.95), "extract a common interface", "unified/parsers.py::json_load_x", "dynamic_attribute", "unknown_receiver")
+    rows = [("load_and_check", "persistence", ["data_access"], ["network"], None), ("x", None, None, None, ""), ("x", "validation", [], [], " Acquire -> process->RELEASE "), ("check_and_convert", "utility", [], [], None)]
+    df = spark.createDataFrame(rows, "name string, category string, markers array<string>, effects array<string>, signature string")
+    ops = D.operations(*(F.col(c) for c in ("name", "category", "markers", "effects", "signature")))
+    got = [(r.o, r.p) for r in df.select(ops.alias("o")).select("o", D.pattern(F.col("o")).alias("p")).collect()]
+    assert got == [(["load", "save", "fetch", "send", "check"], "unknown"), (["unknown"], "unknown"), (["acquire", "process", "release"], "acquire_process_release"), (["check", "transform"], "validate_transform_return")]
+    one = spark.range(1).select(D.merge_strategy(F.lit("functional"), F.lit(0.85)).alias("m"), D.target_name(F.lit("parsing"), F.lit("json"), F.lit("load__x")).alias("t"), D.call_class(F.lit("self.x"), ("os",), ("len",)).alias("k"), D.unresolved_reason(F.lit("a.b"), F.lit(0), F.lit(False)).alias("r")).first()
+    assert (one.m, one.t, one.k, one.r) == ("Parameterize differences - extract common logic with parameters", "unified/parsers.py::json_load_x", "dynamic_attribute", "unknown_receiver")
 
 
 def test_name_guards(spark):
@@ -82,15 +84,16 @@ def test_rates_and_capabilities(spark):
 
 
 def test_similar_symbols_rank_before_the_cut(spark):
-    cols = "a string, b string, a_token string, b_token string, a_ast string, b_ast string, a_category string, b_category string, a_lines int, b_lines int"
-    df = spark.createDataFrame([("x", "p", "1", "2", "s", "s", "k", "k", 1, 1), ("x", "q", "1", "1", "s", "t", "k", "k", 1, 1), ("x", "r", "", "", "", "", "k", "k", 1, 2)], cols)
-    assert [(r.b, r.similarity) for r in D.similar_symbols(df, 2).orderBy("position").collect()] == [("q", 1.0), ("p", 0.9)]
+    cols = "a string, b string, " + ", ".join(f"{s}_{c} {'int' if c == 'complexity' else 'string'}" for c in ("token", "ast", "category", "complexity", "name") for s in "ab")
+    df = spark.createDataFrame([("x", "p", "1", "2", "s", "s", "k", "k", 1, 1, "f", "g"), ("x", "q", "1", "1", "s", "t", "k", "k", 1, 1, "f", "g"), ("x", "r", "", "", "", "", "k", "k", 10, 9, "get_all", "fetch_all"), ("x", "s", None, None, None, None, "k", "l", 10, 1, "f", "g")], cols)
+    assert [(r.b, r.similarity) for r in D.similar_symbols(df, 3).orderBy("position").collect()] == [("q", 1.0), ("p", 0.9), ("r", pytest.approx(0.7))]
 
 
 def test_file_issues(spark):
-    df = spark.createDataFrame([(1200, 60, 1, 1, 0.9, 1), (10, 1, 1, 1, 0.9, 1)], "lines int, complexity int, classes int, functions int, doc_share double, dependencies int")
+    df = spark.createDataFrame([(2100, 160, 1, 1, 4, 3, 11), (10, 1, 0, 0, 1, 0, 0)], "lines int, complexity int, god_objects int, complex_items int, most_duties int, nested_depth int, nested_definitions int")
     got = D.file_issues(df).collect()
-    assert (got[0].issues, got[0].priority, got[0].automation) == (["too_long", "too_complex"], 7, 0.5) and (got[1].issues, got[1].priority) == ([], 1)
+    assert got[0].issues == ["very large file", "high complexity", "god object", "complex methods", "deep nesting", "many nested definitions"] and (got[0].priority, got[0].automation) == (10, 1.0)
+    assert (got[1].issues, got[1].priority, got[1].automation) == ([], 1, 0.0)
 
 
 def test_importers_by_candidates(spark):

@@ -318,7 +318,8 @@ def test_priorities(spark):
 
 def test_quality_score_and_steps(spark):
     df = frame(spark, [(True, False, "MERGE"), (True, True, "KEEP_SEPARATE")], "a boolean, b boolean, recommendation string")
-    assert [r[0] for r in df.select(R.quality_score({"a": 3.0, "b": 1.0})).collect()] == [75.0, 100.0]
+    assert [r[0] for r in df.select(R.quality_score({"a": 3.0, "b": 1.0})).collect()] == [3.0, 4.0]
+    assert sum(V.COMPONENT_WEIGHTS.values()) == 100.0
     assert R.steps(df).count() == 4
 
 
