@@ -4,10 +4,17 @@ round only."""
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import scratch, written
+from .skew import join_unique
+
+
+#: Rounds after which what has been reached is written as one table.
+ROUNDS = 8
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -15,6 +22,21 @@ def kept(df: DataFrame) -> DataFrame:
     return written(df, "graph")
 
 
+def _tidy(f):
+    """The tables of a loop go once its result is written."""
+
+    @wraps(f)
+    def run(edges: DataFrame, *args, **kwargs):
+        with scratch(edges.sparkSession):
+            out = f(edges, *args, **kwargs)
+            return written(out, "graph", keep=True) if isinstance(out, DataFrame) else out
+
+    return run
+
+
+
+
+@_tidy
 def reachable(edges: DataFrame, start: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
     """node, depth (fewest steps) of every node within ``most`` steps of the
     start nodes, or of all that can be reached (G1-G3). ``start`` has one column."""
@@ -30,19 +52,23 @@ def reachable(edges: DataFrame, start: DataFrame, source: str, target: str, most
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if depth % ROUNDS == 0:
+            seen = kept(seen)
     return seen
 
 
+@_tidy
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (its least node), by least-label passing with jumps."""
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     both = kept(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    ends = kept(both.groupBy("y").agg(F.count("*").alias("n")))
     labels = kept(both.groupBy(F.col("x").alias("node")).agg(F.least(F.first("x"), F.min("y")).alias("component")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("component").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("x")).select("node", "component", F.least("component", "near").alias("next"))
+        near = join_unique(both, labels.withColumnRenamed("node", "y"), ["y"], counts=ends).groupBy("x").agg(F.min("component").alias("near"))
+        step = kept(labels.join(near, F.col("node") == F.col("x")).select("node", "component", F.least("component", "near").alias("next")))
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("top"))
-        step = kept(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("top", "next")).alias("label"), "component"))
+        step = kept(join_unique(step, jump, ["next"], "left").select("node", F.least("next", F.coalesce("top", "next")).alias("label"), "component"))
         labels = step.select("node", F.col("label").alias("component"))
         if step.where("label != component").isEmpty():
             return labels
@@ -56,6 +82,7 @@ def degrees(edges: DataFrame, source: str, target: str) -> DataFrame:
     return out.join(into, "node", "full").na.fill(0, ["fan_out", "fan_in"])
 
 
+@_tidy
 def cycles(edges: DataFrame, source: str, target: str, longest: int = 6) -> DataFrame:
     """Simple cycles of at most ``longest`` nodes (G8, G9), each once, from its
     least node: path (array of nodes)."""
@@ -77,6 +104,7 @@ def cycles(edges: DataFrame, source: str, target: str, longest: int = 6) -> Data
     return out
 
 
+@_tidy
 def longest_path(edges: DataFrame, source: str, target: str, most: int | None = None) -> int:
     """Nodes on the longest chain of calls, as the depth of a search that turns
     back at a node it stands on already, which counts once more (G10).

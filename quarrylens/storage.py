@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, str] = {}
-_written: list[list[str]] = []
+_local = threading.local()
+_kept: list[tuple[str, str]] = []  # application, path
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,15 +44,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables written inside, but for those written to be kept, are deleted at
-    the end: what is returned must not read them."""
-    _written.append([])
+    """Tables written inside by this thread, but for those written to be kept, are
+    deleted at the end: what is returned must not read them."""
+    _scopes().append([])
     try:
         yield
     finally:
-        for path in _written.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        for path in _scopes().pop():
+            _delete(spark, path)
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this application has written and kept: for when no
+    frame that an operator has returned is to be run any more."""
+    mine = [p for app, p in _kept if app == spark.sparkContext.applicationId]
+    for path in mine:
+        _delete(spark, path)
+    _kept[:] = [(app, p) for app, p in _kept if p not in set(mine)]
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -59,8 +80,10 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     write's own shuffle files are of no more use then, and go."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    if len(_written) > keep:  # a table to be kept belongs to the caller's scratch, if there is one
-        _written[-1 - keep].append(path)
+    if len(_scopes()) > keep:  # a table to be kept belongs to the caller's scratch, if there is one
+        _scopes()[-1 - keep].append(path)
+    else:
+        _kept.append((spark.sparkContext.applicationId, path))
     schema = df.schema
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")

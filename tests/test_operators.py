@@ -414,3 +414,25 @@ def test_join_unique_splits_hot_keys(spark):
             key = lambda r: tuple(map(repr, r))
             assert got.columns == ["k", "j", "v", "w"] and sorted(map(key, got.collect())) == sorted(map(key, want))
     assert skew.hot_keys(left, ["k"]) == []
+
+
+def test_kept_tables_are_released(spark, tmp_path):
+    import threading
+
+    from quarrylens import storage
+
+    e = frame(spark, [("a", "b"), ("b", "c")], "a string, b string")
+    got = G.components(e, "a", "b")
+    assert got.count() == 3 and len(storage._kept) > 0 and not storage._scopes()
+    seen = []
+    with storage.scratch(spark):
+        worker = threading.Thread(target=lambda: seen.append(len(storage._scopes())))
+        worker.start()
+        worker.join()
+        inner = storage.written(e, "inner")
+        assert inner.count() == 2
+    assert seen == [0]
+    with pytest.raises(Exception, match="."):
+        inner.count()
+    storage.release(spark)
+    assert not [p for app, p in storage._kept if app == spark.sparkContext.applicationId]
