@@ -45,7 +45,9 @@ from .tokens import ranges
 WORDS = 5
 #: Buckets of the frequency counts, entries of the index per group, and sets in a
 #: part of a token's list (told by an upper bound on the sets that hold it).
-COUNT_BITS, GROUP_ENTRIES, LIST_PART = 18, 1_000_000, 20_000
+COUNT_BITS, GROUP_ENTRIES, LIST_PART = 18, 400_000, 20_000
+#: Entries that a task holds before it sends them on.
+FLUSH_ENTRIES = 250_000
 #: Least and greatest bits of the map of wanted documents; it has about eight for
 #: each of them up to the greatest (8 MB).
 WANTED_BITS, MOST_WANTED_BITS = 20, 26
@@ -219,7 +221,7 @@ def _levels(docs: DataFrame, tokens_in_all: int) -> np.ndarray:
     and gives its entries; together they are the map, of a bounded size."""
     bits = min(MOST_LEVEL_BITS, max(16, tokens_in_all.bit_length() - 2))
     groups = 8
-    while groups * 1_000_000 < tokens_in_all and groups < 1 << (bits - 4):
+    while groups * 500_000 < tokens_in_all and groups < 1 << (bits - 4):
         groups *= 2
     width = (1 << bits) // groups
     shift = np.uint64(64 - bits)
@@ -242,7 +244,7 @@ def _levels(docs: DataFrame, tokens_in_all: int) -> np.ndarray:
                 got = sets(piece, off)[0]
                 held += got
                 rows += sum(map(len, got))
-                if rows > 1_000_000:
+                if rows > 2 * FLUSH_ENTRIES:
                     yield flush()
                     held, rows = [], 0
         if rows:
@@ -316,22 +318,24 @@ def _candidates(docs: DataFrame, orders, groups: int) -> DataFrame:
                         e["parts"] = orders.value.parts(p)
                         held.append(e)
                         rows += len(e)
-                if rows > 1_000_000:
+                if rows > FLUSH_ENTRIES:
                     yield flush()
                     held, rows = [], 0
         if held:
             yield flush()
 
     def lists(table: pa.Table) -> pa.Table:
-        every = np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column("entries").to_pylist()])
+        every = np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in table.column("entries")])
+        del table
         salt = _salt(every)
         order = np.lexsort((mix(every["node"].copy().view(np.uint64)), ~every["hub"], salt, every["token"]))
         every, salt = every[order], salt[order]
         token, node = every["token"], every["node"]
         fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
         every, salt = every[fresh], salt[fresh]
-        token, node, split = every["token"].copy(), every["node"].copy(), every["parts"] > 1
+        token, node, split, hub = every["token"].copy(), every["node"].copy(), every["parts"] > 1, every["hub"].copy()
         n, known = every["n"].astype(np.int64), every["known"].astype(np.int64)
+        del every, fresh, order
         head = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
         size = np.diff(np.append(head, len(token)))
         of = np.repeat(np.arange(len(head)), size)
@@ -351,7 +355,7 @@ def _candidates(docs: DataFrame, orders, groups: int) -> DataFrame:
                 "n": np.concatenate([none, n[i]]),
                 "known": np.concatenate([none, known[i]]),
                 "token": pa.array(np.concatenate([none, token[i].view(np.int64)]), mask=tail < m),
-                "hub": pa.array(np.concatenate([none, every["hub"][i].astype(np.int64)]), mask=tail < m + len(i) - hubs),
+                "hub": pa.array(np.concatenate([none, hub[i].astype(np.int64)]), mask=tail < m + len(i) - hubs),
             }
         )
 
