@@ -18,9 +18,13 @@ SLICE_BYTES = 1 << 19
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Let Arrow batches hold few rows, so that long texts stay bounded."""
+    """Let Arrow batches hold few rows, so that long texts stay bounded. The setting
+    is read when a frame is run, not when it is made, so it must stay: a session
+    that has a smaller one keeps it."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

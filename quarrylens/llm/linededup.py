@@ -5,13 +5,23 @@ id (128 hash bits). Lines that occur once end every run and are left out at
 once. The suffix array is built by distributed prefix doubling: a block of
 2^k lines is ranked by sorting the distinct pairs (rank of its first half, rank
 of its second half) across the cluster; ranks are places in that order, so
-equal blocks share a rank and ranks order suffixes by their first 2^k lines.
-Doubling ends when blocks reach the longest run still to be told apart.
+equal blocks share a rank and ranks order suffixes by their first 2^k lines. A
+block that stands once has no rank, since no repeated run holds it: its suffixes
+are told apart at that depth, and the array's order among them says nothing more.
+
+An interval of the array with longest common prefix of n lines or more is the set
+of places whose first n lines are equal. For 2^k <= n < 2^(k+1) these are the
+places with one pair of ranks, of the block of 2^k lines at the place and of the
+block that ends n lines on: the two cover the run, so the pair names the interval
+without the array being read in order. A run counts from ``MIN_WORDS`` words. The
+intervals taken are those of the shortest such run from each line forwards, and up
+to each line backwards. A maximal repeated run of that many words, whatever its
+length, is the union of the shortest runs that begin and end in it, and each of
+those has a copy wherever the whole run has one; so the lines in later places of
+these intervals are the lines of later copies of all maximal runs. A shortest run
+has no more than ``MIN_WORDS`` lines, since each has a word: doubling need not go
+beyond that depth, however long the copies are.
 
-A run counts from ``MIN_WORDS`` words. From each line the shortest such run
-forwards, and the shortest backwards, is one longest-common-prefix interval of
-the array, named by its length and the ranks of the two blocks that cover it.
-Runs that begin so, joined, are all maximal repeated runs of that many words.
 Of an interval's places the first (by doc_id, hash of the text, line) stays; the
 lines of all later ones are deleted, but never those of the first copy itself
 where a text repeats within itself.
@@ -29,6 +39,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_unique
 from . import common
 
 MIN_WORDS = 50
@@ -57,8 +68,8 @@ def _repeated(docs: DataFrame, min_words: int) -> DataFrame:
     """Written table of the repeated lines with their ranks, and the lengths of
     the shortest runs of ``min_words`` words from (lf) and up to (lb) each."""
     lines = common.written(_lines(docs), "lines")
-    ids = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    rows = lines.join(_ranked(ids, ["h1", "h2"]), ["h1", "h2"]).select(*_DOC, "seq", "line", "w", F.col("rank").alias("r"))
+    ids = _ranked(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), ["h1", "h2"])
+    rows = join_unique(lines, ids.drop("n"), ["h1", "h2"], counts=ids.drop("rank")).select(*_DOC, "seq", "line", "w", F.col("rank").alias("r"))
     rows = rows.repartition(*_DOC).dropDuplicates([*_DOC, "seq"])
     doc = Window.partitionBy(*_DOC)
     rows = rows.withColumn("ce", F.sum("w").over(doc.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))).withColumn("cs", F.col("ce") - F.col("w"))
@@ -110,9 +121,8 @@ def _later_copies(docs: DataFrame, min_words: int) -> DataFrame:
         if k:  # blocks of 2^k lines from blocks of 2^(k-1)
             two = common.written(rows.withColumn("nx", _near(1 << (k - 1))), "pairs")
             pairs = two.where("r is not null and nx is not null")
-            again = pairs.groupBy("r", "nx").agg(F.count("*").alias("n")).where("n > 1").select("r", "nx")
-            ranks = _ranked(again, ["r", "nx"])
-            known = pairs.join(ranks, ["r", "nx"], "left").select(*_DOC, "seq", "line", F.col("rank").alias("r"), "lf", "lb")
+            ranks = _ranked(pairs.groupBy("r", "nx").agg(F.count("*").alias("n")).where("n > 1"), ["r", "nx"])
+            known = join_unique(pairs, ranks.drop("n"), ["r", "nx"], "left", ranks.drop("rank")).select(*_DOC, "seq", "line", F.col("rank").alias("r"), "lf", "lb")
             rest = two.where("r is null or nx is null").select(*_DOC, "seq", "line", F.lit(None).cast("long").alias("r"), "lf", "lb")
             rows = common.written(known.unionByName(rest), "blocks")
         found = _runs(rows, k)
@@ -122,8 +132,9 @@ def _later_copies(docs: DataFrame, min_words: int) -> DataFrame:
         runs = _runs(rows, 0)
     runs = common.written(runs, "runs")
     place = F.struct(*_DOC, "first")
-    firsts = runs.groupBy("way", "len", "a", "b").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = runs.join(firsts, ["way", "len", "a", "b"]).where(place > F.col("f"))
+    name = ["way", "len", "a", "b"]
+    firsts = common.written(runs.groupBy(*name).agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    later = join_unique(runs, firsts.drop("n"), name, counts=firsts.drop("f")).where(place > F.col("f"))
     same = F.col("_ld_id").eqNullSafe(F.col("f._ld_id")) & (F.col("_ld_tie") == F.col("f._ld_tie"))
     start = F.when(same, F.greatest(F.col("first"), F.col("f.first") + F.col("len"))).otherwise(F.col("first"))
     gone = later.select(*_DOC, F.explode(F.sequence(start, F.col("first") + F.col("len") - 1)).alias("seq")).distinct()
