@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import decomposition as D
 from ..sources import extract
 from ..sources.tables import Tables
+from . import audit, experts
 from .registry import query
 
 FILES = {
@@ -57,9 +58,20 @@ async def load_cart(path):
 }
 
 
+class Long(int):
+    """A whole number of 64 bits."""
+
+
 def _rows(*rows: tuple, names: str) -> str:
-    """SQL of literal rows."""
-    text = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    """SQL of literal rows; whole numbers of type Long are BIGINT."""
+
+    def text(v):
+        if v is None or isinstance(v, bool):
+            return "NULL" if v is None else str(v).upper()
+        if isinstance(v, (int, float)):
+            return f"{v}::DOUBLE" if isinstance(v, float) else f"{int(v)}::BIGINT" if isinstance(v, Long) else str(v)
+        return "'" + v.replace("'", "''") + "'"
+
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + f") v({names})"
 
 
@@ -172,3 +184,228 @@ def call_resolution(t: Tables) -> DataFrame:
         rows, "call int, module string, file_path string, class_name string, raw string, full string, receiver string, receiver_external boolean, external boolean, dynamic boolean, star_import boolean, local_defs array<string>, inputs array<string>, assigned array<string>"
     )
     return D.resolved_calls(calls, blocks, classes).select("call", "raw", "target", "how")
+
+
+MORE = {
+    "app/core.py": '''"""Core."""
+import os
+import yaml
+from app.util import helper
+
+try:
+    import ujson
+except ImportError:
+    ujson = None
+DEBUG = True
+
+
+class Box:
+    def __init__(self):
+        self.a = 1
+        self.b = 2
+
+    def first(self, config, limit: int = 3):
+        """First.
+
+        Raises: ValueError
+        Returns: a number
+        """
+        if limit < 0:
+            raise ValueError("limit")
+        assert config
+        self.second()
+        return self.a + config["k"] + config.get("k", 0) + config["z"]
+
+    def second(self):
+        return helper(self.b, mode="x")
+
+
+def run(data: list):
+    try:
+        os.remove("x")
+    except OSError:
+        return None
+    return helper(1, mode="x"), helper(2, mode="y")
+''',
+    "app/util.py": "def helper(n, mode=None):\n    return n\n",
+    "tests/test_core.py": '''from app.core import Box, run
+
+
+def test_first_empty():
+    """Edge."""
+    assert Box().first({}) == 1
+    assert True
+
+
+def test_run():
+    run([])
+''',
+}
+OLD = {**MORE, "app/util.py": "def helper(n):\n    return n\n\n\ndef gone():\n    pass\n"}
+
+
+def _audited(t: Tables, files: dict[str, str]) -> tuple:
+    """The facts of some files, and their details."""
+    scan = t.spark.createDataFrame(list(files.items()), "file_path string, content string")
+    tagged = extract.facts(scan)
+    rows = scan.select("file_path", F.size(F.split("content", "\n")).alias("lines_of_code"), F.col("file_path").startswith("tests/").alias("is_test_file"))
+    table = lambda n: extract.table_of(tagged, n)
+    return audit.Audit(rows, table("symbols"), table("blocks"), table("dependencies"), table("attribute_access"), table("errors")), table("details"), scan
+
+
+def _with_names(a, df: DataFrame, *columns: str) -> DataFrame:
+    """Columns of uids replaced by qualified names."""
+    for c in columns:
+        names = a.symbols.select(F.col("symbol_uid").alias(c), F.col("qualified_name").alias(f"_{c}"))
+        df = df.join(names, c, "left").drop(c).withColumnRenamed(f"_{c}", c)
+    return df
+
+
+def _text(column: str):
+    """An array as text."""
+    return F.array_join(column, ",").alias(column)
+
+
+@query(_rows(("app.core.Box.first", "app.core.Box.second", 27), names="caller, callee, line"))
+def py_internal_calls(t: Tables) -> DataFrame:
+    """E1."""
+    a, _, _ = _audited(t, MORE)
+    return _with_names(a, experts.internal_calls(a).select("caller", "callee", "line"), "caller", "callee")
+
+
+@query(_rows(("app.core.Box.first", Long(0), Long(1), 1.0), ("app.core.Box.second", Long(1), Long(0), 1.0), names="node, fan_in, fan_out, cohesion_score"))
+def py_call_graph(t: Tables) -> DataFrame:
+    """A23, P29."""
+    a, _, _ = _audited(t, MORE)
+    return _with_names(a, experts.call_graph(a).select("node", "fan_in", "fan_out", "cohesion_score"), "node")
+
+
+@query(_rows(("app/core.py", "app.util.helper", Long(4)), names="file_path, symbol, uses"))
+def py_callers(t: Tables) -> DataFrame:
+    """An import and three calls."""
+    a, _, _ = _audited(t, MORE)
+    return experts.callers(a, "app/util.py")
+
+
+@query(_rows(
+    ("app.core.Box.first", "raise", "Raises: ValueError"), ("app.core.Box.first", "return", "Returns: a number"), ("app.core.Box.first", "raise", "ValueError('limit')"), ("app.core.Box.first", "precondition", "config"),
+    ("tests.test_core.test_first_empty", "precondition", "Box().first({}) == 1"), ("tests.test_core.test_first_empty", "precondition", "True"), names="symbol_uid, contract, text",
+))
+def py_contracts(t: Tables) -> DataFrame:
+    """E3."""
+    a, d, _ = _audited(t, MORE)
+    return _with_names(a, experts.contracts(d), "symbol_uid")
+
+
+@query(_rows(
+    ("app/core.py", "app.util.helper", "internal", Long(3), "normal"), ("app/core.py", "os", "standard", Long(1), "normal"), ("app/core.py", "ujson", "third_party", Long(0), "unused"), ("app/core.py", "yaml", "third_party", Long(0), "unused"),
+    ("tests/test_core.py", "app.core.Box", "internal", Long(1), "normal"), ("tests/test_core.py", "app.core.run", "internal", Long(1), "normal"), names="file_path, module, kind, uses, level",
+))
+def py_imports(t: Tables) -> DataFrame:
+    """E4, P21."""
+    a, _, _ = _audited(t, MORE)
+    return experts.imports_classified(a, ("os",)).drop("private_name")
+
+
+@query(_rows(
+    ("app.core.Box.__init__", "a", 0.5, "middle"), ("app.core.Box.__init__", "b", 0.5, "middle"), ("app.core.Box.first", "a", 0.75, "high"), ("app.core.Box.first", "get", 0.75, "high"), ("app.core.Box.first", "second", 0.75, "high"), ("app.core.Box.second", "b", 0.25, "middle"),
+    names="symbol_uid, attribute_name, share, band",
+))
+def py_cohesion_matrix(t: Tables) -> DataFrame:
+    """E5, P28."""
+    a, _, _ = _audited(t, MORE)
+    return _with_names(a, experts.cohesion_matrix(a).select("symbol_uid", "attribute_name", "share", "band"), "symbol_uid")
+
+
+@query(_rows(("Box", "class", True), ("first", "method", True), ("second", "method", False), ("run", "function", True), ("helper", "function", False), ("test_first_empty", "function", True), ("test_run", "function", True), names="name, kind, tested"))
+def py_test_coverage(t: Tables) -> DataFrame:
+    """E6, U3, H23."""
+    a, _, scan = _audited(t, MORE)
+    return experts.test_coverage(a, scan.where("file_path LIKE 'tests/%'")).select("name", "kind", "tested")
+
+
+@query(_rows(
+    ("app.core.Box.first", "typical", None, None), ("app.core.Box.first", "error", "config", "None"), ("app.core.Box.first", "edge", "limit", "0"), ("app.core.Box.first", "edge", "limit", "-1"), ("app.core.Box.first", "error", "limit", "'x'"), ("app.core.run", "typical", None, None),
+    ("app.core.run", "edge", "data", "empty"), ("app.core.run", "error", "data", "None"), ("app.util.helper", "typical", None, None), ("app.util.helper", "error", "n", "None"), ("app.util.helper", "error", "mode", "None"), names="symbol_uid, \"case\", parameter, value",
+))
+def py_test_cases(t: Tables) -> DataFrame:
+    """E7."""
+    a, d, _ = _audited(t, MORE)
+    return _with_names(a, experts.characterisation_cases(d), "symbol_uid")
+
+
+@query(_rows(("config", "k", Long(2), Long(1), "get,index", 0.5, False), ("config", "z", Long(1), Long(0), "index", 0.0, False), names="name, key, n, safe, methods, safety, critical"))
+def py_key_usage(t: Tables) -> DataFrame:
+    """E11, A27, P25."""
+    _, d, _ = _audited(t, MORE)
+    return experts.key_usage(d).drop("file_path").withColumn("methods", F.array_join("methods", ","))
+
+
+@query(_rows(("app.core.Box.first", "ValueError", None, "moderate"), ("app.core.Box.second", None, None, "safe"), ("app.core.run", None, "OSError", "safe"), ("app.util.helper", None, None, "safe"), ("tests.test_core.test_first_empty", None, None, "safe"), ("tests.test_core.test_run", None, None, "safe"),
+    names="qualified_name, raises, handles, safety"))
+def py_exceptions(t: Tables) -> DataFrame:
+    """E12, P23."""
+    a, d, _ = _audited(t, MORE)
+    return experts.exception_contracts(a, d).select("qualified_name", _text("raises"), _text("handles"), "safety")
+
+
+@query(_rows(("app.core.Box.first", "ValueError,self.second,config.get"), ("app.core.Box.second", "helper"), ("app.core.run", "os.remove,helper,helper"), ("tests.test_core.test_first_empty", "Box"), ("tests.test_core.test_run", "run"), names="source_uid, trace"))
+def py_traces(t: Tables) -> DataFrame:
+    """E13, P27, S17."""
+    a, _, _ = _audited(t, MORE)
+    return _with_names(a, experts.golden_traces(a).select("source_uid", _text("trace")), "source_uid")
+
+
+@query(_rows(("app.core.Box.first", "ValueError,second"), ("app.core.Box.second", "helper"), ("app.core.run", "helper"), ("tests.test_core.test_first_empty", "Box"), ("tests.test_core.test_run", "run"), names="source_uid, calls"))
+def py_propagation(t: Tables) -> DataFrame:
+    """G13."""
+    a, _, _ = _audited(t, MORE)
+    return _with_names(a, experts.propagation(a).select("source_uid", _text("calls")), "source_uid")
+
+
+@query(_rows(
+    ("ValueError", "0", "'limit'", Long(1)), ("config.get", "0", "'k'", Long(1)), ("config.get", "1", "0", Long(1)), ("helper", "0", "1", Long(1)), ("helper", "0", "2", Long(1)), ("helper", "0", "self.b", Long(1)), ("helper", "mode", "'x'", Long(2)), ("helper", "mode", "'y'", Long(1)),
+    ("os.remove", "0", "'x'", Long(1)), ("run", "0", "[]", Long(1)), names="callee, parameter, value, n",
+))
+def py_arguments(t: Tables) -> DataFrame:
+    """A call on what a call gives has no name."""
+    _, d, _ = _audited(t, MORE)
+    return experts.argument_patterns(d).select("callee", "parameter", "value", "n")
+
+
+@query(_rows(("DEBUG", Long(1), "flag", "off"), ("DEBUG", Long(1), "flag", "on"), ("ujson", Long(1), "module", "available"), ("ujson", Long(1), "module", "unavailable"), names="name, n_files, kind, scenario"))
+def py_optional(t: Tables) -> DataFrame:
+    """E14, P24."""
+    _, d, _ = _audited(t, MORE)
+    return experts.optional_dependencies(d)
+
+
+@query(_rows(("tests.test_core.test_first_empty", Long(2), Long(56), Long(42), "medium"), ("tests.test_core.test_run", Long(0), Long(15), Long(15), "low"), names="qualified_name, asserts, quality, signal, band"))
+def py_test_quality(t: Tables) -> DataFrame:
+    """Documented, two assertions, one trivial, an edge case; and one without any."""
+    a, d, _ = _audited(t, MORE)
+    return experts.test_quality(a, d).select("qualified_name", "asserts", "quality", "signal", "band")
+
+
+@query(_rows(("app.util.gone", "()", "removed", Long(1), "low"), ("app.util.helper", "(n)", "signature", Long(1), "low"), names="qualified_name, signature, change, n_files, risk"))
+def py_compatibility(t: Tables) -> DataFrame:
+    """E10, U2, M23, P20."""
+    a, _, _ = _audited(t, MORE)
+    return experts.compatibility(a, _audited(t, OLD)[0]).drop("file_path")
+
+
+@query(_rows(("app.core.Box", 19, Long(3), Long(0), Long(1), Long(0), Long(2)), names="qualified_name, lines, method_count, responsibility_count, foreign_accesses, private_accesses, external_dependencies"))
+def py_class_metrics(t: Tables) -> DataFrame:
+    """P1, M5, M7, M9."""
+    a, _, _ = _audited(t, MORE)
+    return audit.class_metrics(a).select("qualified_name", "lines", "method_count", "responsibility_count", "foreign_accesses", "private_accesses", "external_dependencies")
+
+
+@query(_rows(
+    ("app.core.Box.__init__", 3, 2, 1, 0, Long(2), Long(0)), ("app.core.Box.first", 11, 6, 2, 1, Long(3), Long(1)), ("app.core.Box.second", 2, 1, 1, 0, Long(1), Long(0)), ("app.core.run", 6, 4, 2, 1, Long(1), Long(1)), ("app.util.helper", 2, 1, 1, 0, Long(0), Long(0)),
+    ("tests.test_core.test_first_empty", 4, 3, 1, 0, Long(1), Long(1)), ("tests.test_core.test_run", 2, 1, 1, 0, Long(0), Long(0)), names="qualified_name, lines, statements, complexity, nesting, accesses, external_accesses",
+))
+def py_method_metrics(t: Tables) -> DataFrame:
+    """P1, M3, M4, M6, M10."""
+    a, _, _ = _audited(t, MORE)
+    return audit.method_metrics(a).select("qualified_name", "lines", "statements", "complexity", "nesting", "accesses", "external_accesses")

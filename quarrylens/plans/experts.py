@@ -39,7 +39,7 @@ def callers(a: Audit, path: str) -> DataFrame:
 
 def contracts(details: DataFrame) -> DataFrame:
     """Behaviour that docstrings state and code implies (E3): symbol, contract, text."""
-    doc = details.where("detail = 'doc'").select("symbol_uid", F.explode(F.regexp_extract_all("value", F.lit(r"(?im)^\s*(?:raises?|returns?|args?|requires?|ensures?|note)s?:?.*$"), F.lit(0))).alias("text"))
+    doc = details.where("detail = 'doc'").select("symbol_uid", F.explode(F.regexp_extract_all("value", F.lit(r"(?im)^[ \t]*(?:raises?|returns?|args?|requires?|ensures?|note)s?:?.*$"), F.lit(0))).alias("text"))
     doc = doc.select("symbol_uid", F.lower(F.regexp_extract("text", r"(?i)(raise|return|arg|require|ensure|note)", 1)).alias("contract"), F.trim("text").alias("text"))
     code = details.where("detail IN ('assert', 'raise')").select("symbol_uid", F.when(F.col("detail") == "assert", "precondition").otherwise("raise").alias("contract"), F.col("value").alias("text"))
     return doc.unionByName(code)
