@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..values import SOURCE_WORDS
+
 
 def uid(*parts) -> Column:
     """16 hexadecimal digits from the parts' names."""
@@ -134,28 +136,52 @@ def mean_name_ratio(names: pd.Series) -> pd.Series:
     return names.map(one)
 
 
-_TOKEN = re.compile(r"'[^'\n]*'|\"[^\"\n]*\"|\b\d+(?:\.\d+)?\b|\b[A-Za-z_]\w*\b")
-_KEPT = frozenset("and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield True False None self cls".split())
+_STRING, _NUMBER, _WORD = re.compile(r"""["'].*?["']"""), re.compile(r"\b\d+\.?\d*\b"), re.compile(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b")
+_PIECE = re.compile(r"\w+|[^\w\s]")
+_KEPT = frozenset(SOURCE_WORDS)
+
+
+def _normal(text: str) -> str:
+    seen: dict[str, str] = {}
+    mark = lambda m: m[0] if m[0] in _KEPT else seen.setdefault(m[0], f"VAR_{len(seen)}")
+    return _WORD.sub(mark, _NUMBER.sub("NUMBER_LITERAL", _STRING.sub("STRING_LITERAL", text)))
+
+
+def _blake(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _winnow(text: str, k: int = 3, window: int = 4) -> str:
+    pieces = _PIECE.findall(text)
+    if len(pieces) < k:
+        return _blake("".join(pieces))
+    grams = ["".join(pieces[i : i + k]) for i in range(len(pieces) - k + 1)]
+    if len(grams) > window:
+        hashed = [(_blake(g), g) for g in grams]
+        grams = [min(hashed[i : i + window], key=lambda h: h[0])[1] for i in range(len(hashed) - window + 1)]
+    return _blake("".join(sorted(set(grams))))
 
 
 @F.pandas_udf(T.StringType())
 def normalised_source(source: pd.Series) -> pd.Series:
-    """Literals and numbers as marks, other names numbered as they first stand."""
+    """Literals and numbers as marks, other words numbered as they first stand."""
+    return source.map(lambda x: None if x is None else _normal(x))
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("exact", "structural", "normalized")]))
+def dedup_fingerprints(source: pd.Series, structure: pd.Series) -> pd.DataFrame:
+    """The three fingerprints of a block (X13): of its tokens' winnowed k-grams, of
+    its structure (C9), of its normalised text."""
+    one = lambda f: lambda x: None if x is None else f(x)
+    return pd.DataFrame({"exact": source.map(one(_winnow)), "structural": structure.map(one(_blake)), "normalized": source.map(one(lambda x: _blake(_normal(x))))})
 
-    def one(text):
-        if text is None:
-            return None
-        seen: dict[str, str] = {}
 
-        def swap(m):
-            t = m.group()
-            if t[0] in "'\"":
-                return "STR"
-            if t[0].isdigit():
-                return "NUM"
-            return t if t in _KEPT else seen.setdefault(t, f"VAR_{len(seen)}")
+def code_lines(source) -> Column:
+    """Lines of a source that are neither blank nor comments."""
+    return F.size(F.filter(F.transform(F.split(source, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: (x != "") & ~x.startswith("#")))
 
-        lines = (re.sub(r"\s+", " ", line.split("#")[0]).strip() for line in text.split("\n"))
-        return _TOKEN.sub(swap, "\n".join(x for x in lines if x))
 
-    return source.map(one)
+def unknown_tables(source, known: tuple[str, ...]) -> Column:
+    """Tables that statements in a source read or write and the schema lacks (D9), sorted."""
+    named = F.regexp_extract_all(source, F.lit(r"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    return F.sort_array(F.array_distinct(F.filter(F.transform(named, F.lower), lambda x: ~x.isin(*known))))

@@ -636,3 +636,60 @@ def literal_classes(t: Tables) -> DataFrame:
     """Pattern classes of literals."""
     v = F.expr("element_at(array('https://a.b/c', 'a@b.cd', 'x/y', 'true', 'v1.2', 'MAX_SIZE', 'word'), CAST(p_partkey % 7 AS INT) + 1)")
     return t.part.select("p_partkey", S.literal_class(v).alias("class"))
+
+
+# reports
+
+
+@query(_FACTS + """SELECT s.file_path, count(*) FILTER (kind = 'class')::BIGINT AS classes, count(*) FILTER (kind IN ('function', 'method'))::BIGINT AS functions, sum(complexity_score)::BIGINT AS complexity, max(complexity_score) AS most_complex,
+coalesce((SELECT count(DISTINCT target_external) FROM dep d WHERE dependency_kind = 'imports' AND d.file_path = s.file_path), 0)::BIGINT AS imports FROM sym s GROUP BY 1""")
+def file_metrics(t: Tables) -> DataFrame:
+    """P13."""
+    return views.file_metrics(_audit(t))
+
+
+@query(_FACTS + """, a AS (SELECT DISTINCT file_path, symbol_uid FROM sym WHERE complexity_score < 40), b AS (SELECT DISTINCT file_path, symbol_uid FROM sym WHERE complexity_score > 10)
+SELECT coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN a.symbol_uid IS NOT NULL AND b.symbol_uid IS NOT NULL THEN 'kept' WHEN b.symbol_uid IS NOT NULL THEN 'added' ELSE 'removed' END AS change, count(*)::BIGINT AS n FROM a FULL JOIN b ON a.file_path = b.file_path AND a.symbol_uid = b.symbol_uid GROUP BY 1, 2""")
+def compared_modules(t: Tables) -> DataFrame:
+    """P18."""
+    sym = _facts(t, "sym")
+    return views.compared_symbols(sym.where("complexity_score < 40"), sym.where("complexity_score > 10"), "symbol_uid", "file_path")
+
+
+@query(_FACTS + """, f AS (SELECT DISTINCT file_path FROM fnd), s AS (SELECT file_path, 2 AS phase, 'apply_opportunity' AS operation, 'Apply: ' || finding_type AS description, finding_id AS p FROM fnd UNION ALL SELECT file_path, 0, 'create_backup', NULL, 0 FROM f
+UNION ALL SELECT file_path, 1, 'validate_syntax', NULL, 0 FROM f UNION ALL SELECT file_path, 3, 'validate_syntax', NULL, 0 FROM f) SELECT file_path, phase, operation, description, row_number() OVER (PARTITION BY file_path ORDER BY phase, p)::INT AS step FROM s""")
+def refactoring_plan(t: Tables) -> DataFrame:
+    """P36."""
+    return views.plan_rows(_facts(t, "fnd"), "file_path", "finding_type", "finding_id")
+
+
+@query(_FACTS + """, s AS (SELECT *, CASE WHEN severity IN ('critical', 'high') THEN 'requirements' WHEN finding_type = 'quality_issue' THEN 'design' ELSE 'implementation' END AS section FROM fnd),
+r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY confidence DESC, finding_id) AS i FROM s) SELECT section, count(*)::BIGINT AS n, count(DISTINCT file_path)::BIGINT AS n_files, string_agg(CASE WHEN i <= 3 THEN finding_id::VARCHAR END, ',' ORDER BY i) AS first FROM r GROUP BY 1""")
+def specification_sections(t: Tables) -> DataFrame:
+    """M25."""
+    return views.sections(_facts(t, "fnd"))
+
+
+@query("""WITH g AS (SELECT p_brand AS c, count(*) AS n, min(p_size) AS s FROM part GROUP BY 1) SELECT CASE WHEN s % 2 = 0 THEN 'LOW' ELSE 'HIGH' END AS risk, CASE WHEN n % 3 = 0 THEN 'S' ELSE 'M' END AS effort, count(*)::BIGINT AS n_clusters, sum(n)::BIGINT AS n_members, sum(n * 2)::DOUBLE AS benefit FROM g GROUP BY 1, 2""")
+def cluster_report(t: Tables) -> DataFrame:
+    """P12."""
+    g = t.part.groupBy("p_brand").agg(F.count("*").alias("members"), F.min("p_size").alias("s"))
+    return D.cluster_report(g.select("members", F.expr("IF(s % 2 = 0, 'LOW', 'HIGH')").alias("risk"), F.expr("IF(members % 3 = 0, 'S', 'M')").alias("effort"), (F.col("members") * 2.0).alias("benefit")))
+
+
+@query("""SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \t\r\x0b\f]+|[ \t\r\x0b\f]+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '#')))::INT AS lines FROM documents""")
+def code_lines(t: Tables) -> DataFrame:
+    """P4."""
+    return t.documents.select("doc_id", S.code_lines(F.col("text")).alias("lines"))
+
+
+_STATEMENTS = "['SELECT a FROM part JOIN lineitem', 'select x from nowhere', 'INSERT INTO Orders VALUES', 'UPDATE missing SET a = 1', 'nothing here']"
+
+
+@query(rf"""WITH s AS (SELECT p_partkey, list_extract({_STATEMENTS}, (p_partkey % 5)::INT + 1) || '; ' || list_extract({_STATEMENTS}, (p_size % 5)::INT + 1) AS x FROM part)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(x, '(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+([A-Za-z_]+)', 1), lambda n: lower(n)), lambda n: n NOT IN ('part', 'lineitem', 'orders')))), ',') AS unknown FROM s""")
+def unknown_tables(t: Tables) -> DataFrame:
+    """D9."""
+    words = _STATEMENTS.replace("[", "array(").replace("]", ")")
+    text = F.expr(f"element_at({words}, CAST(p_partkey % 5 AS INT) + 1) || '; ' || element_at({words}, CAST(p_size % 5 AS INT) + 1)")
+    return t.part.select("p_partkey", F.array_join(S.unknown_tables(text, ("part", "lineitem", "orders")), ",").alias("unknown"))

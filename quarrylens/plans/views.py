@@ -1,11 +1,11 @@
 """Views, statistics and reports over facts and findings (A6, A7, A10, A16-A18,
-A24, A26, A29-A31, J2, J15, K10, D2-D8)."""
+A24, A26, A29-A31, J2, J15, K10, D2-D8, M25, P13, P18, P36)."""
 
 from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
@@ -132,3 +132,43 @@ class QueryLog:
         """Mean time, slow runs and share with pushed filters by query."""
         log = self.spark.createDataFrame(self.rows, "name string, seconds double, n long, pushed boolean, exchanges int, slow boolean")
         return log.groupBy("name").agg(F.count("*").alias("runs"), F.avg("seconds").alias("mean"), F.count_if("slow").alias("slow_runs"), F.avg(F.col("pushed").cast("double")).alias("pushed_share"), F.max("exchanges").alias("exchanges"))
+
+
+def file_metrics(a: Audit) -> DataFrame:
+    """Definitions, complexity, nesting and imports of each file."""
+    s = a.symbols.groupBy("file_path").agg(
+        F.count_if(F.col("kind") == "class").alias("classes"), F.count_if(F.col("kind").isin("function", "method")).alias("functions"), F.sum("complexity_score").alias("complexity"), F.max("complexity_score").alias("most_complex"),
+    )
+    d = a.dependencies.where("dependency_kind = 'imports'").groupBy("file_path").agg(F.count_distinct("target_external").alias("imports"))
+    return s.join(d, "file_path", "left").na.fill(0, ["imports"])
+
+
+def compared_symbols(before: DataFrame, after: DataFrame, key: str, scope: str) -> DataFrame:
+    """Symbols kept, added and removed, by scope, between two states."""
+    old, new = (df.select(scope, key).distinct().withColumn(name, F.lit(True)) for df, name in ((before, "_old"), (after, "_new")))
+    both = old.join(new, [scope, key], "full")
+    change = F.when(F.col("_old") & F.col("_new"), "kept").when(F.col("_new"), "added").otherwise("removed")
+    return both.groupBy(scope, change.alias("change")).agg(F.count("*").alias("n"))
+
+
+def plan_rows(opportunities: DataFrame, file: str, text: str, order: str, backup: bool = True) -> DataFrame:
+    """Steps of the plan of each file (P36): a backup, a check, its opportunities in
+    order, a check of the result. Rows only: nothing is carried out."""
+    step = lambda df, phase, kind: df.select(file, F.lit(phase).alias("phase"), F.lit(kind).alias("operation"))
+    files = opportunities.select(file).distinct()
+    before = [(0, "create_backup")] if backup else []
+    fixed = [step(files, p, k).select("*", F.lit(None).cast("string").alias("description"), F.lit(0).cast("long").alias("place")) for p, k in (*before, (1, "validate_syntax"), (3, "validate_syntax"))]
+    out = opportunities.select(file, F.lit(2).alias("phase"), F.lit("apply_opportunity").alias("operation"), F.concat(F.lit("Apply: "), F.col(text)).alias("description"), F.col(order).cast("long").alias("place"))
+    for f in fixed:
+        out = out.unionByName(f)
+    return out.withColumn("step", F.row_number().over(Window.partitionBy(file).orderBy("phase", "place", "description"))).drop("place")
+
+
+def sections(found: DataFrame) -> DataFrame:
+    """Findings dealt into the sections of a specification, with their numbers and
+    first targets (M25): requirements from severe ones, design from quality, the
+    rest for implementation."""
+    section = F.when(F.col("severity").isin("critical", "high"), "requirements").when(F.col("finding_type") == "quality_issue", "design").otherwise("implementation")
+    by = found.withColumn("section", section)
+    first = A.first_per_group(by, ["section"], [F.desc("confidence"), F.col("finding_id")], 3).groupBy("section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "finding_id"))), lambda x: x["finding_id"].cast("string")), ",").alias("first"))
+    return by.groupBy("section").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("n_files")).join(first, "section")

@@ -109,3 +109,8 @@ COMPONENT_WEIGHTS = {
     "duplicate_fragments": 5.0, "git_patterns": 3.0, "impact_assessment": 2.0,
 }
 EDGE_WORDS = ("edge", "none", "null", "empty", "zero", "negative", "min", "max", "invalid")
+# Words that normalising a source keeps.
+SOURCE_WORDS = (
+    "if", "else", "elif", "for", "while", "try", "except", "finally", "def", "class", "return", "yield", "import", "from", "as", "True", "False", "None", "and", "or", "not", "in", "is",
+    "print", "len", "str", "int", "float", "list", "dict", "set", "STRING_LITERAL", "NUMBER_LITERAL",
+)

@@ -185,7 +185,15 @@ def test_scalars(spark):
     got = df.select(S.module_name("p").alias("m"), S.literal_class(F.col("l")).alias("c"), S.signature_arity("s").alias("n"), S.half_even("x", 2).alias("r")).collect()
     assert [tuple(r) for r in got] == [("a.b", "url", 2, 0.12), ("m", "version", 0, 2.5)]
     one = df.limit(1).select(S.blake2b_64(F.lit("x")).alias("b"), S.fuzzy_ratio(F.lit("abcd"), F.lit("bcde")).alias("f"), S.normalised_source(F.lit("x = foo('a', 1)\n# c\ny = x")).alias("n")).first()
-    assert len(one.b) == 16 and one.f == 0.75 and one.n == "VAR_0 = VAR_1(STR, NUM)\nVAR_2 = VAR_0"
+    assert len(one.b) == 16 and one.f == 0.75 and one.n == "VAR_0 = VAR_1(STRING_LITERAL, NUMBER_LITERAL)\n# VAR_2\nVAR_3 = VAR_0"
+
+
+def test_dedup_fingerprints(spark):
+    rows = [("a = f(1)\nb = 2", "Assign"), ("a  =  f( 1 )\n\nb = 2", "Assign"), ("x = g(7)\ny = 3", "Assign"), ("x", "Expr(Name)"), (None, None)]
+    got = [r.f for r in frame(spark, rows, "s string, t string").select(S.dedup_fingerprints("s", "t").alias("f")).collect()]
+    assert got[0].exact == got[1].exact != got[2].exact and got[0].normalized == got[2].normalized != got[1].normalized and got[0].structural == got[2].structural != got[3].structural
+    assert got[3].exact == hashlib.blake2b(b"x", digest_size=8).hexdigest() and got[4].exact is None
+    assert frame(spark, [("# c\n\n  x = 1\n\t# d\ny",)], "s string").select(S.code_lines(F.col("s"))).first()[0] == 2
 
 
 def blocks(spark):
