@@ -116,11 +116,23 @@ def summary_stats(df: DataFrame, group: list[str], value: str) -> DataFrame:
 
 
 def unique_targets(df: DataFrame, scope: list[str], symbol: str, holder: str, key: str) -> DataFrame:
-    """Names made unique in a scope (W9): the bare name, else with the holder's
-    name, else also with a number."""
-    name = Window.partitionBy(*scope, symbol)
-    out = df.withColumn("_n", F.count("*").over(name))
-    out = out.withColumn("_t", F.when(F.col("_n") == 1, F.col(symbol)).otherwise(F.concat_ws("__", symbol, holder)))
-    again = Window.partitionBy(*scope, "_t").orderBy(key)
-    out = out.withColumn("_k", F.row_number().over(again))
-    return out.withColumn("target", F.when(F.col("_k") == 1, F.col("_t")).otherwise(F.concat_ws("__", "_t", F.col("_k").cast("string")))).drop("_n", "_t", "_k")
+    """Names made unique in a scope (W9), rows in order of ``key``: the first of a
+    name keeps it; of the others the first with a holder's name has that added, the
+    others the first eight letters of their key, and a number from 2 on where even
+    those are equal."""
+    short = F.substring(F.col(key).cast("string"), 1, 8)
+    named = Window.partitionBy(*scope, symbol)
+    out = df.withColumn("_first", F.row_number().over(named.orderBy(key)) == 1)
+    some = ~F.col("_first") & (F.coalesce(F.col(holder).cast("string"), F.lit("")) != "")
+    held = Window.partitionBy(*scope, symbol, holder, "_some").orderBy(key)
+    out = out.withColumn("_some", some).withColumn("_held", F.col("_some") & (F.row_number().over(held) == 1))
+    rest = out.withColumn("_rest", ~F.col("_first") & ~F.col("_held"))
+    again = Window.partitionBy(*scope, symbol, "_rest", short).orderBy(key)
+    rest = rest.withColumn("_k", F.row_number().over(again))
+    target = (
+        F.when(F.col("_first"), F.col(symbol))
+        .when(F.col("_held"), F.concat_ws("__", symbol, holder))
+        .when(F.col("_k") == 1, F.concat_ws("__", F.col(symbol), short))
+        .otherwise(F.concat_ws("__", F.col(symbol), short, F.col("_k").cast("string")))
+    )
+    return rest.withColumn("target", target).drop("_first", "_some", "_held", "_rest", "_k")

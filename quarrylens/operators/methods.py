@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,31 +30,46 @@ def shared_feature_groups(access: DataFrame, scope: str, method: str, feature: s
     return G.components(both.where(F.col("_b") / (F.col("_n") + F.col("_m") - F.col("_b")) >= least), method, "_o")
 
 
-def greedy_groups(methods: DataFrame, scope: str, least: float = 0.2) -> DataFrame:
-    """Methods left without a duty, taken one after another into the first group
-    whose features they share enough (M11): by nature sequential in one class.
-    methods: scope, method, features (array)."""
+def greedy_groups(methods: DataFrame, scope: str, least: float = 0.2, smallest: int = 2) -> DataFrame:
+    """Methods left without a duty, grouped (M11): each in turn begins a group and
+    takes in every later one whose mean cohesion with the group is over ``least``;
+    groups of ``smallest`` or more are numbered, what is left is utility_support
+    (null where that is too small). By nature sequential in one class. methods:
+    scope, method, calls, attributes, keywords (arrays), scores (map)."""
+
+    def alike(a, b) -> float:
+        def share(c):
+            x, y = set(a[c] if a[c] is not None else ()), set(b[c] if b[c] is not None else ())
+            return len(x & y) / max(len(x | y), 1)
+
+        one, two = dict(a["scores"] or {}), dict(b["scores"] or {})
+        both = [min(one[k], two[k]) / max(one[k], two[k]) for k in one.keys() & two.keys() if one[k] > 0 and two[k] > 0]
+        called = b["method"] in set(a["calls"] if a["calls"] is not None else ()) or a["method"] in set(b["calls"] if b["calls"] is not None else ())
+        return 0.4 * called + 0.2 * share("attributes") + 0.2 * share("keywords") + 0.2 * max(both, default=0.0)
 
     def step(pdf):
-        groups: list[tuple[set, list]] = []
-        which = []
-        pdf = pdf.sort_values("method")
-        for features in pdf["features"]:
-            f = set(features)
-            best, at = 0.0, -1
-            for k, (held, _) in enumerate(groups):
-                s = len(f & held) / len(f | held) if f | held else 0.0
-                if s > best:
-                    best, at = s, k
-            if best > least:
-                groups[at][0].update(f)
-            else:
-                at = len(groups)
-                groups.append((f, []))
-            which.append(at)
-        return pdf.assign(group=which)[[scope, "method", "group"]]
+        rows = pdf.sort_values("method").to_dict("records")
+        near = [[alike(a, b) if a is not b else 0.0 for b in rows] for a in rows]
+        group, n, used = [None] * len(rows), 0, set()
+        for i in range(len(rows)):
+            if i in used:
+                continue
+            mine = [i]
+            for j in range(len(rows)):
+                if j != i and j not in used and sum(near[k][j] for k in mine) / len(mine) > least:
+                    mine.append(j)
+            if len(mine) >= smallest:
+                n += 1
+                used.update(mine)
+                for j in mine:
+                    group[j] = f"cohesion_group_{n}"
+        left = [j for j in range(len(rows)) if j not in used]
+        if len(left) >= smallest:
+            for j in left:
+                group[j] = "utility_support"
+        return pd.DataFrame({scope: [r[scope] for r in rows], "method": [r["method"] for r in rows], "group": group})
 
-    return methods.groupBy(scope).applyInPandas(step, f"{scope} {methods.schema[scope].dataType.simpleString()}, method string, group long")
+    return methods.groupBy(scope).applyInPandas(step, f"{scope} {methods.schema[scope].dataType.simpleString()}, method string, group string")
 
 
 def attached_private(groups: DataFrame, calls: DataFrame, most: int = 20) -> DataFrame:

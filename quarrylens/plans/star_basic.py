@@ -380,12 +380,13 @@ def operations_compared(t: Tables) -> DataFrame:
     return out.select("o_custkey", *(F.array_join(c, ",").alias(c) for c in ("common", "only_a", "only_b")))
 
 
-@query("""WITH n AS (SELECT *, count(*) OVER (PARTITION BY p_type, p_name) AS c FROM part), u AS (SELECT *, CASE WHEN c = 1 THEN p_name ELSE p_name || '__' || p_brand END AS tt FROM n),
-k AS (SELECT *, row_number() OVER (PARTITION BY p_type, tt ORDER BY p_partkey) AS r FROM u)
-SELECT p_partkey, CASE WHEN r = 1 THEN tt ELSE tt || '__' || r::VARCHAR END AS target FROM k""")
+@query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_partkey) = 1 AS f, substr('c' || lpad(p_partkey::VARCHAR, 9, '0'), 1, 8) AS short FROM part), b AS (SELECT *, NOT f AND p_size % 2 = 0 AS s FROM a),
+c AS (SELECT *, s AND row_number() OVER (PARTITION BY p_type, p_name, p_brand, s ORDER BY p_partkey) = 1 AS h FROM b), d AS (SELECT *, row_number() OVER (PARTITION BY p_type, p_name, NOT f AND NOT h, short ORDER BY p_partkey) AS r FROM c)
+SELECT p_partkey, CASE WHEN f THEN p_name WHEN h THEN p_name || '__' || p_brand WHEN r = 1 THEN p_name || '__' || short ELSE p_name || '__' || short || '__' || r END AS target FROM d""")
 def unique_target_names(t: Tables) -> DataFrame:
     """W9."""
-    return A.unique_targets(t.part, ["p_type"], "p_name", "p_brand", "p_partkey").select("p_partkey", "target")
+    rows = t.part.select("p_partkey", "p_type", "p_name", F.expr("CASE WHEN p_size % 2 = 0 THEN p_brand END AS holder"), F.expr("'c' || lpad(CAST(p_partkey AS STRING), 9, '0') AS k"))
+    return A.unique_targets(rows, ["p_type"], "p_name", "holder", "k").select("p_partkey", "target")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY 1, 2")

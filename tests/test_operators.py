@@ -335,9 +335,11 @@ def test_method_groups(spark):
     words = frame(spark, [("load", "read", 1.0), ("load", "get", 1.0), ("show", "print", 2.0)], "duty string, word string, weight double")
     m = frame(spark, [(1, "read_get_print"), (2, "other")], "k int, name string")
     assert {r.k: r.duty for r in M.duties(m, "k", "name", words).collect()} == {1: "load", 2: "utility"}
-    g = frame(spark, [("A", "f", ["x", "y"]), ("A", "g", ["x", "y", "z"]), ("A", "h", ["q"])], "scope string, method string, features array<string>")
+    cols = "scope string, method string, calls array<string>, attributes array<string>, keywords array<string>, scores map<string,double>"
+    g = frame(spark, [("A", "f", ["g"], ["x"], [], {}), ("A", "g", [], ["y"], [], {}), ("A", "h", [], ["q"], ["k"], {"io": 0.2}), ("A", "i", None, None, None, None), ("B", "p", [], ["x"], ["k"], {"io": 0.2}), ("B", "q", [], ["x"], [], {"io": 0.1})], cols)
     got = {r.method: r.group for r in M.greedy_groups(g, "scope").collect()}
-    assert got["f"] == got["g"] != got["h"]
+    # f calls g: .4; p and q: .2 for attributes, .1 for scores
+    assert got == {"f": "cohesion_group_1", "g": "cohesion_group_1", "h": "utility_support", "i": "utility_support", "p": "cohesion_group_1", "q": "cohesion_group_1"}
     acc = frame(spark, [("A", "f", "x"), ("A", "f", "y"), ("A", "g", "x"), ("A", "g", "y"), ("A", "h", "x")], "scope string, m string, a string")
     assert rows(M.shared_feature_groups(acc, "scope", "m", "a")) == [("f", "f"), ("g", "f")]
     att = M.attached_private(frame(spark, [("pub", 1), ("_a", None), ("_b", None)], "method string, group int"), frame(spark, [("pub", "_a"), ("_a", "_b")], "caller string, callee string"))
