@@ -334,26 +334,24 @@ def json_props(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.sum(k).alias("k_sum"), F.count_if(k > 50).alias("k_large"))
 
 
-@query("""WITH old AS (SELECT p_partkey, md5(concat_ws('|', p_name, p_brand)) AS h FROM part WHERE p_partkey % 7 <> 0),
-new AS (SELECT p_partkey, md5(concat_ws('|', p_name, CASE WHEN p_partkey % 11 = 0 THEN 'Brand#0' ELSE p_brand END)) AS h FROM part WHERE p_partkey % 13 <> 0)
+@query("""WITH old AS (SELECT p_partkey, md5(p_brand) AS h FROM part), new AS (SELECT p_partkey + 5 AS p_partkey, md5(p_brand) AS h FROM part)
 SELECT coalesce(n.p_partkey, o.p_partkey) AS p_partkey, CASE WHEN o.p_partkey IS NULL THEN 'added' WHEN n.p_partkey IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM new n FULL JOIN old o ON n.p_partkey = o.p_partkey WHERE n.h IS DISTINCT FROM o.h""")
 def changed_files(t: Tables) -> DataFrame:
-    """Two made-up snapshots of one table, compared by hash."""
-    old = t.part.where("p_partkey % 7 != 0").select("p_partkey", F.md5(F.concat_ws("|", "p_name", "p_brand")).alias("h"))
-    new = t.part.where("p_partkey % 13 != 0").select("p_partkey", F.md5(F.concat_ws("|", "p_name", F.when(F.col("p_partkey") % 11 == 0, "Brand#0").otherwise(F.col("p_brand")))).alias("h"))
+    """The whole table, and the same rows five keys on, compared by hash."""
     from ..sources.code import changes
 
-    return changes(old, new, "p_partkey", "h")
+    old = t.part.select("p_partkey", F.md5("p_brand").alias("h"))
+    return changes(old, old.withColumn("p_partkey", F.col("p_partkey") + 5), "p_partkey", "h")
 
 
-@query("""WITH old AS (SELECT p_name, p_brand, min(p_size) AS sig FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2), new AS (SELECT p_name, p_brand, min(p_size) AS sig FROM part WHERE p_partkey % 3 = 1 GROUP BY 1, 2)
+@query("""WITH old AS (SELECT p_name, p_brand, min(p_size) AS sig FROM part GROUP BY 1, 2), new AS (SELECT p_name, 'Brand#' || CAST(substr(p_brand, 7) AS INT) % 25 + 1 AS p_brand, min(p_size) AS sig FROM part GROUP BY 1, 2)
 SELECT p_name, p_brand, 'removed' AS change FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.p_name = o.p_name AND n.p_brand = o.p_brand)
 UNION ALL SELECT o.p_name, o.p_brand, 'signature' FROM old o JOIN new n ON n.p_name = o.p_name AND n.p_brand = o.p_brand WHERE n.sig <> o.sig""")
 def api_diff(t: Tables) -> DataFrame:
-    """U2."""
-    side = lambda r: t.part.where(f"p_partkey % 3 = {r}").groupBy("p_name", "p_brand").agg(F.min("p_size").alias("sig"))
-    old, new = side(0), side(1)
+    """All parts, and all of them under the next brand."""
+    old = t.part.groupBy("p_name", "p_brand").agg(F.min("p_size").alias("sig"))
+    new = old.withColumn("p_brand", F.concat(F.lit("Brand#"), (F.substring("p_brand", 7, 9).cast("int") % 25 + 1).cast("string")))
     gone = old.join(new, ["p_name", "p_brand"], "left_anti").select("p_name", "p_brand", F.lit("removed").alias("change"))
     moved = old.join(new.withColumnRenamed("sig", "new_sig"), ["p_name", "p_brand"]).where("sig != new_sig")
     return gone.unionByName(moved.select("p_name", "p_brand", F.lit("signature").alias("change")))

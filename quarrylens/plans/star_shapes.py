@@ -120,27 +120,24 @@ def _words():
     return F.filter(F.split(F.lower(F.regexp_replace("text", "[^a-zA-Z ]+", " ")), " +"), lambda x: F.length(x) > 0)
 
 
-@query("""WITH tok AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(text, '[^a-zA-Z ]+', ' ', 'g')), ' +'), lambda x: len(x) > 0)) AS w FROM documents WHERE n_chars < 700),
-e AS (SELECT doc_id, unnest(w) AS b FROM tok), s AS (SELECT b FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20), k AS (SELECT e.* FROM e SEMI JOIN s USING (b)),
-p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.b = y.b AND x.doc_id < y.doc_id),
-j AS (SELECT a, p.b, len(list_intersect(ta.w, tb.w))::DOUBLE / len(list_distinct(list_concat(ta.w, tb.w))) AS similarity FROM p JOIN tok ta ON p.a = ta.doc_id JOIN tok tb ON p.b = tb.doc_id)
-SELECT a, b, similarity FROM j WHERE similarity >= 0.7""")
+@query("""WITH tok AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(regexp_replace(text, '[^a-zA-Z ]+', ' ', 'g')), ' +'), lambda x: len(x) > 0))) AS w FROM documents),
+g AS (SELECT w, min(doc_id) AS k, len(w) AS n FROM tok WHERE len(w) > 0 GROUP BY 1), s AS (SELECT g.k AS a, doc_id AS b, 1.0::DOUBLE AS similarity FROM tok JOIN g ON tok.w = g.w WHERE doc_id > g.k),
+p AS (SELECT x.k AS a, y.k AS b, x.n + y.n AS t, len(list_intersect(x.w, y.w)) AS c FROM g x JOIN g y ON x.k < y.k AND 10 * least(x.n, y.n) >= 7 * greatest(x.n, y.n))
+SELECT a, b, c::DOUBLE / (t - c) AS similarity FROM p WHERE 10 * c >= 7 * (t - c) UNION ALL SELECT * FROM s""")
 def near_dup_jaccard(t: Tables) -> DataFrame:
-    """Words as blocks; a block of over 20 members says nothing.
-    Short texts only, as in its SQL; ``near_dup_jaccard_whole`` has no such bounds."""
-    tok = t.documents.where("n_chars < 700").select("doc_id", F.array_distinct(_words()).alias("w"))
-    pairs = J.blocked_pairs(tok, "doc_id", F.col("w"), 20)
-    a, b = tok.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), tok.select(F.col("doc_id").alias("b"), F.col("w").alias("wb"))
-    out = pairs.join(a, "a").join(b, "b").withColumn("similarity", S.jaccard(F.col("wa"), F.col("wb")))
-    return out.where("similarity >= 0.7").select("a", "b", "similarity")
-
-
-@query()
-def near_dup_jaccard_whole(t: Tables) -> DataFrame:
-    """C12, C22 over texts of any length, however many documents hold a word."""
+    """All pairs of word sets from 0.7 on, over whole texts of any length,
+    however many documents hold a word; equal sets by their first."""
     return J.similar_sets(t.documents, "doc_id", _words(), 7)
 
 
+@query("""WITH e AS (SELECT p_partkey AS k, p_name || '|' || p_brand AS b FROM part UNION ALL SELECT p_partkey, p_brand || '|' || p_size FROM part UNION ALL SELECT p_partkey, p_type FROM part), s AS (SELECT b FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20), k AS (SELECT e.* FROM e SEMI JOIN s USING (b))
+SELECT DISTINCT x.k AS a, y.k AS b FROM k x JOIN k y ON x.b = y.b AND x.k < y.k""")
+def blocked_candidates(t: Tables) -> DataFrame:
+    """Candidates share a block of at most 20; larger blocks say nothing, by definition."""
+    blocks = F.array(F.concat_ws("|", "p_name", "p_brand"), F.concat_ws("|", "p_brand", F.col("p_size").cast("string")), F.col("p_type"))
+    return J.blocked_pairs(t.part, "p_partkey", blocks, 20)
+
+
 @query("""WITH tok AS (SELECT p_partkey, string_split(p_name || ' ' || p_brand || ' ' || p_type || ' size ' || p_size || ' of part ' || p_partkey, ' ') AS t FROM part),
 g AS (SELECT p_partkey, [md5(array_to_string(t[i:i + 2], ' ')) FOR i IN generate_series(1, len(t) - 2)] AS h FROM tok),
 w AS (SELECT p_partkey, CASE WHEN len(h) <= 4 THEN h ELSE [list_min(h[i:i + 3]) FOR i IN generate_series(1, len(h) - 3)] END AS m FROM g)
