@@ -42,6 +42,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarrylens/{uuid.uuid4().hex}-{name}"
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A path of its own whose files stay until ``release``."""
+    path = fresh_path(spark, name)
+    _kept.append((spark.sparkContext.applicationId, path))
+    return path
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables written inside by this thread, but for those written to be kept, are
