@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..storage import fresh_path, scratch, shared_dir, written  # noqa: F401  (used through this module)
+from ..storage import kept_path, scratch, shared_dir, written  # noqa: F401  (used through this module)
 
 #: Texts are worked on in slices of about this many bytes.
 SLICE_BYTES = 1 << 19

@@ -236,4 +236,4 @@ def read(files: DataFrame) -> DataFrame:
 
 
 def written_and_read(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return read(write(docs, common.fresh_path(spark, "tokens")))
+    return read(write(docs, common.kept_path(spark, "tokens")))

@@ -359,6 +359,15 @@ def test_url_verdicts_equal_brute_force_bayes(spark):
     assert min(verdicts[False, "allow"], verdicts[False, "block"]) > 0
 
 
+def test_very_long_hosts(spark):
+    """A host of many thousand letters is cut whole, like any other."""
+    long = "freebets" * 2000
+    pages = spark.createDataFrame([(1, f"https://{long}.example.com/en/1", "<p>free bets free bets</p>"), (2, "https://" + "q" * 3000, None), (3, "https://x.net/" + "y" * 5000, "free")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert got[1].host == f"{long}.example.com" and got[1].words.split()[:4] == ["h:free", "h:bets", "h:free", "h:bets"] and len(got[1].words.split()) == 4000 + 4
+    assert got[2].host == "q" * 3000 and got[2].path == "" and got[3].rule == "net/" and got[3].verdict == "block"
+
+
 def test_url_verdicts_on_sites_held_out(spark):
     """Sites that no training url names: those with seed words are blocked, most others left alone."""
     rows = [(k, f"https://{w}.site{k % 7}.net/de/{k}") for k, w in enumerate(["casino", "cheap-pills", "freebets", "xxx"] * 10)]
