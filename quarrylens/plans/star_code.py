@@ -693,3 +693,11 @@ def unknown_tables(t: Tables) -> DataFrame:
     words = _STATEMENTS.replace("[", "array(").replace("]", ")")
     text = F.expr(f"element_at({words}, CAST(p_partkey % 5 AS INT) + 1) || '; ' || element_at({words}, CAST(p_size % 5 AS INT) + 1)")
     return t.part.select("p_partkey", F.array_join(S.unknown_tables(text, ("part", "lineitem", "orders")), ",").alias("unknown"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \t\r\x0b\f]+|[ \t\r\x0b\f]+$', '', 'g')) AS l FROM documents), s AS (SELECT doc_id, l, unnest(generate_series(3, least(20, len(l) // 2) - 1)) AS size FROM l WHERE least(20, len(l) // 2) > 3),
+w AS (SELECT doc_id, size, l, unnest(generate_series(1, len(l) - size + 1)) AS start FROM s), c AS (SELECT doc_id, size, start, list_filter(l[start:start + size - 1], lambda x: x <> '' AND NOT starts_with(x, '#')) AS b FROM w),
+g AS (SELECT doc_id, size, md5(array_to_string(b, chr(10))) AS digest, list(start ORDER BY start) AS p FROM c WHERE len(b) >= 3 GROUP BY 1, 2, 3 HAVING count(*) > 1) SELECT doc_id, size::INT AS size, digest, array_to_string(p, ',') AS starts, (size * (len(p) - 1))::INT AS savings FROM g""")
+def repeated_windows(t: Tables) -> DataFrame:
+    """E8, W5, A29."""
+    return C.repeated_windows(t.documents, "doc_id", "text").select("doc_id", "size", "digest", F.array_join(F.col("starts").cast("array<string>"), ",").alias("starts"), "savings")

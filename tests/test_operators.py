@@ -446,3 +446,16 @@ def test_kept_tables_are_released(spark, tmp_path):
         inner.count()
     storage.release(spark)
     assert not [p for app, p in storage._kept if app == spark.sparkContext.applicationId]
+
+
+def test_concrete_duplicates(spark):
+    body = ["a = 1", "b = 2", "  c = 3", "d = 4"]
+    text = "\n".join([*body, "# note", "x", *body, "y", "z", "", "q"])
+    got = C.repeated_windows(frame(spark, [("f", text), ("g", "a\nb")], "k string, t string"), "k", "t")
+    best = got.orderBy(F.desc("savings"), F.desc("size")).first()
+    assert (best.k, best.size, best.starts, best.savings) == ("f", 4, [1, 7], 4) and got.where("size = 3").count() >= 2
+    assert [(r.size, r.starts) for r in C.greedy_fragments(got, "k").collect()] == [(4, [1, 7])]
+    kinds = frame(spark, [("FunctionDef(2,Assign,If(Return,Expr(Call(1))),Return)",), ("FunctionDef(0,Pass)",), ("ClassDef(Pass)",)], "s string").select(C.statement_kinds(F.col("s")).alias("k")).collect()
+    assert [r.k for r in kinds] == [["Assign", "If", "Return"], ["Pass"], []]
+    f = [("m", "u1", "FunctionDef(1,Assign,Return)", "function"), ("m", "u2", "FunctionDef(9,Return,Assign,Assign)", "method"), ("m", "u3", "FunctionDef(1,Assign,For,If,Return,Expr(Call(0)))", "function"), ("m", "u4", "FunctionDef(1,Assign,For,If,Return,Expr(Name),While(Pass))", "function"), ("n", "u5", "FunctionDef(1,Assign,Return)", "function")]
+    assert rows(C.similar_bodies(frame(spark, f, "file_path string, symbol_uid string, structure string, kind string")).select("a", "b", F.round("similarity", 3))) == [("u1", "u2", 1.0), ("u3", "u4", 0.833)]
