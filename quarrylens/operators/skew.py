@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of one key from which on they are split; at most ``MOST_HOT`` keys are.
-HOT_ROWS, MOST_HOT = 20_000, 1000
+HOT_ROWS, MOST_HOT = 2000, 1000
 
 
 def hot_keys(left: DataFrame, keys: list[str], counts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> list[tuple]:
@@ -30,8 +30,8 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     hot = hot_keys(left, keys, counts, hot_rows)
     if not hot:
         return left.join(right.hint("merge"), keys, how)
-    kinds = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
-    marks = F.broadcast(left.sparkSession.createDataFrame([(*k, -(-n // hot_rows)) for *k, n in hot], f"{kinds}, _parts long"))  # at most MOST_HOT rows
+    row = lambda key, n: F.struct(*(F.lit(v).cast(left.schema[k].dataType).alias(k) for k, v in zip(keys, key)), F.lit(-(-n // hot_rows)).cast("long").alias("_parts"))
+    marks = F.broadcast(left.sparkSession.range(1).select(F.inline(F.array(*(row(key, n) for *key, n in hot)))))  # at most MOST_HOT rows
     dealt = left.join(marks, keys, "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*left.columns), "_parts")).otherwise(0)).drop("_parts")
     upto = F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1).cast("long")) - 1)
     copied = right.join(marks, keys, "left").withColumn("_part", F.explode(upto)).drop("_parts")
