@@ -473,7 +473,7 @@ def _joined(docs: DataFrame, list_part: int) -> DataFrame:
     labels = components(links)
     whole = join_unique(members, labels, ["node"], "left").select("doc_id", "tie", "n", F.coalesce("label", "node").alias("label"))
     alone = whole.where("n = 0").select("doc_id", "tie", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("keep"))
-    whole = whole.where("n > 0")
+    whole = common.written(whole.where("n > 0"), "labelled")
     first = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("f"))
     grouped = join_unique(whole, first, ["label"]).select(
         "doc_id", "tie", "n", "component_id", (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("tie") == F.col("f.tie"))).alias("keep")
