@@ -214,16 +214,22 @@ def cohesion(access: DataFrame, scope: str, method: str, attribute: str) -> Data
 
 
 def unused_confidence(base: Column, dynamic_import: Column, dynamic: Column) -> Column:
-    """Confidence that a symbol is unused."""
-    return base * F.when(dynamic_import, 0.4).otherwise(1.0) * F.when(dynamic, 0.6).otherwise(1.0)
+    """Confidence that a symbol is unused (M15): less where its file imports by
+    name, or else uses names dynamically in other ways."""
+    return base * F.when(dynamic_import, 0.4).when(dynamic, 0.6).otherwise(1.0)
 
 
-def unused_symbols(symbols: DataFrame, uses: DataFrame, least: float = 0.5) -> DataFrame:
-    """Symbols whose bare name no other file uses (M15, H17). symbols: name,
-    file_id, is_public, dynamic_import, dynamic; uses: name, file_id."""
+def unused_symbols(symbols: DataFrame, uses: DataFrame, least: float = 0.5, library: bool = False) -> DataFrame:
+    """Symbols whose bare name no other file uses (M15, H17), with confidence, type
+    and severity. In a library, public symbols and those it exports (``exported``,
+    if there is such a column) count as used. symbols: name, file_id, is_public,
+    dynamic_import, dynamic; uses: name, file_id."""
     files = uses.groupBy("name").agg(F.count_distinct("file_id").alias("_n"), F.min("file_id").alias("_one"))
     out = symbols.join(files, "name", "left").where(F.col("_n").isNull() | ((F.col("_n") == 1) & (F.col("_one") == F.col("file_id")))).drop("_n", "_one")
+    if library:
+        out = out.where(~F.col("is_public") & ~(F.coalesce("exported", F.lit(False)) if "exported" in out.columns else F.lit(False)))
     out = out.withColumn("confidence", unused_confidence(F.when(F.col("is_public"), 0.7).otherwise(0.8), F.col("dynamic_import"), F.col("dynamic")))
+    out = out.withColumns({"unused_type": F.when(F.col("is_public"), "public_export_unused").otherwise("private_method_unused"), "severity": F.when(F.col("is_public"), "low").otherwise("medium")})
     return out.where(F.col("confidence") >= least)
 
 

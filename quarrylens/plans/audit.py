@@ -86,7 +86,7 @@ def findings(a: Audit) -> DataFrame:
     classes = class_metrics(a)
     god = R.god_class(classes).select(*row).unionByName(R.class_smells(classes).select(*row))
     smells = R.method_smells(method_metrics(a)).select(*row)
-    dead = unused(a).select(*where, F.col("qualified_name").alias("target"), F.lit("unused").alias("smell_type"), F.lit("low").alias("severity"), "confidence")
+    dead = unused(a).select(*where, F.col("qualified_name").alias("target"), F.lit("unused").alias("smell_type"), "severity", "confidence")
     members = clones(a).select("clone_type", F.col("similarity").alias("confidence"), F.explode("members").alias("block_uid")).join(a.blocks, "block_uid")
     twins = members.select(*where, F.col("block_uid").alias("target"), F.concat(F.lit("clone_"), "clone_type").alias("smell_type"), F.lit("medium").alias("severity"), "confidence")
     out = god.unionByName(smells).unionByName(dead).unionByName(twins)
@@ -99,13 +99,17 @@ def clones(a: Audit, least_lines: int = 3) -> DataFrame:
     return C.clone_groups(a.blocks, least_lines=least_lines, place=place)
 
 
-def unused(a: Audit, least: float = 0.5) -> DataFrame:
-    """Functions and classes that no other file names."""
+def unused(a: Audit, least: float = 0.5, library: bool = False, details: DataFrame | None = None) -> DataFrame:
+    """Functions, methods and classes that no other file names (M15, P16); the names
+    that a module exports are known from ``details``."""
     dynamic = a.dependencies.where(F.substring_index("target_external", ".", -1).isin("getattr", "eval", "exec", "import_module", "__import__")).groupBy("file_path").agg(F.bool_or(F.col("target_external").contains("import")).alias("dynamic_import"), F.lit(True).alias("dynamic"))
-    symbols = a.symbols.where("kind IN ('function', 'class') AND name NOT LIKE '\\\\_\\\\_%'").join(dynamic, "file_path", "left").na.fill(False, ["dynamic_import", "dynamic"]).withColumn("file_id", F.col("file_path"))
+    symbols = a.symbols.where("kind IN ('function', 'method', 'class')").join(dynamic, "file_path", "left").na.fill(False, ["dynamic_import", "dynamic"]).withColumn("file_id", F.col("file_path"))
+    if details is not None:
+        exports = details.where("detail = 'export'").select("file_path", "name").distinct().withColumn("exported", F.lit(True))
+        symbols = symbols.join(exports, ["file_path", "name"], "left")
     tail = F.substring_index("target_external", ".", -1)
     uses = a.dependencies.select(tail.alias("name"), F.col("file_path").alias("file_id")).unionByName(a.accesses.select(F.col("attribute_name").alias("name"), F.col("file_path").alias("file_id")))
-    return R.unused_symbols(symbols, uses, least)
+    return R.unused_symbols(symbols, uses, least, library)
 
 
 def unreachable(a: Audit) -> DataFrame:

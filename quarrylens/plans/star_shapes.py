@@ -270,10 +270,10 @@ def smells(t: Tables) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n, min(l_suppkey) AS one FROM lineitem WHERE l_quantity >= 47 GROUP BY 1)
-SELECT p_partkey, (CASE WHEN p_size > 25 THEN 70 ELSE 80 END * CASE WHEN p_type = 'PROMO' THEN 60 ELSE 100 END)::BIGINT AS confidence FROM part LEFT JOIN u ON l_partkey = p_partkey WHERE n IS NULL OR n = 1 AND one = p_partkey % 100""")
+SELECT p_partkey, (CASE WHEN p_size > 25 THEN 70 ELSE 80 END * CASE p_type WHEN 'SMALL' THEN 40 WHEN 'PROMO' THEN 60 ELSE 100 END)::BIGINT AS confidence FROM part LEFT JOIN u ON l_partkey = p_partkey WHERE n IS NULL OR n = 1 AND one = p_partkey % 100""")
 def unused_symbols(t: Tables) -> DataFrame:
     """A use from the own scope does not count."""
-    symbols = t.part.select(F.col("p_partkey").alias("name"), (F.col("p_partkey") % 100).alias("file_id"), (F.col("p_size") > 25).alias("is_public"), F.lit(False).alias("dynamic_import"), (F.col("p_type") == "PROMO").alias("dynamic"))
+    symbols = t.part.select(F.col("p_partkey").alias("name"), (F.col("p_partkey") % 100).alias("file_id"), (F.col("p_size") > 25).alias("is_public"), (F.col("p_type") == "SMALL").alias("dynamic_import"), F.col("p_type").isin("PROMO", "SMALL").alias("dynamic"))
     uses = t.lineitem.where("l_quantity >= 47").select(F.col("l_partkey").alias("name"), F.col("l_suppkey").alias("file_id"))
     out = R.unused_symbols(symbols, uses, 0.0)
     return out.select(F.col("name").alias("p_partkey"), F.round(F.col("confidence") * 10000).cast("long").alias("confidence"))

@@ -217,7 +217,7 @@ def details(node: ast.AST) -> Iterator[tuple[str, str | None, str | None, int]]:
     alias (a name bound by an import, value: what it is), parameter (value:
     annotation or default), type_hint, raise, handler,
     optional_import, flag, key (value: get, in or index), argument (name:
-    callee:parameter), assert, mock, literal, global, return."""
+    callee:parameter), assert, mock, literal, global, return, export."""
     if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Module)) and (doc := ast.get_docstring(node)):
         yield "doc", None, doc, getattr(node, "lineno", 1)
     if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -245,6 +245,10 @@ def details(node: ast.AST) -> Iterator[tuple[str, str | None, str | None, int]]:
                 if isinstance(y, (ast.Import, ast.ImportFrom)):
                     for name in imported(y, "", False):
                         yield "optional_import", name, None, y.lineno
+        elif isinstance(x, ast.Assign) and len(x.targets) == 1 and isinstance(x.targets[0], ast.Name) and x.targets[0].id == "__all__" and isinstance(x.value, (ast.List, ast.Tuple)):
+            for e in x.value.elts:
+                if isinstance(e, ast.Constant) and isinstance(e.value, str):
+                    yield "export", e.value, None, line
         elif isinstance(x, ast.Assign) and isinstance(x.value, ast.Constant) and isinstance(x.value.value, bool):
             for t in x.targets:
                 if isinstance(t, ast.Name) and t.id.isupper():

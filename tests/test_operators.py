@@ -303,10 +303,12 @@ def test_dynamic_signs(spark):
 
 
 def test_unused_by_bare_name(spark):
-    s = frame(spark, [("f", 1, True, False, False), ("g", 1, True, False, True), ("h", 1, False, True, False), ("k", 1, False, False, False)], "name string, file_id int, is_public boolean, dynamic_import boolean, dynamic boolean")
+    s = frame(spark, [("f", 1, True, False, False), ("g", 1, True, False, True), ("h", 1, False, True, True), ("k", 1, False, False, False)], "name string, file_id int, is_public boolean, dynamic_import boolean, dynamic boolean")
     u = frame(spark, [("f", 2), ("k", 1)], "name string, file_id int")
     assert {r.name: round(r.confidence, 2) for r in R.unused_symbols(s, u, 0.0).collect()} == {"g": 0.42, "h": 0.32, "k": 0.8}
-    assert [r.name for r in R.unused_symbols(s, u).collect()] == ["k"]
+    assert [(r.name, r.unused_type, r.severity) for r in R.unused_symbols(s, u).collect()] == [("k", "private_method_unused", "medium")]
+    more = s.withColumn("exported", F.col("name") == "h")
+    assert {r.name for r in R.unused_symbols(more, u, 0.0, library=True).collect()} == {"k"}
 
 
 def test_priorities(spark):
