@@ -111,7 +111,7 @@ def test_similar_sets_equal_brute_force(spark, tmp_path):
             if a < b and 10 * len(x & y) >= 7 * len(x | y):
                 want[a, b] = len(x & y) / len(x | y)
     frame(spark, list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    got = QUERIES["near_dup_jaccard_whole"](spark, str(tmp_path)).collect()
+    got = QUERIES["near_dup_jaccard"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) > 500 and {(r.a, r.b): r.similarity for r in got} == want
     none = frame(spark, [], "k int, b array<string>")
     assert J.similar_sets(none, "k", F.col("b"), 7).count() == 0
