@@ -1,5 +1,14 @@
 """The corpus pipeline: quality rules, quality classifier, line dedup, near
-duplicates, packing. Each stage takes the documents its predecessor kept."""
+duplicates, packing. Each stage takes the documents its predecessor kept.
+
+All stages but the last return the columns they were given, whatever their names,
+in order. A null text is an empty text: without words, so the rules reject it. A
+null id is an id like others, but never learnt from. Rows that repeat are judged
+alike by rules and classifier, keep each other's lines, and of equal texts one
+stays at the near-duplicate stage. Without labels of both classes no model is
+fitted: the base rules alone decide, then the classifier keeps all. Empty tables
+give empty results.
+"""
 
 from __future__ import annotations
 
