@@ -381,7 +381,8 @@ def _filtered(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Written table of the pairs that the signatures allow."""
     pairs = common.written(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    known = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
+    # one row a set first, combined within the tasks: copies of one set may be many
+    known = members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("signature").alias("signature")).join(nodes, "node", "left_semi")
     known = common.written(known, "signatures")
 
     def allowed(batches):
