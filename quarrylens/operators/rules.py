@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import values as V
 from ..functions.scalar import clamp
 from .aggregates import band, mapped
 
+#: An attribute is common if more sets of its class than ``COMMON_SETS``, and than
+#: one in ``COMMON_SHARE``, hold it: there bits cost less than rows of a join.
+COMMON_SETS, COMMON_SHARE = 32, 100
+#: Sets of a block, and attributes in them; pairs compared at once.
+BLOCK_SETS, BLOCK_ENTRIES, PAIRS = 16384, 1 << 20, 1 << 17
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -201,18 +211,93 @@ def literal_category(literals: Column) -> Column:
 
 def cohesion(access: DataFrame, scope: str, method: str, attribute: str) -> DataFrame:
     """Pairs of a class's methods that share an attribute, among all its pairs
-    (M8); one for fewer than two methods. Methods with the same attributes are
-    one row with a count, so an attribute that all of them touch makes no square."""
-    sets = access.groupBy(scope, method).agg(F.sort_array(F.collect_set(attribute)).alias("_a"))
-    sets = sets.groupBy(scope, "_a").agg(F.count("*").alias("_c")).withColumn("_s", F.xxhash64("_a"))
-    sizes = sets.groupBy(scope).agg(F.sum("_c").alias("n"), F.sum(F.when(F.size("_a") > 0, F.col("_c") * (F.col("_c") - 1) / 2).otherwise(0)).cast("long").alias("_same"))
-    each = sets.select(scope, "_s", "_c", F.explode("_a").alias("_x"))
-    other = each.select(scope, "_x", F.col("_s").alias("_t"), F.col("_c").alias("_d"))
-    across = each.join(other, [scope, "_x"]).where("_s < _t").select(scope, "_s", "_t", "_c", "_d").distinct().groupBy(scope).agg(F.sum(F.col("_c") * F.col("_d")).alias("_across"))
-    out = sizes.join(across, scope, "left").withColumn("shared", F.col("_same") + F.coalesce("_across", F.lit(0))).drop("_same", "_across")
+    (M8); one for fewer than two methods. A null class has no pairs, a null method
+    is none. Methods with the same attributes are one row with a count. Pairs that
+    share common attributes are counted on bits, block by block, and make no rows;
+    those that share rare ones only come from a join on these."""
+    sets = access.select(scope, method, attribute).distinct().groupBy(scope, method).agg(F.sort_array(F.collect_set(attribute)).alias("_a"))
+    # a struct is never null, so no branch filters its keys, and all read the same exchange
+    sets = sets.groupBy(F.struct(F.col(scope).alias("k")).alias("_k"), "_a").agg(F.count(method).alias("_c"))
+    none, some = F.slice("_a", 1, 0), F.col("_common").isNotNull()
+    parts = sets.join(_common(sets), "_k", "left").select(
+        "_k", "_a", "_c", F.when(some, F.array_intersect("_a", "_common")).otherwise(none).alias("_h"), F.when(some, F.array_except("_a", "_common")).otherwise(F.col("_a")).alias("_r")
+    )
+    alike = F.when((F.size("_h") == 0) & (F.size("_r") > 0), F.expr("_c * (_c - 1) div 2")).otherwise(0)
+    sizes = parts.groupBy("_k").agg(F.sum("_c").alias("n"), F.sum(alike).alias("_same"))
+    each = parts.select("_k", F.xxhash64("_a").alias("_s"), "_c", "_h", F.explode("_r").alias("_x"))
+    other = each.select("_k", "_x", F.col("_s").alias("_t"), F.col("_c").alias("_d"), F.col("_h").alias("_i"))
+    across = each.join(other, ["_k", "_x"]).where((F.col("_s") < F.col("_t")) & ~F.arrays_overlap("_h", "_i")).select("_k", "_s", "_t", "_c", "_d").distinct()
+    across = across.groupBy("_k").agg(F.sum(F.col("_c") * F.col("_d")).alias("_across"))
+    out = sizes.join(across, "_k", "left").join(_sharing(parts), "_k", "left")
+    shared = F.col("_same") + F.coalesce("_across", F.lit(0)) + F.coalesce("_bits", F.lit(0))
+    out = out.select(F.col("_k.k").alias(scope), "n", F.when(F.col("_k.k").isNull(), 0).otherwise(shared).alias("shared"))
     return out.withColumn("cohesion", F.when(F.col("n") < 2, 1.0).otherwise(F.col("shared") / (F.col("n") * (F.col("n") - 1) / 2)))
 
 
+def _common(sets: DataFrame) -> DataFrame:
+    """Each class's common attributes: _k, _common (array)."""
+    held = sets.select("_k", "_c", F.posexplode_outer("_a").alias("_p", "_x")).groupBy("_k", "_x")
+    held = held.agg(F.count("*").alias("_n"), F.count_if(F.coalesce("_p", F.lit(0)) == 0).alias("_sets"), F.sum("_c").alias("_c"))
+    listed = F.collect_list(F.when(F.col("_x").isNotNull() & (F.col("_n") > COMMON_SETS), F.struct("_x", "_n")))
+    held = held.groupBy("_k").agg(listed.alias("_l"), F.sum("_sets").alias("_sets"), F.sum("_c").alias("_c"))
+    common = F.transform(F.filter("_l", lambda y: y["_n"] * COMMON_SHARE > F.col("_sets")), lambda y: y["_x"])
+    return held.select("_k", common.alias("_common")).where(F.size("_common") > 0)
+
+
+def _sharing(parts: DataFrame) -> DataFrame:
+    """Pairs that share common attributes (_h): _k, _bits. Sets with the same ones
+    are one row with a count; each two blocks of a class's sets make a group."""
+    sets = parts.where(F.size("_h") > 0).groupBy("_k", "_h").agg(F.sum("_c").alias("_c"))
+    blocks = F.ceil(F.greatest(F.count("_c") / BLOCK_SETS, F.sum(F.size("_h")) / BLOCK_ENTRIES))
+    dealt = sets.join(sets.groupBy("_k").agg(blocks.alias("_blocks")), "_k").withColumn("_b", F.pmod(F.xxhash64("_h"), "_blocks"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    dealt = dealt.select("_k", "_h", "_c", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        block, counts = table.column("_b").to_numpy(), table.column("_c").to_numpy()
+        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
+        bits = _bits(table.column("_h"))
+        x, c, y, d = bits[block == i], counts[block == i], bits[block == j], counts[block == j]
+        step, found = max(1, PAIRS // max(1, len(y))), 0
+        for lo in range(0, len(x), step):
+            hi = lo + step
+            if i != j:
+                found += _meeting(x[lo:hi], c[lo:hi], y, d)
+            else:  # every two once, and each with itself
+                found += _meeting(x[lo:hi], c[lo:hi], y[lo:hi], d[lo:hi]) + 2 * _meeting(x[lo:hi], c[lo:hi], y[hi:], d[hi:])
+        if i == j:
+            found = (found - int(c.sum())) // 2
+        return pa.table({"_k": table.column("_k").slice(0, 1), "_bits": pa.array([found], pa.int64())})
+
+    schema = T.StructType([parts.schema["_k"], T.StructField("_bits", T.LongType())])
+    return dealt.groupBy("_k", "_i", "_j").applyInArrow(compare, schema).groupBy("_k").agg(F.sum("_bits").alias("_bits"))
+
+
+def _bits(sets: pa.ChunkedArray) -> np.ndarray:
+    """A row of 64-bit words for each set, a bit for each value that is in any."""
+    sets = sets.combine_chunks()
+    coded = sets.flatten().dictionary_encode()
+    code, words = coded.indices.to_numpy().astype(np.int64), -(-len(coded.dictionary) // 64)
+    row = np.repeat(np.arange(len(sets)), pc.list_value_length(sets).to_numpy())
+    out = np.zeros(len(sets) * words, np.uint64)
+    np.add.at(out, row * words + (code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))  # a set has a value once
+    return out.reshape(len(sets), words)
+
+
+def _meeting(x: np.ndarray, c: np.ndarray, y: np.ndarray, d: np.ndarray) -> int:
+    """The sum of c * d over all rows of ``x`` and of ``y`` with a bit in common."""
+    if not len(x) or not len(y):
+        return 0
+    hit = (x[:, :1] & y[:, 0]) != 0
+    for w in range(1, x.shape[1]):
+        if hit.all():
+            break
+        hit |= (x[:, w : w + 1] & y[:, w]) != 0
+    if c.max() == d.max() == 1:
+        return int(np.count_nonzero(hit))
+    return int((hit.astype(np.float64) @ d.astype(np.float64)).astype(np.int64) @ c)
+
+
 def unused_confidence(base: Column, dynamic_import: Column, dynamic: Column) -> Column:
     """Confidence that a symbol is unused (M15): less where its file imports by
     name, or else uses names dynamically in other ways."""

@@ -2,6 +2,7 @@
 
 import difflib
 import hashlib
+import itertools
 import random
 import re
 
@@ -264,6 +265,57 @@ def test_cohesion(spark):
     assert {r.scope: r.cohesion for r in R.cohesion(a, "scope", "m", "attr").collect()} == {"A": pytest.approx(1 / 3), "B": 0.0, "C": 1.0}
 
 
+def test_cohesion_of_null_classes_and_methods(spark):
+    """As in SQL: null is equal to no class, and not counted as a method."""
+    a = frame(spark, [(None, "f", "x"), (None, "g", "x"), ("A", None, "x"), ("A", "f", "x"), ("A", "g", "y"), ("B", None, "x")], "scope string, m string, attr string")
+    assert rows(R.cohesion(a, "scope", "m", "attr")) == [("A", 2, 0, 0.0), ("B", 0, 0, 1.0), (None, 2, 0, 0.0)]
+
+
+def _pairs_sharing(access):
+    """Brute force: class to (methods, pairs that share an attribute)."""
+    held = {}
+    for scope, m, attr in access:
+        held.setdefault(scope, {}).setdefault(m, set()).add(attr)
+    return {k: (len(v), sum(1 for x, y in itertools.combinations([s - {None} for s in v.values()], 2) if x & y)) for k, v in held.items()}
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_cohesion_common_and_rare_attributes(spark, monkeypatch, kind):
+    """Dense and sparse sets, copies, sets of rare attributes only, more than 64
+    common attributes, several blocks."""
+    monkeypatch.setattr(R, "BLOCK_SETS", 40)
+    monkeypatch.setattr(R, "PAIRS", 100)
+    rng, value = random.Random(5), str if kind == "string" else int
+    access = []
+    for m in range(300):
+        access += [("dense", m, x) for x in rng.sample(range(70), rng.choice([1, 2, 3, 60]))]
+        access += [("wide", m % 150 + 1000 * (m // 150), x) for x in (rng.sample(range(150), 40) if m < 150 else [200 + m % 150 // 2])]
+        access += [("sparse", m, x) for x in rng.sample(range(900), 2)] + [("sparse", m, 1000)] * (m % 5 == 0)
+        access += [("copies", m, x) for x in ((m % 50, 77) if m % 2 else (m % 50,))]
+    access += [("none", m, None) for m in range(3)] + [("dense", 999, None)]
+    df = frame(spark, [(s, m, None if x is None else value(x)) for s, m, x in access], f"scope string, m long, attr {kind}")
+    got = {r.scope: (r.n, r.shared) for r in R.cohesion(df, "scope", "m", "attr").collect()}
+    assert got == _pairs_sharing(access)
+
+
+def _most_rows(node) -> int:
+    """The most rows that an operator of a plan has put out."""
+    name = node.getClass().getSimpleName()
+    inner = [node.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [node.plan()] if name.endswith("QueryStageExec") else []
+    kids = node.children()
+    made = node.metrics().get("numOutputRows")
+    return max([made.get().value() if made.isDefined() else 0, *map(_most_rows, inner), *(_most_rows(kids.apply(k)) for k in range(kids.size()))])
+
+
+def test_cohesion_makes_no_rows_of_pairs(spark):
+    """600 methods with different sets over 40 attributes: six million pairs by attribute."""
+    rng = random.Random(6)
+    access = [("A", m, x) for m in range(600) for x in rng.sample(range(40), 20)]
+    df = R.cohesion(frame(spark, access, "scope string, m long, attr long"), "scope", "m", "attr")
+    assert [(r.n, r.shared) for r in df.collect()] == [_pairs_sharing(access)["A"]]
+    assert _most_rows(df._jdf.queryExecution().executedPlan()) <= 2 * len(access)
+
+
 def test_god_class_bounds(spark):
     df = frame(spark, [("a", 16, 4, 0.4, 201), ("b", 15, 3, 0.5, 200), ("c", 16, 1, 1.0, 10)], "k string, method_count int, responsibility_count int, cohesion double, lines int")
     assert rows(R.god_class(df).select("k", "points", "severity")) == [("a", 3, "high"), ("c", 1, "low")]
